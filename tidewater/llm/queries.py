@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidewater.llm import exact_dedup, quality_fm, quality_rules, token_files
+from tidewater.llm import exact_dedup, licenses, quality_fm, quality_rules, token_files, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op6_url_filters": url_filters.op6_url_filters,
     "op7_quality_classifier": quality_fm.op7_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op6_url_filters": url_filters.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op9_license_scan": licenses.ORACLE_SQL,
 }
