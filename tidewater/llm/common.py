@@ -80,3 +80,20 @@ def list_column(values, lengths, kind=pa.int32()) -> pa.ListArray:
     np.cumsum(lengths, out=offsets[1:])
     flat = pa.array(values, kind) if not isinstance(values, (bytes, bytearray)) else pa.Array.from_buffers(kind, len(values) // (kind.bit_width // 8), [None, pa.py_buffer(values)])
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, spread: str) -> DataFrame:
+    """rows left-joined with groups (unique by key), whose `weight` says how many rows have the key.
+
+    Groups of 1/1000 of `total` rows or more are at most 1000 and are broadcast;
+    the rest, none of which is hot, are joined by shuffle.  `spread` is a column
+    that deals out the rows that the broadcast has decided.
+    """
+    least = total // 1000 + 1
+    others = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(weight) >= least).select(key, *(F.col(c).alias(f"__hot_{c}") for c in others), F.lit(1).alias("__hot"))
+    cold = groups.filter(F.col(weight) < least).withColumn("__salt", F.lit(0))
+    out = rows.join(F.broadcast(hot), key, "left")
+    out = out.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.hash(spread), F.lit(1 << 20)).cast("int")))
+    out = out.join(cold, [key, "__salt"], "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in others))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, exact_dedup, licenses, quality_fm, quality_rules, token_files, url_filters
+from tidewater.llm import bpe, exact_dedup, licenses, near_dup, pii, quality_fm, quality_rules, token_files, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op4_ngram_join": near_dup.op4_ngram_join,
+    "op5_personal_data": pii.op5_personal_data,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_quality_classifier": quality_fm.op7_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
