@@ -1,15 +1,17 @@
-"""Whole texts to token ids with the tokenizers library, each distinct unit of text once.
-
-A text is cut into units at places where the library's own pre-tokeniser always
-cuts, so the ids of a text are the ids of its units in turn.  Cutting, finding
-the distinct units and gathering their ids run in Arrow and numpy; only units
-that the worker doesn't remember reach the library.  It remembers at most CACHE
-of them; when these are full, it keeps those that the last slice used twice.
-
-Byte-level tokenizers cut before a run of spaces and line feeds that follows a
-printable character; word-end tokenizers drop white space, so any ASCII white
-space cuts.  Texts with other white space before such a cut, and all texts of
-tokenizers of another build, are given to the library whole.
+"""Whole texts to token ids with the tokenizers library, common units of text once.
+
+A text is cut into units (a run of white space and what follows it) at places
+where the library's own pre-tokeniser always cuts, so the ids of a text are the
+ids of its units in turn.  A worker keeps the ids of the commonest units it has
+met (HOT of them, learnt from the first texts, relearnt when they stop
+fitting).  The other units of a slice, run together in Arrow's buffer as they
+are, go to the library in bulk; as each token stands for a known number of
+bytes, running sums tell the units' ids apart again, and runs where these
+disagree are encoded unit by unit.  All steps but the library's are Arrow and
+numpy on whole slices, and memory is bounded by the slice and HOT.
+
+Texts in which a cut would follow anything but a plain printable character, and
+all texts of tokenizers of another build, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE = 400_000
-LONGEST = 48
-SLICE_BYTES = 12 << 20
+HOT = 400_000
+SLICE_BYTES = 6 << 20
+RUN_BYTES = 16 << 10
 _SAFE = "!-~¡-ᙿ"
 
 
@@ -49,6 +51,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         at = end
 
 
+def _composed(texts: pa.Array) -> pa.Array:
+    """NFC of the texts that aren't in it yet."""
+    plain = texts.to_pylist()
+    if all(t.isascii() or unicodedata.is_normalized("NFC", t) for t in plain):
+        return texts
+    return pa.array([unicodedata.normalize("NFC", t) for t in plain], pa.string())
+
+
 class UnitEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,106 +67,129 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.marks = tuple(x["content"] for x in spec["added_tokens"])
         pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec["model"]
         suffix = model.get("end_of_word_suffix") or ""
         plain = model["type"] == "BPE" and not model.get("dropout") and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) for x in spec["added_tokens"])
         self.kind = ""
         if plain and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.kind, self.simple = "bytes", re.compile(rf"(?:[ \n]+[{_SAFE}]|[{_SAFE}])[{_SAFE}]{{0,{LONGEST}}}")
+            self.kind, self.space = "bytes", r" \n"
         elif plain and suffix and [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [(x["type"], x.get("behavior"), x.get("invert")) for x in pre.get("pretokenizers", [])][:1] == [("Split", "Removed", True)]:
-            self.kind, self.simple = "words", re.compile(rf"[{_SAFE}]{{1,{LONGEST}}}")
+            self.kind, self.space = "words", r" \t-\r"
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # one character of a token stands for one byte
         self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, at in vocabulary.items():
             self.token_bytes[at] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, unknown: list[str]) -> None:
-        """Units run together, encoded in bulk and told apart by the bytes that their tokens stand for."""
-        into, fits, byte_level = self.cache, self.simple.fullmatch, self.kind == "bytes"
-        joined = [u for u in unknown if fits(u) and "<|" not in u]
-        if not all(m.startswith("<|") for m in self.marks):
-            joined = [u for u in joined if not any(m in u for m in self.marks)]
-        if len(joined) < len(unknown):
-            single = list(set(unknown).difference(joined))
-            into.update(zip(single, self._library(single), strict=True))
-        # a unit without white space before it gets a line feed, which is a token of its own
-        parts = [u if u[0] in " \n" else "\n" + u for u in joined] if byte_level else joined
-        glue = "" if byte_level else " "
-        for at in range(0, len(joined), 8192):
-            runs = [parts[k : k + 512] for k in range(at, min(at + 8192, len(parts)), 512)]
-            done = self.tokenizer.encode_batch_fast([glue.join(x) for x in runs], add_special_tokens=False)
-            for k, (run, e) in enumerate(zip(runs, done, strict=True)):
-                own = joined[at + 512 * k : at + 512 * k + len(run)]
-                ids = np.array(e.ids, "<u4")
-                reach = np.cumsum(self.token_bytes[ids])
-                if byte_level:
-                    sizes = [len(x) if x.isascii() else len(x.encode()) for x in run]
-                else:
-                    sizes = [len(x) if x.isascii() else len("".join(map(str.lower, unicodedata.normalize("NFC", x))).encode()) for x in run]
-                want = np.cumsum(sizes)
-                ends = np.searchsorted(reach, want)
-                if not len(ids) or reach[-1] != want[-1] or not np.array_equal(reach[ends], want):
-                    into.update(zip(own, self._library(own), strict=True))
-                    continue
-                raw, start = ids.tobytes(), 0
-                for u, end in zip(own, ((ends + 1) * 4).tolist(), strict=True):
-                    into[u] = raw[start + 4 if byte_level and u[0] not in " \n" else start : end]
-                    start = end
+        self._forget()
+
+    def _forget(self) -> None:
+        first = ["", "\n", " ", "\n\n", " \n"] if self.kind else [""]
+        self.learning, self.seen = True, 0
+        self._keep(pa.array(first), *self._flat(self._library(first)))
+
+    def _keep(self, units: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.hot, self.hot_ids, self.hot_lengths = units, ids, lengths
+        self.hot_starts = np.cumsum(lengths) - lengths
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _bulk(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of units that each start with white space and end in a printable character."""
+        units = pa.concat_arrays([units])  # its buffer then holds these units alone
+        edges = units.offsets.to_numpy().astype(np.int64) if hasattr(units, "offsets") else np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1].astype(np.int64)
+        raw = units.buffers()[2].to_pybytes() if units.buffers()[2] is not None else b""
+        cuts = np.unique(np.append(np.searchsorted(edges, np.arange(edges[0], edges[-1], RUN_BYTES)), len(units)))
+        cuts = np.unique(np.append(0, cuts))
+        runs = [raw[edges[a] : edges[b]].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if self.kind == "bytes":
+            sizes = np.diff(edges)
+        else:
+            sizes = pc.binary_length(pc.utf8_lower(pc.ascii_ltrim_whitespace(units))).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts, lengths = [], np.zeros(len(units), np.int64)
+        for e, a, b in zip(self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            reach, want = np.cumsum(self.token_bytes[ids]), np.cumsum(sizes[a:b])
+            ends = np.searchsorted(reach, want)
+            if len(ids) and reach[-1] == want[-1] and np.array_equal(reach[ends], want):
+                lengths[a:b] = np.diff(ends + 1, prepend=0)
+            else:
+                ids, lengths[a:b] = self._flat(self._library(units.slice(a, b - a).to_pylist()))
+            parts.append(ids)
+        return np.concatenate(parts), lengths
+
+    def _learn(self, units: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add the units met twice to the hot ones."""
+        if not len(units):
+            return
+        coded = units.dictionary_encode()
+        unit = coded.indices.to_numpy()
+        first = np.full(len(coded.dictionary), -1)
+        first[unit[::-1]] = np.arange(len(unit))[::-1]
+        counts = np.bincount(unit, minlength=len(first))
+        often = np.flatnonzero((counts > 1) & (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) < 64))
+        often = often[np.argsort(-counts[often], kind="stable")][: HOT - len(self.hot)]
+        at = first[often]
+        new = gather(ids, (np.cumsum(lengths) - lengths)[at], lengths[at])
+        self._keep(pa.concat_arrays([self.hot, coded.dictionary.take(pa.array(often))]), np.concatenate([self.hot_ids, new]), np.concatenate([self.hot_lengths, lengths[at]]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in turn, number of ids of each text); null counts as empty."""
         texts = pc.fill_null(texts, "")
         if not self.kind:
-            found = self._library(texts.to_pylist())
-            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
-        if self.kind == "bytes":
-            lists = pc.split_pattern(pc.replace_substring_regex(texts, r"([ \n]+)", "\x00\\1"), "\x00")
-        else:
-            lists = pc.ascii_split_whitespace(texts)
-        flat = lists.flatten().dictionary_encode()
-        unit, distinct = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        known = self.cache
-        unknown = [u for u in distinct if u not in known]
-        if unknown:
-            self._learn(unknown)
-        found = list(map(known.__getitem__, distinct))
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        blob = np.frombuffer(b"".join(found), "<u4")
-        lengths = sizes[unit]
+            return self._flat(self._library(texts.to_pylist()))
+        ready = texts if self.kind == "bytes" else _composed(texts)
+        # so that every text starts with white space; a line feed is a token of its own, or none
+        led = pc.match_substring_regex(ready, f"^[^{self.space}]")
+        ready = pc.if_else(led, pc.binary_join_element_wise("\n", ready, ""), ready)
+        lists = pc.split_pattern(pc.replace_substring_regex(ready, f"([{self.space}]+)", "\x00\\1"), "\x00")
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        code = pc.fill_null(pc.index_in(flat, value_set=self.hot), -1).to_numpy(zero_copy_only=False)
+        cold = np.flatnonzero(code < 0)
+        odd = pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False)
+        new_ids, new_lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(cold):
+            units = flat.take(pa.array(cold))
+            good = pc.match_substring_regex(units, f"^[{self.space}].*[{_SAFE}]$" if self.kind == "bytes" else f"^[{self.space}](?s:.*)[{_SAFE}]$").to_numpy(zero_copy_only=False)
+            if not good.all():
+                odd[np.searchsorted(offsets, cold[~good], "right") - 1] = True
+                cold, units = cold[good], units.filter(pa.array(good))
+            if len(cold):
+                new_ids, new_lengths = self._bulk(units)
+        hot = code >= 0
+        lengths, starts = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        lengths[hot], starts[hot] = self.hot_lengths[code[hot]], self.hot_starts[code[hot]]
+        lengths[cold], starts[cold] = new_lengths, len(self.hot_ids) + np.cumsum(new_lengths) - new_lengths
         reach = np.concatenate([[0], np.cumsum(lengths)])
-        ids, counts = gather(blob, (np.cumsum(sizes) - sizes)[unit], lengths), np.diff(reach[offsets])
-        if self.kind == "bytes":
-            ids, counts = self._mend(texts, unit, flat.dictionary, offsets, ids, counts)
-        if len(known) > CACHE:
-            often = np.bincount(unit, minlength=len(distinct)) > 1
-            self.cache = {"": b""} | {u: x for u, x, keep in zip(distinct, found, often.tolist(), strict=True) if keep and len(u) <= LONGEST}
-            if len(self.cache) > CACHE // 2:
-                self.cache = {"": b""}
-        return ids, counts
-
-    def _mend(self, texts, unit, distinct, offsets, ids, counts):
-        """Texts with a cut after anything but a printable character go to the library whole."""
-        bad = ~pc.match_substring_regex(distinct, rf"^$|[{_SAFE}]$").to_numpy(zero_copy_only=False)
-        if bad.any():
-            inner = bad[unit]
-            full = offsets[1:] > offsets[:-1]
-            inner[offsets[1:][full] - 1] = False  # nothing follows the last unit
-            sums = np.concatenate([[0], np.cumsum(inner)])
-            odd = sums[offsets[1:]] > sums[offsets[:-1]]
-        else:
-            odd = np.zeros(len(texts), bool)
-        odd |= pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False)
+        ids, counts = gather(np.concatenate([self.hot_ids, new_ids]), starts, lengths), np.diff(reach[offsets])
+        if self.kind == "bytes":  # the line feeds put before texts
+            put = led.to_numpy(zero_copy_only=False) & ~odd
+            ids, counts = np.delete(ids, reach[offsets[:-1]][put]), counts - put
         if odd.any():
             rows = np.flatnonzero(odd).tolist()
             whole = dict(zip(rows, self._library([texts[k].as_py() for k in rows]), strict=True))
             reach = np.concatenate([[0], np.cumsum(counts)])
-            parts = [np.frombuffer(whole[k], "<u4") if k in whole else ids[reach[k] : reach[k + 1]] for k in range(len(texts))]
-            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            parts = [np.array(whole[k], np.uint32) if k in whole else ids[reach[k] : reach[k + 1]] for k in range(len(texts))]
+            ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        self.seen += 1
+        if self.learning and len(cold):
+            self._learn(units, new_ids, new_lengths)
+            self.learning = len(self.hot) < HOT and self.seen < 32
+        elif not self.learning and len(cold) > 0.5 * len(code):
+            self._forget()
         return ids, counts
+
+
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """This worker's encoder of that file; its hot units carry over from task to task."""
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(path)
+    return _encoders[path]

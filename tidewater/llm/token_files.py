@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import id_text, scratch_path, table
-from tidewater.llm.encoding import UnitEncoder, slices
+from tidewater.llm.encoding import encoder, slices
 
 ROW_GROUP = 32 << 20
 PAGE_ROWS = 1024
@@ -47,10 +47,10 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[n
 
 def _encode(tokenizer: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = UnitEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                ids, counts = with_end(*encoder.encode(texts), end_id)
+                ids, counts = with_end(*own.encode(texts), end_id)
                 reach = np.concatenate([[0], np.cumsum(counts)])
                 column = pa.ListArray.from_arrays(pa.array(reach, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part, np.int32)), batch.column(0).slice(at, len(counts)), pa.array(before + reach[:-1]), pa.array(counts), column], NAMES)
