@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import id_text, materialise, table
+from tidewater.llm.common import id_text, lookup, materialise, table
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -167,31 +167,41 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SHARD_ROWS = 2_000_000
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
+def duplicate_groups(docs: DataFrame, total: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digest, keep_id, group_size of the texts that occur twice or more."""
     spark = docs.sparkSession
     marked = id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    total = docs.count()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_ROWS + 1)
     kind = "digest binary, keep_id long, group_size long"
-    groups = materialise(marked.mapInArrow(_combine, kind).repartition(shards, "digest").mapInArrow(_index, kind), "dedup-groups")
-    hot_size = total // 1000 + 1  # so at most 1000 groups are hot
-    hot = groups.filter(F.col("group_size") >= hot_size).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
-    cold = groups.filter(F.col("group_size") < hot_size).withColumnRenamed("digest", "key")
-    rows = marked.join(F.broadcast(hot), "digest", "left")
-    # a hot row is decided already: it gets a key of its own that matches nothing
-    rows = rows.withColumn("key", F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(F.concat(F.lit("h").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
-    rows = rows.join(cold, "key", "left")
-    keep = F.when(F.col("hot_size").isNotNull(), F.col("hot_id")).when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
+    return materialise(marked.mapInArrow(_combine, kind).repartition(shards, "digest").mapInArrow(_index, kind), "dedup-groups")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
+    total = docs.count()
+    groups = duplicate_groups(docs, total, id_col, text_col)
+    marked = id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    rows = lookup(marked, groups, "digest", "group_size", total, "doc_id")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
         "doc_id",
         keep.alias("keep_id"),
-        F.coalesce("hot_size", "group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, all columns, without those whose text a row with a larger id has."""
+    total = docs.count()
+    groups = duplicate_groups(docs, total, id_col, text_col)
+    groups = groups.select(*(F.col(c).alias(f"__{c}") for c in groups.columns))
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    rows = lookup(marked, groups, "__digest", "__group_size", total, id_col)
+    return rows.filter(F.col("__group_size").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id"))).select(*docs.columns)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, exact_dedup, licenses, near_dup, pii, quality_fm, quality_rules, token_files, url_filters
+from tidewater.llm import bpe, exact_dedup, licenses, near_dup, packing, pii, quality_fm, quality_rules, token_files, url_filters
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_ngram_join": near_dup.op4_ngram_join,
     "op5_personal_data": pii.op5_personal_data,
