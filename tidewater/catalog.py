@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from tidewater.plans import stats, windows
+
+_MODULES = (windows, stats)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
 FLAGSHIP = "momentum_legs"

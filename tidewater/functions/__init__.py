@@ -1,0 +1 @@
+"""Scalar expressions."""
