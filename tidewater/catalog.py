@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import stats, windows
+from tidewater.plans import portfolio, stats, windows
 
-_MODULES = (windows, stats)
+_MODULES = (windows, stats, portfolio)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:

@@ -78,7 +78,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("side"),
         F.col("l_quantity").alias("qty"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"),
+        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 9).alias("price"),
         F.round(F.col("l_extendedprice") * F.col("l_tax"), 4).alias("fees"),
     )
 
@@ -86,7 +86,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILLS_SQL = """
 SELECT 'S' || l_suppkey AS symbol, epoch_us(l_shipdate) * 1000 AS ts_nanos, l_orderkey, l_linenumber,
        CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side, l_quantity AS qty,
-       round(l_extendedprice / l_quantity, 4) AS price, round(l_extendedprice * l_tax, 4) AS fees
+       round(l_extendedprice / l_quantity, 9) AS price, round(l_extendedprice * l_tax, 4) AS fees
 FROM lineitem
 """
 
