@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import portfolio, stats, windows
+from tidewater.plans import portfolio, quality, stats, windows
 
-_MODULES = (windows, stats, portfolio)
+_MODULES = (windows, stats, portfolio, quality)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:

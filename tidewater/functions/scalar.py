@@ -37,7 +37,7 @@ def quote_mid(bid: Column, ask: Column) -> Column:
 
 
 def half_spread(bid: Column, ask: Column) -> Column:
-    return F.greatest(ask - bid, F.lit(0.0)) / 2
+    return F.when(bid.isNotNull() & ask.isNotNull(), F.greatest(ask - bid, F.lit(0.0)) / 2)
 
 
 def normal_pdf(x: Column) -> Column:
