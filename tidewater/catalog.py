@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import portfolio, quality, stats, windows
+from tidewater.plans import portfolio, quality, research, stats, windows
 
-_MODULES = (windows, stats, portfolio, quality)
+_MODULES = (windows, stats, portfolio, quality, research)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
