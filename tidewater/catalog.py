@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import portfolio, quality, research, stats, windows
+from tidewater.plans import portfolio, quality, research, stats, streams, windows
 
-_MODULES = (windows, stats, portfolio, quality, research)
+_MODULES = (windows, stats, portfolio, quality, research, streams)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
