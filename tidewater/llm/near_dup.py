@@ -8,13 +8,23 @@
    both.  Each set sends the key of each of its segments (to its own class, and
    to the next where its size may link there).  Segments empty in both don't
    count: a set with too few full segments is cut again with another seed, so
-   the guarantee rests on full ones.  A long passage that many texts share fills
-   no segment of them, so it makes no candidates.
-3. Within a key, every set is paired with the smallest only (a star, linear in
-   the group), and verified exactly; groups of a centre are salted.
-4. Where a key's sets still lie in several components, the sets of those keys are
-   joined by signature trees, in blocks, skipping pairs already connected.  Any
-   two linked sets share a key, so they are connected after 3 or found in 4.
+   the guarantee rests on full ones.  There are more segments than differences
+   by some margin, and linked sets share at least their full segments less d: so a
+   set with fewer common keys (HOT sets or more have them) than that does without
+   those.  A passage that many texts share so makes no candidates of them, while
+   copies of one text, nearly all of whose keys are common, keep them.
+3. A key that fewer than HOT sets have pairs them (a set meets at most HOT - 1
+   others there); pairs are counted over all keys.  Linked sets share at least
+   their margin of keys, so a pair stays only if its count reaches both margins
+   less the sets' common keys.  Those that stay are verified exactly.
+4. Only a set whose common keys (those of HOT sets or more) reach its margin can
+   have a link that 3 misses, and then to another such set of a common key.  In a
+   common key these sets are tied to the smallest only (a star, linear in the
+   group), and verified against the smallest of all their ties, in salted groups.
+   Ties make families; a family that isn't connected by now is joined by
+   signature trees: each set meets those outside the family's largest component,
+   in blocks, skipping pairs already connected.  So copies of one text cost a
+   star, and nothing more.
 5. Components spread back to classes and rows.
 
 Nothing of the size of the corpus reaches the driver.  Memory of a task is one
@@ -36,12 +46,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import id_text, lookup, materialise, pieces, table
+from tidewater.llm.common import discard, id_text, lookup, materialise, pieces, table
 from tidewater.llm.components import connected_components
 from tidewater.llm.signature_tree import find_links, links
 
 RATIO = 1.5
 SEEDS = 5
+HOT = 16
 BLOCK = 512
 CENTRE_MEMBERS = 1024
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -90,9 +101,14 @@ def size_classes(percent: int, most: int = 1 << 40) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]]) -> np.ndarray:
-    """Keys such that two different sets that link have one in common."""
-    n, out = len(s), []
+def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]]) -> tuple[np.ndarray, list[int]]:
+    """Keys such that two different sets that link have one in common, and how many they must share at least.
+
+    The last bit of a key is that of its class; a set is in two classes at most,
+    next to each other, so it has a margin (full segments less differences) for
+    each bit.  A margin of 0 says nothing.
+    """
+    n, out, margins = len(s), [], [0, 0]
     own = int(np.searchsorted([low for low, _ in classes], n, "right")) - 1
     for c in range(max(own, 0), len(classes)):
         low, most = classes[c]
@@ -100,19 +116,24 @@ def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]]) ->
             break
         if most == 0 or n == 0:
             continue
-        segments = most + 1 + most // 4 + 6
+        segments = most + 1 + (most + 1) // 2 + 4
         for seed in range(SEEDS):
             h = s if not seed else np.sort(_mix(s + np.uint64(seed * int(_M1) & (1 << 64) - 1)))
             at = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
             starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             tag = at[starts] + np.uint64(c << 40) + np.uint64(seed << 56)
-            out.append(_mix(np.add.reduceat(_mix(h), starts) ^ _mix(tag * _M1)))
+            out.append(_with_bit(_mix(np.add.reduceat(_mix(h), starts) ^ _mix(tag * _M1)), c))
             if len(starts) > most:
+                margins[c & 1] = 0 if seed else len(starts) - most
                 break
         else:  # as good as impossible: then the empty segments count too
             empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), at[starts])
-            out.append(_mix(_mix((empty + np.uint64(c << 40) + np.uint64(255 << 56)) * _M1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            out.append(_with_bit(_mix(_mix((empty + np.uint64(c << 40) + np.uint64(255 << 56)) * _M1)), c))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), margins
+
+
+def _with_bit(keys: np.ndarray, c: int) -> np.ndarray:
+    return keys >> np.uint64(1) << np.uint64(1) | np.uint64(c & 1)
 
 
 def _describe(n: int, percent: int):
@@ -122,32 +143,69 @@ def _describe(n: int, percent: int):
         for batch in batches:
             for ids, texts in pieces(batch):
                 sets = shingle_sets(texts, n)
-                keys = [segment_keys(s, percent, classes) for s in sets]
+                keys, margins = zip(*(segment_keys(s, percent, classes) for s in sets), strict=True)
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), column], ["doc_id", "n_shingles", "class", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), column, pa.array(margins, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "class", "keys", "margins"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id to (key, id, centre) of keys with two ids or more."""
-    key, centre, told = None, 0, True
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and id: (key, id, other > id) of keys with 2 to HOT - 1 sets, (key, id, null) of larger ones.
+
+    A key's rows may come in several batches; of one with HOT rows or more, none is held back.
+    """
+    key, held, hot = None, np.zeros(0, np.int64), False
+
+    def close() -> list[tuple[np.ndarray, ...]]:
+        return [] if hot or len(held) < 2 else pairs(np.full(1, key), held[None, :])
+
+    def pairs(keys: np.ndarray, members: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        x, y = np.triu_indices(members.shape[1], 1)
+        return [(np.repeat(keys, len(x)), members[:, x].ravel(), members[:, y].ravel())]
+
+    def batch_of(told: list[tuple[np.ndarray, ...]], lone: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        k = [t[0] for t in told] + [t[0] for t in lone]
+        i = [t[1] for t in told] + [t[1] for t in lone]
+        n = sum(len(t[0]) for t in lone)
+        other = pa.concat_arrays([pa.array(np.concatenate([t[2] for t in told] or [np.zeros(0, np.int64)])), pa.nulls(n, pa.int64())])
+        empty = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(k or empty)), pa.array(np.concatenate(i or empty)), other], ["key", "id", "other"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         k, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.append(key is None or k[0] != key, k[1:] != k[:-1])
-        place = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        centres = np.where(place >= 0, i[place], centre)
-        follows = np.append(~new[1:], False)
-        keep = ~new | (new & follows)
-        ks, cs, is_ = k[keep], centres[keep], i[keep]
-        if not new[0] and not told:
-            ks, cs, is_ = np.append(ks, key), np.append(cs, centre), np.append(is_, centre)
-        told = not new[-1]
-        key, centre = k[-1], centres[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(is_), pa.array(cs)], ["key", "id", "centre"])
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        sizes = np.diff(np.append(starts, len(k)))
+        told, lone = [], []
+        if k[0] == key:  # goes on from the last batch
+            rows = i[: sizes[0]]
+            if hot:
+                lone.append((np.full(len(rows), key), rows))
+            else:
+                held = np.append(held, rows)
+                if len(held) >= HOT:
+                    lone.append((np.full(len(held), key), held))
+                    hot, held = True, held[:0]
+            starts, sizes = starts[1:], sizes[1:]
+        if len(starts):
+            told += close()
+            last, size = starts[-1], sizes[-1]
+            for n in np.unique(sizes[:-1]).tolist():
+                at = starts[:-1][sizes[:-1] == n]
+                if 1 < n < HOT:
+                    told += pairs(k[at], i[at[:, None] + np.arange(n)])
+                elif n >= HOT:
+                    places = (at[:, None] + np.arange(n)).ravel()
+                    lone.append((k[places], i[places]))
+            key, held, hot = k[last], i[last:].copy(), False
+            if size >= HOT:
+                lone.append((np.full(size, key), held))
+                hot, held = True, held[:0]
+        yield batch_of(told, lone)
+    yield batch_of(close(), [])
 
 
 def _verify(n: int, percent: int):
@@ -200,8 +258,26 @@ def _join_blocks(n: int, percent: int):
 PAIR = "a long, b long"
 
 
-def _star_links(texts: DataFrame, stars: DataFrame, n: int, percent: int) -> DataFrame:
-    pairs = materialise(stars.filter("id <> centre").select("id", "centre").distinct(), "near-pairs")
+def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b that may link, by their common keys; ties (id, centre) of sets that only common keys tell)."""
+    bit = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("bit")
+    pairs = met.filter("other IS NOT NULL").groupBy(F.col("id").alias("a"), F.col("other").alias("b"), bit).agg(F.count(F.lit(1)).alias("shared"))
+    common = met.filter("other IS NULL").select("key", "id", bit)
+    # for each set and bit, how many keys that aren't common a link must share
+    counts = common.groupBy("id", "bit").agg(F.count(F.lit(1)).alias("common"))
+    need = margins.select("id", F.posexplode("margins").alias("bit", "margin")).join(counts, ["id", "bit"], "left")
+    need = need.select("id", "bit", (F.col("margin") - F.coalesce("common", F.lit(0))).alias("need"), (F.coalesce("common", F.lit(0)) > 0).alias("some"))
+    need = materialise(need.filter("need > 1 OR some"), "near-need")  # without a row, one shared key may do
+    for side in ("a", "b"):
+        own = need.select(F.col("id").alias(side), "bit", "need")
+        pairs = pairs.join(own, [side, "bit"], "left").filter(F.col("shared") >= F.coalesce("need", F.lit(1))).drop("need")
+    rows = common.join(need.filter("some AND need <= 0").select("id", "bit"), ["id", "bit"]).select("key", "id")
+    first = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n"))
+    ties = lookup(rows, first, "key", "n", rows.count(), "id").filter("id <> centre").select("id", "centre").distinct()
+    return pairs.select("a", "b").distinct(), ties
+
+
+def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     centres = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
     salts = centres.select("centre", (F.col("members") / CENTRE_MEMBERS).cast("int").alias("salts"))
     # a pair's salt needs its centre's count only where that is large: at most pairs / CENTRE_MEMBERS centres
@@ -216,19 +292,24 @@ def _star_links(texts: DataFrame, stars: DataFrame, n: int, percent: int) -> Dat
     return rows.select("centre", "id", "text").mapInArrow(_verify(n, percent), PAIR)
 
 
-def _residual_links(texts: DataFrame, stars: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
-    rows = stars.select("key", "id").join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("sign"), F.min("id").alias("least")).filter("first < last")
-    # keys with the same members are one task
-    groups = materialise(groups.groupBy("sign", "members", "least").agg(F.min("key").alias("key")).select("key", "members"), "near-groups")
-    inside = rows.join(groups, "key")
-    blocks = ((F.col("members") - 1) / BLOCK).cast("int") + 1
-    block = F.pmod(F.hash("id"), blocks).cast("int")
-    dealt = inside.withColumns({"blocks": blocks, "block": block})
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("key", "id", "component", "block", other)
-    task = F.concat_ws(":", F.col("key").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
-    dealt = dealt.select(task.alias("task"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component").join(texts, "id")
+def _family_links(texts: DataFrame, families: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
+    rows = families.join(labels, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    # the largest component of each family of several
+    heads = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    heads = materialise(heads, "near-heads")
+    total = rows.count()
+    mine = lookup(rows, heads, "family", "all", total, "id").filter("main IS NOT NULL")
+    small = F.col("all") <= BLOCK  # one block holds the family
+    main_blocks = F.when(small, 0).otherwise(F.ceil(F.col("inside") / BLOCK)).cast("int")
+    other_blocks = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("inside")) / BLOCK)).cast("int")
+    mine = mine.withColumns({"mb": main_blocks, "ob": other_blocks, "other": small | (F.col("component") != F.col("main"))})
+    block = F.when(F.col("other"), F.col("mb") + F.pmod(F.hash("id"), F.col("ob"))).otherwise(F.pmod(F.hash("id"), F.greatest("mb", F.lit(1)))).cast("int")
+    # a set of the largest component meets the blocks outside it, any other set meets all blocks
+    first = F.when(F.col("other"), F.lit(0)).otherwise(F.col("mb"))
+    dealt = mine.withColumn("block", block).select("family", "id", "component", "block", F.explode(F.sequence(first, F.col("mb") + F.col("ob") - 1)).alias("with"))
+    task = F.concat_ws(":", F.col("family").cast("string"), F.least("block", "with").cast("string"), F.greatest("block", "with").cast("string"))
+    dealt = dealt.select(task.alias("task"), (F.col("block") > F.col("with")).cast("int").alias("side"), "id", "component").join(texts, "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "side", "id")
     return dealt.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent), PAIR)
@@ -238,24 +319,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """doc_id, n_shingles, component_id: one row per input row."""
     spark = docs.sparkSession
     source = id_text(docs, id_col, text_col)
-    sets = materialise(source.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, class binary, keys array<long>"), "near-sets")
+    described = materialise(source.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, class binary, keys array<long>, margins array<int>"), "near-keys")
+    sets = materialise(described.drop("keys", "margins"), "near-sets")
     total = sets.count()
-    full = sets.filter("n_shingles > 0")
+    full = described.filter("n_shingles > 0")
     classes = materialise(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-classes")
     # one row of each class sends its keys: the class is met by its smallest id
-    heads = full.join(classes.select("class", F.col("id").alias("doc_id")), ["class", "doc_id"]).select(F.col("doc_id").alias("id"), "keys")
+    heads = full.join(classes.select("class", F.col("id").alias("doc_id")), ["class", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "margins")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     exploded = heads.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
-    stars = materialise(exploded.mapInArrow(_stars, "key long, id long, centre long").filter("id IS NOT NULL"), "near-stars")
-    wanted = stars.select("id").distinct()
+    met = materialise(exploded.mapInArrow(_meet, "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
+    likely, ties = _likely(met, heads.select("id", "margins"))
+    likely, ties = materialise(likely, "near-likely"), materialise(ties, "near-ties")
+    discard(met)
+    discard(described)
+    stars = ties.groupBy("id").agg(F.min("centre").alias("centre"))
+    pairs = materialise(likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(stars).distinct(), "near-pairs")
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))).distinct()
     texts = materialise(source.withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"]), "near-texts")
-    found = materialise(_star_links(texts, stars, n, percent), "near-links")
+    found = materialise(_pair_links(texts, pairs, n, percent), "near-links")
     labels = connected_components(found)
-    rest = materialise(_residual_links(texts, stars, labels, n, percent), "near-rest")
-    if not rest.isEmpty():
-        labels = connected_components(found.unionByName(rest))
+    if not ties.isEmpty():
+        families = materialise(connected_components(ties.select(F.col("id").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "family"), "near-families")
+        rest = materialise(_family_links(texts, families, labels, n, percent), "near-rest")
+        if not rest.isEmpty():
+            labels = connected_components(found.unionByName(rest))
+    discard(texts)
     named = classes.join(labels, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"), "copies")
-    out = lookup(sets.select("doc_id", "n_shingles", "class"), named, "class", "copies", total, "doc_id")
+    out = lookup(sets, named, "class", "copies", total, "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
