@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import portfolio, quality, research, stats, streams, windows
+from tidewater.plans import portfolio, quality, report, research, stats, streams, windows
 
-_MODULES = (windows, stats, portfolio, quality, research, streams)
+_MODULES = (windows, stats, portfolio, quality, research, report, streams)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
