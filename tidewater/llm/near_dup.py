@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join: linked documents and their components.
 
 1. One pass turns each text into its set of word shingles (64-bit hashes); sets
-   that are equal are one class from here on, so copies never meet each other.
+   that are equal are one class from here on, named by 64 bits of their digest,
+   so copies never meet each other.
 2. Candidates, without loss: sizes fall into classes of ratio RATIO; within the
    class of the larger set, two linked sets differ in at most d shingles, so if
    the hash space is cut into more than d segments, one segment is the same in
@@ -32,7 +33,7 @@ centre, or two blocks of BLOCK sets.
 
 Defined results: null, empty or blank text has an empty set and is linked with
 nothing (its own id is its component); a text shorter than a shingle is one
-shingle; rows that repeat an id are one document; rows without an id keep
+shingle; rows that repeat an id repeat its text; rows without an id keep
 their count and get the smallest id of their class, if any.
 """
 
@@ -52,7 +53,7 @@ from tidewater.llm.signature_tree import find_links, links
 
 RATIO = 1.5
 SEEDS = 5
-HOT = 16
+HOT = 32
 BLOCK = 512
 CENTRE_MEMBERS = 1024
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,13 +141,24 @@ def _describe(n: int, percent: int):
     classes = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies within a task send their keys once
         for batch in batches:
             for ids, texts in pieces(batch):
                 sets = shingle_sets(texts, n)
-                keys, margins = zip(*(segment_keys(s, percent, classes) for s in sets), strict=True)
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), column, pa.array(margins, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "class", "keys", "margins"])
+                names = [int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
+                told = []
+                for name, s in zip(names, sets, strict=True):
+                    new = len(s) > 0 and name not in seen
+                    if new:
+                        seen.add(name)
+                    told.append(segment_keys(s, percent, classes) if new else None)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                lengths = [0 if t is None else len(t[0]) for t in told]
+                flat = [t[0] for t in told if t is not None]
+                offsets = pa.array([None if t is None else at for t, at in zip([*told, 0], np.concatenate([[0], np.cumsum(lengths)]).tolist(), strict=True)], pa.int32())
+                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat or [np.zeros(0, np.uint64)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), column, pa.array([None if t is None else t[1] for t in told], pa.list_(pa.int32()))], ["doc_id", "n_shingles", "id", "keys", "margins"])
 
     return run
 
@@ -156,7 +168,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A key's rows may come in several batches; of one with HOT rows or more, none is held back.
     """
-    key, held, hot = None, np.zeros(0, np.int64), False
+    key, held, hot, before = None, np.zeros(0, np.int64), False, None
 
     def close() -> list[tuple[np.ndarray, ...]]:
         return [] if hot or len(held) < 2 else pairs(np.full(1, key), held[None, :])
@@ -177,6 +189,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         k, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fresh = np.append(key is None or k[0] != key or i[0] != before, (k[1:] != k[:-1]) | (i[1:] != i[:-1]))
+        k, i, before = k[fresh], i[fresh], i[-1]  # a class that several tasks met
+        if not len(k):
+            continue
         starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         sizes = np.diff(np.append(starts, len(k)))
         told, lone = [], []
@@ -271,7 +287,7 @@ def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
     for side in ("a", "b"):
         own = need.select(F.col("id").alias(side), "bit", "need")
         pairs = pairs.join(own, [side, "bit"], "left").filter(F.col("shared") >= F.coalesce("need", F.lit(1))).drop("need")
-    rows = common.join(need.filter("some AND need <= 0").select("id", "bit"), ["id", "bit"]).select("key", "id")
+    rows = materialise(common.join(need.filter("some AND need <= 0").select("id", "bit"), ["id", "bit"]).select("key", "id"), "near-common")
     first = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n"))
     ties = lookup(rows, first, "key", "n", rows.count(), "id").filter("id <> centre").select("id", "centre").distinct()
     return pairs.select("a", "b").distinct(), ties
@@ -315,28 +331,60 @@ def _family_links(texts: DataFrame, families: DataFrame, labels: DataFrame, n: i
     return dealt.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent), PAIR)
 
 
+FILTER_BITS = 1 << 25
+
+
+def _places_of(ids: np.ndarray) -> list[np.ndarray]:
+    h = _mix(ids.astype(np.int64).view(np.uint64) + _M1)
+    return [(h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(39)).astype(np.int64)]
+
+
+def _only(source: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """source without most rows whose id isn't among ids, by a Bloom filter of fixed size (4 MB), before a join shuffles it."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for at in _places_of(batch.column(0).drop_null().to_numpy()):
+                bits[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["bits"])
+
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in ids.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():  # 8 filters at most
+        packed |= np.frombuffer(r["bits"], np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(packed.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = _places_of(batch.column(column).fill_null(-1).to_numpy())
+            yield batch.filter(pa.array((bits[at[0] >> 3] >> (at[0] & 7)) & (bits[at[1] >> 3] >> (at[1] & 7)) & 1 == 1))
+
+    return source.mapInArrow(keep, source.schema)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
     spark = docs.sparkSession
     source = id_text(docs, id_col, text_col)
-    described = materialise(source.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, class binary, keys array<long>, margins array<int>"), "near-keys")
-    sets = materialise(described.drop("keys", "margins"), "near-sets")
+    described = materialise(source.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, id long, keys array<long>, margins array<int>"), "near-keys")
+    sets = materialise(described.select("doc_id", "n_shingles", "id"), "near-sets")
     total = sets.count()
-    full = described.filter("n_shingles > 0")
-    classes = materialise(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    # one row of each class sends its keys: the class is met by its smallest id
-    heads = full.join(classes.select("class", F.col("id").alias("doc_id")), ["class", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "margins")
+    classes = materialise(sets.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")), "near-classes")
+    told = described.filter("keys IS NOT NULL")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = heads.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
+    exploded = told.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
     met = materialise(exploded.mapInArrow(_meet, "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
-    likely, ties = _likely(met, heads.select("id", "margins"))
+    likely, ties = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
     likely, ties = materialise(likely, "near-likely"), materialise(ties, "near-ties")
     discard(met)
     discard(described)
     stars = ties.groupBy("id").agg(F.min("centre").alias("centre"))
     pairs = materialise(likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(stars).distinct(), "near-pairs")
     wanted = pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))).distinct()
-    texts = materialise(source.withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"]), "near-texts")
+    heads = materialise(classes.join(wanted, "id").select("id", "head"), "near-heads")
+    near = _only(source, heads.select("head"), "doc_id").withColumnRenamed("doc_id", "head")
+    texts = materialise(near.join(heads, "head").select("id", "text").dropDuplicates(["id"]), "near-texts")
     found = materialise(_pair_links(texts, pairs, n, percent), "near-links")
     labels = connected_components(found)
     if not ties.isEmpty():
@@ -345,8 +393,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         if not rest.isEmpty():
             labels = connected_components(found.unionByName(rest))
     discard(texts)
-    named = classes.join(labels, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"), "copies")
-    out = lookup(sets, named, "class", "copies", total, "doc_id")
+    linked = materialise(labels.join(classes, "id").select("id", "component", "head"), "near-linked")
+    smallest = linked.groupBy("component").agg(F.min("head").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    linked = lookup(linked.select("id", "component"), smallest, "component", "members", linked.count(), "id").select("id", "component_id")
+    named = classes.join(linked, "id", "left").select("id", F.coalesce("component_id", "head").alias("component_id"), "copies")
+    out = lookup(sets, named, "id", "copies", total, "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
