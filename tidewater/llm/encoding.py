@@ -27,8 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-HOT = 400_000
-SLICE_BYTES = 6 << 20
+HOT = 250_000
+SLICE_BYTES = 2 << 20
 RUN_BYTES = 16 << 10
 _SAFE = "!-~¡-ᙿ"
 
