@@ -55,8 +55,8 @@ def _may(a, b, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     low_a, low_b, high_a, high_b = a[1][i], b[1][j], a[2][i], b[2][j]
     ok = ((a[4][i] != b[4][j]) | (a[4][i] < 0)) & (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
     at = np.flatnonzero(ok)
-    for k in range(0, len(at), 65_536):
-        part = at[k : k + 65_536]
+    for k in range(0, len(at), 16_384):
+        part = at[k : k + 16_384]
         most = np.bitwise_count(a[0][i[part]] & b[0][j[part]]).sum(1).astype(np.int64) + np.minimum(a[3][i[part]], b[3][j[part]])
         most = np.minimum(most, np.minimum(high_a[part], high_b[part]))
         ok[part] = (100 + percent) * most >= percent * (low_a[part] + low_b[part])
@@ -68,8 +68,8 @@ def candidates(a: SignatureTree, b: SignatureTree, percent: int):
     stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, i, j = stack.pop()
-        if len(i) > 32_768:
-            stack += [(la, lb, i[k : k + 32_768], j[k : k + 32_768]) for k in range(0, len(i), 32_768)]
+        if len(i) > 4_096:
+            stack += [(la, lb, i[k : k + 4_096], j[k : k + 4_096]) for k in range(0, len(i), 4_096)]
             continue
         ok = _may(a.levels[la], b.levels[lb], i, j, percent)
         i, j = i[ok], j[ok]
