@@ -27,8 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-HOT = 250_000
-SLICE_BYTES = 2 << 20
+HOT = 400_000
+LEARN_BYTES = 192 << 20
+SLICE_BYTES = 6 << 20
 RUN_BYTES = 16 << 10
 _SAFE = "!-~¡-ᙿ"
 
@@ -176,10 +177,10 @@ class UnitEncoder:
             reach = np.concatenate([[0], np.cumsum(counts)])
             parts = [np.array(whole[k], np.uint32) if k in whole else ids[reach[k] : reach[k + 1]] for k in range(len(texts))]
             ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        self.seen += 1
+        self.seen += texts.nbytes
         if self.learning and len(cold):
             self._learn(units, new_ids, new_lengths)
-            self.learning = len(self.hot) < HOT and self.seen < 32
+            self.learning = len(self.hot) < HOT and self.seen < LEARN_BYTES
         elif not self.learning and len(cold) > 0.5 * len(code):
             self._forget()
         return ids, counts

@@ -4,7 +4,7 @@
    capacity; pieces go to the shared folder dealt out by (length, salt), each
    with its rank among the equally long ones of its part.
 2. Packing needs the histogram of lengths alone.  The driver gathers the counts
-   of (part, length), at most capacity * SALTS rows whatever the corpus, and
+   of (part, length), at most capacity * SALTS rows and one a part, and
    bin_completion gives fillings with their numbers of sequences.
 3. Pieces of one length fill the places for that length in order of rank, so
    every piece finds its sequence and offset from its own row and two small
@@ -28,21 +28,21 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.bin_completion import Plan, pack
 from tidewater.llm.common import id_text, materialise, table
-from tidewater.llm.encoding import encoder, slices
+from tidewater.llm.encoding import SLICE_BYTES, encoder, slices
 from tidewater.llm.token_files import with_end
 
 CAPACITY = 2048
-SALTS = 16
+SALTS = 32
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 NAMES = ["doc_id", "piece", "start", "length", "ids"]
 
 
-def _cut(tokenizer: str, end_id: int | None, capacity: int):
+def _cut(tokenizer: str, end_id: int | None, capacity: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         kind = np.dtype("<u2" if len(own.token_bytes) <= 1 << 16 else "<u4")
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), slice_bytes):
                 ids, counts = with_end(*own.encode(texts), end_id)
                 pieces = -(-counts // capacity)
                 doc = np.repeat(np.arange(len(counts)), pieces)
@@ -108,15 +108,18 @@ def _place(bases: dict[str, np.ndarray], slots: dict[str, np.ndarray]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian, 16 bits where the vocabulary allows, else 32), sequence_id, offset."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = CAPACITY, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, ids (little-endian, 16 bits where the vocabulary allows, else 32), sequence_id, offset.
+
+    slice_bytes: text encoded at once; less takes less memory and more time.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = id_text(docs, id_col, text_col).mapInArrow(_cut(tokenizer, end_id, capacity), PIECES)
-    dealt = cut.repartition(parts, "length", F.pmod(F.hash("doc_id", "piece"), F.lit(SALTS))).sortWithinPartitions("length", "doc_id", "piece")
+    cut = id_text(docs, id_col, text_col).mapInArrow(_cut(tokenizer, end_id, capacity, slice_bytes), PIECES)
+    dealt = cut.repartition(parts, "length", F.pmod(F.hash("doc_id", "piece"), F.when(F.col("length") == capacity, F.lit(parts)).otherwise(F.lit(SALTS)))).sortWithinPartitions("length", "doc_id", "piece")
     pieces = materialise(dealt.mapInArrow(_rank, PIECES + ", part int, rank long"), "pieces")
-    # at most capacity * SALTS rows
-    found = sorted(tuple(r) for r in pieces.groupBy("part", "length").agg(F.max("rank").alias("n")).collect())
+    # at most capacity * SALTS rows, and one a part for whole sequences
+    found = sorted(zip(*(c.to_pylist() for c in pieces.groupBy("part", "length").agg(F.max("rank").alias("n")).toArrow().columns), strict=True))
     counts: dict[int, int] = {}
     base = []
     for _, size, last in found:
