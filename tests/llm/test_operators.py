@@ -337,3 +337,18 @@ def test_license_method_finds_more(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: sorted(x.label for x in r.notices) for r in licenses.scan_licenses(d).collect()}
     assert found == {1: ["cc-by-nc"], 2: ["bsd"], 3: []}
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this",
+}
+
+
+def test_license_notices_across_lines(spark):
+    others = ["Released under the Apache License", "Released under the Zope Public License", "released a " + "b c " * 40 + "under the " + "d " * 40 + "license mit"]
+    rows = [(label, f"x y\n\n{t}\nz") for label, t in WRAPPED.items()] + [(t, t) for t in others]
+    d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = [[(x.label, x.containment) for x in r.notices] for r in licenses.scan_licenses(d).orderBy("doc_id").collect()]
+    assert found == [[(label, 1.0)] for label in WRAPPED] + [[]] * len(others)

@@ -1,11 +1,16 @@
 """License scan: exact set-similarity join of text blocks with notice templates.
 
-A block is a line; its set and a template's set are their distinct words.  A
-template is found where at least LEAST of its words are in a block.  Words of
+A block of a template is a window of as many consecutive words as its length
+filter allows (its words / LEAST), whatever line breaks stand in it, so wrapped
+notices are whole in one; or a line that is no longer than the longest
+template's window (a longer line is its windows only).  Its set and a
+template's set are their distinct words.  A template is found where at least
+LEAST of its words are in a block, the words that name its license (NAMES) among
+them: "released under the ... license" of another license isn't it.  Words of
 the templates are ordered by how many documents of the whole corpus have them,
 rarest first, so that
 - prefix filter: a block that reaches `need` words of a template has one of its
-  size - need + 1 rarest;
+  size - need + 1 rarest, so only windows around such a word are looked at;
 - length filter: a block with fewer than `need` words of any template can't;
 - positional filter: from the first shared word on, neither side may have too
   few words left.
@@ -47,6 +52,8 @@ TEMPLATES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+# Words that tell a license from others with the same wording; templates that hold them are found with them only
+NAMES = {"mit": ("mit",), "apache": ("apache",), "gpl": ("general",), "cc-by-nc": ("nc",), "cc-by-sa": ("sharealike",), "mpl": ("mozilla",)}
 
 
 def template_words(text: str) -> list[str]:
@@ -96,24 +103,48 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id
     for label, ws in sets:
         ws = sorted(ws, key=rank.__getitem__)
         need = math.ceil(least * len(ws) - 1e-9)
-        known.append((label, ws, need, ws[: len(ws) - need + 1]))
-    prefixes = sorted({w for *_, p in known for w in p})
-    fewest = min(need for _, _, need, _ in known)
+        names = [w for w in NAMES.get(label, ()) if w in ws]
+        known.append((label, ws, need, ws[: len(ws) - need + 1], names, math.floor(len(ws) / least + 1e-9)))
+    prefixes = sorted({w for _, _, _, p, _, _ in known for w in p})
+    fewest = min(need for _, _, need, _, _, _ in known)
+    longest = max(n for *_, n in known)
     empty = F.lit([]).cast("array<struct<label:string,containment:double>>")
 
-    def find(block: Column) -> Column:
-        """block: its template words in the global order."""
-        out = []
-        for label, ws, need, prefix in known:
+    def ordered(words: Column) -> Column:
+        """The template words among words, in the global order."""
+        return F.array_intersect(F.lit(order), words)
+
+    def starts(at: Column) -> Column:
+        """Windows that can hold the word at a place, if there are enough template words around it."""
+        first = F.greatest(at - F.lit(longest - 1), F.lit(0))
+        around = ordered(F.slice("words", first + F.lit(1), at - first + F.lit(longest)))
+        return F.when(F.size(around) >= fewest, F.sequence(first, at)).otherwise(F.array().cast("array<int>"))
+
+    def find(label: str, ws: list[str], need: int, prefix: list[str], names: list[str], width: int) -> Column:
+        """The best containment of one template, in an array of one, or an empty array."""
+
+        def containment(block: Column) -> Column:
             shared = F.get(F.array_intersect(F.lit(prefix), block), F.lit(0))
             left = F.lit(1) + F.least(F.lit(len(ws)) - F.array_position(F.lit(ws), shared), F.size(block) - F.array_position(block, shared))
             may = (F.size(block) >= need) & shared.isNotNull() & F.coalesce(left >= need, F.lit(False))
+            for w in names:
+                may = may & F.array_contains(block, w)
             got = F.when(may, F.size(F.array_intersect(F.lit(ws), block))).otherwise(0)
-            out.append(F.struct(F.lit(label).alias("label"), F.when(got >= need, got / F.lit(float(len(ws)))).otherwise(F.lit(0.0)).alias("containment")))
-        return F.filter(F.array(*out), lambda x: x["containment"] > 0)
+            return F.when(got >= need, got / F.lit(float(len(ws))))
+
+        blocks = F.concat(F.transform("windows", lambda at: ordered(F.slice("words", at + F.lit(1), F.lit(width)))), F.col("lines"))
+        best = F.array(F.array_max(F.transform(blocks, containment)))
+        return F.transform(F.filter(best, lambda c: c.isNotNull()), lambda c: F.struct(F.lit(label).alias("label"), c.alias("containment")))
 
     rows = texts.withColumn("words", words_of(F.col("low")))
-    blocks = F.filter(F.transform(F.split("low", "\n"), lambda line: F.array_intersect(F.lit(order), words_of(line))), lambda b: (F.size(b) >= fewest) & F.arrays_overlap(b, F.lit(prefixes)))
+    held = F.arrays_overlap("words", F.lit(prefixes))
+    anchors = F.filter(F.transform("words", lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
+    lines = F.filter(F.transform(F.split("low", "\n"), words_of), lambda ws: F.size(ws) <= longest)
+    lines = F.filter(F.transform(lines, ordered), lambda b: (F.size(b) >= fewest) & F.arrays_overlap(b, F.lit(prefixes)))
+    rows = rows.withColumns({
+        "windows": F.when(held, F.array_distinct(F.flatten(F.transform(anchors, starts)))).otherwise(F.array().cast("array<int>")),
+        "lines": F.when(held, lines).otherwise(F.array().cast("array<array<string>>")),
+    })
     last = sorted({p.split(" ")[-1] for p, _ in PHRASES})
     none = F.lit([]).cast("array<struct<start:long,label:string>>")
     may_hold = F.lit(False)
@@ -123,7 +154,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.when(may_hold, phrase_places(F.col("words"))).otherwise(none).alias("places"),
-        F.when(F.arrays_overlap("words", F.lit(prefixes)), F.flatten(F.transform(blocks, find))).otherwise(empty).alias("notices"),
+        F.when((F.size("windows") > 0) | (F.size("lines") > 0), F.concat(*(find(*k) for k in known))).otherwise(empty).alias("notices"),
     )
 
 
