@@ -270,3 +270,25 @@ def test_contrarian_and_windows(spark):
     d = spark.createDataFrame([(3.0,), (-3.0,), (0.5,), (None,)], "z double")
     assert [r[0] for r in d.select(packs.contrarian(F.col("z"))).collect()] == [-1, 1, 0, 0]
     assert rolling.rolling_windows(100, 50, 20) == [(0, 50), (20, 70), (40, 90), (50, 100)]
+
+
+def test_rolling_windows_step_21(spark, sf):
+    from tidewater import catalog
+    from tidewater.plans import research
+
+    def ends(n: int) -> list[int]:
+        e = list(range(252, n + 1, 21))
+        return e if not e or e[-1] == n else [*e, n]
+
+    lengths = {r["symbol"]: r["count"] for r in research.log_returns(spark, sf).groupBy("symbol").count().collect()}
+    got = {}
+    for r in catalog.QUERIES["rolling_criticality"](spark, sf).select("symbol", "window_end").collect():
+        got.setdefault(r["symbol"], []).append(r["window_end"])
+    assert got and {k: sorted(v) for k, v in got.items()} == {k: ends(n) for k, n in lengths.items() if n >= 252}
+    p, names = research.panel(spark, sf)
+    x = np.array([list(r) for r in p.orderBy("ts_nanos").select(*names).collect()])
+    rows = {r["window_end"]: r for r in catalog.QUERIES["rolling_random_matrix"](spark, sf).collect()}
+    assert sorted(rows) == ends(len(x)) and rows
+    for e, r in rows.items():
+        want = estimators.rmt(x[e - 252 : e])
+        assert r["n_above"] == want["n_above"] and abs(r["top"] - want["top"]) < 1e-9 and abs(r["p"] - want["p"]) < 1e-9

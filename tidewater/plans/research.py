@@ -104,7 +104,7 @@ def hawkes_fits(spark, d):
 @query()
 def rolling_criticality(spark, d):
     """Hawkes branching, spectrum width and tail index in rolling windows."""
-    w = rolling.explode_windows(log_returns(spark, d), "symbol", "ts_nanos", 252, 63)
+    w = rolling.explode_windows(log_returns(spark, d), "symbol", "ts_nanos", 252, 21)
 
     def one(r: np.ndarray) -> dict:
         hot = np.flatnonzero(np.abs(r) > np.quantile(np.abs(r), 0.9)).astype(float)
@@ -141,6 +141,14 @@ def random_matrix_summary(spark, d):
     return panel_estimate(spark, d, lambda x, n: est.rmt(x), "n_above INT, top DOUBLE, edge DOUBLE, top_share DOUBLE, p DOUBLE")
 
 
+@query()
+def rolling_random_matrix(spark, d):
+    """The random-matrix summary of the panel in rolling windows."""
+    p, names = panel(spark, d)
+    w = rolling.explode_windows(p.withColumn("panel", F.lit("hourly")), "panel", "ts_nanos", 252, 21)
+    return est.grouped(w, ["panel", "window_end"], "ts_nanos", names, lambda *c: est.rmt(np.column_stack(c)), "n_above INT, top DOUBLE, edge DOUBLE, top_share DOUBLE, p DOUBLE")
+
+
 @query()
 def principal_components(spark, d):
     def f(x, names):
