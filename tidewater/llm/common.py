@@ -8,22 +8,23 @@ text counts as the empty text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where none is named (tests)."""
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the key is unknown to this session
-        root = None
+    """The shared folder that the session names; where it names none, one of its own in local mode, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -43,11 +44,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote; only for tables nothing reads any more."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        delete_path(df.sparkSession, path)
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            delete_path(df.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -74,26 +76,77 @@ def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[pa.Array, l
 
 def list_column(values, lengths, kind=pa.int32()) -> pa.ListArray:
     """A list column from flat values (numpy, or bytes of that kind) and lengths."""
-    import numpy as np
-
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     flat = pa.array(values, kind) if not isinstance(values, (bytes, bytearray)) else pa.Array.from_buffers(kind, len(values) // (kind.bit_width // 8), [None, pa.py_buffer(values)])
     return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
 
-def lookup(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, spread: str) -> DataFrame:
-    """rows left-joined with groups (unique by key), whose `weight` says how many rows have the key.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, groups: DataFrame, keys: str | list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) with groups (unique by keys), whose `weight` says how many rows have the keys.
+
+    Rows of hot groups, those of more than 1/1000 of `total` = all rows, meet
+    them through a broadcast of at most 1000 groups and never enter a shuffle;
+    the other rows go to a shuffled join that has no hot key.  rows is read
+    twice, so it should be a table or cheap to compute.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    least = total // HOT_SHARE + 1
+    names = [*rows.columns, *(c for c in groups.columns if c not in keys)]
+    hot = groups.filter(F.col(weight) >= least)
+    by_broadcast = rows.join(F.broadcast(hot), keys, "inner").select(*names)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    by_shuffle = others.join(groups.filter(F.col(weight) < least), keys, how).select(*names)
+    return by_broadcast.unionByName(by_shuffle)
+
+
+FILTER_BITS = 1 << 25
+
 
-    Groups of 1/1000 of `total` rows or more are at most 1000 and are broadcast;
-    the rest, none of which is hot, are joined by shuffle.  `spread` is a column
-    that deals out the rows that the broadcast has decided.
+class KeyFilter:
+    """A Bloom filter of fixed size (4 MB) over 64-bit hashes, to spare most rows a shuffle.
+
+    Built by an aggregation of (word, bits), so tasks combine theirs before one
+    row a 64-bit word, 2^19 at most, reaches the driver.
     """
-    least = total // 1000 + 1
-    others = [c for c in groups.columns if c != key]
-    hot = groups.filter(F.col(weight) >= least).select(key, *(F.col(c).alias(f"__hot_{c}") for c in others), F.lit(1).alias("__hot"))
-    cold = groups.filter(F.col(weight) < least).withColumn("__salt", F.lit(0))
-    out = rows.join(F.broadcast(hot), key, "left")
-    out = out.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.hash(spread), F.lit(1 << 20)).cast("int")))
-    out = out.join(cold, [key, "__salt"], "left")
-    return out.select(*rows.columns, *(F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in others))
+
+    def __init__(self, hashes: DataFrame, column: str):
+        spark, h = hashes.sparkSession, F.col(column)
+        last = F.lit(FILTER_BITS - 1).cast("long")
+        places = F.array(h.bitwiseAND(last), F.shiftrightunsigned(h, 39).bitwiseAND(last))
+        at = hashes.filter(h.isNotNull()).select(F.explode(places).alias("at"))
+        bit = F.expr("shiftleft(1L, int(at & 63L))")
+        words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        packed = np.zeros(FILTER_BITS // 64, np.int64)
+        packed[words.column(0).to_numpy()] = words.column(1).to_numpy()
+        self.shared = spark.sparkContext.broadcast(packed.tobytes())
+
+    def split(self, source: DataFrame, hashed: Column) -> tuple[DataFrame, DataFrame]:
+        """(rows whose hash may be in the filter, rows whose hash is not), each a pass over source."""
+        shared, kind, name = self.shared, source.schema, fresh(source, "hashed")
+        last = np.uint64(FILTER_BITS - 1)
+
+        def keep(inside: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                bits = np.frombuffer(shared.value, np.uint8)
+                for batch in batches:
+                    h = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
+                    a, b = (h & last).astype(np.int64), ((h >> np.uint64(39)) & last).astype(np.int64)
+                    held = ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1) == 1
+                    part = batch.filter(pa.array(held if inside else ~held))
+                    yield pa.RecordBatch.from_arrays(part.columns[:-1], kind.names)
+
+            return run
+
+        marked = source.select("*", hashed.alias(name))
+        return marked.mapInArrow(keep(True), kind), marked.mapInArrow(keep(False), kind)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    while name in df.columns:
+        name += "_"
+    return name

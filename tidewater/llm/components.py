@@ -3,9 +3,9 @@
 Each round, a node takes the smallest label of its neighbours and itself
 (pre-aggregated before the shuffle), then the label of its label; so labels
 cross a component in about the logarithm of its width.  Every round is written
-to the shared folder.  Nodes with a thousandth of all edge ends or more are met
-through a broadcast (at most 1000 of them), so a hub doesn't fill one task.
-Only counts reach the driver.
+to the shared folder.  Nodes with more than a thousandth of all edge ends are
+met through a broadcast (at most 1000 of them) and their rows stay out of the
+shuffle, so a hub doesn't fill one task.  Only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -23,21 +23,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ends = both.count()
     degree = both.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     labels = materialise(degree.select("id", "degree", F.col("id").alias("component")), "cc-labels")
+    nodes = labels.count()
     while True:
-        told = lookup(both, labels, "id", "degree", ends, "other")
+        told = lookup(both, labels, "id", "degree", ends)
         least = told.groupBy(F.col("other").alias("id")).agg(F.min("component").alias("least"))
         better = labels.join(least, "id").select("id", "degree", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved"))
         better = materialise(better, "cc-step")
         moved = better.filter("moved").count()
         if not moved:
-            discard(better)
-            discard(both)
+            discard(better, both)
             return labels.select("id", "component")
         # a label is a node: as many nodes may hold it as a component has, so the same care applies
         sizes = better.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-        jumps = sizes.join(better.select(F.col("id").alias("component"), F.col("component").alias("next")), "component")
-        step = lookup(better.select("id", "degree", "component"), jumps, "component", "members", better.count(), "id")
+        jumps = materialise(sizes.join(better.select(F.col("id").alias("component"), F.col("component").alias("next")), "component"), "cc-jumps")
+        step = lookup(better.select("id", "degree", "component"), jumps, "component", "members", nodes)
         new = materialise(step.select("id", "degree", F.least("component", "next").alias("component")), "cc-labels")
-        discard(labels)
-        discard(better)
+        discard(labels, better, jumps)
         labels = new

@@ -1,12 +1,18 @@
 """Exact deduplication over a sharded cuckoo-filter index of live digests.
 
-Every text is digested (SHA-256) in the JVM.  Copies are first combined within
-each Arrow batch, so a text that holds a third of all rows reaches its shard as
-a few rows.  Shards are hash ranges of the digest; each runs a CuckooIndex:
-fingerprints in two candidate buckets of four slots, where a hit is verified
-against the full digest stored in that slot, a newer keeper replaces the live
-entry (delete, then insert), and a failed insertion doubles the table and
-re-inserts from the stored keys.
+Every text is digested once (SHA-256, in the JVM) into a table of (doc_id,
+digest).  Copies are first combined within each Arrow batch, so a text that
+holds a third of all rows reaches its shard as a few rows.  Shards are hash
+ranges of the digest; each runs a CuckooIndex: fingerprints in two candidate
+buckets of four slots, where a hit is verified against the full digest stored
+in that slot, a newer keeper replaces the live entry (delete, then insert), and
+a failed insertion doubles the table and re-inserts from the stored keys.
+
+Hits are verified against content: rows whose digest occurs twice or more (told
+by a Bloom filter of fixed size) send their text to its bucket, a range of
+digests sorted by digest and text, once for each task and text; a bucket holds
+one text at a time and counts how many different ones a digest has.  A digest
+of several is taken apart by its texts.
 
 The decision returns to the rows by a join on the digest.  Groups above 1/1000
 of all rows are at most 1000 by arithmetic and are broadcast; all other groups
@@ -14,7 +20,9 @@ are joined by shuffle and are small against a partition.
 
 Defined results: null text equals the empty text; rows repeated with the same
 doc_id are each returned, and all of those with the kept id are kept; null ids
-lose against others; an empty table gives an empty result.
+lose against others, and where a group has no other, all its rows are kept; an
+empty table gives an empty result; extra columns are not read (keep_one returns
+them as they are); a text is held whole, one at a time.
 """
 
 from __future__ import annotations
@@ -24,10 +32,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import id_text, lookup, materialise, table
+from tidewater.llm.common import KeyFilter, discard, fresh, id_text, lookup, materialise, table
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -164,24 +172,79 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keepers, pa.int64()), pa.array(counts, pa.int64())], ["digest", "keep_id", "group_size"])
 
 
+def _sight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different texts of each digest that a task meets, once while HELD bytes of them are remembered."""
+    seen: set[tuple[bytes, str]] = set()
+    held = 0
+    for batch in batches:
+        new = []
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            new.append(row not in seen)
+            if new[-1]:
+                seen.add(row)
+                held += len(row[1])
+        yield batch.filter(pa.array(new, pa.bool_()))
+        if held > HELD:
+            seen.clear()
+            held = 0
+
+
+def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests with more than one text, of rows sorted by digest and text."""
+    digest = text = told = None
+    for batch in batches:
+        out = []
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if d == digest and t != text and told != d:
+                told = d
+                out.append(d)
+            digest, text = d, t
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["digest"])
+
+
 SHARD_ROWS = 2_000_000
+HELD = 32 << 20
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
 
+def duplicate_groups(marked: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
+    """(digest, keep_id, group_size, hashed: texts that occur twice or more; the same with text for digests of several texts, or None).
 
-def duplicate_groups(docs: DataFrame, total: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """digest, keep_id, group_size of the texts that occur twice or more."""
-    spark = docs.sparkSession
-    marked = id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    marked: doc_id, digest; texts: doc_id, text; of the same rows.
+    """
+    spark = marked.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_ROWS + 1)
     kind = "digest binary, keep_id long, group_size long"
-    return materialise(marked.mapInArrow(_combine, kind).repartition(shards, "digest").mapInArrow(_index, kind), "dedup-groups")
+    found = marked.select("doc_id", "digest").mapInArrow(_combine, kind).repartition(shards, "digest").mapInArrow(_index, kind)
+    groups = materialise(found.withColumn("hashed", F.xxhash64("digest")), "dedup-groups")
+    digest = digest_of(F.col("text"))
+    hits, _ = KeyFilter(groups, "hashed").split(texts, F.xxhash64(digest))
+    sighted = hits.select(digest.alias("digest"), "text").mapInArrow(_sight, "digest binary, text string")
+    several = sighted.repartition(shards, "digest").sortWithinPartitions("digest", "text").mapInArrow(_bucket, "digest binary").distinct()
+    several = materialise(several, "dedup-several")
+    if several.isEmpty():  # but for two texts of one digest
+        discard(several)
+        return groups, None
+    apart = texts.withColumn("digest", digest).join(several, "digest", "left_semi").groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return materialise(groups.join(several, "digest", "left_anti").select(groups.columns), "dedup-groups"), materialise(apart, "dedup-apart")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
-    total = docs.count()
-    groups = duplicate_groups(docs, total, id_col, text_col)
-    marked = id_text(docs, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    rows = lookup(marked, groups, "digest", "group_size", total, "doc_id")
+    texts = id_text(docs, id_col, text_col)
+    marked = materialise(texts.select("doc_id", digest_of(F.col("text")).alias("digest")), "dedup-rows")
+    total = marked.count()
+    groups, apart = duplicate_groups(marked, texts, total)
+    if apart is None:
+        rows = lookup(marked, groups.drop("hashed"), "digest", "group_size", total)
+    else:
+        told = texts.withColumn("digest", digest_of(F.col("text")))
+        several = apart.select("digest").distinct()
+        rows = lookup(told.join(several, "digest", "left_anti").select("doc_id", "digest"), groups.drop("hashed"), "digest", "group_size", total)
+        rows = rows.unionByName(told.join(several, "digest", "left_semi").join(apart, ["digest", "text"]).select(*rows.columns))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
         "doc_id",
@@ -193,13 +256,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, all columns, without those whose text a row with a larger id has."""
-    total = docs.count()
-    groups = duplicate_groups(docs, total, id_col, text_col)
-    groups = groups.select(*(F.col(c).alias(f"__{c}") for c in groups.columns))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    rows = lookup(marked, groups, "__digest", "__group_size", total, id_col)
-    return rows.filter(F.col("__group_size").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id"))).select(*docs.columns)
+    """The input rows, all columns, without those whose text a row with a larger id has.
+
+    Only texts of a digest that may occur twice are shuffled.
+    """
+    texts = id_text(docs, id_col, text_col)
+    marked = materialise(texts.select("doc_id", digest_of(F.col("text")).alias("digest")), "dedup-rows")
+    total = marked.count()
+    groups, apart = duplicate_groups(marked, texts, total)
+    discard(marked)
+    text, row_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    digest, keep, size = (fresh(docs, f"dedup_{k}") for k in ("digest", "keep", "size"))
+    hashes = groups.select("hashed") if apart is None else groups.select("hashed").unionByName(apart.select(F.xxhash64("digest").alias("hashed")))
+    some, others = KeyFilter(hashes, "hashed").split(docs, F.xxhash64(digest_of(text)))
+    some = some.withColumn(digest, digest_of(text))
+    named = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("group_size").alias(size))
+    stays = F.col(size).isNull() | row_id.eqNullSafe(F.col(keep))
+    if apart is None:
+        return others.unionByName(lookup(some, named, digest, size, total).filter(stays).select(*docs.columns))
+    several = apart.select(F.col("digest").alias(digest)).distinct()
+    kept = lookup(some.join(several, digest, "left_anti"), named, digest, size, total).filter(stays).select(*docs.columns)
+    own = apart.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.col("group_size").alias(size), F.col("text").alias(f"{digest}_text"))
+    taken = some.join(own, (some[digest] == own[digest]) & (text == F.col(f"{digest}_text"))).filter(stays).select(*(some[c] for c in docs.columns))
+    return others.unionByName(kept).unionByName(taken)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

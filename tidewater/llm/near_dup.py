@@ -1,31 +1,33 @@
 """Exact n-gram Jaccard join: linked documents and their components.
 
 1. One pass turns each text into its set of word shingles (64-bit hashes); sets
-   that are equal are one class from here on, named by 64 bits of their digest,
-   so copies never meet each other.
-2. Candidates, without loss: sizes fall into classes of ratio RATIO; within the
-   class of the larger set, two linked sets differ in at most d shingles, so if
-   the hash space is cut into more than d segments, one segment is the same in
-   both.  Each set sends the key of each of its segments (to its own class, and
-   to the next where its size may link there).  Segments empty in both don't
-   count: a set with too few full segments is cut again with another seed, so
-   the guarantee rests on full ones.  There are more segments than differences
+   that are equal are one class from here on, named by 64 bits of their digest
+   and checked by 64 more (classes that share a name are renamed), so copies
+   never meet each other.
+2. Sets are dealt to partitions without loss: sizes fall into classes of ratio
+   RATIO; within the class of the larger set, two linked sets differ in at most d
+   shingles, so if the hash space is cut into more than d segments, one segment is
+   the same in both.  Each set sends the key of each of its segments (to its own
+   class, and to the next where its size may link there).  Segments empty in both
+   don't count: a set with too few full segments is cut again with another seed,
+   so the guarantee rests on full ones.  There are more segments than differences
    by some margin, and linked sets share at least their full segments less d: so a
    set with fewer common keys (HOT sets or more have them) than that does without
-   those.  A passage that many texts share so makes no candidates of them, while
-   copies of one text, nearly all of whose keys are common, keep them.
-3. A key that fewer than HOT sets have pairs them (a set meets at most HOT - 1
-   others there); pairs are counted over all keys.  Linked sets share at least
-   their margin of keys, so a pair stays only if its count reaches both margins
-   less the sets' common keys.  Those that stay are verified exactly.
-4. Only a set whose common keys (those of HOT sets or more) reach its margin can
-   have a link that 3 misses, and then to another such set of a common key.  In a
-   common key these sets are tied to the smallest only (a star, linear in the
-   group), and verified against the smallest of all their ties, in salted groups.
-   Ties make families; a family that isn't connected by now is joined by
-   signature trees: each set meets those outside the family's largest component,
-   in blocks, skipping pairs already connected.  So copies of one text cost a
-   star, and nothing more.
+   those.  A passage that many texts share so ties none of them, while copies of
+   one text, nearly all of whose keys are common, stay together.
+3. A key that fewer than HOT sets have ties them in pairs, counted over all keys
+   and kept if the count reaches both margins less the sets' common keys; in a
+   common key, the sets whose common keys reach their margin are tied to the
+   smallest only (a star, linear in the group).  Ties make families, which no link
+   leaves.
+4. A family of up to BLOCK sets is one task: a signature tree over it, traversed
+   against itself, finds its links.  In a larger one, ties are verified first, in
+   salted groups around their centres; where that connects it (copies of one text
+   do), it is done.  The sets of those that still fall apart are dealt again by
+   finer segments (FINENESS; the last has about one for each shingle), so what only
+   a common passage tied is told apart.  What the finest leaves in one piece too
+   large for a task is cut into blocks by size, and signature trees of blocks whose
+   sizes may link are traversed against each other, skipping connected pairs.
 5. Components spread back to classes and rows.
 
 Nothing of the size of the corpus reaches the driver.  Memory of a task is one
@@ -33,8 +35,12 @@ centre, or two blocks of BLOCK sets.
 
 Defined results: null, empty or blank text has an empty set and is linked with
 nothing (its own id is its component); a text shorter than a shingle is one
-shingle; rows that repeat an id repeat its text; rows without an id keep
-their count and get the smallest id of their class, if any.
+shingle; rows that repeat an id are documents of their own, by their text; rows
+without an id count as documents and get the smallest id of their component,
+null if it has none; an empty table gives an empty result; extra columns are
+not read.  one_of_each keeps of each component the row of the smallest id
+(before rows without one; of several such rows the one of the smallest text
+hash; rows that repeat both stay together), and every row without words.
 """
 
 from __future__ import annotations
@@ -47,11 +53,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import discard, id_text, lookup, materialise, pieces, table
+from tidewater.llm.common import KeyFilter, discard, fresh, id_text, lookup, materialise, table
 from tidewater.llm.components import connected_components
 from tidewater.llm.signature_tree import find_links, links
 
 RATIO = 1.5
+FINENESS = (1.5, 3.0, 6.0)  # segments for each difference, in rounds
 SEEDS = 5
 HOT = 32
 BLOCK = 512
@@ -102,7 +109,7 @@ def size_classes(percent: int, most: int = 1 << 40) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]]) -> tuple[np.ndarray, list[int]]:
+def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]], fineness: float = FINENESS[0]) -> tuple[np.ndarray, list[int]]:
     """Keys such that two different sets that link have one in common, and how many they must share at least.
 
     The last bit of a key is that of its class; a set is in two classes at most,
@@ -117,7 +124,7 @@ def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]]) ->
             break
         if most == 0 or n == 0:
             continue
-        segments = most + 1 + (most + 1) // 2 + 4
+        segments = int((most + 1) * fineness) + 4
         for seed in range(SEEDS):
             h = s if not seed else np.sort(_mix(s + np.uint64(seed * int(_M1) & (1 << 64) - 1)))
             at = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
@@ -137,15 +144,34 @@ def _with_bit(keys: np.ndarray, c: int) -> np.ndarray:
     return keys >> np.uint64(1) << np.uint64(1) | np.uint64(c & 1)
 
 
+def _name(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of the set's digest, as (name, check)."""
+    d = xxhash.xxh128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _key_columns(told: list[tuple[np.ndarray, list[int]] | None]) -> list[pa.Array]:
+    """Columns of keys and margins, null where a set sends none."""
+    lengths = [0 if t is None else len(t[0]) for t in told]
+    flat = [t[0] for t in told if t is not None]
+    offsets = pa.array([None if t is None else at for t, at in zip([*told, 0], np.concatenate([[0], np.cumsum(lengths)]).tolist(), strict=True)], pa.int32())
+    keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat or [np.zeros(0, np.uint64)]).view(np.int64)))
+    return [keys, pa.array([None if t is None else t[1] for t in told], pa.list_(pa.int32()))]
+
+
+SLICE = 512
+
+
 def _describe(n: int, percent: int):
     classes = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies within a task send their keys once
+        seen: set[tuple[int, int]] = set()  # copies within a task send their keys once
         for batch in batches:
-            for ids, texts in pieces(batch):
-                sets = shingle_sets(texts, n)
-                names = [int.from_bytes(xxhash.xxh128_digest(s.tobytes())[:8], "little", signed=True) for s in sets]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = shingle_sets(part.column(2).to_pylist(), n)
+                names = [_name(s) for s in sets]
                 told = []
                 for name, s in zip(names, sets, strict=True):
                     new = len(s) > 0 and name not in seen
@@ -154,15 +180,38 @@ def _describe(n: int, percent: int):
                     told.append(segment_keys(s, percent, classes) if new else None)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                lengths = [0 if t is None else len(t[0]) for t in told]
-                flat = [t[0] for t in told if t is not None]
-                offsets = pa.array([None if t is None else at for t, at in zip([*told, 0], np.concatenate([[0], np.cumsum(lengths)]).tolist(), strict=True)], pa.int32())
-                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat or [np.zeros(0, np.uint64)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), column, pa.array([None if t is None else t[1] for t in told], pa.list_(pa.int32()))], ["doc_id", "n_shingles", "id", "keys", "margins"])
+                columns = [*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *_key_columns(told)], ["doc_id", "th", "n_shingles", "id", "check", "keys", "margins"])
 
     return run
 
 
+def _deal_again(n: int, percent: int, fineness: float):
+    """(id, text) to id, keys, margins with segments of another fineness."""
+    classes = size_classes(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                told = [segment_keys(s, percent, classes, fineness) for s in shingle_sets(part.column(1).to_pylist(), n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *_key_columns(told)], ["id", "keys", "margins"])
+
+    return run
+
+
+def _apart(described: DataFrame) -> DataFrame:
+    """The same rows, where classes that share a name but not the check get new names from both."""
+    while True:
+        shared = described.groupBy("id").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high").select("id", F.lit(True).alias("twice"))
+        if shared.isEmpty():  # but for one pair of classes in 2^64
+            return described
+        new = F.when(F.col("twice"), F.xxhash64("id", "check")).otherwise(F.col("id"))
+        renamed = materialise(described.join(shared, "id", "left").withColumn("id", new).select(*described.columns), "near-renamed")
+        discard(described)
+        described = renamed
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and id: (key, id, other > id) of keys with 2 to HOT - 1 sets, (key, id, null) of larger ones.
 
@@ -288,19 +337,32 @@ def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = need.select(F.col("id").alias(side), "bit", "need")
         pairs = pairs.join(own, [side, "bit"], "left").filter(F.col("shared") >= F.coalesce("need", F.lit(1))).drop("need")
     rows = materialise(common.join(need.filter("some AND need <= 0").select("id", "bit"), ["id", "bit"]).select("key", "id"), "near-common")
-    first = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n"))
-    ties = lookup(rows, first, "key", "n", rows.count(), "id").filter("id <> centre").select("id", "centre").distinct()
-    return pairs.select("a", "b").distinct(), ties
+    first = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")), "near-first")
+    ties = lookup(rows, first, "key", "n", rows.count()).filter("id <> centre").groupBy("id").agg(F.min("centre").alias("centre"), F.collect_set("centre").alias("all"))
+    ties = materialise(ties, "near-ties")
+    likely = materialise(pairs.select("a", "b").distinct(), "near-likely")
+    discard(need, rows, first)
+    return likely, ties
+
+
+def _candidates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sets with their keys and margins: (pairs (id, centre) to verify, all ties (a, b) that make families)."""
+    shuffles = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exploded = told.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
+    met = materialise(exploded.mapInArrow(_meet, "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
+    likely, ties = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
+    discard(met)
+    pairs = likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(ties.select("id", "centre")).distinct()
+    edges = likely.unionByName(ties.select(F.col("id").alias("a"), F.explode("all").alias("b")))
+    return pairs, edges
 
 
 def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (id, centre) that are links; pairs is a table."""
     centres = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
-    salts = centres.select("centre", (F.col("members") / CENTRE_MEMBERS).cast("int").alias("salts"))
-    # a pair's salt needs its centre's count only where that is large: at most pairs / CENTRE_MEMBERS centres
-    large = salts.filter("salts > 0")
-    total = pairs.count()
-    dealt = lookup(pairs, large.withColumn("members", F.col("salts") * CENTRE_MEMBERS), "centre", "members", total, "id")
-    members = dealt.select("centre", "id", F.pmod(F.hash("id"), F.coalesce("salts", F.lit(0)) + 1).cast("int").alias("salt"), F.lit(1).alias("role"))
+    salts = materialise(centres.select("centre", "members", (F.col("members") / CENTRE_MEMBERS).cast("int").alias("salts")), "near-salts")
+    dealt = lookup(pairs, salts, "centre", "members", pairs.count())
+    members = dealt.select("centre", "id", F.pmod(F.hash("id"), F.col("salts") + 1).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = salts.select("centre", F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.lit(0).alias("role"))
     rows = members.unionByName(own).join(texts, "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -308,103 +370,146 @@ def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
     return rows.select("centre", "id", "text").mapInArrow(_verify(n, percent), PAIR)
 
 
-def _family_links(texts: DataFrame, families: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame:
-    rows = families.join(labels, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
-    sizes = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    # the largest component of each family of several
-    heads = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    heads = materialise(heads, "near-heads")
-    total = rows.count()
-    mine = lookup(rows, heads, "family", "all", total, "id").filter("main IS NOT NULL")
-    small = F.col("all") <= BLOCK  # one block holds the family
-    main_blocks = F.when(small, 0).otherwise(F.ceil(F.col("inside") / BLOCK)).cast("int")
-    other_blocks = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("inside")) / BLOCK)).cast("int")
-    mine = mine.withColumns({"mb": main_blocks, "ob": other_blocks, "other": small | (F.col("component") != F.col("main"))})
-    block = F.when(F.col("other"), F.col("mb") + F.pmod(F.hash("id"), F.col("ob"))).otherwise(F.pmod(F.hash("id"), F.greatest("mb", F.lit(1)))).cast("int")
-    # a set of the largest component meets the blocks outside it, any other set meets all blocks
-    first = F.when(F.col("other"), F.lit(0)).otherwise(F.col("mb"))
-    dealt = mine.withColumn("block", block).select("family", "id", "component", "block", F.explode(F.sequence(first, F.col("mb") + F.col("ob") - 1)).alias("with"))
-    task = F.concat_ws(":", F.col("family").cast("string"), F.least("block", "with").cast("string"), F.greatest("block", "with").cast("string"))
-    dealt = dealt.select(task.alias("task"), (F.col("block") > F.col("with")).cast("int").alias("side"), "id", "component").join(texts, "id")
+def _family_links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links that join what links join in families of up to BLOCK sets, one signature tree a family."""
+    rows = families.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "id", F.col("id").alias("component")).join(texts, "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "side", "id")
-    return dealt.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent), PAIR)
-
+    rows = rows.repartition(parts, "task").sortWithinPartitions("task", "id")
+    return rows.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent), PAIR)
 
-FILTER_BITS = 1 << 25
 
+def _block_links(texts: DataFrame, rest: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components of large families: rest (family, id, component, main, size).
 
-def _places_of(ids: np.ndarray) -> list[np.ndarray]:
-    h = _mix(ids.astype(np.int64).view(np.uint64) + _M1)
-    return [(h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(39)).astype(np.int64)]
-
-
-def _only(source: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """source without most rows whose id isn't among ids, by a Bloom filter of fixed size (4 MB), before a join shuffles it."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            for at in _places_of(batch.column(0).drop_null().to_numpy()):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["bits"])
-
-    packed = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():  # 8 filters at most
-        packed |= np.frombuffer(r["bits"], np.uint8)
-    shared = source.sparkSession.sparkContext.broadcast(packed.tobytes())
+    Blocks hold sets of one size class; sets link within a class or with the next,
+    and pairs within a family's largest component are known.
+    """
+    step = F.log(F.lit(100.0 / percent)) if percent < 100 else F.lit(1.0)
+    rows = rest.select("family", "id", "component", (F.col("component") == F.col("main")).alias("known"), F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int").alias("range"))
+    counts = rows.groupBy("family", "range", "known").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "near-counts")
+    rows = lookup(rows, counts, ["family", "range", "known"], "n", rows.count())
+    rows = rows.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")).cast("int")).select("family", "range", "known", "block", "id", "component")
+    every = counts.select("family", "range", "known", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    near = every.select("family", F.explode(F.array(*(F.col("range") + k for k in (-1, 0, 1)))).alias("range"), F.struct("range", "known", "block").alias("with"))
+    near = near.groupBy("family", "range").agg(F.collect_list("with").alias("partners"))  # as many as the family has blocks
+    mine = F.struct("range", "known", "block")
+    meets = every.join(near, ["family", "range"]).select("family", "range", "known", "block", F.filter("partners", lambda p: ~(F.col("known") & p["known"])).alias("partners"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(meets, ["family", "range", "known", "block"]).select("family", "id", "component", mine.alias("own"), F.explode("partners").alias("with"))
+    task = F.concat_ws(":", F.col("family").cast("string"), F.to_json(F.least("own", "with")), F.to_json(F.greatest("own", "with")))
+    dealt = dealt.select(task.alias("task"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "component").join(texts, "id")
+    dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "side", "id")
+    return dealt.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent), PAIR)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            at = _places_of(batch.column(column).fill_null(-1).to_numpy())
-            yield batch.filter(pa.array((bits[at[0] >> 3] >> (at[0] & 7)) & (bits[at[1] >> 3] >> (at[1] & 7)) & 1 == 1))
 
-    return source.mapInArrow(keep, source.schema)
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One of the rows of a task that repeat the first two columns (id and text hash)."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        new = []
+        for k in keys:
+            new.append(k not in seen)
+            seen.add(k)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def _texts_of(source: DataFrame, heads: DataFrame) -> DataFrame:
+    """id, size, text of the classes in heads (id, size, head)."""
+    heads = heads.select("id", "size", F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th"))
+    likely, _ = KeyFilter(heads.select(F.xxhash64("doc_id", "th").alias("h")), "h").split(source.select("doc_id", "th", "text"), F.xxhash64("doc_id", "th"))
+    likely = likely.mapInArrow(_once, likely.schema).alias("s")
+    return likely.join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
+
+
+def _links(source: DataFrame, told: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """Edges (a, b) between classes that join all that links join; told: id, keys, margins of every class."""
+    found, texts = [], None
+    for fineness in (*FINENESS[1:], None):
+        pairs, edges = _candidates(told)
+        edges = materialise(edges, "near-edges")
+        families = connected_components(edges).withColumnRenamed("component", "family")
+        members = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+        families = materialise(lookup(families, members, "family", "members", families.count()), "near-families")
+        discard(edges)
+        if texts is None:
+            heads = materialise(classes.join(families.select("id"), "id").select("id", "size", "head"), "near-heads")
+            texts = materialise(_texts_of(source, heads), "near-texts")
+            discard(heads)
+        found.append(materialise(_family_links(texts, families, n, percent), "near-links"))
+        large = families.filter(F.col("members") > BLOCK)
+        if large.isEmpty():
+            break
+        pairs = materialise(pairs.join(large.select("id"), "id"), "near-pairs")
+        stars = materialise(_pair_links(texts, pairs, n, percent), "near-stars")
+        found.append(stars)
+        labels = connected_components(stars)
+        large = materialise(large.select("id", "family").join(labels, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "near-large")
+        sizes = large.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+        heads = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
+        heads = materialise(heads, "near-mains")
+        rest = materialise(lookup(large, heads, "family", "all", large.count()).filter("parts > 1"), "near-rest")
+        discard(pairs, large, heads)
+        if rest.isEmpty():
+            break
+        mine = texts.join(rest, "id")
+        if fineness is None:
+            found.append(materialise(_block_links(texts, materialise(mine.drop("text"), "near-left"), n, percent), "near-links"))
+            break
+        told = materialise(mine.select("id", "text").mapInArrow(_deal_again(n, percent, fineness), "id long, keys array<long>, margins array<int>"), "near-keys")
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    labels = connected_components(links)
+    discard(texts, *found)
+    return labels
+
+
+def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, head (doc_id and th of the row that stands for the component, null for an empty set); one row per input row."""
+    source = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    kind = "doc_id long, th long, n_shingles long, id long, check long, keys array<long>, margins array<int>"
+    described = _apart(materialise(source.mapInArrow(_describe(n, percent), kind), "near-keys"))
+    sets = materialise(described.select("doc_id", "th", "n_shingles", "id"), "near-sets")
+    head = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")
+    classes = materialise(sets.filter("n_shingles > 0").groupBy("id").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")), "near-classes")
+    labels = _links(source, described.filter("keys IS NOT NULL").select("id", "keys", "margins"), classes, n, percent)
+    discard(described)
+    linked = materialise(labels.join(classes, "id").select("id", "component", "head"), "near-linked")
+    smallest = materialise(linked.groupBy("component").agg(F.min("head").alias("first"), F.count(F.lit(1)).alias("members")), "near-first")
+    linked = lookup(linked.select("id", "component"), smallest, "component", "members", linked.count()).select("id", "first")
+    named = materialise(classes.join(linked, "id", "left").select("id", F.coalesce("first", "head").alias("head"), "copies"), "near-named")
+    return lookup(sets, named, "id", "copies", sets.count()).select("doc_id", "th", "n_shingles", "head")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row."""
-    spark = docs.sparkSession
-    source = id_text(docs, id_col, text_col)
-    described = materialise(source.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, id long, keys array<long>, margins array<int>"), "near-keys")
-    sets = materialise(described.select("doc_id", "n_shingles", "id"), "near-sets")
-    total = sets.count()
-    classes = materialise(sets.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    told = described.filter("keys IS NOT NULL")
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    exploded = told.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
-    met = materialise(exploded.mapInArrow(_meet, "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
-    likely, ties = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
-    likely, ties = materialise(likely, "near-likely"), materialise(ties, "near-ties")
-    discard(met)
-    discard(described)
-    stars = ties.groupBy("id").agg(F.min("centre").alias("centre"))
-    pairs = materialise(likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(stars).distinct(), "near-pairs")
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))).distinct()
-    heads = materialise(classes.join(wanted, "id").select("id", "head"), "near-heads")
-    near = _only(source, heads.select("head"), "doc_id").withColumnRenamed("doc_id", "head")
-    texts = materialise(near.join(heads, "head").select("id", "text").dropDuplicates(["id"]), "near-texts")
-    found = materialise(_pair_links(texts, pairs, n, percent), "near-links")
-    labels = connected_components(found)
-    if not ties.isEmpty():
-        families = materialise(connected_components(ties.select(F.col("id").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "family"), "near-families")
-        rest = materialise(_family_links(texts, families, labels, n, percent), "near-rest")
-        if not rest.isEmpty():
-            labels = connected_components(found.unionByName(rest))
-    discard(texts)
-    linked = materialise(labels.join(classes, "id").select("id", "component", "head"), "near-linked")
-    smallest = linked.groupBy("component").agg(F.min("head").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    linked = lookup(linked.select("id", "component"), smallest, "component", "members", linked.count(), "id").select("id", "component_id")
-    named = classes.join(linked, "id", "left").select("id", F.coalesce("component_id", "head").alias("component_id"), "copies")
-    out = lookup(sets, named, "id", "copies", total, "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = near_groups(docs, n, percent, id_col, text_col)
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, all columns, whose id is the smallest of its component."""
-    kept = near_duplicates(docs, n, percent, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    """The input rows, all columns, of each component's first row (see above) and of empty sets.
+
+    Texts that no dropped row has stay where they are; only the others are shuffled.
+    """
+    found = near_groups(docs, n, percent, id_col, text_col).filter("n_shingles > 0 AND NOT (doc_id <=> head.doc_id AND th = head.th)")
+    keys = [fresh(docs, k) for k in ("near_id", "near_lost", "near_text")]
+
+    def key(i, th) -> list:
+        return [F.coalesce(i, F.lit(0)).alias(keys[0]), i.isNull().alias(keys[1]), th.alias(keys[2])]
+
+    weight = fresh(docs, "near_rows")
+    gone = materialise(found.select(*key(F.col("doc_id"), F.col("th"))).groupBy(*keys).agg(F.count(F.lit(1)).alias(weight)), "near-gone")
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    some, others = KeyFilter(gone.select(keys[2]), keys[2]).split(docs, th)
+    some = some.select("*", *key(F.col(id_col).cast("long"), th))
+    total = int(gone.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0])
+    kept = lookup(some, gone, keys, weight, total).filter(F.col(weight).isNull())
+    return others.unionByName(kept.select(*docs.columns))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
