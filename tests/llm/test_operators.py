@@ -37,7 +37,7 @@ def test_unit_encoder_is_the_library(path, texts):
 
 
 def test_bpe_is_the_library(texts):
-    t, own = Tokenizer.from_file(WORD), bpe.WordTokenizer(WORD)
+    t, own = Tokenizer.from_file(WORD), bpe.WordTokenizer(WORD, bpe.word_pattern(WORD))
     many = ODD_TEXTS + list(texts.values())[:150]
     ids, counts = own.encode(pa.array(many, pa.string()))
     back = own.decode(ids, counts).to_pylist()
@@ -48,6 +48,28 @@ def test_bpe_is_the_library(texts):
         assert back[k] == t.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_every_code_point():
+    t, own = Tokenizer.from_file(WORD), bpe.WordTokenizer(WORD, bpe.word_pattern(WORD))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(2)
+    many = ["\n".join(f"a{c}b" for c in every[k : k + 4096]) for k in range(0, len(every), 4096)]
+    many += ["".join(rng.choice(every[:0x20000]) for _ in range(2000)) for _ in range(30)] + ["".join(rng.choice(every[0x300:0x1200]) for _ in range(2000)) for _ in range(30)]
+    ids, counts = own.encode(pa.array(many))
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    for k, e in enumerate(t.encode_batch_fast(many, add_special_tokens=False)):
+        assert ids[edges[k] : edges[k + 1]].tolist() == e.ids, k
+
+
+def test_bpe_query(spark, sf, texts):
+    t = Tokenizer.from_file(WORD)
+    rows = bpe.op3_bpe_round_trip(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        want = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), *want)
+
+
 def test_token_files(spark, sf, texts, tmp_path):
     t, before = Tokenizer.from_file(BYTE), 0
     rows = {r.doc_id: r for r in token_files.op1_token_files(spark, sf).collect()}

@@ -13,17 +13,25 @@ complete result is the one that merging by rank gives.
 
 Pre-tokenisation (special tokens, NFC, lower case, word pattern) is done per
 distinct word of ASCII-white-space-separated text, remembered by each worker up
-to a bound.  Decoding looks ids up in one byte string with an offset table, in
-numpy, joined as the library joins tokens without a decoder.
+to a bound.  Which characters are letters, numbers and white space differs
+between Unicode versions, so the driver asks the library's pre-tokeniser once
+about every code point, and words outside ASCII are put in normal form and
+lower case by the library's own normalisers.  Decoding looks ids up in one byte
+string with an offset table, in numpy, joined as the library joins tokens
+without a decoder.
 
 Row-local: no shuffle.  Defined results: null or empty text has no tokens and
-decodes to the empty text; ids outside the vocabulary decode to nothing.
+decodes to the empty text; ids outside the vocabulary decode to nothing; rows
+that repeat an id are each returned, also with a null id; an empty table gives
+an empty result; extra columns are not read; a very long text is encoded whole,
+with memory for its ids.
 """
 
 from __future__ import annotations
 
+import functools
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,9 +39,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tidewater.llm.common import id_text, table
 from tidewater.llm.encoding import gather, slices
@@ -43,6 +51,39 @@ PIECES = 400_000
 LONGEST = 48
 
 
+def _ranges(points: np.ndarray) -> str:
+    """Ascending code points as the inside of a character set."""
+    if not len(points):
+        return ""
+    cuts = np.flatnonzero(np.diff(points) > 1)
+    firsts, lasts = points[np.append(0, cuts + 1)], points[np.append(cuts, len(points) - 1)]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True))
+
+
+@functools.lru_cache
+def word_pattern(path: str) -> str:
+    """The file's word pattern with its character classes spelled out as the library has them."""
+    with open(path, encoding="utf-8") as f:
+        pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    letters, numbers, spaces = [], [], []
+    for at in range(0, len(every), 1 << 14):
+        some = every[at : at + (1 << 14)]
+        # a letter joins its neighbours, white space vanishes, a number stands alone, anything else joins itself
+        found = cut.pre_tokenize_str("".join(f"a{c}{c}b\n" for c in map(chr, some.tolist())))
+        ends = np.zeros(5 * len(some), np.int64)
+        starts = np.fromiter((x[1][0] for x in found), np.int64, len(found))
+        ends[starts] = np.fromiter((x[1][1] for x in found), np.int64, len(found))
+        ends = ends.reshape(-1, 5) - 5 * np.arange(len(some))[:, None]
+        letters.append(some[ends[:, 0] == 4])
+        numbers.append(some[(ends[:, 0] == 1) & (ends[:, 1] == 2)])
+        spaces.append(some[(ends[:, 0] == 1) & (ends[:, 1] <= 0)])
+    for name, points in ((r"\p{L}", letters), (r"\p{N}", numbers), (r"\s", spaces)):
+        pattern = pattern.replace(name, _ranges(np.concatenate(points)))
+    return pattern
+
+
 def byte_characters() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -159,7 +200,8 @@ class BacktrackingBpe:
 class WordTokenizer:
     """Encoder and decoder for a word-end BPE file, built from its vocabulary and merges alone."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
+        """pattern: word_pattern() of the same file."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, norm = spec["model"], spec["normalizer"]["normalizers"]
@@ -169,9 +211,10 @@ class WordTokenizer:
         self.suffix = model["end_of_word_suffix"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.bpe = BacktrackingBpe(model["vocab"], merges, self.suffix)
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = re.compile(pattern)
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(norm[1]["pattern"]["Regex"]), norm[1]["content"]), normalizers.Lowercase()]).normalize_str
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.special_cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.special_cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.symbols = byte_characters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -199,8 +242,7 @@ class WordTokenizer:
 
     def _plain(self, word: str) -> bytes:
         if not word.isascii():
-            word = unicodedata.normalize("NFC", word)
-            word = "".join(map(str.lower, word))
+            word = self.normal(word)
         else:
             word = word.lower()
             if word.isalpha():
@@ -250,11 +292,23 @@ class WordTokenizer:
         return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(body)]).cast(pa.string())
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str, pattern: str) -> WordTokenizer:
+    """This worker's tokenizer of that file; its automaton, table and caches carry over from task to task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path, pattern)
+    return _tokenizers[path]
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, decoded string."""
 
+    pattern = word_pattern(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WordTokenizer(tokenizer)
+        own = word_tokenizer(tokenizer, pattern)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 ids, counts = own.encode(texts)
