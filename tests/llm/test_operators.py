@@ -137,17 +137,32 @@ def test_bin_completion_against_brute_force():
         go(0, [])
         return best
 
-    for _ in range(40):
-        items = sorted((rng.randint(1, 20) for _ in range(9)), reverse=True)
+    known = [13, 15, 15, 16, 16, 20, 21, 22, 23, 26, 27, 43, 46, 47, 47]  # best fit takes 5 bins of 100
+    cases = [(known, 100)] + [([rng.randint(1, 20) for _ in range(9)], 20) for _ in range(40)]
+    while len(cases) < 160:  # only where best fit misses the bound
+        capacity = rng.choice([50, 100, 200, 1000])
+        counts = collections.Counter(rng.randint(capacity // 8, capacity // 2) for _ in range(rng.choice([12, 15])))
+        if sum(n for _, n in bin_completion.best_fit_decreasing(counts, capacity)) > bin_completion.lower_bound(counts, capacity):
+            cases.append((list(counts.elements()), capacity))
+    for items, capacity in cases:
         counts = collections.Counter(items)
-        plan = bin_completion.pack(dict(counts), 20)
+        found = bin_completion.pack(dict(counts), capacity)
         used = collections.Counter()
-        for filling, n in plan:
-            assert sum(s * k for s, k in filling) <= 20
+        for filling, n in found.plan:
+            assert sum(s * k for s, k in filling) <= capacity
             for s, k in filling:
                 used[s] += k * n
-        assert used == counts
-        assert sum(n for _, n in plan) == fewest(items, 20) >= bin_completion.lower_bound(dict(counts), 20)
+        assert used == counts and found.gap == 0
+        assert sum(n for _, n in found.plan) == found.bins == fewest(sorted(items, reverse=True), capacity) >= bin_completion.lower_bound(dict(counts), capacity)
+    assert bin_completion.pack(dict(collections.Counter(known)), 100).bins == 4
+
+
+def test_dominated_fillings():
+    left = {5: 2, 3: 1, 2: 2, 1: 1}
+    assert bin_completion.dominated((2, 1), 5, left) and bin_completion.dominated((3,), 5, left) and not bin_completion.dominated((5,), 5, left)
+    assert list(bin_completion.fillings({4: 1, 3: 1, 2: 1}, 6, 2)) == [(4, 2), None, None]  # (3, 2) and (4,) are dominated
+    got = {f for f in bin_completion.fillings({7: 1, 6: 1, 4: 1, 3: 1}, 9, 9) if f}
+    assert got == {(6, 3)}
 
 
 def brute_components(rows, n, percent):

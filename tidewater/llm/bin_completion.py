@@ -1,30 +1,52 @@
-"""Bin completion over a histogram of lengths: as few bins as can be found.
-
-A branch takes the largest length left and a filling for the rest of its bin:
-fillings are enumerated around it, kept if no other dominates them (items of
-one fit into items of the other), and tried fullest first.  A filling is used
-for as many bins at once as its lengths last, so a descent has at most one step
-for each length, whatever the number of documents.  A branch ends where bins so
-far plus the volume left reach the incumbent; the first incumbent is best-fit
-decreasing, later ones are better descents.  The search stops at the lower
-bound or after `nodes` steps.
+"""Bin completion over a histogram of lengths: branch and bound to as few bins as possible.
+
+A branch takes the largest length left and enumerates, lazily and fullest first,
+the undominated fillings of the rest of its bin.  A filling is dominated if some
+of its items can be exchanged for one larger item that is left and still fits
+(one item as large as several of them counts as larger).  Each filling is then
+used for as many bins as its lengths last, and on the way back for fewer, down
+to one; other fillings for the same largest length leave it out, so every
+solution but dominated ones is met once.
+
+Bounds: the waste that a better solution can have in all, (incumbent - 1) bins
+less the volume, limits the waste of each bin and with it the fillings that are
+enumerated at all; and bins so far plus the lower bound of what is left must
+stay below the incumbent.  The first incumbent is best-fit decreasing; better
+descents replace it.  The search ends with the lower bound reached, with nothing
+left to try (either way the result is proven), or after `nodes` steps, and then
+Packing.gap says by how much the result may be off.
+
+Sets of sums are held as bits of an integer, so what room a set of lengths can
+fill exactly, with their multiplicities, costs a few shifts for each length.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # ((length, copies) largest first, bins)
 
 
+@dataclass(frozen=True)
+class Packing:
+    plan: Plan
+    bins: int
+    gap: int  # bins above what is proven to be needed; 0: as few as possible
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """The larger of the volume bound and Martello and Toth's, over all their cuts."""
     sizes = np.array(sorted(counts), np.int64)
     if not len(sizes):
         return 0
-    n = np.array([counts[int(s)] for s in sizes], np.int64)
+    return _bound(sizes, np.array([counts[int(s)] for s in sizes], np.int64), capacity)
+
+
+def _bound(sizes: np.ndarray, n: np.ndarray, capacity: int) -> int:
     number, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
 
     def between(low, high) -> tuple[np.ndarray, np.ndarray]:
@@ -73,117 +95,152 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [(f, n) for group in bins.values() for f, n in group.items()]
 
 
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the items of b can be put into the items of a, each taken as a bin."""
-
-    def place(k: int, room: list[int]) -> bool:
-        if k == len(b):
+def _add(sums: int, size: int, copies: int, mask: int) -> int:
+    """The sums that up to `copies` more items of that size reach."""
+    part = 1
+    while copies > 0:
+        take = min(part, copies)
+        sums |= sums << size * take & mask
+        copies -= take
+        part *= 2
+    return sums
+
+
+def dominated(filling: tuple[int, ...], room: int, left: dict[int, int]) -> bool:
+    """Whether one larger item that is left (beside those of the filling) can take the place of some of its items."""
+    slack, own, spare = room - sum(filling), Counter(filling), 0
+    for size, n in left.items():
+        if n > own[size] and size <= room:
+            spare |= 1 << size
+    ones, several, wide = 0, 0, (1 << slack + 1) - 1  # for none: any that fits
+    for size in filling:
+        several |= (ones | several) << size
+        ones |= 1 << size
+        wide |= (1 << slack) - 1 << size + 1  # for one item: 1 to `slack` longer
+    reach = 1
+    while reach <= slack:  # for several: as long, or up to `slack` longer
+        step = min(reach, slack + 1 - reach)
+        several |= several << step
+        reach += step
+    return bool(spare & (wide | several))
+
+
+def fillings(left: dict[int, int], room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of `room` that waste at most `waste`, fullest first, each with its items largest first; None after each dominated one."""
+    sizes = [s for s in sorted(left, reverse=True) if left[s] > 0 and s <= room]
+    if room in left and left[room] > 0:
+        yield (room,)
+        return
+    mask = (1 << room + 1) - 1
+    reach = [1]
+    for s in reversed(sizes):
+        reach.append(_add(reach[-1], s, min(left[s], room // s), mask))
+    reach.reverse()  # reach[k]: sums of sizes[k:]
+
+    def exact(k: int, target: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield chosen
+            return
+        for j in range(k, len(sizes)):
+            if not reach[j] >> target & 1:
+                return
+            s = sizes[j]
+            for copies in range(min(left[s], target // s), 0, -1):
+                if reach[j + 1] >> target - copies * s & 1:
+                    yield from exact(j + 1, target - copies * s, chosen + (s,) * copies)
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if reach[0] >> total & 1:
+            for f in exact(0, total, ()):
+                yield None if dominated(f, room, left) else f
+
+
+class _Search:
+    def __init__(self, counts: dict[int, int], capacity: int, nodes: int):
+        self.left, self.capacity, self.nodes = dict(counts), capacity, nodes
+        self.sizes = np.array(sorted(counts), np.int64)
+        self.volume = sum(s * n for s, n in counts.items())
+        self.best = best_fit_decreasing(counts, capacity)
+        self.fewest, self.bound = sum(n for _, n in self.best), lower_bound(counts, capacity)
+
+    def spare(self, used: int, volume: int) -> int:
+        """The waste that a better solution has left."""
+        return (self.fewest - 1 - used) * self.capacity - volume
+
+    def run(self) -> bool:
+        """Whether the best plan is proven to be so."""
+        if self.fewest == self.bound:
             return True
-        for i, r in enumerate(room):
-            if r >= b[k]:
-                room[i] -= b[k]
-                if place(k + 1, room):
-                    return True
-                room[i] += b[k]
-        return False
-
-    return sum(a) >= sum(b) and place(0, list(a))
-
-
-def fillings(sizes: np.ndarray, counts: np.ndarray, room: int, most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` from the lengths that counts has, fullest first.
-
-    Pairs are enumerated with every length as the larger item; what room a pair
-    leaves takes the largest that fits, until nothing does.
-    """
-    have = sizes[counts[sizes] > 0]
-    have = have[have <= room]
-    if not len(have):
-        return [()]
-    one = int(have[-1])
-    if one == room:
-        return [(one,)]
-    firsts = have[::-1]
-    at = np.searchsorted(have, np.minimum(firsts, room - firsts), "right") - 1
-    seconds = np.where(at >= 0, have[np.maximum(at, 0)], 0)
-    same = (seconds == firsts) & (counts[firsts] < 2)
-    seconds = np.where(same & (at > 0), have[np.maximum(at - 1, 0)], np.where(same, 0, seconds))
-    totals = firsts + seconds
-    out = {(one,)}
-    smallest = int(have[0])
-    for k in np.argsort(-totals, kind="stable")[: 4 * most].tolist():
-        if totals[k] <= one and seconds[k]:
-            continue
-        f = [int(firsts[k])] + ([int(seconds[k])] if seconds[k] else [])
-        left = room - sum(f)
-        while left >= smallest:
-            p = int(np.searchsorted(have, left, "right")) - 1
-            while p >= 0 and f.count(int(have[p])) >= counts[have[p]]:
-                p -= 1
-            if p < 0:
-                break
-            f.append(int(have[p]))
-            left -= f[-1]
-        out.add(tuple(sorted(f, reverse=True)))
-    ranked = sorted(out, key=lambda f: (-sum(f), len(f), [-x for x in f]))[:most]
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if len(f) > 8 or not any(len(g) <= 8 and dominates(g, f) for g in kept):
-            kept.append(f)
-    return kept
-
-
-def pack(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> Plan:
+        left, capacity = self.left, self.capacity
+        used, volume, path = 0, self.volume, []
+        frames = []  # [largest length, its fillings, those left out, filling in use, bins of it]
+
+        def enter(out: frozenset) -> None:
+            top = max(s for s, n in left.items() if n)
+            left[top] -= 1
+            rest = {s: n for s, n in left.items() if n}
+            left[top] += 1
+            frames.append([top, fillings(rest, capacity - top, max(self.spare(used, volume), 0)), out, None, 0])
+
+        enter(frozenset())
+        while frames:
+            frame = frames[-1]
+            top, options, out, filling, bins = frame
+            if filling is not None:  # back from below: one bin less of it
+                items = Counter((top, *filling))
+                for s, k in items.items():
+                    left[s] += k * bins
+                volume += bins * sum(s * k for s, k in items.items())
+                used -= bins
+                path.pop()
+                frame[4] = bins = bins - 1
+                if not bins:
+                    frame[2] = out = out | {filling}
+                    frame[3] = filling = None
+            if filling is None:
+                self.nodes -= 1
+                if self.nodes < 0:
+                    return False
+                found = next(options, 0)
+                if found == 0:
+                    frames.pop()
+                    continue
+                if found is None or found in out:
+                    continue
+                filling = found
+                bins = min(left[s] // k for s, k in Counter((top, *filling)).items())
+            items = Counter((top, *filling))
+            waste = capacity - sum(s * k for s, k in items.items())
+            spare = self.spare(used, volume)
+            if waste > spare:  # what follows wastes as much or more
+                frame[3] = None
+                frames.pop()
+                continue
+            bins = min(bins, spare // waste) if waste else bins
+            frame[3], frame[4] = filling, bins
+            for s, k in items.items():
+                left[s] -= k * bins
+            volume -= bins * (capacity - waste)
+            used += bins
+            path.append((tuple(sorted(items.items(), reverse=True)), bins))
+            if not volume:
+                if used < self.fewest:
+                    self.best, self.fewest = list(path), used
+                    if used == self.bound:
+                        return True
+            elif used - (-volume // capacity) < self.fewest:
+                n = np.array([left[int(s)] for s in self.sizes], np.int64)
+                if used + _bound(self.sizes[n > 0], n[n > 0], capacity) < self.fewest:
+                    # a filling left out stays so as long as its largest length is the largest
+                    enter(frame[2] | {filling} if left[top] else frozenset())
+        return True
+
+
+def pack(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> Packing:
     """Fillings and their numbers of bins that use every length as often as counts says."""
     counts = {s: n for s, n in counts.items() if n > 0}
     if any(s > capacity or s <= 0 for s in counts):
         raise ValueError("lengths must be from 1 to the capacity")
-    best = best_fit_decreasing(counts, capacity)
-    fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    if fewest == bound:
-        return best
-    sizes = np.array(sorted(counts), np.int64)
-    left = np.zeros(capacity + 1, np.int64)
-    for s, n in counts.items():
-        left[s] = n
-    volume, used, path, spent = sum(s * n for s, n in counts.items()), 0, [], 0
-
-    def branch() -> list:
-        top = int(sizes[left[sizes] > 0][-1])
-        left[top] -= 1
-        found = [(top, *f) for f in fillings(sizes, left, capacity - top)]
-        left[top] += 1
-        return [found, 0, None]
-
-    frames = [branch()]
-    while frames and spent < nodes:
-        frame = frames[-1]
-        if frame[2] is not None:
-            items, n = frame[2]
-            for s, k in items:
-                left[s] += k * n
-                volume += s * k * n
-            used -= n
-            path.pop()
-            frame[2] = None
-        if frame[1] == len(frame[0]):
-            frames.pop()
-            continue
-        items = tuple(sorted(Counter(frame[0][frame[1]]).items(), reverse=True))
-        n = min(int(left[s]) // k for s, k in items)
-        frame[1] += 1
-        for s, k in items:
-            left[s] -= k * n
-            volume -= s * k * n
-        used += n
-        path.append((items, n))
-        frame[2] = (items, n)
-        spent += 1
-        if not volume:
-            if used < fewest:
-                best, fewest = list(path), used
-                if fewest == bound:
-                    break
-        elif used - (-volume // capacity) < fewest:
-            frames.append(branch())
-    return best
+    search = _Search(counts, capacity, nodes)
+    proven = search.run()
+    return Packing(search.best, search.fewest, 0 if proven else search.fewest - search.bound)

@@ -1,17 +1,22 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 1. One pass encodes the texts and cuts only longer ones into pieces of the
-   capacity; pieces go to the shared folder dealt out by (length, salt), each
-   with its rank among the equally long ones of its part.
-2. Packing needs the histogram of lengths alone.  The driver gathers the counts
-   of (part, length), at most capacity * SALTS rows and one a part, and
-   bin_completion gives fillings with their numbers of sequences.
-3. Pieces of one length fill the places for that length in order of rank, so
-   every piece finds its sequence and offset from its own row and two small
-   tables: no shuffle, no window over a length that a third of all rows share.
+   capacity.  Each task numbers its pieces of equal length as they come, so
+   pieces go to the shared folder without a shuffle, with their part and rank.
+2. Packing needs the histogram of lengths alone: at most `capacity` rows reach
+   the driver, and bin_completion gives fillings with their numbers of sequences.
+3. Counts of (part, length), summed over parts in a window, say where the ranks
+   of a part begin.  They join the pieces by (part, length), whose groups are no
+   larger than a task's input, so a length that a third of all rows share is
+   dealt out like any other; Spark broadcasts the counts where they are small.
+4. Pieces of one length fill the places for that length in order of rank, so
+   every piece finds its sequence and offset from its own row and the plan.
 
 Defined results: null or empty text is its end id alone (without one, no piece);
-rows that repeat an id are packed each; an empty table gives an empty result.
+rows that repeat an id, or have none, are packed each; an empty table gives an
+empty result; extra columns are not read; a very long text is encoded whole and
+becomes many pieces.  `gap` is by how many sequences the packing may exceed the
+fewest possible: 0 where it is proven to be minimal.
 """
 
 from __future__ import annotations
@@ -23,16 +28,15 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.bin_completion import Plan, pack
-from tidewater.llm.common import id_text, materialise, table
+from tidewater.llm.common import discard, id_text, materialise, table
 from tidewater.llm.encoding import SLICE_BYTES, encoder, slices
 from tidewater.llm.token_files import with_end
 
 CAPACITY = 2048
-SALTS = 32
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 NAMES = ["doc_id", "piece", "start", "length", "ids"]
 
@@ -41,6 +45,7 @@ def _cut(tokenizer: str, end_id: int | None, capacity: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         kind = np.dtype("<u2" if len(own.token_bytes) <= 1 << 16 else "<u4")
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for at, texts in slices(batch.column(1), slice_bytes):
                 ids, counts = with_end(*own.encode(texts), end_id)
@@ -51,23 +56,19 @@ def _cut(tokenizer: str, end_id: int | None, capacity: int, slice_bytes: int):
                 length = np.minimum(capacity, counts[doc] - start)
                 edges = np.concatenate([[0], np.cumsum(length)]) * kind.itemsize
                 raw = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), raw], NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), raw, pa.array(np.full(len(doc), part, np.int32)), pa.array(_ranks(length, seen))], [*NAMES, "part", "rank"])
 
     return run
 
 
-def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Part number and rank among the part's equal lengths; rows come sorted by length."""
-    part, length, seen = TaskContext.get().partitionId(), -1, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = batch.column(3).to_numpy()
-        new = np.append(sizes[0] != length, sizes[1:] != sizes[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(sizes)), -1))
-        rank = np.where(first >= 0, np.arange(len(sizes)) - first, np.arange(len(sizes)) + seen)
-        length, seen = sizes[-1], int(rank[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(rank, pa.int64())], [*NAMES, "part", "rank"])
+def _ranks(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The place of each among the equal ones so far; seen: how many of each were before, brought up to date."""
+    order = np.argsort(lengths, kind="stable")
+    found, first, counts = np.unique(lengths[order], return_index=True, return_counts=True)
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = np.arange(len(lengths)) - np.repeat(first, counts) + np.repeat(seen[found], counts)
+    seen[found] += counts
+    return out
 
 
 def places(plan: Plan) -> dict[str, np.ndarray]:
@@ -85,49 +86,35 @@ def places(plan: Plan) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "copies", "sequence", "offset"), columns, strict=True))
 
 
-def _place(bases: dict[str, np.ndarray], slots: dict[str, np.ndarray]):
+def _place(slots: dict[str, np.ndarray], gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_keys = bases["part"] * (1 << 32) + bases["length"]
-        slot_starts: dict[int, tuple[np.ndarray, int]] = {}
+        keys = slots["length"] * (1 << 48) + slots["first"]  # sorted; ranks stay below 2^48
         for batch in batches:
-            length, part, rank = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 5, 6))
-            rank = rank + bases["base"][np.searchsorted(base_keys, part * (1 << 32) + length)]
-            slot = np.zeros(len(length), np.int64)
-            for size in np.unique(length).tolist():
-                if size not in slot_starts:
-                    a, b = np.searchsorted(slots["length"], [size, size + 1])
-                    slot_starts[size] = (slots["first"][a:b], int(a))
-                firsts, a = slot_starts[size]
-                mine = length == size
-                slot[mine] = a + np.searchsorted(firsts, rank[mine], "right") - 1
+            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            slot = np.searchsorted(keys, length * (1 << 48) + rank, "right") - 1
             nth = rank - slots["first"][slot]
             sequence = slots["sequence"][slot] + nth // slots["copies"][slot]
             offset = slots["offset"][slot] + nth % slots["copies"][slot] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*NAMES, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), pa.array(np.full(len(rank), gap, np.int64))], [*NAMES, "sequence_id", "offset", "gap"])
 
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = CAPACITY, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian, 16 bits where the vocabulary allows, else 32), sequence_id, offset.
+    """doc_id, piece, start, length, ids (little-endian, 16 bits where the vocabulary allows, else 32), sequence_id, offset, gap.
 
     slice_bytes: text encoded at once; less takes less memory and more time.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = id_text(docs, id_col, text_col).mapInArrow(_cut(tokenizer, end_id, capacity, slice_bytes), PIECES)
-    dealt = cut.repartition(parts, "length", F.pmod(F.hash("doc_id", "piece"), F.when(F.col("length") == capacity, F.lit(parts)).otherwise(F.lit(SALTS)))).sortWithinPartitions("length", "doc_id", "piece")
-    pieces = materialise(dealt.mapInArrow(_rank, PIECES + ", part int, rank long"), "pieces")
-    # at most capacity * SALTS rows, and one a part for whole sequences
-    found = sorted(zip(*(c.to_pylist() for c in pieces.groupBy("part", "length").agg(F.max("rank").alias("n")).toArrow().columns), strict=True))
-    counts: dict[int, int] = {}
-    base = []
-    for _, size, last in found:
-        base.append(counts.get(size, 0))
-        counts[size] = counts.get(size, 0) + last + 1
-    part, length, _ = np.array(found, np.int64).reshape(-1, 3).T
-    bases = {"part": part, "length": length, "base": np.array(base, np.int64)}
-    return pieces.mapInArrow(_place(bases, places(pack(counts, capacity))), PIECES + ", sequence_id long, offset long")
+    cut = id_text(docs, id_col, text_col).mapInArrow(_cut(tokenizer, end_id, capacity, slice_bytes), PIECES + ", part int, rank long")
+    pieces = materialise(cut, "pieces")
+    counts = materialise(pieces.groupBy("part", "length").agg((F.max("rank") + 1).alias("n")), "piece-counts")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each part
+    bases = materialise(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")), "piece-bases")
+    lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).toArrow()  # at most `capacity` rows
+    packing = pack(dict(zip(lengths.column(0).to_pylist(), lengths.column(1).to_pylist(), strict=True)), capacity)
+    discard(counts)
+    ranked = pieces.join(bases, ["part", "length"]).select(*NAMES, (F.col("rank") + F.col("base")).alias("rank"))
+    return ranked.mapInArrow(_place(places(packing.plan), packing.gap), PIECES + ", sequence_id long, offset long, gap long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -140,12 +127,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         length = batch.column(3).to_pylist()
         crc = [zlib.crc32(np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4")) for x, n in zip(batch.column(4).to_pylist(), length, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64()), *batch.columns[5:]], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64()), *batch.columns[5:]], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap"])
 
 
 def with_crc(packed: DataFrame) -> DataFrame:
     """The pieces with the crc32 of their ids in place of the ids."""
-    return packed.mapInArrow(_digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return packed.mapInArrow(_digest, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, gap long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
