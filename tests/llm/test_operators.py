@@ -207,6 +207,7 @@ def mutated(seed=5):
 @pytest.mark.parametrize(("n", "percent", "block", "hot", "members"), [(2, 85, 512, 32, 1024), (5, 80, 8, 3, 4), (1, 60, 16, 4, 1024)])
 def test_near_duplicates(spark, monkeypatch, n, percent, block, hot, members):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "FEW", 1)
     monkeypatch.setattr(near_dup, "HOT", hot)
     monkeypatch.setattr(near_dup, "CENTRE_MEMBERS", members)
     rows = mutated()

@@ -23,11 +23,12 @@
 4. A family of up to BLOCK sets is one task: a signature tree over it, traversed
    against itself, finds its links.  In a larger one, ties are verified first, in
    salted groups around their centres; where that connects it (copies of one text
-   do), it is done.  The sets of those that still fall apart are dealt again by
-   finer segments (FINENESS; the last has about one for each shingle), so what only
-   a common passage tied is told apart.  What the finest leaves in one piece too
-   large for a task is cut into blocks by size, and signature trees of blocks whose
-   sizes may link are traversed against each other, skipping connected pairs.
+   do), it is done.  Where few sets (FEW blocks) stay outside the largest component,
+   the family is cut into blocks by size, and signature trees of blocks whose sizes
+   may link are traversed against each other, skipping pairs within that component.
+   The sets of other families are dealt again by finer segments (FINENESS; the last
+   has about one for each shingle), so what only a common passage tied is told
+   apart; what the finest leaves is cut into blocks all the same.
 5. Components spread back to classes and rows.
 
 Nothing of the size of the corpus reaches the driver.  Memory of a task is one
@@ -45,6 +46,7 @@ hash; rows that repeat both stay together), and every row without words.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +64,7 @@ FINENESS = (1.5, 3.0, 6.0)  # segments for each difference, in rounds
 SEEDS = 5
 HOT = 32
 BLOCK = 512
+FEW = 8
 CENTRE_MEMBERS = 1024
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -293,14 +296,35 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _join_blocks(n: int, percent: int):
-    """Rows of one task key after another (two blocks, or one with itself) to links between components."""
+def _join_blocks(n: int, percent: int, whole: bool):
+    """Rows of one task key after another (two blocks, or one with itself) to links between components.
+
+    whole: a task key has all that may link, so the components are final, and each
+    set of one is told with its smallest as (smallest, set), that one included.
+    """
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         ids = [r[2] for r in rows]
         sets = shingle_sets([r[4] or "" for r in rows], n)
         labels, sides = np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
-        return [(ids[x], ids[y]) for x, y in find_links(sets, labels, percent, None if sides.max() == 0 else sides)]
+        found = [(ids[x], ids[y]) for x, y in find_links(sets, labels, percent, None if sides.max() == 0 else sides)]
+        if not whole:
+            return found
+        root = {i: i for pair in found for i in pair}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in found:
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        return [(find(i), i) for i in root]
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows = None, []
@@ -312,10 +336,9 @@ def _join_blocks(n: int, percent: int):
                     rows = []
                 task = r[0]
                 rows.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            yield batch_of(found)
         if rows:
-            found = solve(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            yield batch_of(solve(rows))
 
     return run
 
@@ -371,11 +394,11 @@ def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
 
 
 def _family_links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
-    """The links that join what links join in families of up to BLOCK sets, one signature tree a family."""
+    """(a: smallest set of the component, b: set) of the linked sets in families of up to BLOCK sets, one signature tree a family."""
     rows = families.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "id", F.col("id").alias("component")).join(texts, "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "task").sortWithinPartitions("task", "id")
-    return rows.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent), PAIR)
+    return rows.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent, True), PAIR)
 
 
 def _block_links(texts: DataFrame, rest: DataFrame, n: int, percent: int) -> DataFrame:
@@ -400,7 +423,7 @@ def _block_links(texts: DataFrame, rest: DataFrame, n: int, percent: int) -> Dat
     task = F.concat_ws(":", F.col("family").cast("string"), F.to_json(F.least("own", "with")), F.to_json(F.greatest("own", "with")))
     dealt = dealt.select(task.alias("task"), (F.col("own") > F.col("with")).cast("int").alias("side"), "id", "component").join(texts, "id")
     dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "side", "id")
-    return dealt.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent), PAIR)
+    return dealt.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent, False), PAIR)
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,9 +448,13 @@ def _texts_of(source: DataFrame, heads: DataFrame) -> DataFrame:
     return likely.join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
 
 
-def _links(source: DataFrame, told: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Edges (a, b) between classes that join all that links join; told: id, keys, margins of every class."""
-    found, texts = [], None
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def _links(source: DataFrame, told: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, component of the linked classes; told: id, keys, margins of every class."""
+    solved, found, texts, labels = [], [], None, None
     for fineness in (*FINENESS[1:], None):
         pairs, edges = _candidates(told)
         edges = materialise(edges, "near-edges")
@@ -439,33 +466,35 @@ def _links(source: DataFrame, told: DataFrame, classes: DataFrame, n: int, perce
             heads = materialise(classes.join(families.select("id"), "id").select("id", "size", "head"), "near-heads")
             texts = materialise(_texts_of(source, heads), "near-texts")
             discard(heads)
-        found.append(materialise(_family_links(texts, families, n, percent), "near-links"))
+        small = materialise(_family_links(texts, families, n, percent), "near-small")
+        # of the first round they are final; later ones may belong to a family that is in pieces
+        (found if solved else solved).append(small)
         large = families.filter(F.col("members") > BLOCK)
         if large.isEmpty():
+            labels = None
             break
         pairs = materialise(pairs.join(large.select("id"), "id"), "near-pairs")
-        stars = materialise(_pair_links(texts, pairs, n, percent), "near-stars")
-        found.append(stars)
-        labels = connected_components(stars)
+        found.append(materialise(_pair_links(texts, pairs, n, percent), "near-stars"))
+        labels = connected_components(_all(found))
         large = materialise(large.select("id", "family").join(labels, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "near-large")
         sizes = large.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-        heads = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
+        heads = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
         heads = materialise(heads, "near-mains")
-        rest = materialise(lookup(large, heads, "family", "all", large.count()).filter("parts > 1"), "near-rest")
+        rest = lookup(large, heads, "family", "all", large.count()).filter("parts > 1").withColumn("few", (F.col("all") - F.col("inside") <= FEW * BLOCK) | F.lit(fineness is None))
+        rest = materialise(rest.join(texts.select("id", "size"), "id"), "near-rest")
         discard(pairs, large, heads)
-        if rest.isEmpty():
-            break
-        mine = texts.join(rest, "id")
-        if fineness is None:
-            found.append(materialise(_block_links(texts, materialise(mine.drop("text"), "near-left"), n, percent), "near-links"))
+        counts = {r["few"]: r["count"] for r in rest.groupBy("few").count().collect()}  # two rows
+        if counts.get(True):
+            found.append(materialise(_block_links(texts, rest.filter("few"), n, percent), "near-blocks"))
+            labels = None
+        if not counts.get(False):
             break
-        told = materialise(mine.select("id", "text").mapInArrow(_deal_again(n, percent, fineness), "id long, keys array<long>, margins array<int>"), "near-keys")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    labels = connected_components(links)
-    discard(texts, *found)
-    return labels
+        told = materialise(texts.join(rest.filter("NOT few").select("id"), "id").select("id", "text").mapInArrow(_deal_again(n, percent, fineness), "id long, keys array<long>, margins array<int>"), "near-keys")
+    if found and labels is None:
+        labels = connected_components(_all(found))
+    done = solved[0].select(F.col("b").alias("id"), F.col("a").alias("component"))
+    discard(texts)
+    return done if labels is None else done.unionByName(labels)
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
