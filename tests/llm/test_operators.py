@@ -259,16 +259,82 @@ def test_base_spans(spark):
         assert [(s.start, s.rank, s.end, s.kind) for s in r.s] == brute_spans(dict(rows)[r.doc_id])
 
 
+def brute_disclosing(rows):
+    """{doc_id: {(start, end, kind, term)}} of the method, pair by pair."""
+    terms = {i: {x.lower() for x in re.findall(r"[^\W\d_]+", t)} for i, t in rows}
+    entities = {i: {t[a:b] for a, _, b, _ in brute_spans(t)} for i, t in rows}
+    n, n_term, n_entity = len(rows), collections.Counter(x for ts in terms.values() for x in ts), collections.Counter(e for es in entities.values() for e in es)
+    both = collections.Counter((e, x) for i in terms for e in entities[i] for x in terms[i])
+    kinds = {}
+    for (e, x), seen in both.items():
+        ic = np.log(n / n_entity[e])
+        strength = np.log(seen * n / (n_term[x] * n_entity[e])) / ic if ic > 0 else 0
+        if seen >= pii.SUPPORT and strength >= pii.GENERALISE:
+            kinds[e, x] = "remove" if strength >= pii.REMOVE else "generalise"
+    out = {}
+    for i, t in rows:
+        base = brute_spans(t)
+        out[i] = set()
+        for m in re.finditer(r"[^\W\d_]+", t):
+            kind = max((kinds.get((e, m[0].lower()), "") for e in entities[i]), default="")
+            if kind and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                out[i].add((m.start(), m.end(), kind, m[0].lower()))
+    return out
+
+
 def test_disclosing_terms(spark):
-    rows = [(k, f"call Zaphodius at z{k % 2}@mail.example about the common matter {k}") for k in range(8)] + [(20 + k, f"the common matter of day {k} about nothing") for k in range(40)]
-    rows += [(100, "Zaphodius wrote a book")]
+    rng, words = random.Random(7), [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    names = ["Zaphodius", "Lee", "王", "Ann"]
+    rows = []
+    for k in range(160):
+        text = rng.choices(words, k=rng.randint(5, 40))
+        if k % 4 == 0:
+            who = k // 4 % 4
+            text[rng.randrange(len(text))] = f"z{who}@mail.example"
+            text.insert(rng.randrange(len(text)), names[who])
+            if k % 3 == 0:
+                text += ["far"] * 30 + [names[who].upper(), "10.0.0.1"]
+        rows.append((k, " ".join(text)))
+    rows += [(200 + k, f"Lee wrote chapter {k}") for k in range(3)] + [(300, ""), (301, "Ann's z3@mail.example Ann@z3 ann")]
+    want = brute_disclosing(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r for r in pii.find_personal(d).collect()}
-    terms = {s.value for k in range(8) for s in found[k].terms}
-    assert "common" not in terms and "about" not in terms
-    assert not found[20].terms and not found[100].terms
+    assert {i: {(s.start, s.end, s.kind, s.value) for s in r.terms} for i, r in found.items()} == want
+    told = {x for s in want.values() for *_, x in s}
+    assert {"zaphodius", "王"} <= told and not want[200]
     new = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
-    assert all("[EMAIL]" in new[k] and "@" not in new[k] for k in range(8)) and new[25] == dict(rows)[25]
+    for i, t in rows:
+        got = new[i]
+        assert "@mail" not in got and (want[i] or brute_spans(t) or got == t)
+        assert not any(k == "remove" and re.search(rf"(?i)(?<!\w){x}(?!\w)", got) for *_, k, x in want[i])
+
+
+def test_rewrite_merges_overlaps(spark):
+    text = "x a@b.c1.2.3.4 +49 301 234 5678 y"
+    out = spark.createDataFrame([(1, text)], "doc_id long, text string").select(pii.rewrite(F.col("text"), pii.base_spans(F.col("text"))).alias("t")).first().t
+    assert out == "x [EMAIL] [PHONE] y"
+
+
+def test_hot_keys_stay_out_of_the_shuffle(spark):
+    """With a third of all rows on one key, no partition of lookup's result holds them."""
+    from tidewater.llm.common import lookup
+
+    rows = spark.range(0, 90_000, 1, 12).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    with_conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in with_conf}
+    try:
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        told = lookup(rows, groups, "k", "n", 90_000)
+        sizes = [r["count"] for r in told.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 90_000 and max(sizes) < 12_000
+        assert told.filter("k = -1 AND last = 89997").count() == 30_000
+        inner = lookup(rows, groups.filter("k < 10"), "k", "n", 90_000, "inner")
+        assert {r.k for r in inner.select("k").distinct().collect()} == {-1, *range(10)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_spans_add_up(spark, sf, texts):

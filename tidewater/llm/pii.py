@@ -6,35 +6,43 @@ code points.  The patterns are written so that a run of characters is tried
 once: an attempt starts at the beginning of a run or where the last match
 ended, and quantifiers give nothing back.
 
-The method adds terms that disclose a protected entity (a value of a base span):
-a term that the corpus shows beside the entity in at least SUPPORT documents,
-with strength = PMI(term, entity) / IC(entity)
-             = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)),
+The method adds terms (runs of letters, in lower case) that disclose a protected
+entity (a value of a base span): a term that stands in at least SUPPORT of the
+documents with the entity, with
+strength = PMI(term, entity) / IC(entity)
+         = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)),
 which is 1 when the term occurs only with the entity.  n counts documents of
-the whole corpus: n(t,e) those with t within WINDOW code points of e, n(e) those
-with e, n(t) those with t anywhere.  From REMOVE on, the term is removed; from
-GENERALISE on, replaced by a general word; either way only where it stands
-beside that entity, so documents without personal data stay as they are.
-
-Plan: one pass finds base spans (row-local); rows with spans, few, are written
-and give the terms; words of all texts are counted (combined before
-the shuffle), then joined with the candidate terms that SUPPORT leaves.  Decisions return to rows by a
-join that broadcasts the terms of hot entities (at most 1000 by arithmetic).
+the whole corpus, wherever in them the term stands.  From REMOVE on, the term is
+removed; from GENERALISE on, replaced by a general word; either way everywhere in
+the documents with that entity, so documents without personal data stay as
+they are.
+
+Plan: one pass finds base spans (row-local) and writes them; rows with spans,
+few, are reduced to one a (id, text) with its number of copies.  Entities in
+SUPPORT documents or more give (row, entity, term) with each term of their
+documents, counted with partial sums before the shuffle.  Terms that reach SUPPORT
+are counted over all texts, combined before the shuffle.  Decisions return to
+rows by joins that broadcast the pairs of more than 1/1000 of the rows joined (at
+most 1000 by arithmetic) and shuffle the others.  Places of terms are running sums
+over a document's runs of letters and others, for documents with a decision only.
 DataFrame expressions only.
 
-Defined results: null text counts as empty; spans that overlap across kinds are
-all reported, and in rewriting the first of them wins; rows repeated with one
-id are each handled, by id and text.
+Defined results: null text counts as empty and has no spans; spans that overlap
+across kinds are all reported, and in rewriting an overlapping run becomes the
+mark of its first span; terms inside base spans are left to them; rows repeated
+with one id are each handled, by id and text, and count as documents of their
+own, as do rows without an id; an empty table gives an empty result; extra
+columns are not read (sanitise returns them as they are); of a very long text
+one task holds the spans and runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import id_text, materialise, table
+from tidewater.llm.common import discard, fresh, id_text, lookup, materialise, table
 
-WINDOW = 40
 SUPPORT = 3
 REMOVE = 0.98
 GENERALISE = 0.9
@@ -46,25 +54,46 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-TERM = r"\p{L}{4,}"
+FEW_TERMS = 1_000_000  # candidate terms that are broadcast to spare other words the count
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "", "generalise": "[TERM]"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 NONE = f"array<{SPAN}>"
 
 
+CHUNK = 256
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def find(text: Column, pattern: str, kind: str, rank: int) -> Column:
     """array<span> of the leftmost non-overlapping matches."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zero = F.struct(F.lit(0).alias("at"), F.lit([]).cast(NONE).alias("out"))
 
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span(start, end, x["value"]))).alias("out"))
 
-    return F.aggregate(F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull()), zero, step, lambda acc: acc["out"])
+    # running lengths within chunks and over chunks, as an accumulator is copied at every step
+    def chunks(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pairs) / CHUNK).cast("int") - 1, F.lit(0)))
+        return F.transform(numbers, lambda c: F.aggregate(F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)), zero, step))
+
+    def joined(parts: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        offsets = F.aggregate(parts, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, offsets, lambda x, o: F.transform(x["out"], lambda s: span(s["start"] + o, s["end"] + o, s["value"]))))
+
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull())
+    return _let(_let(pairs, chunks), joined)
 
 
 def _digits(value: Column) -> Column:
@@ -91,88 +120,119 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(email, some, cards, phones))
 
 
-def _beside(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: whole terms within WINDOW of each span, outside all spans."""
+def _row(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart even where they share an id."""
+    return F.concat_ws(":", doc_id.cast("string"), F.hex(F.xxhash64(text)))
 
-    def near(s: Column) -> Column:
-        low = F.greatest(s["start"] - WINDOW, F.lit(0))
-        left, right = F.substring(text, low + 1, s["start"] - low), F.substring(text, s["end"] + 1, F.lit(WINDOW))
-        # a term cut by the window's edge is left out
-        terms = F.filter(find(left, TERM, "term", 4), lambda t: (t["start"] > 0) | (low == 0))
-        terms = F.transform(terms, lambda t: F.struct((t["start"] + low).alias("start"), (t["end"] + low).alias("end"), t["value"].alias("value")))
-        after = F.filter(find(right, TERM, "term", 4), lambda t: (t["end"] < WINDOW))
-        after = F.transform(after, lambda t: F.struct((t["start"] + s["end"]).alias("start"), (t["end"] + s["end"]).alias("end"), t["value"].alias("value")))
-        return F.transform(F.concat(terms, after), lambda t: F.struct(s["value"].alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
 
-    return F.filter(F.flatten(F.transform(spans, near)), lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+def _terms(text: Column) -> Column:
+    """The distinct runs of letters, each put in lower case by itself."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}]+", "\n")), "\n")), "")
 
 
 def term_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n: documents of all texts with each of the terms."""
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    # a term and its letters on both sides make one run of letters, so splitting at others finds it;
-    # words are counted before the join, so it never has more rows than there are terms; an inner join
+    """term, n: documents of all texts with each of the terms (a table)."""
+    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if terms.count() <= FEW_TERMS:
+        words = words.join(F.broadcast(terms), "term", "left_semi")
+        return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # words are counted before the join, so it never has more rows than there are words; an inner join
     # (terms are distinct) because the optimizer would move a semi join below the count
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
 
 
-def disclosures(texts: DataFrame, rows: DataFrame, total: int) -> DataFrame:
-    """entity, term, seen, kind (remove or generalise) for the pairs above the thresholds."""
-    pairs = rows.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    seen = materialise(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= SUPPORT), "pii-pairs")
-    entities = rows.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    terms = materialise(term_frequencies(texts, seen.select("term").distinct()), "pii-terms")
+def disclosures(texts: DataFrame, here: DataFrame, total: int) -> DataFrame:
+    """entity, term, weight (rows of here), kind (remove or generalise) for the pairs above the thresholds.
+
+    here: row, copies, entity, of_entity, term.
+    """
+    seen = here.groupBy("entity", "term").agg(F.sum("copies").alias("seen"), F.count(F.lit(1)).alias("weight"), F.max("of_entity").alias("of_entity"))
+    seen = materialise(seen.filter(F.col("seen") >= SUPPORT), "pii-pairs")
+    wanted = materialise(seen.select("term").distinct(), "pii-wanted")
+    terms = materialise(term_frequencies(texts, wanted), "pii-terms")
     ic = F.log(F.lit(float(total)) / F.col("of_entity"))
     pmi = F.log(F.col("seen") * F.lit(float(total)) / (F.col("n").cast("double") * F.col("of_entity")))
     strength = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
-    scored = seen.join(entities, "entity").join(terms, "term").withColumn("strength", strength).filter(F.col("strength") >= GENERALISE)
-    return scored.select("entity", "term", "seen", F.when(F.col("strength") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"))
-
-
-def _row(doc_id: Column, text: Column) -> Column:
-    """Tells rows apart even where they share an id."""
-    return F.concat_ws(":", doc_id.cast("string"), F.hex(F.xxhash64(text)))
+    pairs = seen.groupBy("term").agg(F.count(F.lit(1)).alias("entities"))
+    counted = materialise(terms.join(pairs, "term"), "pii-counted")
+    scored = lookup(seen, counted, "term", "entities", seen.count(), "inner").withColumn("strength", strength).filter(F.col("strength") >= GENERALISE)
+    told = materialise(scored.select("entity", "term", "weight", F.when(F.col("strength") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind")), "pii-told")
+    discard(seen, wanted, terms, counted)
+    return told
+
+
+def disclosing_terms(some: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """row, copies, terms (array<span>) of the rows with disclosing terms.
+
+    some: row, text, spans of the documents with base spans; texts: text of all
+    documents, total of them.
+    """
+    some = materialise(some.groupBy("row").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies")), "pii-some")
+    held = materialise(some.select("row", "copies", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")), "pii-held")
+    often = held.groupBy("entity").agg(F.sum("copies").alias("of_entity"), F.count(F.lit(1)).alias("rows")).filter(F.col("of_entity") >= SUPPORT)
+    known = materialise(often, "pii-entities")
+    often = lookup(held, known, "entity", "rows", held.count(), "inner").select("row", "entity", "of_entity")
+    often = materialise(often, "pii-often")
+    words = some.join(often.select("row").distinct(), "row").select("row", "copies", F.explode(_terms(F.col("text"))).alias("term"))
+    here = materialise(words.join(often, "row"), "pii-here")
+    told = disclosures(texts, here, total)
+    decided = lookup(here.select("row", "entity", "term"), told, ["entity", "term"], "weight", here.count(), "inner")
+    decided = materialise(decided.groupBy("row", "term").agg(F.max("kind").alias("kind")), "pii-decided")  # removal wins
+    rows = some.join(decided.select("row").distinct(), "row")
+    cut = r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})"
+    runs = rows.select("row", "copies", "spans", F.posexplode(F.split("text", cut, -1)).alias("at", "run"))
+    end = F.sum(F.length("run")).over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    runs = runs.select("row", "copies", "spans", F.lower("run").alias("term"), (end - F.length("run")).alias("start"), end.alias("end"))
+    outside = ~F.exists("spans", lambda s: (F.col("start") < s["end"]) & (s["start"] < F.col("end")))
+    found = runs.join(decided, ["row", "term"]).filter(outside)
+    span = F.struct("start", F.lit(4).alias("rank"), "end", "kind", F.col("term").alias("value"))
+    terms = materialise(found.groupBy("row").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(span)).alias("terms")), "pii-spans")
+    discard(held, often, here, told, decided, some)
+    return terms
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (of id and text), base array<span>, terms array<span>; one row per input row."""
     texts = id_text(docs, id_col, text_col)
-    total = docs.count()
-    found = texts.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), "text", base_spans(F.col("text")).alias("spans"))
-    near = F.when(F.size("spans") > 0, _beside(F.col("text"), F.col("spans"))).otherwise(F.lit([]).cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    rows = materialise(found.select("doc_id", "row", "spans", near.alias("near")), "pii-rows")
+    found = texts.select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), base_spans(F.col("text")).alias("spans"), "text")
+    rows = materialise(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "pii-rows")
     some = rows.filter(F.size("spans") > 0)
-    told = materialise(disclosures(texts, some, total), "pii-told")
-    here = some.select("row", F.explode("near").alias("t")).select("row", "t.*").distinct()
-    hot_size = total // 1000 + 1
-    hot = told.filter(F.col("seen") >= hot_size).drop("seen")
-    cold = told.filter(F.col("seen") < hot_size).drop("seen")
-    # pairs in more than 1/1000 of the documents: each document gives at most a few pairs for each of its spans
-    marked = here.join(F.broadcast(hot), ["entity", "term"]).unionByName(here.join(hot, ["entity", "term"], "left_anti").join(cold, ["entity", "term"]))
-    span = F.struct("start", F.lit(4).alias("rank"), "end", "kind", F.col("term").alias("value"))
-    terms = marked.groupBy("row").agg(F.array_sort(F.array_distinct(F.collect_list(span))).alias("terms"))
-    return rows.join(terms, "row", "left").select("doc_id", "row", F.col("spans").alias("base"), F.coalesce("terms", F.lit([]).cast(NONE)).alias("terms"))
+    terms = disclosing_terms(some, texts.select("text"), rows.count())
+    told = lookup(some.drop("text"), terms, "row", "copies", some.count())
+    none = rows.filter(F.size("spans") <= 0).select("doc_id", "row", "spans", F.lit(None).cast(NONE).alias("terms"))
+    told = told.select("doc_id", "row", "spans", "terms").unionByName(none)
+    return told.select("doc_id", "row", F.col("spans").alias("base"), F.coalesce("terms", F.lit([]).cast(NONE)).alias("terms"))
 
 
 def rewrite(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its mark; of overlapping spans the first wins."""
+    """The text with each run of overlapping spans replaced by the mark of its first."""
     mark = F.create_map(*(F.lit(x) for kv in MARKS.items() for x in kv))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        text_to = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.try_element_at(mark, s["kind"]))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), text_to.alias("out")))
+        more = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.try_element_at(mark, s["kind"]))
+        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], longer).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], more).alias("out")))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, all columns, with personal data and disclosing terms replaced in the text."""
-    spans = find_personal(docs, id_col, text_col).select(F.col("row").alias("__row"), F.array_sort(F.concat("base", "terms")).alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__row"])
-    keyed = docs.withColumn("__row", _row(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(spans, "__row", "left")
-    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(rewrite(F.coalesce(F.col(text_col), F.lit("")), F.col("__spans")))
-    return joined.withColumn(text_col, new).select(*docs.columns)
+    """The input rows, all columns, with personal data and disclosing terms replaced in the text.
+
+    Texts without base spans stay where they are; only the others are shuffled.
+    """
+    row, spans, copies, terms = (fresh(docs, f"pii_{k}") for k in ("row", "spans", "copies", "terms"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = materialise(docs.select("*", base_spans(text).alias(spans)), "pii-marked")
+    clean = marked.filter(F.size(spans) <= 0).select(*docs.columns)
+    some = marked.filter(F.size(spans) > 0).withColumn(row, _row(F.col(id_col).cast("long"), text))
+    found = disclosing_terms(some.select(F.col(row).alias("row"), text.alias("text"), F.col(spans).alias("spans")), marked.select(text.alias("text")), marked.count())
+    found = found.select(F.col("row").alias(row), F.col("copies").alias(copies), F.col("terms").alias(terms))
+    told = lookup(some, found, row, copies, some.count())
+    every = F.array_sort(F.concat(spans, F.coalesce(terms, F.lit([]).cast(NONE))))
+    told = told.withColumn(spans, every)
+    return told.withColumn(text_col, rewrite(F.col(text_col), F.col(spans))).select(*docs.columns).unionByName(clean)
 
 
 def _listed(spans: Column) -> Column:
