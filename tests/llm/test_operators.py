@@ -427,13 +427,52 @@ def test_odd_inputs(spark, odd, none, tmp_path, name, which):
         assert len(rows) == n
 
 
-def test_url_rules(spark):
-    urls = ["https://a.example.com/en/7?x", "http://example.com/en/8", "http://EXAMPLE.net/de/81#t", "https://x.net/de/", "http://notexample.org/es/", "no scheme com/en/", None, "", "http://cheap-pills.io/", "http://cheap-pillsx.io/", "https://com/en/"]
-    rows = {r.page_id: r for r in url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
-    assert [rows[k].rule for k in range(len(urls))] == ["example.com/en/7", "com/en/", "example.net/de/8", "net/de/", "org/es/", None, None, None, None, None, "com/en/"]
-    assert [rows[k].verdict for k in range(len(urls))] == ["allow", "block", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "block"]
-    assert url_filters.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
-    assert url_filters.judge_urls(spark.createDataFrame([(1, "http://com/en/")], "page_id long, url string"), rules=()).collect()[0].verdict == "allow"
+@pytest.mark.parametrize("inline", [url_filters.INLINE, 0])
+def test_url_rules(spark, inline):
+    urls = ["https://a.example.com/en/7?x", "http://example.com/en/8", "http://EXAMPLE.net/de/81#t", "https://x.net/de/", "http://notexample.org/es/", "no scheme com/en/", None, "", "http://cheap-pills.io/", "http://cheap-pillsx.io/", "https://com/en/", "http://a.b/pills-9/discount", "http://a.b/" + "x/" * 50_000 + "free-bets", "https://com/en/"]
+    d = spark.createDataFrame([(k, u, "a", 1) for k, u in enumerate(urls)], "page_id long, url string, rule string, token int")
+    rows = {r.page_id: r for r in url_filters.judge_urls(d, inline=inline).collect()}
+    assert [rows[k].rule for k in range(len(urls))] == ["example.com/en/7", "com/en/", "example.net/de/8", "net/de/", "org/es/", None, None, None, None, None, "com/en/", None, None, "com/en/"]
+    assert [rows[k].verdict for k in range(len(urls))] == ["allow", "block", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "block", "block", "block", "block"]
+    assert rows[0].host == "a.example.com" and rows[0].path == "/en/7" and (rows[5].host, rows[6].path) == ("", "")
+    assert url_filters.judge_urls(d.limit(0), inline=inline).count() == 0
+    twice = d.unionByName(d).filter("page_id IN (0, 10)")
+    assert sorted(r.verdict for r in url_filters.judge_urls(twice, inline=inline).collect()) == ["allow", "allow", "block", "block"]
+    one = spark.createDataFrame([(1, "http://com/en/")], "page_id long, url string")
+    assert url_filters.judge_urls(one, rules=(), inline=inline).collect()[0].verdict == "allow"
+    ties = (("com/e", "allow", True), ("com/e", "block", True), ("m/en/", "block", True), ("*", "block", False))
+    got = url_filters.judge_urls(one, rules=ties, inline=inline).collect()[0]
+    assert (got.rule, got.verdict, got.pattern) == ("com/e", "block", "*")
+
+
+def brute_notices(text, templates, least=0.8):
+    words = re.findall(licenses.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    best = {}
+    for label, names, t in templates:
+        every = licenses.all_words(t)
+        ws = set(every)
+        for k in range(len(words)):
+            block = set(words[k : k + licenses.width_of(len(every), least)])
+            if len(ws & block) >= licenses.needed(len(ws), least) and set(names) & ws <= block:
+                best[label] = max(best.get(label, 0), len(ws & block) / len(ws))
+    return sorted(best.items())
+
+
+def test_licenses_against_brute_force(spark):
+    rng, rows = random.Random(9), []
+    for _ in range(150):
+        label, _, t = rng.choice(licenses.TEMPLATES)
+        words = t.split()
+        for _ in range(rng.randint(0, len(words) // 4 + 1)):  # around the threshold
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([[], ["word"], [words[k], "x"], [words[k].lower() + "\n//"]])
+        rows.append((len(rows), " ".join(["the of license"] * rng.randint(0, 3) + words + ["and to this"] * rng.randint(0, 3))))
+    rows += [(len(rows), rows[3][1] + "\n" + rows[4][1]), (None, rows[3][1]), (None, rows[3][1]), (500, None), (501, "")]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id or -1, [(x.label, x.containment) for x in r.notices]) for r in found), key=str)
+    assert got == sorted(((i or -1, brute_notices(t or "", licenses.TEMPLATES)) for i, t in rows), key=str)
+    assert 20 < sum(bool(x) for _, x in got) < 150
+    assert not any(r.notices for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=()).collect())
 
 
 def test_license_method_finds_more(spark):

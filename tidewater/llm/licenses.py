@@ -1,27 +1,32 @@
 """License scan: exact set-similarity join of text blocks with notice templates.
 
 A block of a template is a window of as many consecutive words as its length
-filter allows (its words / LEAST), whatever line breaks stand in it, so wrapped
-notices are whole in one; or a line that is no longer than the longest
-template's window (a longer line is its windows only).  Its set and a
-template's set are their distinct words.  A template is found where at least
-LEAST of its words are in a block, the words that name its license (NAMES) among
-them: "released under the ... license" of another license isn't it.  Words of
-the templates are ordered by how many documents of the whole corpus have them,
-rarest first, so that
+filter allows (its words / least), whatever line breaks stand in it, so wrapped
+notices are whole in one.  Its set and a template's set are their distinct
+words.  A template is found where at least `least` of its words are in a block,
+the words that name its license among them: "released under the ... license" of
+another license isn't it.  Words of the templates are ordered by how many
+documents of the whole corpus have them, rarest first, so that
 - prefix filter: a block that reaches `need` words of a template has one of its
-  size - need + 1 rarest, so only windows around such a word are looked at;
-- length filter: a block with fewer than `need` words of any template can't;
-- positional filter: from the first shared word on, neither side may have too
-  few words left.
-What passes is verified exactly, so the filters change the cost and not the
-result.  Plain phrases are found beside it, word by word.
-
-DataFrame expressions only, row-local but for the count, which gathers one row
-for each template word.  Documents without any prefix word skip the join.
+  size - need + 1 rarest.  Templates are filed under those, and only places of
+  such a word meet the templates filed under it, as the rarest word they share;
+- length filter: around the place there must be `need` words of any template;
+- positional filter: as many of the template's words from that one on must be
+  in reach of it.
+What passes is verified window by window, so the filters change the cost and not
+the result.  Plain phrases are found beside it, word by word.
+
+The templates are a table of any length (label, names, text); the index made of
+it is joined by word, and Spark broadcasts it where it is small.  DataFrame
+expressions only: one pass counts the template words' documents (one row for each
+reaches the driver), one finds phrases and places and is written; places, few,
+are joined and verified; their labels return by a join on (id, text).
 
 Defined results: null or empty text has no words, no labels and score 0; score
-is 1 where a phrase stands, else the best containment that reaches LEAST, else 0.
+is 1 where a phrase stands, else the best containment that reaches `least`, else
+0; rows that repeat an id, or have none, are each handled, by id and text; an
+empty table of documents or templates gives no labels; extra columns are not
+read; of a very long text one task holds the words.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import id_text, table
+from tidewater.llm.common import id_text, lookup, materialise, table
 from tidewater.llm.url_filters import LOWER, UPPER
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,24 +45,45 @@ LEAST = 0.8
 
 # Phrases and their labels
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Opening words of public license notices
+# Public license notices as (label, words that tell it from others with the same wording, text)
 TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mit", ("mit",), "Released under the MIT License"),
+    ("mit", (), "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", (), "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("isc", (), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache", ("apache",), "Licensed under the Apache License, Version 2.0"),
+    ("apache", ("apache",), "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("gpl", ("general",), "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", ("general",), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("lgpl", ("lesser", "general"), "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", ("affero", "general"), "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("bsd", (), "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", (), "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", (), "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mpl", ("mozilla",), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("epl", ("eclipse",), "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("boost", ("boost",), "Distributed under the Boost Software License, Version 1.0"),
+    ("zlib", (), "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", (), "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("cc0", ("public", "domain"), "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work and dedicated it to the public domain"),
+    ("cc-by", ("attribution",), "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc", ("nc",), "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nc", ("noncommercial",), "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa", ("sharealike",), "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
 )
-# Words that tell a license from others with the same wording; templates that hold them are found with them only
-NAMES = {"mit": ("mit",), "apache": ("apache",), "gpl": ("general",), "cc-by-nc": ("nc",), "cc-by-sa": ("sharealike",), "mpl": ("mozilla",)}
 
 
-def template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall("[a-z0-9]+", text.lower())))
+def all_words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def needed(words: int, least: float) -> int:
+    return math.ceil(least * words - 1e-9)
+
+
+def width_of(words: int, least: float) -> int:
+    """Consecutive words of a block."""
+    return math.floor(words / least + 1e-9)
 
 
 def words_of(text: Column) -> Column:
@@ -91,71 +117,79 @@ def phrase_places(words: Column) -> Column:
     return F.concat(*places)
 
 
+INDEX = "word string, label string, ws array<string>, total int, need int, names array<string>, width int"
+NOTICES = "array<struct<label:string,containment:double>>"
+
+
+def prefix_index(templates, counts: dict[str, int], least: float) -> tuple[list[tuple], int]:
+    """(rows of INDEX: each template under each of its prefix words, with its words from there on; fewest words that any template needs)."""
+    out, fewest = [], 1 << 30
+    for label, names, text in templates:
+        every = all_words(text)
+        ws = sorted(set(every), key=lambda w: (counts.get(w, 0), w))
+        need = needed(len(ws), least)
+        fewest = min(fewest, need)
+        for at in range(len(ws) - need + 1):
+            width = width_of(len(every), least)
+            out.append((ws[at], label, ws[at:], len(ws), need, [w for w in names if w in ws], width))
+    return out, fewest
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, places (start, label of phrases), notices (label, containment of template finds)."""
+    spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col).select("doc_id", F.translate("text", UPPER, LOWER).alias("low"))
-    sets = [(label, template_words(t)) for label, t in templates]
-    wanted = sorted({w for _, ws in sets for w in ws})
-    counts = word_counts(texts, wanted)
-    order = sorted(wanted, key=lambda w: (counts.get(w, 0), w))
-    rank = {w: k for k, w in enumerate(order)}
-    known = []
-    for label, ws in sets:
-        ws = sorted(ws, key=rank.__getitem__)
-        need = math.ceil(least * len(ws) - 1e-9)
-        names = [w for w in NAMES.get(label, ()) if w in ws]
-        known.append((label, ws, need, ws[: len(ws) - need + 1], names, math.floor(len(ws) / least + 1e-9)))
-    prefixes = sorted({w for _, _, _, p, _, _ in known for w in p})
-    fewest = min(need for _, _, need, _, _, _ in known)
-    longest = max(n for *_, n in known)
-    empty = F.lit([]).cast("array<struct<label:string,containment:double>>")
-
-    def ordered(words: Column) -> Column:
-        """The template words among words, in the global order."""
-        return F.array_intersect(F.lit(order), words)
-
-    def starts(at: Column) -> Column:
-        """Windows that can hold the word at a place, if there are enough template words around it."""
+    wanted = sorted({w for _, _, t in templates for w in all_words(t)})
+    counts = word_counts(texts, wanted) if wanted else {}
+    filed, fewest = prefix_index(templates, counts, least)
+    prefixes = sorted({r[0] for r in filed})
+    longest = max((r[6] for r in filed), default=1)
+
+    def region(words: Column, at: Column) -> Column:
+        """What windows around a place can hold: its word, its place therein, the words."""
         first = F.greatest(at - F.lit(longest - 1), F.lit(0))
-        around = ordered(F.slice("words", first + F.lit(1), at - first + F.lit(longest)))
-        return F.when(F.size(around) >= fewest, F.sequence(first, at)).otherwise(F.array().cast("array<int>"))
-
-    def find(label: str, ws: list[str], need: int, prefix: list[str], names: list[str], width: int) -> Column:
-        """The best containment of one template, in an array of one, or an empty array."""
-
-        def containment(block: Column) -> Column:
-            shared = F.get(F.array_intersect(F.lit(prefix), block), F.lit(0))
-            left = F.lit(1) + F.least(F.lit(len(ws)) - F.array_position(F.lit(ws), shared), F.size(block) - F.array_position(block, shared))
-            may = (F.size(block) >= need) & shared.isNotNull() & F.coalesce(left >= need, F.lit(False))
-            for w in names:
-                may = may & F.array_contains(block, w)
-            got = F.when(may, F.size(F.array_intersect(F.lit(ws), block))).otherwise(0)
-            return F.when(got >= need, got / F.lit(float(len(ws))))
-
-        blocks = F.concat(F.transform("windows", lambda at: ordered(F.slice("words", at + F.lit(1), F.lit(width)))), F.col("lines"))
-        best = F.array(F.array_max(F.transform(blocks, containment)))
-        return F.transform(F.filter(best, lambda c: c.isNotNull()), lambda c: F.struct(F.lit(label).alias("label"), c.alias("containment")))
-
-    rows = texts.withColumn("words", words_of(F.col("low")))
-    held = F.arrays_overlap("words", F.lit(prefixes))
-    anchors = F.filter(F.transform("words", lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
-    lines = F.filter(F.transform(F.split("low", "\n"), words_of), lambda ws: F.size(ws) <= longest)
-    lines = F.filter(F.transform(lines, ordered), lambda b: (F.size(b) >= fewest) & F.arrays_overlap(b, F.lit(prefixes)))
-    rows = rows.withColumns({
-        "windows": F.when(held, F.array_distinct(F.flatten(F.transform(anchors, starts)))).otherwise(F.array().cast("array<int>")),
-        "lines": F.when(held, lines).otherwise(F.array().cast("array<array<string>>")),
-    })
-    last = sorted({p.split(" ")[-1] for p, _ in PHRASES})
-    none = F.lit([]).cast("array<struct<start:long,label:string>>")
+        around = F.slice(words, first + F.lit(1), at - first + F.lit(longest))
+        held = F.when(F.size(F.array_intersect(around, F.lit(wanted))) >= fewest, around)
+        return F.struct(F.get(words, at).alias("word"), (at - first).cast("int").alias("at"), held.alias("words"))
+
+    words = F.col("words")
+    anchors = F.filter(F.transform(words, lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
+    regions = F.filter(F.transform(anchors, lambda at: region(words, at)), lambda r: r["words"].isNotNull())
+    no_regions = F.array().cast("array<struct<word:string,at:int,words:array<string>>>")
+    none = F.array().cast("array<struct<start:bigint,label:string>>")
     may_hold = F.lit(False)
-    for w in last:
+    for w in sorted({p.split(" ")[-1] for p, _ in PHRASES}):
         may_hold = may_hold | F.contains("low", F.lit(w))
-    return rows.select(
+    rows = texts.withColumn("words", words_of(F.col("low"))).select(
         "doc_id",
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("low"))).alias("row"),
         F.size("words").cast("long").alias("n_words"),
-        F.when(may_hold, phrase_places(F.col("words"))).otherwise(none).alias("places"),
-        F.when((F.size("windows") > 0) | (F.size("lines") > 0), F.concat(*(find(*k) for k in known))).otherwise(empty).alias("notices"),
+        F.when(may_hold, phrase_places(words)).otherwise(none).alias("places"),
+        F.when(F.arrays_overlap(words, F.lit(prefixes)), regions).otherwise(no_regions).alias("regions") if prefixes else no_regions.alias("regions"),
     )
+    rows = materialise(rows, "license-rows")
+    hits = rows.filter(F.size("regions") > 0).groupBy("row").agg(F.first("regions").alias("regions"), F.count(F.lit(1)).alias("copies"))
+    index = spark.createDataFrame(filed, INDEX)
+    pairs = hits.select("row", "copies", F.explode("regions").alias("r")).select("row", "copies", "r.*").join(index, "word")
+    # positional filter: windows of this template around the place, and its words from that one on in them
+    first = F.greatest(F.col("at") - F.col("width") + 1, F.lit(0))
+    pairs = pairs.select("row", "copies", "label", "ws", "total", "need", "names", "width", (F.col("at") - first).alias("at"), F.slice("words", first + 1, F.col("at") - first + F.col("width")).alias("words"))
+    pairs = pairs.filter((F.size(F.array_intersect("ws", "words")) >= F.col("need")) & (F.size(F.array_intersect("names", "words")) == F.size("names")))
+
+    def shared(start: Column) -> Column:
+        window = F.slice("words", start + 1, F.col("width"))
+        named = F.size(F.array_intersect("names", window)) == F.size("names")
+        return F.when(named, F.size(F.array_intersect("ws", window))).otherwise(0)
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), "at"), shared))
+    found = pairs.withColumn("best", best).filter(F.col("best") >= F.col("need"))
+    found = found.groupBy("row", "label").agg(F.max("copies").alias("copies"), F.max(F.col("best") / F.col("total")).alias("containment"))
+    notices = found.groupBy("row").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("label", "containment"))).alias("notices"))
+    notices = materialise(notices, "license-notices")
+    some = rows.filter(F.size("regions") > 0).drop("regions")
+    told = lookup(some, notices, "row", "copies", some.count()).select("doc_id", "n_words", "places", F.coalesce("notices", F.array().cast(NOTICES)).alias("notices"))
+    rest = rows.filter(F.size("regions") <= 0).select("doc_id", "n_words", "places", F.array().cast(NOTICES).alias("notices"))
+    return rest.unionByName(told)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,9 +210,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> str:
     def sql_list(ws) -> str:
-        return "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+        return "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
 
-    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {sql_list(template_words(t))} AS ws" for label, t in TEMPLATES)
+    rows = []
+    for label, names, text in TEMPLATES:
+        every = all_words(text)
+        ws = sorted(set(every))
+        rows.append(f"SELECT '{label}' AS label, {sql_list(w for w in names if w in ws)} AS names, {sql_list(ws)} AS ws, {needed(len(ws), LEAST)} AS need, {width_of(len(every), LEAST)} AS width")
     phrases = []
     for phrase, label in PHRASES:
         parts = phrase.split(" ")
@@ -189,10 +227,10 @@ WITH t AS (SELECT row_number() OVER () AS key, doc_id, translate(coalesce(text,
 w AS (SELECT key, doc_id, low, regexp_extract_all(low, '{WORD}') AS words FROM t),
 h AS (SELECT key, words FROM w WHERE contains(low, 'license')),
 p AS ({" UNION ALL ".join(phrases)}),
-tpl AS ({templates}),
-b AS (SELECT key, list_distinct(regexp_extract_all(line, '{WORD}')) AS ws FROM (SELECT key, unnest(string_split(low, chr(10))) AS line FROM t)),
-n AS (SELECT key, label, len(list_intersect(tpl.ws, b.ws)) / len(tpl.ws)::DOUBLE AS c, len(list_intersect(tpl.ws, b.ws)) AS k, ceil({LEAST} * len(tpl.ws) - 1e-9) AS need FROM b, tpl),
-m AS (SELECT key, label, c FROM n WHERE k >= need),
+tpl AS ({" UNION ALL ".join(rows)}),
+doc AS (SELECT key, label, names, ws, need, width, words FROM w, tpl WHERE len(list_intersect(ws, words)) >= need AND len(list_intersect(names, words)) = len(names)),
+win AS (SELECT key, label, names, ws, need, words[i:i + width - 1] AS block FROM doc, unnest(range(1, len(words) + 1)) AS u(i)),
+m AS (SELECT key, label, len(list_intersect(ws, block)) / len(ws)::DOUBLE AS c FROM win WHERE len(list_intersect(ws, block)) >= need AND len(list_intersect(names, block)) = len(names)),
 pa AS (SELECT key, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY key),
 al AS (SELECT key, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT key, label FROM p UNION ALL SELECT key, label FROM m) GROUP BY key),
 ma AS (SELECT key, max(c) AS c FROM m GROUP BY key)

@@ -1,32 +1,39 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule holds for an address (host and path) or for a whole url; either way it
-is a regular expression and the literal tokens (runs of a-z and 0-9, as between
-other characters) that every url it fits must have.  A pass over all urls counts
-the rules' tokens; each rule is filed under its rarest one.  Judging a url takes
-its tokens, fetches the rules filed under them, and runs the regular
-expressions of those only.  All of it is DataFrame expressions on the row: no
-shuffle but the count, which gathers one row for each token of the rules.
-
-Rule sets are inlined in the plan, so at most MAX_RULES are taken (an error
-otherwise); they don't grow with the data.
+A rule holds for an address (`host/path`: that host or any subdomain, and a path
+that starts with it) or for a whole url (words between other characters, * for
+anything); either way it is a regular expression and the literal tokens (runs of
+a-z and 0-9, as between other characters) that every url it fits must have.  A
+pass over all urls counts the rules' tokens; each rule is filed under its rarest
+one (without tokens: under the empty token, which every url has).  Judging a url
+takes its tokens, fetches the rules filed under them, and runs the regular
+expressions of those only.
+
+The rules are a table (rule, action, on_address).  Up to INLINE rules, the index
+is written into the plan and judging is row-local; more are a table joined by
+token, through a broadcast for tokens of more than 1/1000 of all (url, token) rows
+and by shuffle for others, and the fits of a url are combined again.  Both ways
+give the same rows.  DataFrame expressions only.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 fits no address rule, and is judged by the url rules (a null one is allowed).
+The longest address rule wins, of equally long ones the last by name and then
+by action; of url rules an allowing one wins, then the first by name.  Repeated
+rows and ids are each judged; an empty table of urls or rules is fine; extra
+columns are not read; a very long url is judged whole.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import lookup, materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULES = 2_000
+INLINE = 2_000
 
 # Rules on host and path, as (rule, action)
 ADDRESS_RULES = (
@@ -37,45 +44,40 @@ ADDRESS_RULES = (
     ("org/es/", "block"),
 )
 # Url patterns of this engine's own: words between other characters, * for anything
-BLOCK_PATTERNS = ("cheap-pills", "casino-win", "adult-x", "free-bets", "spam-farm", "ads-track", "online-casino", "poker-bonus", "pills*discount")
-
-
-@dataclass(frozen=True)
-class Rule:
-    name: str
-    action: str
-    regex: str
-    tokens: tuple[str, ...]
-    on_address: bool
+BLOCK_PATTERNS = (
+    "adult-chat", "adult-dating", "adult-video", "adult-x", "ad-server", "ads-track", "affiliate-click", "bet-bonus", "betting-odds", "buy-followers", "buy-viagra", "captcha-bypass",
+    "casino-bonus", "casino-win", "cheap-meds", "cheap-pills", "cheap-viagra", "click-farm", "clickbait", "crack-download", "crypto-doubler", "doorway-page", "essay-writer", "escort-girls",
+    "fake-diploma", "fast-cash-loan", "forex-signals", "free-bets", "free-gift-card", "free-iphone", "free-robux", "free-spins", "full-movie*download", "hack-tool", "hot-singles", "keygen",
+    "link-farm", "live-cams", "lottery-winner", "malware", "miracle-cure", "no-prescription*pharmacy", "online-casino", "online-pharmacy", "payday-loan", "phishing", "pills*discount", "poker-bonus", "porn",
+    "replica-watches", "slot-machine", "spam-farm", "sports-betting", "torrent*crack", "tracker-pixel", "viagra*discount", "warez", "weight-loss*pills", "win-big", "xxx",
+)
+RULES = tuple((r, a, True) for r, a in ADDRESS_RULES) + tuple((p, "block", False) for p in BLOCK_PATTERNS)
+KIND = "rule string, action string, on_address boolean"
 
 
-def address_rule(rule: str, action: str) -> Rule:
-    """`host/path`: the host or any subdomain of it, and a path that starts with /path."""
-    host, _, path = rule.partition("/")
-    tokens = re.findall("[a-z0-9]+", host.lower())
-    whole = path if re.search("[^A-Za-z0-9]$", path) else re.sub("[A-Za-z0-9]+$", "", path)  # the last token may go on
-    tokens += re.findall("[a-z0-9]+", whole.lower())
-    return Rule(rule, action, rf"(?s)^(?:[^/]*\.)?{re.escape(host.lower())}/{re.escape(path)}", tuple(dict.fromkeys(tokens)), True)
+def _lower(c: Column) -> Column:
+    return F.translate(c, UPPER, LOWER)
 
 
-def url_rule(pattern: str, action: str) -> Rule:
-    parts = pattern.lower().split("*")
-    tokens = []
-    for k, part in enumerate(parts):
-        if k:
-            part = re.sub("^[a-z0-9]+", "", part)
-        if k < len(parts) - 1:
-            part = re.sub("[a-z0-9]+$", "", part)
-        tokens += re.findall("[a-z0-9]+", part)
-    body = ".*".join(map(re.escape, parts))
-    return Rule(pattern, action, rf"(?s)(?:^|[^a-z0-9]){body}(?:[^a-z0-9]|$)", tuple(dict.fromkeys(tokens)), False)
+def _quoted(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", r"\\$1")
 
 
-RULES = tuple(address_rule(r, a) for r, a in ADDRESS_RULES) + tuple(url_rule(p, "block") for p in BLOCK_PATTERNS)
+def _tokens(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+def compiled(rules: DataFrame) -> DataFrame:
+    """name, action, on_address, size, regex, tokens of each rule."""
+    low = _lower(F.col("rule"))
+    host, path = F.substring_index(low, "/", 1), F.regexp_extract("rule", "(?s)^[^/]*/?(.*)$", 1)
+    whole = F.regexp_replace(path, "[A-Za-z0-9]+$", "")  # the last token may go on
+    address = F.concat(F.lit(r"(?s)^(?:[^/]*\.)?"), _quoted(host), F.lit("/"), _quoted(path))
+    body = F.regexp_replace(_quoted(low), r"\\\*", ".*")
+    url = F.concat(F.lit("(?s)(?:^|[^a-z0-9])"), body, F.lit("(?:[^a-z0-9]|$)"))
+    ends = F.regexp_replace(low, r"[a-z0-9]*\*[a-z0-9]*", "*")  # what a * may make longer
+    tokens = F.when(F.col("on_address"), F.concat(_tokens(host), _tokens(_lower(whole)))).otherwise(_tokens(ends))
+    return rules.select(F.col("rule").alias("name"), "action", "on_address", F.length("rule").alias("size"), F.when(F.col("on_address"), address).otherwise(url).alias("regex"), F.array_distinct(tokens).alias("tokens"))
 
 
 def parts_of(url: Column) -> tuple[Column, Column]:
@@ -84,54 +86,59 @@ def parts_of(url: Column) -> tuple[Column, Column]:
     return _lower(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def tokens_of(url: Column) -> Column:
-    return F.array_distinct(F.split(_lower(F.coalesce(url, F.lit(""))), "[^a-z0-9]+"))
+def tokens_of(low: Column) -> Column:
+    """The distinct tokens of a url in lower case, the empty one among them."""
+    return F.array_union(F.array(F.lit("")), F.split(low, "[^a-z0-9]+"))
 
 
-def token_counts(urls: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> dict[str, int]:
-    """Urls with each token of the rules, over all urls."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    if not wanted:
-        return {}
-    hits = urls.select(F.explode(F.array_intersect(tokens_of(F.col(url_col)), F.lit(wanted))).alias("token"))
-    return {r["token"]: r["count"] for r in hits.groupBy("token").count().collect()}  # one row for each token of the rules at most
+def filed(rules: DataFrame, rows: DataFrame) -> DataFrame:
+    """token, rules array<struct>, urls (rows with the token): each rule under its token with the fewest urls, over all urls."""
+    known = rules.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(""))))
+    wanted = known.select(F.explode("tokens").alias("token")).distinct()
+    counts = rows.select(F.explode(tokens_of(F.col("low"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
+    one = F.struct("on_address", "size", "name", "action", "regex")
+    each = known.select(one.alias("rule"), F.explode("tokens").alias("token")).join(counts, "token", "left")
+    rarest = each.groupBy("rule").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("at"))
+    return rarest.groupBy(F.col("at.token").alias("token")).agg(F.array_sort(F.collect_list("rule")).alias("rules"), F.max("at.urls").alias("urls"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule (the longest address rule that fits, or null), pattern (a url rule that fits, or null), verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are inlined")
-    counts = token_counts(pages, url_col, rules)
-    index: dict[str, list[Rule]] = {}
-    always: list[Rule] = []
-    for r in rules:
-        if r.tokens:
-            index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(r)
-        else:
-            always.append(r)
+def _fits(rules: Column) -> Column:
+    return F.filter(rules, lambda r: F.regexp_like(F.when(r["on_address"], F.concat("host", "path")).otherwise(F.col("low")), r["regex"]))
+
 
-    def literal(rs: list[Rule]) -> Column:
-        return F.array(*(F.struct(F.lit(r.on_address).alias("on_address"), F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action"), F.lit(r.regex).alias("regex")) for r in rs))
+def _winners(fits: Column) -> tuple[Column, Column]:
+    """(the longest address rule, the url rule) of those that fit, or null."""
+    longest = F.array_max(F.transform(F.filter(fits, lambda r: r["on_address"]), lambda r: F.struct(r["size"].alias("size"), r["name"].alias("name"), r["action"].alias("action"))))
+    own = F.array_min(F.transform(F.filter(fits, lambda r: ~r["on_address"]), lambda r: F.struct((r["action"] != "allow").alias("later"), r["name"].alias("name"), r["action"].alias("action"))))
+    return longest, own
 
+
+def judge_urls(pages: DataFrame, rules: DataFrame | tuple = RULES, inline: int = INLINE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule (the longest address rule that fits, or null), pattern (a url rule that fits, or null), verdict."""
+    spark = pages.sparkSession
+    rules = compiled((rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), KIND)).select("rule", "action", "on_address").distinct())
     host, path = parts_of(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), _lower(F.coalesce(F.col(url_col), F.lit(""))).alias("low"))
-    rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "low")
-    found = F.lit(None)
-    if index:
-        filed = F.create_map(*(x for t, rs in sorted(index.items()) for x in (F.lit(t), literal(rs))))
-        mine = F.array_intersect(F.array_distinct(F.split("low", "[^a-z0-9]+")), F.lit(sorted(index)))
-        found = F.flatten(F.transform(mine, lambda t: F.try_element_at(filed, t)))
-        if always:
-            found = F.concat(found, literal(always))
-    elif always:
-        found = literal(always)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), _lower(F.coalesce(F.col(url_col), F.lit(""))).alias("low"))
+    index = filed(rules, rows)
+    longest, own = _winners(F.col("fits"))
+    if rules.limit(inline + 1).count() <= inline:
+        known = {r["token"]: r["rules"] for r in index.collect()}  # `inline` rules at most
+        literal = {t: F.array(*(F.struct(*(F.lit(x[k]).alias(k) for k in ("on_address", "size", "name", "action", "regex"))) for x in rs)) for t, rs in sorted(known.items())}
+        if literal:
+            under = F.create_map(*(x for t, rs in literal.items() for x in (F.lit(t), rs)))
+            mine = F.array_intersect(tokens_of(F.col("low")), F.lit(list(literal)))
+            fits = _fits(F.flatten(F.transform(mine, lambda t: F.try_element_at(under, t))))
+        else:
+            fits = F.array().cast("array<struct<on_address:boolean,size:int,name:string,action:string,regex:string>>")
+        judged = rows.withColumn("fits", fits).withColumns({"longest": longest, "own": own})
     else:
-        return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("pattern"), F.lit("allow").alias("verdict"))
-    rows = rows.withColumn("fits", F.filter(found, lambda r: F.regexp_like(F.when(r["on_address"], F.concat("host", "path")).otherwise(F.col("low")), r["regex"])))
-    longest = F.array_max(F.transform(F.filter("fits", lambda r: r["on_address"]), lambda r: F.struct(r["size"].alias("size"), r["name"].alias("name"), r["action"].alias("action"))))
-    own = F.array_min(F.transform(F.filter("fits", lambda r: ~r["on_address"]), lambda r: F.struct((r["action"] != "allow").alias("later"), r["name"].alias("name"), r["action"].alias("action"))))
-    rows = rows.withColumns({"longest": longest, "own": own})
-    return rows.select("page_id", "host", "path", F.col("longest.name").alias("rule"), F.col("own.name").alias("pattern"), F.coalesce("longest.action", "own.action", F.lit("allow")).alias("verdict"))
+        rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
+        index = materialise(index, "url-rules")
+        tokens = rows.select("row", "host", "path", "low", F.explode(tokens_of(F.col("low"))).alias("token"))
+        held = lookup(tokens, index, "token", "urls", tokens.count(), "inner").withColumn("fits", _fits(F.col("rules"))).filter(F.size("fits") > 0)
+        best = held.withColumns({"longest": longest, "own": own}).groupBy("row").agg(F.max("longest").alias("longest"), F.min("own").alias("own"))
+        judged = rows.join(best, "row", "left")
+    return judged.select("page_id", "host", "path", F.col("longest.name").alias("rule"), F.col("own.name").alias("pattern"), F.coalesce("longest.action", "own.action", F.lit("allow")).alias("verdict"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
