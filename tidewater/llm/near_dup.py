@@ -65,7 +65,7 @@ SEEDS = 5
 HOT = 32
 BLOCK = 512
 FEW = 8
-CENTRE_MEMBERS = 1024
+CENTRE_MEMBERS = 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -347,7 +347,7 @@ PAIR = "a long, b long"
 
 
 def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b that may link, by their common keys; ties (id, centre) of sets that only common keys tell)."""
+    """(pairs a < b that may link, by their common keys; common keys (key, id) of the sets that only these tell)."""
     bit = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("bit")
     pairs = met.filter("other IS NOT NULL").groupBy(F.col("id").alias("a"), F.col("other").alias("b"), bit).agg(F.count(F.lit(1)).alias("shared"))
     common = met.filter("other IS NULL").select("key", "id", bit)
@@ -360,24 +360,28 @@ def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = need.select(F.col("id").alias(side), "bit", "need")
         pairs = pairs.join(own, [side, "bit"], "left").filter(F.col("shared") >= F.coalesce("need", F.lit(1))).drop("need")
     rows = materialise(common.join(need.filter("some AND need <= 0").select("id", "bit"), ["id", "bit"]).select("key", "id"), "near-common")
-    first = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")), "near-first")
-    ties = lookup(rows, first, "key", "n", rows.count()).filter("id <> centre").groupBy("id").agg(F.min("centre").alias("centre"), F.collect_set("centre").alias("all"))
-    ties = materialise(ties, "near-ties")
     likely = materialise(pairs.select("a", "b").distinct(), "near-likely")
-    discard(need, rows, first)
-    return likely, ties
+    discard(need)
+    return likely, rows
 
 
 def _candidates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sets with their keys and margins: (pairs (id, centre) to verify, all ties (a, b) that make families)."""
+    """Of sets with their keys and margins: (pairs (id, centre) to verify, edges (a, b) that make families)."""
     shuffles = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exploded = told.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
     met = materialise(exploded.mapInArrow(_meet, "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
-    likely, ties = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
+    likely, rows = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
     discard(met)
-    pairs = likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(ties.select("id", "centre")).distinct()
-    edges = likely.unionByName(ties.select(F.col("id").alias("a"), F.explode("all").alias("b")))
-    return pairs, edges
+    # a star: each set and the smallest set that it shares a common key with
+    first = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")), "near-first")
+    stars = materialise(lookup(rows, first, "key", "n", rows.count()).groupBy("id").agg(F.min("centre").alias("centre")), "near-stars")
+    # a key ties the centres of its sets, few as most sets of a group have the same, to the smallest of them
+    centres = materialise(rows.join(stars, "id").select("key", "centre").distinct(), "near-centres")
+    least = materialise(centres.groupBy("key").agg(F.min("centre").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-least")
+    ties = materialise(lookup(centres, least, "key", "n", centres.count(), "inner").filter("centre <> least").select(F.col("centre").alias("a"), F.col("least").alias("b")).distinct(), "near-ties")
+    discard(rows, first, centres, least)
+    pairs = likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(stars.filter("id <> centre")).distinct()
+    return pairs, likely.unionByName(stars.select(F.col("id").alias("a"), F.col("centre").alias("b"))).unionByName(ties)
 
 
 def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
