@@ -61,7 +61,15 @@ def test_validation(spark):
     rows = [(k * 60, "AAA", 10.0, 11.0, 9.0, 10.0, 1.0, 60, k) for k in range(20)] + [(5 * 60, "AAA", 10.0, 11.0, 9.0, 10.5, 1.0, 60, 20), (3000, "AAA", 30.0, 31.0, 29.0, 30.0, 1.0, 60, 21), (3060, "AAA", 0.0, 11.0, 9.0, 10.0, 1.0, 60, 22), (3120, "AAA", 12.0, 11.0, 9.0, 10.0, 1.0, 60, 23)]
     d = spark.createDataFrame(rows, BARS + ", pos long")
     found = {r.type: r.n for r in validation.issues(d, "pos").collect()}
-    assert found == {"non_positive": 1, "ohlc": 1, "duplicate": 1, "non_monotonic": 1, "gap": 1, "split": 1}
+    # order is counted over the rows kept, so a repeated row that goes isn't a step back
+    assert found == {"non_positive": 1, "ohlc": 1, "duplicate": 1, "gap": 1, "split": 1}
+    # and in file order over all symbols: the second symbol's first row is one
+    two = [(k * 60, s, 10.0, 11.0, 9.0, 10.0, 1.0, 60, 100 * i + k, f) for i, s in enumerate(("AAA", "BBB")) for k, f in ((0, "one"), (1, "one"), (2, "one"))]
+    t = spark.createDataFrame(two, BARS + ", pos long, file string")
+    assert {r.type: r.n for r in validation.issues(t, "pos", "file").collect()} == {"non_monotonic": 1}
+    report = validation.file_report(t, "file", "pos").collect()
+    assert [(r.rows, r.kept_rows, r.dropped_rows, r.non_monotonic, r.needs_cleaning) for r in report] == [(6, 6, 0, 1, True)]
+    assert [r.ts_nanos for r in validation.cleaned(t, "file", "pos").orderBy("place").collect()] == [0, 0, 60, 60, 120, 120]
     assert validation.clean(d, "pos").filter("ts_nanos = 300").first().close == 10.0
 
 

@@ -42,20 +42,35 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return with_ranks(pairs).groupBy(*PAIR).agg(guarded_corr(F.col("x"), F.col("y")).alias("rho"))
 
 
-def kendall(pairs: DataFrame) -> DataFrame:
+def kendall(pairs: DataFrame, bits: int = 40) -> DataFrame:
     """a, b, tau (joint ties stay in both denominators), tau_a (ties skipped, over all pairs of times).
 
-    Quadratic in the length of a series, by definition of the statistic; the
-    self-join is by pair and split over times.
+    Discordant pairs are inversions of y in the order of x, counted as a merge sort
+    meets them: at each level, rows of a block's right half count the larger y of its
+    left half.  All levels are rows of one running window by (pair, level, block), so
+    the cost is n log n and spreads over the cluster.  `bits` bounds the length of a
+    series (2^bits rows).
     """
-    l = pairs.select(*PAIR, F.col("ts_nanos").alias("s"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    r = pairs.select(*PAIR, F.col("ts_nanos").alias("t"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    j = l.join(r, list(PAIR)).filter("s < t").select(*PAIR, F.signum(F.col("x1") - F.col("x2")).alias("dx"), F.signum(F.col("y1") - F.col("y2")).alias("dy"))
-    n = F.count(F.lit(1))
-    cd = F.sum(F.col("dx") * F.col("dy"))
-    nx, ny = F.count_if(F.col("dx") != 0), F.count_if(F.col("dy") != 0)
+    w = Window.partitionBy(*PAIR)
+    p = pairs.withColumns({"i": F.row_number().over(w.orderBy("x", "y")).cast("long") - 1, "n": F.count(F.lit(1)).over(w)})
+    levels = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.expr("1L") * F.pow(F.lit(2.0), k) < F.col("n"))
+    t = p.select(*PAIR, "y", "i", F.explode(levels).alias("level"))
+    t = t.select(*PAIR, "y", "level", F.expr("shiftright(i, level + 1)").alias("block"), (F.expr("shiftright(i, level)") % 2).alias("right"))
+    block = Window.partitionBy(*PAIR, "level", "block")
+    left = F.sum(1 - F.col("right"))
+    t = t.withColumns({"all": left.over(block), "below": left.over(block.orderBy("y"))})  # up to and with equal y
+    d = t.filter("right = 1").groupBy(*PAIR).agg(F.sum(F.col("all") - F.col("below")).alias("d"))
+
+    def tied(*by: str) -> DataFrame:
+        c = F.count(F.lit(1)).cast("double")
+        return pairs.groupBy(*PAIR, *by).agg((c * (c - 1) / 2).alias("c")).groupBy(*PAIR).agg(F.sum("c").alias("t" + "".join(by)))
+
+    keys = list(PAIR)
+    g = tied().join(tied("x"), keys).join(tied("y"), keys).join(tied("x", "y"), keys).join(d, keys, "left").filter("t > 0")
+    n, nx, ny = F.col("t"), F.col("t") - F.col("tx"), F.col("t") - F.col("ty")
+    cd = n - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.coalesce("d", F.lit(0))
     ok = (nx > 0) & (ny > 0)
-    return j.groupBy(*PAIR).agg(F.when(ok, cd / F.sqrt(F.when(ok, nx * ny).cast("double"))).otherwise(F.lit(0.0)).alias("tau"), (cd / n).alias("tau_a"))
+    return g.select(*PAIR, F.when(ok, cd / F.sqrt(F.when(ok, nx * ny))).otherwise(F.lit(0.0)).alias("tau"), (cd / n).alias("tau_a"))
 
 
 def freedman_diaconis(x: str) -> Column:
@@ -98,25 +113,72 @@ def information(cells: DataFrame) -> DataFrame:
     return mi.join(one, keys)
 
 
-def transfer_entropy(pairs: DataFrame, bins: int = 3, k: int = 1) -> DataFrame:
-    """a, b, te: from x to y, quantile bins, history of one step each way; 0 at least."""
+def quantile_bins(pairs: DataFrame, bins: int) -> DataFrame:
+    """pairs with qx and qy: min(bins - 1, rank * bins div n) within the pair, ties by time."""
     w = Window.partitionBy(*PAIR)
-    p = pairs
     n = F.count(F.lit(1)).over(w)
-    for c in ("x", "y"):
-        rank = F.row_number().over(w.orderBy(c, "ts_nanos")) - 1
-        p = p.withColumn(f"q{c}", F.least(F.lit(bins - 1).cast("long"), F.floor(rank * bins / n)))
-    o = w.orderBy("ts_nanos")
-    s = p.select(*PAIR, F.lead("qy", k).over(o).alias("next"), F.col("qy").alias("y"), F.col("qx").alias("x")).filter("next IS NOT NULL")
-    full = s.groupBy(*PAIR, "next", "y", "x").agg(F.count(F.lit(1)).alias("c"))
-    keys = list(PAIR)
-    yx = full.groupBy(*PAIR, "y", "x").agg(F.sum("c").alias("cyx"))
-    ny = full.groupBy(*PAIR, "next", "y").agg(F.sum("c").alias("cny"))
-    y = full.groupBy(*PAIR, "y").agg(F.sum("c").alias("cy"))
-    t = full.groupBy(*PAIR).agg(F.sum("c").alias("n"))
-    j = full.join(yx, [*keys, "y", "x"]).join(ny, [*keys, "next", "y"]).join(y, [*keys, "y"]).join(t, keys)
-    te = F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("cy").cast("double") / (F.col("cyx") * F.col("cny").cast("double"))))
-    return j.groupBy(*PAIR).agg(F.greatest(F.lit(0.0), te).alias("te"))
+    rank = lambda c: F.row_number().over(w.orderBy(c, "ts_nanos")) - 1
+    return pairs.withColumns({f"q{c}": F.least(F.lit(bins - 1).cast("long"), F.floor(rank(c) * bins / n)) for c in ("x", "y")})
+
+
+def cell_entropy(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, te of cells (keys, next, y, x): sum of p ln(p(next, y, x) p(y) / (p(y, x) p(next, y))), 0 at least."""
+    full = cells.groupBy(*keys, "next", "y", "x").agg(F.count(F.lit(1)).alias("c"))
+    part = lambda *g: F.sum("c").over(Window.partitionBy(*keys, *g)).cast("double")  # noqa: E731  a few cells a key
+    f = full.select(*keys, "c", part("y", "x").alias("cyx"), part("next", "y").alias("cny"), part("y").alias("cy"), part().alias("n"))
+    return f.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("cy") / (F.col("cyx") * F.col("cny"))))).alias("te"))
+
+
+def transfer_entropy(pairs: DataFrame, bins: int = 3, k: int = 1) -> DataFrame:
+    """a, b, te: from x to y k rows ahead, quantile bins, history of one row each way; 0 at least."""
+    o = Window.partitionBy(*PAIR).orderBy("ts_nanos")
+    s = quantile_bins(pairs, bins).select(*PAIR, F.lead("qy", k).over(o).alias("next"), F.col("qy").alias("y"), F.col("qx").alias("x")).filter("next IS NOT NULL")
+    return cell_entropy(s, list(PAIR))
+
+
+def history_entropy(pairs: DataFrame, depths: tuple[int, ...] = (1, 2, 3), horizons: tuple[int, ...] = (1,), bins: int = 4) -> DataFrame:
+    """a, b, k, l, h, te for every k, l of depths and every h: x's last l rows on y's next one, given y's last k.
+
+    For h above 0, x is set beside y h rows later first, and binned over what is left;
+    the earliest row used has max(k, l) rows before it.  A series shorter than
+    max(k, l) + 3 has te 0.
+    """
+    o = Window.partitionBy(*PAIR).orderBy("ts_nanos")
+    deepest = max(depths)
+    moved = pairs.withColumns({f"y{h}": F.lead("y", h).over(o) for h in horizons})
+    tall = moved.select(*PAIR, "ts_nanos", "x", F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"y{h}").alias("y")) for h in horizons))).alias("z"))
+    tall = tall.select(*PAIR, "z.h", "ts_nanos", "x", "z.y").filter("y IS NOT NULL")
+    w = Window.partitionBy(*PAIR, "h")
+    n, t = F.count(F.lit(1)).over(w), w.orderBy("ts_nanos")
+    rank = lambda c: F.row_number().over(w.orderBy(c, "ts_nanos")) - 1
+    q = tall.withColumns({f"q{c}": F.least(F.lit(bins - 1).cast("long"), F.floor(rank(c) * bins / n)) for c in ("x", "y")} | {"n": n})
+    lags = {f"{c}{k}": F.lag(f"q{c}", k).over(t) for c in ("x", "y") for k in range(deepest)}
+    q = q.withColumns(lags | {"i": F.row_number().over(t) - 1, "next": F.lead("qy").over(t)}).filter("next IS NOT NULL")
+    past = lambda c, k: F.concat_ws(",", *(f"{c}{i}" for i in range(k)))
+    grid = [F.struct(F.lit(k).alias("k"), F.lit(l).alias("l"), past("y", k).alias("y"), past("x", l).alias("x")) for k in depths for l in depths]
+    cells = q.select(*PAIR, "h", "i", "n", "next", F.explode(F.array(*grid)).alias("g")).select(*PAIR, "h", "i", "n", "next", "g.*")
+    used = (F.col("i") >= F.greatest("k", "l")) & (F.col("n") >= F.greatest("k", "l") + 3)
+    keys = [*PAIR, "k", "l", "h"]
+    every = cells.select(*keys).distinct()
+    return every.join(cell_entropy(cells.filter(used), keys), keys, "left").withColumn("te", F.coalesce("te", F.lit(0.0)))
+
+
+def renyi_entropy(cells: DataFrame, keys: list[str], column: str, alphas: tuple[float, ...]) -> DataFrame:
+    """keys, alpha, h: Renyi entropy (nats) of the shares of each value of column; alpha 1 is Shannon's."""
+    counts = cells.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("c"))
+    p = F.col("c") / F.sum("c").over(Window.partitionBy(*keys))
+    tall = counts.withColumn("p", p).select(*keys, "p", F.explode(F.lit(list(alphas))).alias("alpha"))
+    one = F.abs(F.col("alpha") - 1) < 1e-9
+    h = F.when(F.max(one), -F.sum(F.col("p") * F.ln("p"))).otherwise(F.ln(F.sum(F.pow("p", "alpha"))) / F.max(F.when(~one, 1 - F.col("alpha"))))
+    return tall.groupBy(*keys, "alpha").agg(h.alias("h"))
+
+
+def correlation_matrix(pairs: DataFrame, rank: bool = False) -> DataFrame:
+    """i, j, rho of all series, both ways and with itself: Pearson, or Spearman."""
+    half = (spearman if rank else pearson)(pairs)
+    cells = half.select(F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), "rho"), F.struct(F.col("b").alias("i"), F.col("a").alias("j"), "rho"))).alias("c")).select("c.*")
+    names = half.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    return cells.unionByName(names.select("i", F.col("i").alias("j"), F.lit(1.0).alias("rho")))
 
 
 def tail_dependence(pairs: DataFrame, q: float = 0.9) -> DataFrame:

@@ -2,6 +2,8 @@
 
 A fold needs the rows of one key in order, so memory is one key's rows; keys
 with very many rows belong in the streaming operators, which keep only state.
+An accumulator is copied at every step, so states gather in chunks of CHUNK rows
+and a scan stays linear in a key's rows.
 """
 
 from __future__ import annotations
@@ -18,17 +20,27 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], s
     return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, F.aggregate("__rows", start, step).alias("state"))
 
 
+CHUNK = 256
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """keys, order, columns and `state` after each row."""
     rows = F.array_sort(F.collect_list(F.struct(*order, *columns)))
-    nothing = F.struct(start.alias("state"), F.slice(F.array(start), 1, 0).alias("out"))
+    none = F.slice(F.array(start), 1, 0)
 
     def each(acc: Column, x: Column) -> Column:
-        new = step(acc["state"], x)
-        return F.struct(new.alias("state"), F.concat(acc["out"], F.array(new)).alias("out"))
+        # the new state is named once, as an array of one, for it is used twice
+        return F.get(F.transform(F.array(step(acc["state"], x)), lambda new: F.struct(new.alias("state"), F.concat(acc["out"], F.array(new)).alias("out"))), F.lit(0))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), each)
+        return F.get(F.transform(F.array(done), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["parts"], F.array(x["out"])).alias("parts"))), F.lit(0))
 
     g = df.groupBy(*keys).agg(rows.alias("__rows"))
-    g = g.withColumn("__states", F.aggregate("__rows", nothing, each, lambda a: a["out"]))
+    numbers = F.sequence(F.lit(0), F.ceil(F.size("__rows") / CHUNK).cast("int") - 1)
+    parts = F.transform(numbers, lambda k: F.slice("__rows", k * CHUNK + 1, F.lit(CHUNK)))
+    nothing = F.struct(start.alias("state"), F.slice(F.array(none), 1, 0).alias("parts"))
+    g = g.withColumn("__states", F.flatten(F.aggregate(parts, nothing, chunk, lambda a: a["parts"])))
     return g.select(*keys, F.explode(F.arrays_zip("__rows", "__states")).alias("z")).select(*keys, "z.__rows.*", F.col("z.__states").alias("state"))
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 def forward_fill(df: DataFrame, grid: DataFrame, key: str, time: str, value: str, budget: int | None = None) -> DataFrame:
     """(time, key, value) of every key at every time of grid, the last value carried at most `budget` grid steps.
 
-    grid: distinct times.  The keys are few against the rows, so grid x keys is as large as the result.
+    grid: distinct times.  Every key has every time from its first value on, so grid x keys is the size of the result.
     """
-    cells = grid.crossJoin(F.broadcast(df.select(key).distinct()))
+    cells = grid.crossJoin(df.select(key).distinct())
     at = cells.join(df.select(time, key, value), [time, key], "left")
     w = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     out = at.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(time)))

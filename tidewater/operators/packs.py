@@ -27,9 +27,9 @@ def calendar_features(days: DataFrame, meetings: tuple[str, ...]) -> DataFrame:
 def robust_z(tall: DataFrame) -> DataFrame:
     """symbol, feature, z = 0.6745 (value - median) / MAD over the symbols that have the feature; 0 where MAD is 0."""
     m = tall.groupBy("feature").agg(F.median("value").alias("med"))
-    d = tall.join(F.broadcast(m), "feature")  # one row a feature
+    d = tall.join(m, "feature")
     mad = d.groupBy("feature").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    d = d.join(F.broadcast(mad), "feature")
+    d = d.join(mad, "feature")
     return d.select("symbol", "feature", F.when(F.col("mad") > 0, 0.6745 * (F.col("value") - F.col("med")) / F.when(F.col("mad") > 0, F.col("mad"))).otherwise(F.lit(0.0)).alias("z"))
 
 
@@ -42,23 +42,39 @@ def composite(z: DataFrame, buckets: dict[str, tuple[float, dict[str, int]]]) ->
     return z.groupBy("symbol").agg(F.when(bottom > 0, top / F.when(bottom > 0, bottom)).otherwise(F.lit(0.0)).alias("score"))
 
 
-def option_features(chain: DataFrame, keys: list[str], spot: float, years: float) -> DataFrame:
-    """iv_atm (strikes within 5 %), skew (put at 92 % less call at 108 %), put/call volume and interest, gamma exposure."""
+def option_features(chain: DataFrame, keys: list[str], spot: float | None = None, years: float | None = None) -> DataFrame:
+    """iv_atm (strikes within 5 %), skew (put at 92 % less call at 108 %), put/call volume and interest, gamma exposure, term_slope.
+
+    Columns spot and years, where the chain has them, say the underlying's price and the
+    front expiry's time for each row; else the arguments do.  With a column `front`
+    (boolean), all but term_slope are of the front expiry, and term_slope is the
+    next one's iv_atm less the front's; without it term_slope is null.
+    """
     put = F.col("put")
+    s = F.col("spot") if spot is None else F.lit(float(spot))
+    y = F.col("years") if years is None else F.lit(float(years))
+    front = F.col("front") if "front" in chain.columns else F.lit(True)
 
     def near(strike: float):
-        return F.struct(F.abs(F.col("strike") - strike * spot), F.col("strike"), F.col("iv"))
+        return F.struct(F.abs(F.col("strike") - strike * s), F.col("strike"), F.col("iv"))
 
     def side(c: str):
-        return F.try_divide(F.sum(F.when(put, F.col(c))), F.sum(F.when(~put, F.col(c))))
+        return F.try_divide(F.sum(F.when(front & put, F.col(c))), F.sum(F.when(front & ~put, F.col(c))))
+
+    def atm(which):
+        return F.avg(F.when(which & (F.abs(F.col("strike") / s - 1) <= 0.05), F.col("iv")))
 
-    g = gamma(F.lit(float(spot)), F.col("strike"), F.col("iv"), F.lit(float(years)))
+    def at(which, strike: float):
+        return F.min_by(F.when(which, F.col("iv")), F.when(which, near(strike)))
+
+    g = gamma(s, F.col("strike"), F.col("iv"), y)
     return chain.filter("strike > 0 AND iv > 0").groupBy(*keys).agg(
-        F.avg(F.when(F.abs(F.col("strike") / spot - 1) <= 0.05, F.col("iv"))).alias("iv_atm"),
-        (F.min_by(F.when(put, F.col("iv")), F.when(put, near(0.92))) - F.min_by(F.when(~put, F.col("iv")), F.when(~put, near(1.08)))).alias("skew"),
+        atm(front).alias("iv_atm"),
+        (at(front & put, 0.92) - at(front & ~put, 1.08)).alias("skew"),
         side("volume").alias("pc_volume"),
         side("oi").alias("pc_oi"),
-        F.sum(F.col("oi") * g * 100 * spot * spot).alias("gex"),
+        F.sum(F.when(front, F.col("oi") * g * 100 * s * s)).alias("gex"),
+        (atm(~front) - atm(front)).alias("term_slope"),
     )
 
 
@@ -90,3 +106,31 @@ def intraday_features(bars: DataFrame, sessions: int = 5) -> DataFrame:
 def contrarian(z):
     """-1 above 2, 1 below -2, else 0; a null is 0."""
     return F.when(z > 2, -1).when(z < -2, 1).otherwise(0)
+
+
+def topology_z(df: DataFrame, keys: list[str], time: str, value: str, lookback: int = 20) -> DataFrame:
+    """z of a persistence norm against the `lookback` rows before it (population deviation); null before there are as many or where they are flat."""
+    f = Window.partitionBy(*keys).orderBy(time).rowsBetween(-lookback, -1)
+    sd = F.stddev_pop(value).over(f)
+    return df.withColumn("z", F.when((F.count(value).over(f) >= lookback) & (sd > 0), (F.col(value) - F.avg(value).over(f)) / F.when(sd > 0, sd)))
+
+
+def surprise_events(df: DataFrame, z: str, threshold: float = 1.5) -> DataFrame:
+    """The rows whose surprise is beyond threshold either way, with its sign."""
+    return df.filter(F.abs(z) > threshold).withColumn("sign", F.signum(z).cast("int"))
+
+
+def tone_features(news: DataFrame, keys: list[str]) -> DataFrame:
+    """ts_nanos, series, feature, value: tone_z and news_volume_z (30 rows before), tone_momentum (less the mean of 7 rows before).
+
+    news: keys, ts_nanos, avg_tone, num_events.  Undefined values are left out.
+    """
+    from tidewater.operators.rolling import causal_z
+
+    week = Window.partitionBy(*keys).orderBy("ts_nanos").rowsBetween(-7, -1)
+    d = news.withColumns({
+        "tone_z": causal_z("avg_tone", keys, "ts_nanos", 30),
+        "tone_momentum": F.when(F.count(F.lit(1)).over(week) == 7, F.col("avg_tone") - F.avg("avg_tone").over(week)),
+        "news_volume_z": causal_z("num_events", keys, "ts_nanos", 30),
+    })
+    return d.unpivot([*keys, "ts_nanos"], ["tone_z", "tone_momentum", "news_volume_z"], "feature", "value").filter("value IS NOT NULL")

@@ -58,10 +58,44 @@ def splits(bars: DataFrame, ratio: float = 1.5) -> DataFrame:
     return bars.select("symbol", "ts_nanos", F.greatest(q, F.try_divide(F.lit(1.0), q)).alias("ratio")).filter(F.col("ratio") > ratio)
 
 
-def issues(bars: DataFrame, position: str) -> DataFrame:
-    """type, n, first: one row for each kind of issue that occurs."""
-    by_file = bars.withColumn("__back", F.col("ts_nanos") <= F.lag("ts_nanos").over(Window.partitionBy("symbol").orderBy(position)))
-    per_row = by_file.select(
+def backward(kept: DataFrame, file: str, position: str) -> DataFrame:
+    """Rows whose time isn't after that of the row before in their file, whatever its symbol; kept: rows without drops and repeats."""
+    before = F.lag("ts_nanos").over(Window.partitionBy(file).orderBy(position))
+    return kept.withColumn("__before", before).filter(F.col("ts_nanos") <= F.col("__before")).drop("__before")
+
+
+def file_report(bars: DataFrame, file: str, position: str) -> DataFrame:
+    """file, rows, kept_rows, dropped_rows, duplicate_rows, non_positive, ohlc_violation, non_monotonic, needs_cleaning; one row a file.
+
+    Repeats are those of (symbol, time) within a file; order is counted over the rows kept.
+    """
+    good = positive() & sane()
+    kept = first_of_each(bars.filter(good), [file, "symbol", "ts_nanos"], position)
+    one = F.count(F.lit(1))
+    all_rows = bars.groupBy(file).agg(one.alias("rows"), F.count_if(~positive()).alias("non_positive"), F.count_if(positive() & ~sane()).alias("ohlc_violation"), F.count_if(good).alias("__good"))
+    kept_rows = kept.groupBy(file).agg(one.alias("kept_rows"))
+    back = backward(kept, file, position).groupBy(file).agg(one.alias("non_monotonic"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = all_rows.join(kept_rows, file, "left").join(back, file, "left").withColumns({"kept_rows": zero("kept_rows"), "non_monotonic": zero("non_monotonic")})
+    out = out.withColumns({"dropped_rows": F.col("rows") - F.col("kept_rows"), "duplicate_rows": F.col("__good") - F.col("kept_rows")})
+    return out.select(file, "rows", "kept_rows", "dropped_rows", "duplicate_rows", "non_positive", "ohlc_violation", "non_monotonic", ((F.col("dropped_rows") > 0) | (F.col("non_monotonic") > 0)).alias("needs_cleaning"))
+
+
+def cleaned(bars: DataFrame, file: str, position: str) -> DataFrame:
+    """The rows kept of the files that need cleaning, to be written beside them; `place` is a row's number by time in its file."""
+    dirty = file_report(bars, file, position).filter("needs_cleaning").select(file)
+    kept = first_of_each(bars.filter(positive() & sane()), [file, "symbol", "ts_nanos"], position).join(dirty, file, "left_semi")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy("ts_nanos", position)).cast("long"))
+
+
+def write_cleaned(bars: DataFrame, file: str, position: str, path: str) -> None:
+    """cleaned() as CSV, a folder for each file, by time."""
+    cleaned(bars, file, position).repartition(file).sortWithinPartitions(file, "place").drop(position, "place").write.partitionBy(file).option("header", True).csv(path)
+
+
+def issues(bars: DataFrame, position: str, file: str = "symbol") -> DataFrame:
+    """type, n, first: one row for each kind of issue that occurs; steps back in time are counted in file order over the rows kept."""
+    per_row = bars.select(
         "ts_nanos",
         F.explode(
             F.filter(
@@ -69,7 +103,6 @@ def issues(bars: DataFrame, position: str) -> DataFrame:
                     F.when(~valid_symbol(F.col("symbol")), F.lit("bad_symbol")),
                     F.when(~positive(), F.lit("non_positive")),
                     F.when(positive() & ~sane(), F.lit("ohlc")),
-                    F.when(F.col("__back"), F.lit("non_monotonic")),
                 ),
                 lambda x: x.isNotNull(),
             )
@@ -82,7 +115,7 @@ def issues(bars: DataFrame, position: str) -> DataFrame:
         per_row.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("ts_nanos").alias("first")),
         repeats.agg(F.sum("n").alias("n"), F.min("ts_nanos").alias("first")).select(F.lit("duplicate").alias("type"), "n", "first").filter("n > 0"),
     ]
-    for name, found in (("gap", gaps(kept)), ("outlier", outliers(kept)), ("split", splits(kept))):
+    for name, found in (("non_monotonic", backward(kept, file, position)), ("gap", gaps(kept)), ("outlier", outliers(kept)), ("split", splits(kept))):
         parts.append(found.agg(F.count(F.lit(1)).alias("n"), F.min("ts_nanos").alias("first")).select(F.lit(name).alias("type"), "n", "first").filter("n > 0"))
     out = parts[0]
     for p in parts[1:]:

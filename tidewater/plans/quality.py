@@ -93,14 +93,22 @@ def html_scrape(spark, d):
 
 
 DIRTY = """, p AS (SELECT *, row_number() OVER (ORDER BY symbol, ts_nanos) AS pos FROM bars),
-q AS (SELECT CASE WHEN pos % 211 = 0 THEN 'bad sym' ELSE symbol END AS symbol, CASE WHEN pos % 97 = 1 THEN ts_nanos - 3600000000000 ELSE ts_nanos END AS ts_nanos, CASE WHEN pos % 89 = 0 THEN -1.0 ELSE open END AS open, high, CASE WHEN pos % 83 = 0 THEN high + 1 ELSE low END AS low, close, volume, span_secs, pos FROM p),
+q AS (SELECT CASE WHEN pos % 211 = 0 THEN 'bad sym' ELSE symbol END AS symbol, CASE WHEN pos % 97 = 1 THEN ts_nanos - 3600000000000 ELSE ts_nanos END AS ts_nanos, CASE WHEN pos % 89 = 0 THEN -1.0 ELSE open END AS open, high, CASE WHEN pos % 83 = 0 THEN high + 1 ELSE low END AS low, close, volume, span_secs, pos, 'f' || pos // 400 AS file FROM p),
 ok AS (SELECT * FROM q WHERE least(open, high, low, close) > 0 AND volume >= 0 AND open BETWEEN low AND high AND close BETWEEN low AND high),
-kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts_nanos ORDER BY pos) AS k FROM ok) WHERE k = 1)
+kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts_nanos ORDER BY pos) AS k FROM ok) WHERE k = 1),
+fk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, symbol, ts_nanos ORDER BY pos) AS k FROM ok) WHERE k = 1),
+fb AS (SELECT *, lag(ts_nanos) OVER (PARTITION BY file ORDER BY pos) AS b FROM fk),
+fr AS (SELECT file, count(*) AS rows, count(*) FILTER (NOT (least(open, high, low, close) > 0 AND volume >= 0)) AS non_positive FROM q GROUP BY 1),
+fc AS (SELECT file, rows, kept_rows, rows - kept_rows AS dropped_rows, good - kept_rows AS duplicate_rows, non_positive, rows - good - non_positive AS ohlc_violation, back AS non_monotonic, rows > kept_rows OR back > 0 AS needs_cleaning FROM fr LEFT JOIN (SELECT file, count(*) AS good FROM ok GROUP BY 1) USING (file) LEFT JOIN (SELECT file, count(*) AS kept_rows, count(*) FILTER (ts_nanos <= b) AS back FROM fb GROUP BY 1) USING (file))
 """
 
 
 def dirty(spark, d):
-    b = bars(spark, d).withColumn("pos", F.row_number().over(Window.orderBy("symbol", "ts_nanos")).cast("long"))
+    """Bars with faults at fixed places, numbered by symbol and time, in files of 400 rows."""
+    b = bars(spark, d)
+    before = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("symbol", (F.sum("n").over(Window.orderBy("symbol")) - F.col("n")).alias("before"))  # one row a symbol
+    b = b.join(before, "symbol").withColumn("pos", (F.col("before") + F.row_number().over(Window.partitionBy("symbol").orderBy("ts_nanos"))).cast("long"))
     return b.select(
         F.when(F.col("pos") % 211 == 0, "bad sym").otherwise(F.col("symbol")).alias("symbol"),
         F.when(F.col("pos") % 97 == 1, F.col("ts_nanos") - 3_600_000_000_000).otherwise(F.col("ts_nanos")).alias("ts_nanos"),
@@ -111,12 +119,23 @@ def dirty(spark, d):
         "volume",
         "span_secs",
         "pos",
+        F.concat(F.lit("f"), F.expr("pos div 400")).alias("file"),
     )
 
 
 @query(DIRTY + "SELECT symbol, ts_nanos, open, high, low, close, volume, span_secs, pos FROM kp", "bars")
 def clean_bars(spark, d):
-    return validation.clean(dirty(spark, d), "pos")
+    return validation.clean(dirty(spark, d), "pos").drop("file")
+
+
+@query(DIRTY + "SELECT * FROM fc", "bars")
+def validation_report(spark, d):
+    return validation.file_report(dirty(spark, d), "file", "pos")
+
+
+@query(DIRTY + "SELECT file, symbol, ts_nanos, close, pos, row_number() OVER (PARTITION BY file ORDER BY ts_nanos, pos) AS place FROM fk WHERE file IN (SELECT file FROM fc WHERE needs_cleaning)", "bars")
+def cleaned_siblings(spark, d):
+    return validation.cleaned(dirty(spark, d), "file", "pos").select("file", "symbol", "ts_nanos", "close", "pos", "place")
 
 
 @query(
@@ -127,7 +146,7 @@ oz AS (SELECT ts_nanos, CASE WHEN count(r) OVER w >= 15 AND stddev_pop(r) OVER w
 SELECT * FROM (SELECT 'bad_symbol' AS type, count(*) AS n, min(ts_nanos) AS first FROM q WHERE NOT regexp_full_match(symbol, '[A-Z0-9.-]{1,12}')
 UNION ALL SELECT 'non_positive', count(*), min(ts_nanos) FROM q WHERE NOT (least(open, high, low, close) > 0 AND volume >= 0)
 UNION ALL SELECT 'ohlc', count(*), min(ts_nanos) FROM q WHERE least(open, high, low, close) > 0 AND volume >= 0 AND NOT (open BETWEEN low AND high AND close BETWEEN low AND high)
-UNION ALL SELECT 'non_monotonic', count(*), min(ts_nanos) FROM (SELECT *, lag(ts_nanos) OVER (PARTITION BY symbol ORDER BY pos) AS b FROM q) WHERE ts_nanos <= b
+UNION ALL SELECT 'non_monotonic', count(*), min(ts_nanos) FROM (SELECT *, lag(ts_nanos) OVER (PARTITION BY file ORDER BY pos) AS b FROM kp) WHERE ts_nanos <= b
 UNION ALL SELECT 'duplicate', sum(c)::BIGINT, min(ts_nanos) FROM (SELECT symbol, ts_nanos, count(*) - 1 AS c FROM ok GROUP BY 1, 2 HAVING count(*) > 1)
 UNION ALL SELECT 'gap', count(*), min(ts_nanos) FROM st JOIN md USING (symbol) WHERE c >= 2 AND m > 0 AND step > 5 * m
 UNION ALL SELECT 'outlier', count(*), min(ts_nanos) FROM oz WHERE abs(z) > 5
@@ -135,7 +154,7 @@ UNION ALL SELECT 'split', count(*), min(ts_nanos) FROM st WHERE greatest(ratio,
     "bars",
 )
 def validation_issues(spark, d):
-    return validation.issues(dirty(spark, d), "pos")
+    return validation.issues(dirty(spark, d), "pos", "file")
 
 
 @query("SELECT symbol FROM (SELECT DISTINCT 'S' || s_suppkey AS symbol FROM supplier) LEFT JOIN (SELECT 'S' || l_suppkey AS symbol, avg(l_quantity) AS adv FROM lineitem WHERE l_suppkey % 9 <> 0 GROUP BY 1) USING (symbol) WHERE coalesce(adv, 1e308) >= 25.5 AND symbol NOT IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
@@ -220,18 +239,114 @@ def fundamental_score(spark, d):
 
 
 @query(
-    """, o AS (SELECT l_suppkey AS u, 80 + l_linenumber * 6.0 + l_partkey % 7 AS strike, 0.1 + l_discount AS iv, l_quantity AS volume, l_quantity * 2 AS oi, l_returnflag = 'R' AS put FROM lineitem)
-SELECT u, round(avg(iv) FILTER (abs(strike / 100 - 1) <= 0.05), 6) AS iv_atm, round(arg_min(iv, (abs(strike - 92), strike, iv)) FILTER (put) - arg_min(iv, (abs(strike - 108), strike, iv)) FILTER (NOT put), 6) + 0.0 AS skew,
-round(sum(volume) FILTER (put) / sum(volume) FILTER (NOT put), 6) AS pc_volume, round(sum(oi) FILTER (put) / sum(oi) FILTER (NOT put), 6) AS pc_oi,
-round(sum(oi * exp(-pow((ln(100 / strike) + (0.05 + iv * iv / 2) * 0.1) / (iv * sqrt(0.1)), 2) / 2) / sqrt(2 * pi()) / (100 * iv * sqrt(0.1)) * 100 * 100 * 100), 0) AS gex FROM o GROUP BY 1""".replace(", o AS", "WITH o AS", 1)
+    """, o AS (SELECT l_suppkey AS u, 100.0 + l_suppkey % 5 AS spot, 0.08 + l_suppkey % 3 * 0.01 AS years, 80 + l_linenumber * 6.0 + l_partkey % 7 AS strike, 0.1 + l_discount AS iv, l_quantity AS volume, l_quantity * 2 AS oi, l_returnflag = 'R' AS put, l_linestatus = 'O' AS front FROM lineitem),
+f AS (SELECT * FROM o WHERE front)
+SELECT u, round(iv_atm, 6) AS iv_atm, round(skew, 6) + 0.0 AS skew, round(pc_volume, 6) AS pc_volume, round(pc_oi, 6) AS pc_oi, round(gex, 0) AS gex, round(next_atm - iv_atm, 6) + 0.0 AS term_slope
+FROM (SELECT u, avg(iv) FILTER (abs(strike / spot - 1) <= 0.05) AS iv_atm, arg_min(iv, (abs(strike - 0.92 * spot), strike, iv)) FILTER (put) - arg_min(iv, (abs(strike - 1.08 * spot), strike, iv)) FILTER (NOT put) AS skew,
+sum(volume) FILTER (put) / sum(volume) FILTER (NOT put) AS pc_volume, sum(oi) FILTER (put) / sum(oi) FILTER (NOT put) AS pc_oi,
+sum(oi * exp(-pow((ln(spot / strike) + (0.05 + iv * iv / 2) * years) / (iv * sqrt(years)), 2) / 2) / sqrt(2 * pi()) / (spot * iv * sqrt(years)) * 100 * spot * spot) AS gex FROM f GROUP BY 1)
+FULL JOIN (SELECT u, avg(iv) FILTER (NOT front AND abs(strike / spot - 1) <= 0.05) AS next_atm FROM o GROUP BY 1) USING (u)""".replace(", o AS", "WITH o AS", 1)
 )
 def option_features(spark, d):
     from tidewater.operators.packs import option_features as pack
 
     x = read(spark, d, "lineitem")
-    o = x.select(F.col("l_suppkey").alias("u"), (80 + F.col("l_linenumber") * 6.0 + F.col("l_partkey") % 7).alias("strike"), (0.1 + F.col("l_discount")).alias("iv"), F.col("l_quantity").alias("volume"), (F.col("l_quantity") * 2).alias("oi"), (F.col("l_returnflag") == "R").alias("put"))
-    p = pack(o, ["u"], 100.0, 0.1)
-    return p.select("u", r("iv_atm").alias("iv_atm"), r("skew").alias("skew"), r("pc_volume").alias("pc_volume"), r("pc_oi").alias("pc_oi"), F.round("gex", 0).alias("gex"))
+    o = x.select(F.col("l_suppkey").alias("u"), (100.0 + F.col("l_suppkey") % 5).alias("spot"), (0.08 + F.col("l_suppkey") % 3 * 0.01).alias("years"), (80 + F.col("l_linenumber") * 6.0 + F.col("l_partkey") % 7).alias("strike"), (0.1 + F.col("l_discount")).alias("iv"), F.col("l_quantity").alias("volume"), (F.col("l_quantity") * 2).alias("oi"), (F.col("l_returnflag") == "R").alias("put"), (F.col("l_linestatus") == "O").alias("front"))
+    p = pack(o, ["u"])
+    return p.select("u", *(r(c).alias(c) for c in ("iv_atm", "skew", "pc_volume", "pc_oi")), F.round("gex", 0).alias("gex"), r("term_slope").alias("term_slope"))
+
+
+def landed(spark, df, header: bool = True) -> str:
+    """df as CSV in a folder of its own, for the loaders."""
+    from tidewater.plans.streams import _folder
+
+    path = _folder(spark)
+    df.write.option("header", header).csv(path)
+    return path
+
+
+@query("SELECT ts_nanos, arg_min(value, series) AS value FROM series WHERE ts_nanos // 86400000000000 % 11 <> 0 GROUP BY 1", "series")
+def series_loader(spark, d):
+    """Series landed as one file with bad rows, loaded as the first value of each time."""
+    s = series(spark, d)
+    bad = F.col("ts_nanos") / 86_400_000_000_000
+    rows = s.select("ts_nanos", "series", F.when(F.floor(bad) % 11 != 0, F.col("value").cast("string")).otherwise(F.lit("n/a")).alias("value"))
+    return readers.load_one(spark, landed(spark, rows.coalesce(1).sortWithinPartitions("ts_nanos", "series")))
+
+
+@query("SELECT ts_nanos, value FROM series WHERE series = 'building' AND ts_nanos // 86400000000000 % 7 <> 0", "series")
+def macro_loader(spark, d):
+    """A macro file without a header, NaN and infinite values dropped."""
+    s = series(spark, d).filter("series = 'building'")
+    day = F.floor(F.col("ts_nanos") / 86_400_000_000_000)
+    value = F.when(day % 14 == 0, F.lit("NaN")).when(day % 14 == 7, F.lit("Infinity")).otherwise(F.col("value").cast("string"))
+    return readers.load_macro(spark, landed(spark, s.select("ts_nanos", "series", value.alias("value")).coalesce(1), header=False))
+
+
+@query("SELECT epoch_us(ts::DATE::TIMESTAMP) * 1000 AS ts_nanos, count(*)::DOUBLE AS views FROM events WHERE event_type = 'view' GROUP BY 1")
+def pageviews_loader(spark, d):
+    e = read(spark, d, "events").filter("event_type = 'view'")
+    v = e.groupBy((F.unix_date(F.to_date("ts")).cast("long") * 86_400_000_000_000).alias("ts_nanos"), F.col("event_type").alias("article")).agg(F.count(F.lit(1)).alias("views"))
+    return readers.load_pageviews(spark, landed(spark, v.coalesce(1)))
+
+
+TONE = """SELECT upper(event_type) AS actor, (epoch_us(date_trunc('hour', ts))) * 1000 AS ts_nanos, round(avg(value), 6) AS avg_tone, count(*) AS num_events FROM events GROUP BY 1, 2"""
+
+
+@query(f"SELECT ts_nanos, avg_tone, num_events::DOUBLE AS num_events FROM ({TONE}) WHERE actor = 'CLICK'")
+def tone_loader(spark, d):
+    """A news file whose columns stand in another order than documented, found by name."""
+    t = tone(spark, d).filter("actor = 'CLICK'").select("num_events", "actor", "ts_nanos", "avg_tone")
+    return readers.load_tone(spark, landed(spark, t.coalesce(1)))
+
+
+def tone(spark, d):
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 3_600_000_000_000
+    return read(spark, d, "events").groupBy(F.upper("event_type").alias("actor"), hour.alias("ts_nanos")).agg(F.round(F.avg("value"), 6).alias("avg_tone"), F.count(F.lit(1)).alias("num_events"))
+
+
+@query(
+    f"""WITH t AS ({TONE}),
+f AS (SELECT actor, ts_nanos, CASE WHEN count(*) OVER m >= 30 AND stddev_samp(avg_tone) OVER m > 1e-12 THEN (avg_tone - avg(avg_tone) OVER m) / stddev_samp(avg_tone) OVER m END AS tone_z, CASE WHEN count(*) OVER w = 7 THEN avg_tone - avg(avg_tone) OVER w END AS tone_momentum,
+CASE WHEN count(*) OVER m >= 30 AND stddev_samp(num_events) OVER m > 1e-12 THEN (num_events - avg(num_events) OVER m) / stddev_samp(num_events) OVER m END AS news_volume_z FROM t
+WINDOW m AS (PARTITION BY actor ORDER BY ts_nanos ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY actor ORDER BY ts_nanos ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+SELECT actor, ts_nanos, feature, round(value, 5) + 0.0 AS value FROM f UNPIVOT (value FOR feature IN (tone_z, tone_momentum, news_volume_z))"""
+)
+def tone_features(spark, d):
+    from tidewater.operators.packs import tone_features as pack
+
+    return pack(tone(spark, d), ["actor"]).withColumn("value", r("value", 5))
+
+
+@query("SELECT symbol, ts_nanos, round(CASE WHEN count(*) OVER w >= 20 AND stddev_pop(v) OVER w > 0 THEN (v - avg(v) OVER w) / stddev_pop(v) OVER w END, 5) + 0.0 AS z FROM (SELECT symbol, ts_nanos, high - low AS v FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY ts_nanos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)", "bars")
+def topology_change(spark, d):
+    """The change score of a norm by symbol (the bars' range stands for it)."""
+    from tidewater.operators.packs import topology_z
+
+    b = bars(spark, d).select("symbol", "ts_nanos", (F.col("high") - F.col("low")).alias("v"))
+    return topology_z(b, ["symbol"], "ts_nanos", "v").select("symbol", "ts_nanos", r("z", 5).alias("z"))
+
+
+@query("SELECT epoch_us(make_date(1990 + (k % 30)::INT, 12, 31)::TIMESTAMP) * 1000 AS ts_nanos, 'C' || k // 30 AS country, 'GDP' AS indicator, round(v, 6) AS value FROM (SELECT p_partkey AS k, p_retailprice / 3 AS v FROM part) WHERE k % 13 <> 0")
+def world_bank(spark, d):
+    p = read(spark, d, "part").select(F.concat(F.lit("C"), F.expr("p_partkey div 30")).alias("country"), (1990 + F.col("p_partkey") % 30).cast("string").alias("date"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice") / 3).alias("value"))
+    g = p.groupBy("country", F.lit("GDP").alias("indicator")).agg(F.to_json(F.collect_list(F.struct("date", "value"))).alias("items"))
+    return readers.world_bank(g.select("country", "indicator", F.concat(F.lit('[{"page": 1}, '), "items", F.lit("]")).alias("payload")), "payload")
+
+
+@query("SELECT epoch_us(ts::DATE::TIMESTAMP) * 1000 AS ts_nanos, event_type AS article, count(*) AS views FROM events GROUP BY 1, 2")
+def article_views(spark, d):
+    e = read(spark, d, "events").groupBy(F.col("event_type").alias("article"), F.date_format("ts", "yyyyMMdd00").alias("timestamp")).agg(F.count(F.lit(1)).alias("views"))
+    g = e.groupBy("article").agg(F.collect_list(F.struct("timestamp", "views")).alias("items"))
+    return readers.article_views(g.select("article", F.to_json(F.struct("items")).alias("payload")), "payload")
+
+
+@query("SELECT epoch_us(d::TIMESTAMP) * 1000 AS ts_nanos, a::DOUBLE AS bull_pct, b::DOUBLE AS neutral_pct, c::DOUBLE AS bear_pct, (a - c)::DOUBLE AS bull_bear_spread FROM (SELECT o_orderdate::DATE AS d, count(*) FILTER (o_orderstatus = 'O') AS a, count(*) FILTER (o_orderstatus = 'P') AS b, count(*) FILTER (o_orderstatus = 'F') AS c FROM orders GROUP BY 1)")
+def survey_sentiment(spark, d):
+    """Shares written into a page as arrays and read out of it."""
+    o = read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(*(F.count_if(F.col("o_orderstatus") == s).alias(s) for s in "OPF"))
+    page = o.select(F.format_string('<p>x [ "%s" , %d, %d ,%d] y</p>', F.col("day").cast("string"), "O", "P", "F").alias("html"))
+    return readers.survey_rows(page, "html")
 
 
 @query("SELECT strategy, regime, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT event_type AS strategy, CASE WHEN user_id % 3 = 0 THEN 'none' ELSE 'r' || user_id % 3 END AS regime, value AS v FROM events) GROUP BY 1, 2")

@@ -108,15 +108,21 @@ def transport_blend(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT upper(event_type) AS symbol, strftime(ts, '%Y-%m-%d') AS session, hour(ts) * 60 + minute(ts) AS minute, avg(value) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2, 3),
+    """WITH b AS (SELECT upper(event_type) AS symbol, strftime(ts, '%Y-%m-%d') AS session, hour(ts) * 60 + minute(ts) AS minute, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, avg(value) AS close, count(*)::DOUBLE AS volume FROM (SELECT event_id, event_type, value, ts - INTERVAL 5 HOUR AS ts FROM events) WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 959 GROUP BY 1, 2, 3),
 k AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY session DESC) AS q, CASE WHEN close > 0 AND lag(close) OVER (PARTITION BY symbol, session ORDER BY minute) > 0 THEN ln(close / lag(close) OVER (PARTITION BY symbol, session ORDER BY minute)) END AS r FROM b) WHERE q <= 5)
-SELECT symbol, round(sqrt(sum(r * r) * 98280 / count(r)), 5) AS realized_vol, round(arg_max(close, (session, minute)) / (sum(close * volume) / sum(volume)) - 1, 5) + 0.0 AS vwap_premium, round(ln(avg(close) FILTER (minute >= 930 AND minute < 960)) - ln(avg(close) FILTER (minute >= 810 AND minute < 870)), 5) + 0.0 AS afternoon_drift FROM k GROUP BY 1"""
+SELECT symbol, round(sqrt(sum(r * r) * 98280 / count(r)), 5) AS realized_vol, round(arg_max(close, (session, minute)) / (sum(close * volume) / sum(volume)) - 1, 5) + 0.0 AS vwap_premium, round(ln(avg(close) FILTER (minute >= 930 AND minute < 960)) - ln(avg(close) FILTER (minute >= 810 AND minute < 870)), 5) + 0.0 AS afternoon_drift,
+round((max(high) FILTER (minute < 600) - min(low) FILTER (minute < 600)) / arg_min(open, (session, minute)), 5) + 0.0 AS opening_range,
+round(CASE WHEN coalesce(var_pop(ln(volume)), 0) < 1e-12 THEN 0 ELSE covar_pop(minute, ln(volume)) / sqrt(var_pop(ln(volume)) * var_pop(minute)) END, 5) + 0.0 AS volume_slope FROM k GROUP BY 1"""
 )
 def intraday_pack(spark, d):
+    """Minute bars by the New York clock (the events are of January, five hours behind UTC), regular hours, five features."""
+    from tidewater.sources.readers import load_intraday
+
     e = read(spark, d, "events")
-    m = e.groupBy(F.upper("event_type").alias("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("session"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute")).agg(F.avg("value").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
-    m = m.withColumns({"open": F.col("close"), "high": F.col("close"), "low": F.col("close")})
-    return packs.intraday_features(m).select("symbol", r("realized_vol", 5).alias("realized_vol"), r("vwap_premium", 5).alias("vwap_premium"), r("afternoon_drift", 5).alias("afternoon_drift"))
+    at = F.struct("ts", "event_id")
+    minute = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") * 60_000_000_000
+    m = e.groupBy(F.upper("event_type").alias("symbol"), minute.alias("ts_nanos")).agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.avg("value").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
+    return packs.intraday_features(load_intraday(m)).select("symbol", *(r(c, 5).alias(c) for c in ("realized_vol", "vwap_premium", "afternoon_drift", "opening_range", "volume_slope")))
 
 
 def markdown(df: DataFrame, rows: int = 20) -> list[str]:

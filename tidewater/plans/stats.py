@@ -83,6 +83,45 @@ def transfer_entropy_pairs(spark, d):
     return dep.transfer_entropy(return_pairs(spark, d)).withColumn("te", r("te"))
 
 
+def _history_sql(depths=(1, 2, 3), horizons=(1, 5, 21), bins: int = 4) -> str:
+    moved = " UNION ALL ".join(f"SELECT a, b, {h} AS h, ts_nanos, x, lead(y, {h}) OVER (PARTITION BY a, b ORDER BY ts_nanos) AS y FROM pr" for h in horizons)
+    rank = lambda c: f"least({bins - 1}, ((row_number() OVER (PARTITION BY a, b, h ORDER BY {c}, ts_nanos) - 1) * {bins}) // count(*) OVER (PARTITION BY a, b, h))"
+    lags = ", ".join(f"lag(q{c}, {k}) OVER o AS {c}{k}" for c in "xy" for k in range(max(depths)))
+    past = lambda c, k: "concat_ws(',', " + ", ".join(f"{c}{i}" for i in range(k)) + ")"
+    grid = " UNION ALL ".join(f"SELECT a, b, h, {k} AS k, {l} AS l, nx, {past('y', k)} AS y, {past('x', l)} AS x FROM lg WHERE nx IS NOT NULL AND i >= {max(k, l)} AND n >= {max(k, l) + 3}" for k in depths for l in depths)
+    return f""", mv AS (SELECT * FROM ({moved}) WHERE y IS NOT NULL),
+qb AS (SELECT a, b, h, ts_nanos, {rank('x')} AS qx, {rank('y')} AS qy, count(*) OVER (PARTITION BY a, b, h) AS n FROM mv),
+lg AS (SELECT a, b, h, n, row_number() OVER o - 1 AS i, lead(qy) OVER o AS nx, {lags} FROM qb WINDOW o AS (PARTITION BY a, b, h ORDER BY ts_nanos)),
+fl AS (SELECT a, b, k, l, h, nx, y, x, count(*) AS c FROM ({grid}) GROUP BY ALL)
+SELECT a, b, k, l, h, round(greatest(0, sum(c / n * ln(c * cy / (cyx * cny)))), 6) + 0.0 AS te FROM (SELECT *, sum(c) OVER (PARTITION BY a, b, k, l, h, y, x) AS cyx, sum(c) OVER (PARTITION BY a, b, k, l, h, nx, y) AS cny, sum(c) OVER (PARTITION BY a, b, k, l, h, y) AS cy, sum(c) OVER (PARTITION BY a, b, k, l, h) AS n FROM fl) GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query(_history_sql())
+def transfer_entropy_histories(spark, d):
+    return dep.history_entropy(return_pairs(spark, d), (1, 2, 3), (1, 5, 21)).withColumn("te", r("te"))
+
+
+@query(
+    """SELECT symbol, alpha, round(CASE WHEN alpha = 1 THEN -sum(p * ln(p)) ELSE ln(sum(pow(p, alpha))) / any_value(1 - alpha) END, 6) + 0.0 AS h FROM (SELECT symbol, c / sum(c) OVER (PARTITION BY symbol) AS p FROM (SELECT symbol, floor(close / 25) AS bin, count(*) AS c FROM filled GROUP BY 1, 2)), (SELECT unnest([0.5, 1.0, 2.0, 3.0])::DOUBLE AS alpha) GROUP BY 1, 2""",
+    ctes="",
+)
+def renyi_entropies(spark, d):
+    cells = filled(spark, d).select("symbol", F.floor(F.col("close") / 25).alias("bin"))
+    return dep.renyi_entropy(cells, ["symbol"], "bin", (0.5, 1.0, 2.0, 3.0)).withColumn("h", r("h"))
+
+
+@query(
+    """, c AS (SELECT 'pearson' AS kind, a, b, corr(x, y) AS rho FROM pr GROUP BY 1, 2, 3 UNION ALL SELECT 'spearman', a, b, corr(x, y) FROM rk GROUP BY 1, 2, 3),
+m AS (SELECT kind, a AS i, b AS j, rho FROM c UNION ALL SELECT kind, b, a, rho FROM c UNION ALL SELECT DISTINCT kind, s, s, 1.0 FROM (SELECT kind, unnest([a, b]) AS s FROM c))
+SELECT kind, i, j, round(rho, 6) + 0.0 AS rho FROM m""",
+    ctes=RETURNS + RANKED,
+)
+def correlation_matrices(spark, d):
+    p = return_pairs(spark, d)
+    both = [dep.correlation_matrix(p, rank).withColumn("kind", F.lit(name)) for name, rank in (("pearson", False), ("spearman", True))]
+    return both[0].unionByName(both[1]).select("kind", "i", "j", r("rho").alias("rho"))
+
+
 @query(
     "SELECT a, b, round(count(*) FILTER (x / (n + 1) > 0.9 AND y / (n + 1) > 0.9) / (count(*) * (1 - 0.9::DOUBLE)), 6) + 0.0 AS upper, round(count(*) FILTER (x / (n + 1) <= 1 - 0.9::DOUBLE AND y / (n + 1) <= 1 - 0.9::DOUBLE) / (count(*) * (1 - 0.9::DOUBLE)), 6) + 0.0 AS lower FROM rk GROUP BY 1, 2",
     ctes=RETURNS + RANKED,

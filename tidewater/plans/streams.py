@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,18 +26,23 @@ def query(oracle: str | None = None):
 
 
 def _folder(spark) -> str:
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # unknown to this session
-        root = None
+    """A new folder in the one that the session names; where it names none, of its own in local mode, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
 
 
+def _stream(spark, d, name):
+    """A table's folder as a stream of whole files."""
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/{name}.parquet*")
+
+
 def _source(spark, d):
-    """The events folder as a stream of whole files; ts gets the UTC zone that a watermark needs."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    return e.select(F.timestamp_micros((nanos("ts") / 1000).cast("long")).alias("ts"), F.upper("event_type").alias("symbol"), "event_id", "value", nanos("ts").alias("ts_nanos"))
+    """The events as a stream; ts gets the UTC zone that a watermark needs."""
+    e = _stream(spark, d, "events")
+    return e.select(F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("ts"), F.upper("event_type").alias("symbol"), "user_id", "event_id", "value", nanos("ts").alias("ts_nanos"))
 
 
 def _finish(spark, stream):
@@ -55,12 +61,42 @@ def streaming_ema(spark, d):
     return out.select("symbol", "ts_nanos", (F.round("mean", 5) + F.lit(0.0)).alias("mean"), (F.round("var", 3) + F.lit(0.0)).alias("var"))
 
 
-@query()
+MARK = "(SELECT epoch_us(max(ts)) - 600000000 FROM events)"  # the watermark after the last file, ten minutes behind
+
+
+@query(
+    f"""SELECT (epoch_us(date_trunc('hour', ts)) + 3600000000) * 1000 AS ts_nanos, upper(event_type) AS symbol, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
+FROM events GROUP BY 1, 2 HAVING (epoch_us(any_value(date_trunc('hour', ts))) + 3600000000) <= {MARK}"""
+)
 def streaming_bars(spark, d):
-    """Rows only: the last hours stay open behind the watermark."""
+    """Hours that the watermark has passed; the last ones stay open behind it."""
     return _finish(spark, st.tumbling_bars(_source(spark, d)))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT upper(event_type) AS symbol, ts, value, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true) AS opens FROM events),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM t)
+SELECT symbol, epoch_us(min(ts)) * 1000 AS start_nanos, (epoch_us(max(ts)) + 1800000000) * 1000 AS end_nanos, count(*) AS n, round(avg(value), 6) AS mean FROM s GROUP BY symbol, k HAVING epoch_us(max(ts)) + 1800000000 <= {MARK}"""
+)
 def streaming_sessions(spark, d):
-    return _finish(spark, st.sessions(_source(spark, d)))
+    out = _finish(spark, st.sessions(_source(spark, d)))
+    return out.select("symbol", (F.unix_micros("start") * 1000).alias("start_nanos"), (F.unix_micros("end") * 1000).alias("end_nanos"), "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"))
+
+
+@query(f"SELECT user_id, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY 1 HAVING epoch_us(max(ts)) // 1000 + 21600000 < {MARK} // 1000")
+def streaming_idle(spark, d):
+    """Users whose timer of six hours has run out."""
+    return _finish(spark, st.idle_alerts(_source(spark, d).select("user_id", "ts"), "user_id", 21_600_000))
+
+
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS k, epoch_us(ts) * 1000 AS t, event_id % 3 = 0 AS new, (1 + event_id % 5)::DOUBLE AS qty, value AS price FROM events),
+c AS (SELECT k, t, sum(CASE WHEN new THEN qty ELSE 0 END) OVER w AS asked, sum(CASE WHEN new THEN 0 ELSE qty END) OVER w AS filled, sum(CASE WHEN new THEN 0 ELSE qty * price END) OVER w AS paid FROM e WINDOW w AS (PARTITION BY k ORDER BY t))
+SELECT k AS order_id, t AS ts_nanos, CASE WHEN filled = 0 THEN 'Accepted' WHEN filled >= asked AND asked > 0 THEN 'Filled' ELSE 'PartiallyFilled' END AS status, filled, round(CASE WHEN filled > 0 THEN paid / filled ELSE 0 END, 8) + 0.0 AS vwap FROM c"""
+)
+def streaming_orders(spark, d):
+    """A user's events as submissions (every third) and fills of one order."""
+    e = _stream(spark, d, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, F.lit("submit")).otherwise(F.lit("fill"))
+    rows = e.select(F.col("user_id").cast("string").alias("order_id"), nanos("ts").alias("ts_nanos"), kind.alias("kind"), (1 + F.col("event_id") % 5).cast("double").alias("qty"), F.col("value").alias("price"))
+    return _finish(spark, st.streaming_orders(rows)).select("order_id", "ts_nanos", "status", "filled", (F.round("vwap", 8) + F.lit(0.0)).alias("vwap"))

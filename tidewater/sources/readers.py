@@ -14,10 +14,74 @@ from pyspark.sql import functions as F
 from tidewater import schemas
 
 
-def header_kind(spark: SparkSession, path: str) -> str:
-    """The kind of series a CSV file holds, by its exact header line."""
+# How a series file's header starts -> kind, name column, value column
+STARTS = {
+    ("ts_nanos", "symbol"): ("bar", "symbol", "close"),
+    ("ts_nanos", "series"): ("series", "series", "value"),
+    ("ts_nanos", "factor"): ("factor", "factor", "value"),
+    ("ts_nanos", "tenor"): ("yield", "tenor", "yield_pct"),
+    ("ts_nanos", "article"): ("pageviews", "article", "views"),
+}
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
     line = spark.read.text(path).first()
-    return schemas.HEADERS.get((line[0] if line else "").strip(), "unknown")
+    return [c.strip() for c in (line[0] if line else "").split(",")]
+
+
+def header_kind(spark: SparkSession, path: str) -> str:
+    """The kind of series a CSV file holds, by the first two names of its header; 'unknown' for any other."""
+    return STARTS.get(tuple(_header(spark, path)[:2]), ("unknown",))[0]
+
+
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def load_columns(spark: SparkSession, path: str, wanted: dict[str, tuple[tuple[str, ...], int]]) -> DataFrame:
+    """ts_nanos and the wanted numbers, by time; rows that don't parse, a header among them, or aren't finite are dropped.
+
+    wanted: output name -> (names it may have in the header, column where it has none of them).
+    A file needs no header: the columns then are those of the fallback.
+    """
+    names = _header(spark, path)
+    at = lambda choices, other: next((names.index(c) for c in choices if c in names), other)
+    raw = spark.read.csv(path, header=False)
+    field = lambda k, kind: (F.col(raw.columns[k]).try_cast(kind) if k < len(raw.columns) else F.lit(None).cast(kind))
+    out = raw.select(field(at(("ts_nanos",), 0), "long").alias("ts_nanos"), *(field(at(*w), "double").alias(n) for n, w in wanted.items()))
+    return out.filter(reduce(Column.__and__, (_finite(F.col(n)) for n in wanted), F.col("ts_nanos").isNotNull())).orderBy("ts_nanos")
+
+
+def load_macro(spark: SparkSession, path: str) -> DataFrame:
+    """ts_nanos, value of one macro file."""
+    return load_columns(spark, path, {"value": (("value",), 2)})
+
+
+def load_pageviews(spark: SparkSession, path: str) -> DataFrame:
+    """ts_nanos, views of one article's file."""
+    return load_columns(spark, path, {"views": (("views",), 2)})
+
+
+def load_tone(spark: SparkSession, path: str) -> DataFrame:
+    """ts_nanos, avg_tone, num_events of a news file by actor or by day."""
+    return load_columns(spark, path, {"avg_tone": (("avg_tone",), 2), "num_events": (("num_events", "n_events"), 3)})
+
+
+def load_one(spark: SparkSession, path: str) -> DataFrame:
+    """ts_nanos, value of a series file of a known header: the first value in file order for each time, sorted."""
+    series = read_series(spark, path, strict=True)
+    return series.groupBy("ts_nanos").agg(F.min_by("value", "place").alias("value")).orderBy("ts_nanos")
+
+
+NEW_YORK = "America/New_York"
+
+
+def load_intraday(bars: DataFrame, zone: str = NEW_YORK) -> DataFrame:
+    """Bars with session (date) and minute (of the day) on the exchange's clock, regular hours (09:30 to 16:00) only."""
+    utc = F.expr("timestampadd(MICROSECOND, ts_nanos div 1000, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    out = bars.withColumn("__local", local).withColumns({"session": F.to_date("__local"), "minute": F.hour("__local") * 60 + F.minute("__local")})
+    return out.filter(F.col("minute").between(570, 959)).drop("__local")
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -26,14 +90,18 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("volume", F.col("volume").cast("long").cast("double"))
 
 
-def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """ts_nanos, series, value of any known or unknown header: an unknown one's last column is the value."""
-    kind = header_kind(spark, path)
+def read_series(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """ts_nanos, series, value, place (order in the files) by the header; a row that doesn't parse is dropped.
+
+    An unknown header is an error if strict, else its last column is the value.
+    """
     raw = spark.read.option("header", True).csv(path)
-    cols = raw.columns
-    name, value = {"bar": ("symbol", "close"), "series": ("series", "value"), "factor": ("factor", "value"), "yield": ("tenor", "yield_pct"), "pageviews": ("article", "views")}.get(kind, (None, cols[-1]))
-    out = raw.select(F.expr(f"try_cast(`{cols[0]}` AS BIGINT)").alias("ts_nanos"), (F.col(name) if name else F.lit("value")).alias("series"), F.expr(f"try_cast(`{value}` AS DOUBLE)").alias("value"))
-    return out.filter("ts_nanos IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    found = STARTS.get(tuple(c.strip() for c in raw.columns[:2]))
+    if not found and strict:
+        raise ValueError(f"unknown header {raw.columns}")
+    _, name, value = found or ("unknown", None, raw.columns[-1])
+    out = raw.select(F.col(raw.columns[0]).try_cast("long").alias("ts_nanos"), (F.col(name) if name else F.lit("value")).alias("series"), F.col(value).try_cast("double").alias("value"), F.monotonically_increasing_id().alias("place"))
+    return out.filter(F.col("ts_nanos").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def bar_files(spark: SparkSession, root: str) -> DataFrame:
@@ -51,6 +119,17 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.select(*(c.split()[0] for c in schemas.BAR.split(", "))).write.option("header", True).csv(path)
 
 
+def write_equity(equity: DataFrame, path: str) -> None:
+    """ts_nanos, nav in the order of time."""
+    equity.select("ts_nanos", "nav").orderBy("ts_nanos").write.option("header", True).csv(path)
+
+
+def append_features(features: DataFrame, path: str) -> None:
+    """Add one snapshot's (ts_nanos, series, value) to a folder of CSV files; null and NaN values are left out."""
+    rows = features.select("ts_nanos", "series", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """Long features by series, ten decimals."""
     features.withColumn("value", F.round("value", 10)).write.partitionBy("series").parquet(path)
@@ -123,6 +202,40 @@ def zipped(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(F.arrays_zip(*arrays)).alias("z")).select(*keys, *(f"z.{a}" for a in arrays))
 
 
+def _year_end(year: Column) -> Column:
+    return F.unix_micros(F.make_timestamp_ltz(year, F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) * 1000
+
+
+def _day_nanos(day: Column) -> Column:
+    return F.unix_date(day).cast("long") * 86_400_000_000_000
+
+
+def world_bank(df: DataFrame, payload: str) -> DataFrame:
+    """ts_nanos (end of the year), country, indicator, value of payloads [meta, [{date, value}]]; gaps and other dates are dropped."""
+    items = F.from_json(F.get(F.from_json(payload, "array<string>"), F.lit(1)), "array<struct<date:string,value:string>>")
+    out = df.select("country", "indicator", F.explode(items).alias("i"))
+    out = out.select(F.col("i.date").try_cast("int").alias("year"), "country", "indicator", F.round(F.col("i.value").try_cast("double"), 6).alias("value"))
+    return out.filter("year BETWEEN 1 AND 9999 AND value IS NOT NULL").select(_year_end(F.col("year")).alias("ts_nanos"), "country", "indicator", "value")
+
+
+def article_views(df: DataFrame, payload: str) -> DataFrame:
+    """ts_nanos (start of the day), article, views of payloads {items: [{timestamp, views}]}."""
+    items = F.explode(F.from_json(payload, "items array<struct<timestamp:string,views:bigint>>")["items"])
+    out = df.select("article", items.alias("i")).filter(F.length("i.timestamp") >= 10)
+    day = F.to_date(F.try_to_timestamp(F.substring("i.timestamp", 1, 8), F.lit("yyyyMMdd")))
+    return out.select(_day_nanos(day).alias("ts_nanos"), "article", F.col("i.views").alias("views")).filter("ts_nanos IS NOT NULL AND views IS NOT NULL")
+
+
+def survey_rows(df: DataFrame, text: str) -> DataFrame:
+    """ts_nanos, bull_pct, neutral_pct, bear_pct, bull_bear_spread of the arrays ["yyyy-mm-dd", bull, neutral, bear] in a page."""
+    pattern = r'\[\s*"(\d{4}-\d{2}-\d{2})"\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\s*\]'
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(("day", "bull", "neutral", "bear"), 1)]
+    out = df.select(F.explode(F.arrays_zip(*parts)).alias("r"))
+    number = lambda n: F.col(f"r.{n}").try_cast("double")
+    out = out.select(_day_nanos(F.to_date(F.try_to_timestamp(F.col("r.day"), F.lit("yyyy-MM-dd")))).alias("ts_nanos"), *(F.round(number(n), 4).alias(f"{n}_pct") for n in ("bull", "neutral", "bear")), F.round(number("bull") - number("bear"), 4).alias("bull_bear_spread"))
+    return out.na.drop()
+
+
 def table_rows(html: Column, cells: str = "t[dh]") -> Column:
     """array<array<string>>: cells of each row of the tables of a page, tags stripped."""
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
@@ -131,9 +244,9 @@ def table_rows(html: Column, cells: str = "t[dh]") -> Column:
 
 
 def merge_append(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old and new rows, a new one in place of an old one with the same key."""
+    """Old and new rows, a new one in place of an old one with the same key; of several alike in this, the one with the largest values."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("__new"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("__new"), *(F.desc(c) for c in old.columns if c not in keys))
     return both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__new")
 
 

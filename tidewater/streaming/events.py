@@ -37,14 +37,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select("symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "mean")
 
 
-def keyed_fold(df: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], columns: list[str], output: str, state: str, timeout: str = "noTimeout") -> DataFrame:
+def keyed_fold(df: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], columns: list[str], output: str, state: str, idle_ms: int | None = None) -> DataFrame:
     """One output row an input row: step(state, row) -> (state, row out); the state is a tuple, kept by key.
 
-    step sees the columns in the given order; rows of a micro-batch are sorted by `order`.
+    step sees the columns in the given order; rows of a micro-batch are sorted by
+    `order`.  With idle_ms, a key without rows for so long (of processing time) is
+    forgotten and starts anew.
     """
     names = [c.split()[0] for c in output.split(", ")]
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         frame = pd.concat(list(frames)).sort_values(order, kind="stable")
         now = held.get if held.exists else start
         out = []
@@ -52,9 +58,34 @@ def keyed_fold(df: DataFrame, key: str, order: list[str], start: tuple, step: Ca
             now, made = step(tuple(now), row)
             out.append((k[0], *made))
         held.update(tuple(now))
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", timeout)
+
+
+def idle_alerts(df: DataFrame, key: str, limit_ms: int, late: str = "10 minutes") -> DataFrame:
+    """key, last_ms: keys whose last event is more than limit_ms of event time behind the watermark; a timer for each key.
+
+    df: key, ts.  Each event sets its key's timer anew; an alert ends the key's state, and its next event begins one.
+    """
+    kind = f"{key} {df.schema[key].dataType.simpleString()}, last_ms LONG"
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            last = held.get[0]
+            held.remove()
+            yield pd.DataFrame([(k[0], last)], columns=[key, "last_ms"])
+            return
+        last = max([held.get[0]] if held.exists else [0])
+        for frame in frames:
+            last = max(last, int(frame["ms"].max()))
+        held.update((last,))
+        held.setTimeoutTimestamp(last + limit_ms)
+
+    timed = df.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy(key).applyInPandasWithState(run, kind, "last_ms LONG", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ema_step(half_life: float) -> Callable[[tuple, tuple], tuple[tuple, tuple]]:
