@@ -547,3 +547,19 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def oracle_sql(n: int = 4, percent: int = 85) -> str:
+    from tidewater.llm.url_filters import LOWER, UPPER
+
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS c FROM s UNION SELECT p.b, r.c FROM r JOIN p ON r.id = p.a WHERE r.c < p.b)
+SELECT doc_id, len(g) AS n_shingles, c AS component_id FROM s JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) ON id = doc_id
+"""
+
+
+ORACLE_SQL = oracle_sql()

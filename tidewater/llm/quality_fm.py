@@ -15,7 +15,10 @@ fixed size (BUCKETS * (RANK + 1) floats).
 
 Defined results: null text counts as empty and gets a score like any other;
 without labels every score is 0.5 and predicted is 1; labels other than 0 and 1
-are ignored, and an id with labels of both kinds counts as 0.
+are ignored, and an id with labels of both kinds counts as 0; rows that repeat
+an id, or have none, are each scored (held_out is false without an id); an
+empty table gives an empty result; extra columns are not read (keep_good returns
+them as they are); a very long text is scored whole, with memory for its words.
 """
 
 from __future__ import annotations

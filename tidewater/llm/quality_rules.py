@@ -8,8 +8,10 @@ share of its characters lies inside repeated n-grams or lines, or when symbols
 outweigh words.
 
 Row-local: no shuffle, one pass, memory of one slice of texts.  Defined
-results: null or empty text has no words and fails the base rule; ties and
-repeated rows are judged row by row.
+results: null or empty text has no words and fails the base rule; ties, repeated
+rows and rows without an id are judged row by row; an empty table gives an
+empty result; extra columns are not read; a very long text is measured whole,
+with memory for its words.
 """
 
 from __future__ import annotations
@@ -146,3 +148,27 @@ def quality_rules(docs: DataFrame, limits: Limits = LIMITS, id_col: str = "doc_i
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("ngram_shares")
+
+
+def oracle_sql(limits: Limits = LIMITS) -> str:
+    share = " OR ".join(f"(k = {n} AND c > {most} * chars)" for n, most in limits.ngrams)
+    symbols = "[" + "".join("\\" + x for x in SYMBOLS) + "]"
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT key, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t),
+g AS (SELECT key, k, i, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM w, unnest([{", ".join(str(n) for n, _ in limits.ngrams)}]) AS v(k), unnest(range(1, len(ws) - k + 2)) AS u(i)),
+d AS (SELECT key, k, i FROM (SELECT *, count(*) OVER (PARTITION BY key, k, gram) AS c FROM g) WHERE c > 1),
+c AS (SELECT DISTINCT key, k, i + o AS j FROM d, unnest(range(0, k)) AS x(o)),
+s AS (SELECT key, k, count(*) AS n, sum(length(ws[j])) AS c FROM c JOIN w USING (key) GROUP BY 1, 2),
+l AS (SELECT key, line, row_number() OVER (PARTITION BY key, line) AS nth FROM (SELECT key, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ln AS (SELECT key, count(*) AS lines, count(*) FILTER (nth > 1) AS dups, coalesce(sum(length(line)) FILTER (nth > 1), 0) AS dup_chars FROM l GROUP BY 1),
+m AS (SELECT key, doc_id, length(text) AS size, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS chars, len(regexp_extract_all(text, '{symbols}')) AS n_symbols, (length(text) - length(replace(text, '!!', ''))) // 2 AS shouts FROM t JOIN w USING (key)),
+f AS (SELECT m.*, coalesce(dups, 0) AS dups, coalesce(dup_chars, 0) AS dup_chars, coalesce(lines, 0) AS lines, coalesce(s.n, 0) AS repeats, EXISTS (SELECT 1 FROM s z WHERE z.key = m.key AND ({share})) AS covered FROM m LEFT JOIN ln USING (key) LEFT JOIN s ON s.key = m.key AND s.k = 3),
+b AS (SELECT *, n_words < {limits.min_words} OR 100 * repeats > {limits.max_repeat_percent} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, chars AS word_chars, n_symbols, dups AS n_dup_lines, repeats AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (covered OR dup_chars > {limits.dup_line_chars} * size OR dups > greatest(1, {limits.dup_lines} * lines) OR n_symbols > {limits.symbols_per_word} * n_words OR shouts > {limits.shouts_per_word} * n_words) AS kept
+FROM b
+"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_ngram_join": near_dup.ORACLE_SQL,
+    "op10_quality_rules": quality_rules.ORACLE_SQL,
     "op6_url_filters": url_filters.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
