@@ -386,6 +386,19 @@ def brute_rules(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
+def brute_covered(t, n):
+    """Share of word characters inside n-grams that occur twice or more."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = collections.Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    covered = {j for k in range(len(w) - n + 1) if grams[tuple(w[k : k + n])] > 1 for j in range(k, k + n)}
+    return sum(len(w[j]) for j in covered) / max(1, sum(map(len, w)))
+
+
+def test_shares_against_brute_force(spark, documents, texts):
+    for r in quality_rules.quality_rules(documents).collect():
+        assert r.ngram_shares == pytest.approx([brute_covered(texts[r.doc_id], n) for n in quality_rules.LENGTHS])
+
+
 def test_quality_rules(spark, sf, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     wrong = 0
@@ -404,27 +417,136 @@ def test_coverage_of_longer_grams():
     assert shares[:3] == pytest.approx([covered / total] * 3) and shares[3] == 0
 
 
-@pytest.mark.parametrize("name", ["exact", "near", "pii", "rules", "score", "licence", "tokens", "packing", "bpe", "keep_one", "one_of_each", "sanitise", "keep_good"])
-@pytest.mark.parametrize("which", ["odd", "none"])
-def test_odd_inputs(spark, odd, none, tmp_path, name, which):
-    d = odd if which == "odd" else none
-    n = d.count()
+def rows_of(df):
+    return [(r.doc_id, r.text or "") for r in df.collect()]
+
+
+def multiset(rows):
+    return collections.Counter(map(str, rows))
+
+
+def test_odd_exact(odd, none):
+    texts = collections.defaultdict(list)
+    for i, t in rows_of(odd):
+        texts[t].append(i)
+    want = []
+    for t, ids in texts.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+    found = exact_dedup.exact_dedup(odd)
+    assert multiset(tuple(r) for r in found.collect()) == multiset(want)
+    kept = exact_dedup.keep_one(odd)
+    assert kept.columns == odd.columns and multiset(rows_of(kept)) == multiset((i, t) for t, ids in texts.items() for i in ids if i == max((x for x in ids if x is not None), default=None))
+    assert exact_dedup.exact_dedup(none).count() == exact_dedup.keep_one(none).count() == 0
+
+
+def test_exact_copies_are_verified_by_content(spark, monkeypatch):
+    """With digests of one byte, different texts share them, and only content tells them apart."""
+    monkeypatch.setattr(exact_dedup, "DIGEST_BYTES", 1)
+    rng = random.Random(1)
+    rows = [(k, f"text {rng.randrange(400)}", "x") for k in range(900)] + [(None, "text 1", "x"), (5000, None, "x"), (5001, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, dedup_digest string")
+    groups = collections.defaultdict(list)
+    for i, t, _ in rows:
+        groups[t or ""].append(i)
+    want = {(i, max(x for x in ids if x is not None), len(ids)) for ids in groups.values() for i in ids}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(d).collect()} == want
+    assert {r.doc_id for r in exact_dedup.keep_one(d).collect()} == {k for _, k, _ in want}
+
+
+def brute_groups(rows, n, percent):
+    """(id, text) rows to the smallest id of each row's component, row by row."""
+    found = brute_components([(k, t) for k, (_, t) in enumerate(rows)], n, percent)
+    least = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        least[found[k][1]].append(i)
+    return [(i, found[k][0], min((x for x in least[found[k][1]] if x is not None), default=None) if found[k][0] else i) for k, (i, _) in enumerate(rows)]
+
+
+def test_odd_near(spark, odd, none):
+    rows = rows_of(odd)
+    assert multiset(tuple(r) for r in near_dup.near_duplicates(odd).collect()) == multiset(brute_groups(rows, 5, 80))
+    kept = near_dup.one_of_each(odd)
+    assert kept.columns == odd.columns and multiset(rows_of(kept)) == multiset((i, t) for i, t in rows if (i, t) != (4, "same text here"))
+    assert near_dup.near_duplicates(none).count() == near_dup.one_of_each(none).count() == 0
+
+
+def test_ids_that_repeat_or_lack(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+
+    def near(text):
+        w = text.split()
+        w[rng.randrange(len(w))] = "other"
+        return " ".join(w)
+
+    base = [" ".join(rng.choices(words, k=90)) for _ in range(6)]
+    rows = [(1, base[0]), (1, base[1]), (2, near(base[1])), (None, base[2]), (None, near(base[2])), (None, base[3]), (7, near(base[3])), (None, base[4]), (9, base[5]), (9, base[5])]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, near_id string")
+    for bits in (64, 2):  # with 2 bits, classes share names and are told apart by their check
+        monkeypatch.setattr(near_dup, "NAME_BITS", bits)
+        assert multiset(tuple(r) for r in near_dup.near_duplicates(d, 4, 85).collect()) == multiset(brute_groups(rows, 4, 85))
+    kept = multiset(rows_of(near_dup.one_of_each(d, 4, 85)))
+    head = min((r for r in rows[3:5]), key=lambda r: spark.sql("SELECT xxhash64(?) AS h", args=[r[1]]).first().h)
+    assert kept == multiset([rows[0], rows[1], head, rows[6], rows[7], rows[8], rows[9]])
+
+
+def test_odd_pii(odd, none):
+    found = [(r.doc_id, [(s.start, s.rank, s.end, s.kind) for s in r.base], r.terms) for r in pii.find_personal(odd).collect()]
+    assert multiset((i, s, t) for i, s, t in found) == multiset((i, brute_spans(t), []) for i, t in rows_of(odd))
+    clean = pii.sanitise(odd)
+    assert clean.columns == odd.columns
+    assert multiset((r.doc_id, r.text, r.keep_id) for r in clean.collect()) == multiset((r.doc_id, "[EMAIL] [CARD] é [IP] [PHONE]" if r.doc_id == 7 else r.text, r.keep_id) for r in odd.collect())
+    assert pii.find_personal(none).count() == pii.sanitise(none).count() == 0
+
+
+def test_odd_rules_and_scores(spark, odd, none):
+    found = [(r.doc_id, *r[1:7], r.kept and r.base_failed) for r in quality_rules.quality_rules(odd).collect()]
+    assert multiset(found) == multiset((i, *brute_rules(t), False) for i, t in rows_of(odd))
     model = quality_fm.FactorisationMachine.blank()
-    if name == "tokens":
-        token_files.write_tokens(d, str(tmp_path / "t"), BYTE, 0, parts=2)
-        assert token_files.read_tokens(spark, str(tmp_path / "t")).count() == n
-        return
-    run = {
-        "exact": exact_dedup.exact_dedup, "near": near_dup.near_duplicates, "pii": pii.find_personal, "rules": quality_rules.quality_rules, "score": lambda x: quality_fm.quality_score(x, model),
-        "licence": licenses.scan_licenses, "packing": lambda x: packing.pack_documents(x, WORD), "bpe": lambda x: bpe.encode_decode(x, WORD), "keep_one": exact_dedup.keep_one,
-        "one_of_each": near_dup.one_of_each, "sanitise": pii.sanitise, "keep_good": lambda x: quality_fm.keep_good(x, model),
-    }[name]
-    out = run(d)
-    rows = out.collect()
-    if name in ("keep_one", "one_of_each", "sanitise", "keep_good"):
-        assert out.columns == d.columns and len(rows) <= n
-    elif name != "packing":
-        assert len(rows) == n
+    assert multiset(tuple(r) for r in quality_fm.quality_score(odd, model).collect()) == multiset((i, 0.5) for i, _ in rows_of(odd))
+    kept = quality_fm.keep_good(odd, model)
+    assert kept.columns == odd.columns and multiset(kept.collect()) == multiset(odd.collect())
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_fm.train(none, labels).raw(np.array([1]), np.array([1.0])) == 0
+    assert quality_rules.quality_rules(none).count() == quality_fm.keep_good(none, model).count() == 0
+
+
+def test_odd_tokens(spark, odd, none, tmp_path):
+    t = Tokenizer.from_file(BYTE)
+    token_files.write_tokens(odd, str(tmp_path / "t"), BYTE, 0, parts=2)
+    found = token_files.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert multiset((r.doc_id, list(r.ids)) for r in found) == multiset((i, [*t.encode(x, add_special_tokens=False).ids, 0]) for i, x in rows_of(odd))
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found[:-1])]).tolist()
+    assert [r.doc_id for r in found][1:] == sorted(i for i, _ in rows_of(odd) if i is not None) and found[0].doc_id is None
+    token_files.write_tokens(none, str(tmp_path / "n"), BYTE, 0, parts=2)
+    assert token_files.read_tokens(spark, str(tmp_path / "n")).count() == 0
+
+
+def test_odd_bpe_and_packing(odd, none):
+    t = Tokenizer.from_file(WORD)
+    ids = [(i, t.encode(x, add_special_tokens=False).ids) for i, x in rows_of(odd)]
+    found = [(r.doc_id, list(r.ids), r.decoded) for r in bpe.encode_decode(odd, WORD).collect()]
+    assert multiset(found) == multiset((i, x, t.decode(x, skip_special_tokens=False)) for i, x in ids)
+    packed = packing.pack_documents(odd, WORD).collect()
+    want = [(i, k // 2048, k, np.array([*x, 0][k : k + 2048], "<u2").tobytes()) for i, x in ids for k in range(0, len(x) + 1, 2048)]
+    assert multiset((r.doc_id, r.piece, r.start, bytes(r.ids)) for r in packed) == multiset(want)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    ends = {}
+    for s, offset, length in places:
+        assert offset == ends.get(s, 0)
+        ends[s] = offset + length
+    assert max(ends.values()) <= 2048 and all(r.gap == 0 for r in packed)
+    assert len(ends) == bin_completion.lower_bound(collections.Counter(r.length for r in packed), 2048)
+    assert bpe.encode_decode(none, WORD).count() == packing.pack_documents(none, WORD).count() == 0
+
+
+def test_odd_licenses(odd, none):
+    found = [(r.doc_id, r.n_words, [(p.start, p.label) for p in r.places], [(x.label, x.containment) for x in r.notices]) for r in licenses.scan_licenses(odd).collect()]
+    words = {t: re.findall(licenses.WORD, t.lower()) for _, t in rows_of(odd)}
+    want = [(i, len(words[t]), [(0, "mit"), (3, "mit")] if i == 6 else [], brute_notices(t, licenses.TEMPLATES)) for i, t in rows_of(odd)]
+    assert multiset(found) == multiset(want)
+    assert licenses.scan_licenses(none).count() == 0
 
 
 @pytest.mark.parametrize("inline", [url_filters.INLINE, 0])

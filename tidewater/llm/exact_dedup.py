@@ -206,8 +206,11 @@ SHARD_ROWS = 2_000_000
 HELD = 32 << 20
 
 
+DIGEST_BYTES = 32
+
+
 def digest_of(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, DIGEST_BYTES)
 
 
 def duplicate_groups(marked: DataFrame, texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:

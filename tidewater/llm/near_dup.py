@@ -147,10 +147,10 @@ def _with_bit(keys: np.ndarray, c: int) -> np.ndarray:
     return keys >> np.uint64(1) << np.uint64(1) | np.uint64(c & 1)
 
 
-def _name(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of the set's digest, as (name, check)."""
+def _name(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """128 bits of the set's digest, as (name, check), of the name so many bits."""
     d = xxhash.xxh128_digest(s.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return int.from_bytes(d[:8], "little", signed=True) >> (64 - bits), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _key_columns(told: list[tuple[np.ndarray, list[int]] | None]) -> list[pa.Array]:
@@ -163,9 +163,10 @@ def _key_columns(told: list[tuple[np.ndarray, list[int]] | None]) -> list[pa.Arr
 
 
 SLICE = 512
+NAME_BITS = 64
 
 
-def _describe(n: int, percent: int):
+def _describe(n: int, percent: int, bits: int):
     classes = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,7 @@ def _describe(n: int, percent: int):
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = shingle_sets(part.column(2).to_pylist(), n)
-                names = [_name(s) for s in sets]
+                names = [_name(s, bits) for s in sets]
                 told = []
                 for name, s in zip(names, sets, strict=True):
                     new = len(s) > 0 and name not in seen
@@ -215,65 +216,69 @@ def _apart(described: DataFrame) -> DataFrame:
         described = renamed
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id: (key, id, other > id) of keys with 2 to HOT - 1 sets, (key, id, null) of larger ones.
+def _meet(most: int):
+    """Rows sorted by key and id to (key, id, other > id) of keys with 2 to most - 1 sets, (key, id, null) of larger ones.
 
-    A key's rows may come in several batches; of one with HOT rows or more, none is held back.
+    A key's rows may come in several batches; of one with `most` rows or more, none is held back.
     """
-    key, held, hot, before = None, np.zeros(0, np.int64), False, None
 
-    def close() -> list[tuple[np.ndarray, ...]]:
-        return [] if hot or len(held) < 2 else pairs(np.full(1, key), held[None, :])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, hot, before = None, np.zeros(0, np.int64), False, None
 
-    def pairs(keys: np.ndarray, members: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        x, y = np.triu_indices(members.shape[1], 1)
-        return [(np.repeat(keys, len(x)), members[:, x].ravel(), members[:, y].ravel())]
+        def close() -> list[tuple[np.ndarray, ...]]:
+            return [] if hot or len(held) < 2 else pairs(np.full(1, key), held[None, :])
 
-    def batch_of(told: list[tuple[np.ndarray, ...]], lone: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        k = [t[0] for t in told] + [t[0] for t in lone]
-        i = [t[1] for t in told] + [t[1] for t in lone]
-        n = sum(len(t[0]) for t in lone)
-        other = pa.concat_arrays([pa.array(np.concatenate([t[2] for t in told] or [np.zeros(0, np.int64)])), pa.nulls(n, pa.int64())])
-        empty = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(k or empty)), pa.array(np.concatenate(i or empty)), other], ["key", "id", "other"])
+        def pairs(keys: np.ndarray, members: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+            x, y = np.triu_indices(members.shape[1], 1)
+            return [(np.repeat(keys, len(x)), members[:, x].ravel(), members[:, y].ravel())]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        fresh = np.append(key is None or k[0] != key or i[0] != before, (k[1:] != k[:-1]) | (i[1:] != i[:-1]))
-        k, i, before = k[fresh], i[fresh], i[-1]  # a class that several tasks met
-        if not len(k):
-            continue
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        sizes = np.diff(np.append(starts, len(k)))
-        told, lone = [], []
-        if k[0] == key:  # goes on from the last batch
-            rows = i[: sizes[0]]
-            if hot:
-                lone.append((np.full(len(rows), key), rows))
-            else:
-                held = np.append(held, rows)
-                if len(held) >= HOT:
-                    lone.append((np.full(len(held), key), held))
+        def batch_of(told: list[tuple[np.ndarray, ...]], lone: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            k = [t[0] for t in told] + [t[0] for t in lone]
+            i = [t[1] for t in told] + [t[1] for t in lone]
+            n = sum(len(t[0]) for t in lone)
+            other = pa.concat_arrays([pa.array(np.concatenate([t[2] for t in told] or [np.zeros(0, np.int64)])), pa.nulls(n, pa.int64())])
+            empty = [np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(k or empty)), pa.array(np.concatenate(i or empty)), other], ["key", "id", "other"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.append(key is None or k[0] != key or i[0] != before, (k[1:] != k[:-1]) | (i[1:] != i[:-1]))
+            k, i, before = k[fresh], i[fresh], i[-1]  # a class that several tasks met
+            if not len(k):
+                continue
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            sizes = np.diff(np.append(starts, len(k)))
+            told, lone = [], []
+            if k[0] == key:  # goes on from the last batch
+                rows = i[: sizes[0]]
+                if hot:
+                    lone.append((np.full(len(rows), key), rows))
+                else:
+                    held = np.append(held, rows)
+                    if len(held) >= most:
+                        lone.append((np.full(len(held), key), held))
+                        hot, held = True, held[:0]
+                starts, sizes = starts[1:], sizes[1:]
+            if len(starts):
+                told += close()
+                last, size = starts[-1], sizes[-1]
+                for n in np.unique(sizes[:-1]).tolist():
+                    at = starts[:-1][sizes[:-1] == n]
+                    if 1 < n < most:
+                        told += pairs(k[at], i[at[:, None] + np.arange(n)])
+                    elif n >= most:
+                        places = (at[:, None] + np.arange(n)).ravel()
+                        lone.append((k[places], i[places]))
+                key, held, hot = k[last], i[last:].copy(), False
+                if size >= most:
+                    lone.append((np.full(size, key), held))
                     hot, held = True, held[:0]
-            starts, sizes = starts[1:], sizes[1:]
-        if len(starts):
-            told += close()
-            last, size = starts[-1], sizes[-1]
-            for n in np.unique(sizes[:-1]).tolist():
-                at = starts[:-1][sizes[:-1] == n]
-                if 1 < n < HOT:
-                    told += pairs(k[at], i[at[:, None] + np.arange(n)])
-                elif n >= HOT:
-                    places = (at[:, None] + np.arange(n)).ravel()
-                    lone.append((k[places], i[places]))
-            key, held, hot = k[last], i[last:].copy(), False
-            if size >= HOT:
-                lone.append((np.full(size, key), held))
-                hot, held = True, held[:0]
-        yield batch_of(told, lone)
-    yield batch_of(close(), [])
+            yield batch_of(told, lone)
+        yield batch_of(close(), [])
+
+    return run
 
 
 def _verify(n: int, percent: int):
@@ -369,7 +374,7 @@ def _candidates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of sets with their keys and margins: (pairs (id, centre) to verify, edges (a, b) that make families)."""
     shuffles = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exploded = told.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
-    met = materialise(exploded.mapInArrow(_meet, "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
+    met = materialise(exploded.mapInArrow(_meet(HOT), "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
     likely, rows = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
     discard(met)
     # a star: each set and the smallest set that it shares a common key with
@@ -505,7 +510,7 @@ def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     """doc_id, th (hash of the text), n_shingles, head (doc_id and th of the row that stands for the component, null for an empty set); one row per input row."""
     source = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
     kind = "doc_id long, th long, n_shingles long, id long, check long, keys array<long>, margins array<int>"
-    described = _apart(materialise(source.mapInArrow(_describe(n, percent), kind), "near-keys"))
+    described = _apart(materialise(source.mapInArrow(_describe(n, percent, NAME_BITS), kind), "near-keys"))
     sets = materialise(described.select("doc_id", "th", "n_shingles", "id"), "near-sets")
     head = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")
     classes = materialise(sets.filter("n_shingles > 0").groupBy("id").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")), "near-classes")
