@@ -2,8 +2,11 @@
 
 import hashlib
 
+import collections
+
 import corpus_pipeline
-from tests.llm.test_operators import brute_components, brute_spans
+import numpy as np
+from tests.llm.test_operators import brute_components, brute_groups, brute_spans, multiset, rows_of
 from tidewater.llm import quality_fm
 from tidewater.llm.common import materialise
 
@@ -37,3 +40,31 @@ def test_stages(spark, sf):
         assert r.n_chars == len(r.text) and (brute_spans(before[r.doc_id].text) or r.text == before[r.doc_id].text)
     before, after = seen["packing"]
     assert {r.doc_id for r in after} == set(before)
+    # and run() is the stages one after another
+    whole = corpus_pipeline.run(spark, sf).collect()
+    told = lambda rows: collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert told(whole) == told(after)
+    assert len({r.sequence_id for r in whole}) == len({r.sequence_id for r in after})
+
+
+def test_stages_on_odd_rows(spark, odd, none, sf):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, none, sf)
+        assert empty.columns == none.columns and empty.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, none, sf).count() == 0
+    stages = dict(corpus_pipeline.STAGES)
+    rows = rows_of(odd)
+    good = stages["quality"](spark, odd, sf)
+    assert good.columns == odd.columns and not multiset(rows_of(good)) - multiset(rows)
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[t].append(i)
+    kept = materialise(stages["exact duplicates"](spark, odd, sf), "test-stage")
+    assert multiset(rows_of(kept)) == multiset((i, t) for t, ids in texts.items() for i in ids if i == max((x for x in ids if x is not None), default=None))
+    kept = materialise(stages["near duplicates"](spark, kept, sf), "test-stage")
+    left = rows_of(kept)
+    assert not any(c != i for i, n, c in brute_groups(left, 5, 80) if n) and {t for _, t in left} == set(texts)
+    clean = materialise(stages["personal data"](spark, kept, sf), "test-stage")
+    assert clean.columns == odd.columns and multiset(rows_of(clean)) == multiset((i, "[EMAIL] [CARD] é [IP] [PHONE]" if i == 7 else t) for i, t in left)
+    packed = stages["packing"](spark, clean, sf).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in left} and np.sum([r.offset == 0 for r in packed]) == len({r.sequence_id for r in packed})
