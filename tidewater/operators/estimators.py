@@ -276,15 +276,26 @@ def multivariate_hawkes(streams: list[np.ndarray], decay: float = 1.0, rounds: i
     return {"mu": mu, "branching": a, "radius": float(np.abs(np.linalg.eigvals(a)).max()) if k else 0.0, "counts": counts}
 
 
-def pca(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(eigenvalues descending, vectors as columns, explained shares) of the sample covariance."""
-    c = np.cov(x, rowvar=False, ddof=1).reshape(x.shape[1], x.shape[1])
+def eigen(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(eigenvalues descending, vectors as columns, explained shares) of a covariance or correlation matrix."""
     v, e = np.linalg.eigh(c)
     v, e = v[::-1], e[:, ::-1]
     pos = np.clip(v, 0, None)
     return v, e, pos / pos.sum() if pos.sum() > 0 else pos
 
 
+def correlation_of(cov: np.ndarray) -> np.ndarray:
+    """The correlation matrix; a flat series has none, also with itself."""
+    sd = np.sqrt(np.diag(cov))
+    sd = np.where(sd > 0, sd, 1)
+    return cov / np.outer(sd, sd)
+
+
+def pca(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """eigen() of the sample covariance."""
+    return eigen(np.cov(x, rowvar=False, ddof=1).reshape(x.shape[1], x.shape[1]))
+
+
 def standardise(x: np.ndarray) -> np.ndarray:
     sd = x.std(0, ddof=1)
     return (x - x.mean(0)) / np.where(sd > 0, sd, 1)
@@ -299,14 +310,19 @@ def rie(values: np.ndarray, vectors: np.ndarray, q: float) -> np.ndarray:
     return (vectors * clean) @ vectors.T
 
 
-def rmt(x: np.ndarray) -> dict:
-    """Eigenvalues above the Marchenko-Pastur edge of the standardised panel, the largest one, the share it explains."""
-    t, n = x.shape
-    values, vectors, share = pca(standardise(x))
+def rmt_of(corr: np.ndarray, t: int) -> dict:
+    """Eigenvalues above the Marchenko-Pastur edge of a correlation matrix of t rows, the largest one, the share it explains."""
+    n = len(corr)
+    values, _, share = eigen(corr)
     edge = (1 + math.sqrt(n / t)) ** 2
     return {"n_above": int((values > edge).sum()), "top": float(values[0]), "edge": edge, "top_share": float(share[0]), "p": tracy_widom_p(float(values[0]), t, n)}
 
 
+def rmt(x: np.ndarray) -> dict:
+    """rmt_of() of a panel's correlations."""
+    return rmt_of(correlation_of(np.cov(x, rowvar=False).reshape(x.shape[1], -1)), len(x))
+
+
 # Tail of the Tracy-Widom law of order one
 TW_POINTS = ((-3.9, 0.99), (-3.18, 0.95), (-2.78, 0.90), (-1.91, 0.70), (-1.27, 0.50), (-0.59, 0.30), (0.45, 0.10), (0.98, 0.05), (2.02, 0.01), (3.27, 0.001))
 

@@ -134,3 +134,20 @@ def recommend(by_regime: DataFrame, strategy: str) -> DataFrame:
     o = Window.partitionBy("regime").orderBy(F.desc("sharpe"), strategy)
     d = by_regime.withColumns({"__k": F.row_number().over(o), "runner_up": F.lead(strategy).over(o), "runner_sharpe": F.lead("sharpe").over(o)})
     return d.filter("__k = 1").select("regime", F.col(strategy).alias("best"), "sharpe", "runner_up", "runner_sharpe")
+
+
+def report_metrics(equity: DataFrame, keys: list[str], time: str = "ts_nanos", nav: str = "nav") -> DataFrame:
+    """keys, total_return_pct, sharpe_daily of a backtest report: finite returns, 252 periods a year, 0 below three points or without spread."""
+    o = Window.partitionBy(*keys).orderBy(time)
+    r = F.try_divide(F.col(nav).cast("double"), F.lag(nav).over(o).cast("double")) - 1
+    first, last = F.min_by(nav, time), F.max_by(nav, time)
+    sd = F.stddev_samp("r")
+    sharpe = F.when((F.count(F.lit(1)) >= 3) & (sd > 0), F.avg("r") / F.when(sd > 0, sd) * math.sqrt(252)).otherwise(F.lit(0.0))
+    return equity.withColumn("r", r).groupBy(*keys).agg(F.when(first > 0, (last / F.when(first > 0, first) - 1) * 100).otherwise(F.lit(0.0)).alias("total_return_pct"), sharpe.alias("sharpe_daily"))
+
+
+def format_report(by_regime: DataFrame) -> DataFrame:
+    """regime, line: one readable line for each regime of recommend()'s rows."""
+    number = lambda c: F.format_number(F.coalesce(c, F.lit(0.0)), 3)
+    runner = F.when(F.col("runner_up").isNull(), F.lit("")).otherwise(F.concat(F.lit(", then "), "runner_up", F.lit(" ("), number(F.col("runner_sharpe")), F.lit(")")))
+    return by_regime.select("regime", F.concat("regime", F.lit(": "), "best", F.lit(" ("), number(F.col("sharpe")), F.lit(")"), runner).alias("line"))

@@ -287,6 +287,21 @@ def recommendation(spark, d):
     return portfolio.recommend(m, "symbol")
 
 
+@query(EQUITY + "SELECT symbol, round((last(nav ORDER BY ts_nanos) / first(nav ORDER BY ts_nanos) - 1) * 100, 5) + 0.0 AS total_return_pct, round(avg(r) / stddev_samp(r) * sqrt(252), 5) + 0.0 AS sharpe_daily FROM rt GROUP BY 1", "filled")
+def report_summary(spark, d):
+    m = portfolio.report_metrics(equity(spark, d), ["symbol"])
+    return m.select("symbol", r("total_return_pct", 5).alias("total_return_pct"), r("sharpe_daily", 5).alias("sharpe_daily"))
+
+
+@query(
+    REGIME
+    + f", rk AS (SELECT regime, symbol, round(m / sd * sqrt({K}), 5) + 0.0 AS sharpe FROM rm) SELECT regime, regime || ': ' || best || ' (' || printf('%.3f', sharpe) || '), then ' || runner_up || ' (' || printf('%.3f', runner_sharpe) || ')' AS line FROM (SELECT regime, symbol AS best, sharpe, lead(symbol) OVER w AS runner_up, lead(sharpe) OVER w AS runner_sharpe, row_number() OVER w AS k FROM rk WINDOW w AS (PARTITION BY regime ORDER BY sharpe DESC, symbol)) WHERE k = 1",
+    "filled",
+)
+def recommendation_report(spark, d):
+    return portfolio.format_report(recommendation(spark, d))
+
+
 @query(
     """WITH RECURSIVE """
     + sql("", "filled").removeprefix("WITH ")

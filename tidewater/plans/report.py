@@ -11,8 +11,8 @@ from tidewater.operators import estimators as est
 from tidewater.operators import packs
 from tidewater.operators import translation as tr
 from tidewater.plans.portfolio import log_returns
-from tidewater.plans.research import pair_estimate, panel, panel_estimate
-from tidewater.plans.stats import RETURNS, return_pairs
+from tidewater.plans.research import matrix_estimate, pair_estimate, panel, panel_estimate
+from tidewater.plans.stats import RANKED, RETURNS, return_pairs
 from tidewater.plans.views import read, sql
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -56,7 +56,7 @@ def cross_map_convergence(spark, d):
 
 @query()
 def covariance_lift(spark, d):
-    return panel_estimate(spark, d, lambda x, n: tr.rie_lift(x), "sample_vol DOUBLE, rie_vol DOUBLE, lift DOUBLE, fires BOOLEAN")
+    return matrix_estimate(spark, d, lambda c, t, names: tr.rie_lift(c, t), "sample_vol DOUBLE, rie_vol DOUBLE, lift DOUBLE, fires BOOLEAN")
 
 
 @query()
@@ -68,19 +68,24 @@ def tail_risk_gap(spark, d):
     return out[0]
 
 
-@query()
+@query(
+    RETURNS + RANKED + """, td AS (SELECT a, b, round(count(*) FILTER (x / (n + 1) > 0.9 AND y / (n + 1) > 0.9) / (count(*) * (1 - 0.9::DOUBLE)), 6) + 0.0 AS upper, round(count(*) FILTER (x / (n + 1) <= 1 - 0.9::DOUBLE AND y / (n + 1) <= 1 - 0.9::DOUBLE) / (count(*) * (1 - 0.9::DOUBLE)), 6) + 0.0 AS lower FROM rk GROUP BY 1, 2)
+SELECT a, b, upper, lower FROM td WHERE upper >= 0.1 OR lower >= 0.1""",
+    "filled",
+)
 def panic_pairs(spark, d):
-    return tr.panic_pairs(dep.tail_dependence(return_pairs(spark, d)), 0.1)
+    tails = dep.tail_dependence(return_pairs(spark, d)).withColumns({"upper": r("upper"), "lower": r("lower")})
+    return tr.panic_pairs(tails, 0.1).select("a", "b", "upper", "lower")
 
 
 @query()
 def market_mode(spark, d):
-    return panel_estimate(spark, d, tr.market_mode, "name STRING, loading DOUBLE, share DOUBLE")
+    return matrix_estimate(spark, d, lambda c, t, names: tr.market_mode(est.correlation_of(c), names), "name STRING, loading DOUBLE, share DOUBLE")
 
 
 @query()
 def filtered_graph(spark, d):
-    return panel_estimate(spark, d, lambda x, n: tr.filtered_graph(n, np.corrcoef(x, rowvar=False)), "a STRING, b STRING, weight DOUBLE, degree_a INT, degree_b INT")
+    return matrix_estimate(spark, d, lambda c, t, names: tr.filtered_graph(names, est.correlation_of(c)), "a STRING, b STRING, weight DOUBLE, degree_a INT, degree_b INT")
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewater.operators import backtests, joins, portfolio, rolling
@@ -115,8 +116,25 @@ def rolling_criticality(spark, d):
 
 
 def panel(spark, d):
-    names = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
-    return joins.align(log_returns(spark, d), "symbol", "ts_nanos", "r", names), names
+    returns = log_returns(spark, d)
+    names = [x[0] for x in returns.select("symbol").distinct().orderBy("symbol").collect()]  # a column each, so few
+    return joins.align(returns, "symbol", "ts_nanos", "r", names), names
+
+
+def matrix_estimate(spark, d, f, schema):
+    """f(covariances, rows, names) of the times that all series have: pairs are summed by Spark, one task gets the N x N cells."""
+    p = joins.aligned_long(log_returns(spark, d), "symbol", "ts_nanos", "r")
+    l = p.select("ts_nanos", F.col("symbol").alias("a"), F.col("r").alias("x"))
+    q = p.select("ts_nanos", F.col("symbol").alias("b"), F.col("r").alias("y"))
+    cells = l.join(q, "ts_nanos").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count(F.lit(1)).alias("n")).withColumn("panel", F.lit("hourly"))
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(frame["a"].unique())
+        cov = frame.pivot(index="a", columns="b", values="cov").loc[names, names].to_numpy(float)
+        out = f(cov, int(frame["n"].max()), names)
+        return pd.DataFrame(out if isinstance(out, list) else [out], columns=[c.strip().split()[0] for c in schema.split(",")]).assign(panel=key[0])[["panel", *(c.strip().split()[0] for c in schema.split(","))]]
+
+    return cells.groupBy("panel").applyInPandas(run, f"panel STRING, {schema}")
 
 
 def panel_estimate(spark, d, f, schema):
@@ -138,7 +156,7 @@ def covariance_matrix(spark, d):
 
 @query()
 def random_matrix_summary(spark, d):
-    return panel_estimate(spark, d, lambda x, n: est.rmt(x), "n_above INT, top DOUBLE, edge DOUBLE, top_share DOUBLE, p DOUBLE")
+    return matrix_estimate(spark, d, lambda c, t, names: est.rmt_of(est.correlation_of(c), t), "n_above INT, top DOUBLE, edge DOUBLE, top_share DOUBLE, p DOUBLE")
 
 
 @query()
@@ -151,26 +169,26 @@ def rolling_random_matrix(spark, d):
 
 @query()
 def principal_components(spark, d):
-    def f(x, names):
-        v, e, share = est.pca(x)
+    def f(c, t, names):
+        v, e, share = est.eigen(c)
         return [{"k": k, "eigenvalue": float(v[k]), "share": float(share[k]), "loadings": (e[:, k] * np.sign(e[np.abs(e[:, k]).argmax(), k])).tolist()} for k in range(len(v))]
 
-    return panel_estimate(spark, d, f, "k INT, eigenvalue DOUBLE, share DOUBLE, loadings ARRAY<DOUBLE>")
+    return matrix_estimate(spark, d, f, "k INT, eigenvalue DOUBLE, share DOUBLE, loadings ARRAY<DOUBLE>")
 
 
 @query()
 def minimum_spanning_tree(spark, d):
-    return panel_estimate(spark, d, lambda x, n: est.spanning_tree(n, np.corrcoef(x, rowvar=False)), "a STRING, b STRING, weight DOUBLE")
+    return matrix_estimate(spark, d, lambda c, t, names: est.spanning_tree(names, est.correlation_of(c)), "a STRING, b STRING, weight DOUBLE")
 
 
 @query()
 def causal_graph(spark, d):
-    def f(x, names):
-        adj, sep = est.pc_skeleton(np.corrcoef(x, rowvar=False), len(x))
+    def f(c, t, names):
+        adj, sep = est.pc_skeleton(est.correlation_of(c), t)
         direct = est.orient(adj, sep)
         return [{"a": names[i], "b": names[j], "directed": bool(direct[i, j])} for i in range(len(names)) for j in range(len(names)) if adj[i, j] and (direct[i, j] or (i < j and not direct[j, i]))]
 
-    return panel_estimate(spark, d, f, "a STRING, b STRING, directed BOOLEAN")
+    return matrix_estimate(spark, d, f, "a STRING, b STRING, directed BOOLEAN")
 
 
 @query()
