@@ -8,7 +8,7 @@
 3. Counts of (part, length), summed over parts in a window, say where the ranks
    of a part begin.  They join the pieces by (part, length), whose groups are no
    larger than a task's input, so a length that a third of all rows share is
-   dealt out like any other; Spark broadcasts the counts where they are small.
+   dealt out like any other; the counts are broadcast up to FEW_COUNTS rows.
 4. Pieces of one length fill the places for that length in order of rank, so
    every piece finds its sequence and offset from its own row and the plan.
 
@@ -37,6 +37,7 @@ from tidewater.llm.encoding import SLICE_BYTES, encoder, slices
 from tidewater.llm.token_files import with_end
 
 CAPACITY = 2048
+FEW_COUNTS = 500_000  # of 24 bytes
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 NAMES = ["doc_id", "piece", "start", "length", "ids"]
 
@@ -113,6 +114,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capa
     lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).toArrow()  # at most `capacity` rows
     packing = pack(dict(zip(lengths.column(0).to_pylist(), lengths.column(1).to_pylist(), strict=True)), capacity)
     discard(counts)
+    bases = F.broadcast(bases) if bases.count() <= FEW_COUNTS else bases.hint("merge")
     ranked = pieces.join(bases, ["part", "length"]).select(*NAMES, (F.col("rank") + F.col("base")).alias("rank"))
     return ranked.mapInArrow(_place(places(packing.plan), packing.gap), PIECES + ", sequence_id long, offset long, gap long")
 

@@ -91,11 +91,17 @@ def tokens_of(low: Column) -> Column:
     return F.array_union(F.array(F.lit("")), F.split(low, "[^a-z0-9]+"))
 
 
-def filed(rules: DataFrame, rows: DataFrame) -> DataFrame:
-    """token, rules array<struct>, urls (rows with the token): each rule under its token with the fewest urls, over all urls."""
+def filed(rules: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
+    """token, rules array<struct>, urls (rows with the token): each rule under its token with the fewest urls, over all urls.
+
+    few: the rules' tokens are few enough to be written into the plan, so others aren't counted.
+    """
     known = rules.withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(""))))
-    wanted = known.select(F.explode("tokens").alias("token")).distinct()
-    counts = rows.select(F.explode(tokens_of(F.col("low"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
+    tokens = tokens_of(F.col("low"))
+    if few:
+        wanted = [x[0] for x in known.select(F.explode("tokens").alias("token")).distinct().collect()]
+        tokens = F.array_intersect(tokens, F.lit(wanted).cast("array<string>"))
+    counts = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("urls"))  # combined before the shuffle
     one = F.struct("on_address", "size", "name", "action", "regex")
     each = known.select(one.alias("rule"), F.explode("tokens").alias("token")).join(counts, "token", "left")
     rarest = each.groupBy("rule").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("at"))
@@ -119,9 +125,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame | tuple = RULES, inline: int =
     rules = compiled((rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), KIND)).select("rule", "action", "on_address").distinct())
     host, path = parts_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), _lower(F.coalesce(F.col(url_col), F.lit(""))).alias("low"))
-    index = filed(rules, rows)
+    few = rules.limit(inline + 1).count() <= inline
+    index = filed(rules, rows, few)
     longest, own = _winners(F.col("fits"))
-    if rules.limit(inline + 1).count() <= inline:
+    if few:
         known = {r["token"]: r["rules"] for r in index.collect()}  # `inline` rules at most
         literal = {t: F.array(*(F.struct(*(F.lit(x[k]).alias(k) for k in ("on_address", "size", "name", "action", "regex"))) for x in rs)) for t, rs in sorted(known.items())}
         if literal:
