@@ -338,10 +338,16 @@ def test_hot_keys_stay_out_of_the_shuffle(spark):
 
 
 def test_spans_add_up(spark, sf, texts):
-    for r in pii.op5_personal_data(spark, sf).collect():
+    more = brute_disclosing(list(texts.items()))
+    rows = pii.op5_personal_data(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
         base = brute_spans(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base).encode()).hexdigest()
-        assert {f"{k}:{a}:{b}" for a, _, b, k in base} <= set(r.spans.split(",")) | {""}
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[3] == k for s in base) for k in pii.KINDS]
+        every = sorted(base + [(a, 4, b, k) for a, b, k, _ in more[r.doc_id]])
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in every)
+    assert any(more.values())
 
 
 def test_classifier(spark, sf):

@@ -182,7 +182,7 @@ def _describe(n: int, percent: int, bits: int):
                     if new:
                         seen.add(name)
                     told.append(segment_keys(s, percent, classes) if new else None)
-                if len(seen) > 1_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
                 columns = [*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *_key_columns(told)], ["doc_id", "th", "n_shingles", "id", "check", "keys", "margins"])
@@ -444,7 +444,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in keys:
             new.append(k not in seen)
             seen.add(k)
-        if len(seen) > 1_000_000:
+        if len(seen) > 250_000:
             seen.clear()
         yield batch.filter(pa.array(new, pa.bool_()))
 
