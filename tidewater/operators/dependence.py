@@ -94,22 +94,26 @@ def binned(pairs: DataFrame) -> DataFrame:
 
 
 def information(cells: DataFrame) -> DataFrame:
-    """a, b, mi, h_x, h_y, kl, js (nats) of a table of (a, b, i, j); cells where q is 0 don't count in kl."""
-    joint = cells.groupBy(*PAIR, "i", "j").agg(F.count(F.lit(1)).alias("c"))
-    px = joint.groupBy(*PAIR, "i").agg(F.sum("c").alias("ci"))
-    py = joint.groupBy(*PAIR, "j").agg(F.sum("c").alias("cj"))
-    n = joint.groupBy(*PAIR).agg(F.sum("c").alias("n"))
+    """a, b, mi, h_x, h_y, kl, js (nats) of a table of (a, b, i, j); cells where q is 0 don't count in kl.
+
+    One aggregation of the rows to cells, few for each pair; the rest are windows and sums over these.
+    """
     keys = list(PAIR)
-    mi = joint.join(px, [*keys, "i"]).join(py, [*keys, "j"]).join(n, keys).groupBy(*PAIR).agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("ci") * F.col("cj").cast("double")))).alias("mi"))
-    both = px.withColumnRenamed("i", "k").join(py.withColumnRenamed("j", "k"), [*keys, "k"], "full_outer").join(n, keys)
-    p, q = F.coalesce("ci", F.lit(0)) / F.col("n"), F.coalesce("cj", F.lit(0)) / F.col("n")
+    joint = cells.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    part = lambda c, *g: F.sum(c).over(Window.partitionBy(*keys, *g)).cast("double")
+    f = joint.select(*keys, "c", part("c", "i").alias("ci"), part("c", "j").alias("cj"), part("c").alias("n"))
+    mi = f.groupBy(*keys).agg(F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("ci") * F.col("cj")))).alias("mi"))
+    sides = F.array(F.struct(F.col("i").alias("k"), F.col("c").alias("ci"), F.lit(0).cast("long").alias("cj")), F.struct(F.col("j").alias("k"), F.lit(0).cast("long").alias("ci"), F.col("c").alias("cj")))
+    both = joint.select(*keys, F.explode(sides).alias("s")).groupBy(*keys, "s.k").agg(F.sum("s.ci").alias("ci"), F.sum("s.cj").alias("cj"))
+    both = both.withColumn("n", part("ci"))
+    p, q = F.col("ci") / F.col("n"), F.col("cj") / F.col("n")
     m = (p + q) / 2
 
     def term(u: Column, v: Column) -> Column:
         ok = (u > 0) & (v > 0)
         return F.sum(F.when(ok, u * F.ln(F.when(ok, u / v))).otherwise(F.lit(0.0)))
 
-    one = both.groupBy(*PAIR).agg((-term(p, F.when(p > 0, F.lit(1.0)).otherwise(F.lit(0.0)))).alias("h_x"), (-term(q, F.when(q > 0, F.lit(1.0)).otherwise(F.lit(0.0)))).alias("h_y"), term(p, q).alias("kl"), (term(p, m) / 2 + term(q, m) / 2).alias("js"))
+    one = both.groupBy(*keys).agg((-term(p, F.when(p > 0, F.lit(1.0)).otherwise(F.lit(0.0)))).alias("h_x"), (-term(q, F.when(q > 0, F.lit(1.0)).otherwise(F.lit(0.0)))).alias("h_y"), term(p, q).alias("kl"), (term(p, m) / 2 + term(q, m) / 2).alias("js"))
     return mi.join(one, keys)
 
 

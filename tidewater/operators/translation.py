@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import normal_two_sided, safe, safe_divide, safe_log, safe_tanh
 from tidewater.operators import estimators as est
-from tidewater.operators.dependence import PAIR
+from tidewater.operators.dependence import PAIR, cell_entropy, quantile_bins
 
 
 def rie_lift(c: np.ndarray, t: int) -> dict:
@@ -77,20 +77,12 @@ def filtered_graph(names: list[str], corr: np.ndarray) -> list[dict]:
 
 
 def horizon_entropy(pairs: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), bins: int = 3) -> DataFrame:
-    """a, b, h, te: transfer entropy from x to y h rows ahead, one history row, for each horizon."""
-    w = Window.partitionBy(*PAIR)
-    p, n = pairs, F.count(F.lit(1)).over(w)
-    for c in ("x", "y"):
-        rank = F.row_number().over(w.orderBy(c, "ts_nanos")) - 1
-        p = p.withColumn(f"q{c}", F.least(F.lit(bins - 1).cast("long"), F.floor(rank * bins / n)))
-    o = w.orderBy("ts_nanos")
-    p = p.withColumns({f"n{h}": F.lead("qy", h).over(o) for h in horizons})
-    tall = p.select(*PAIR, F.col("qx").alias("x"), F.col("qy").alias("y"), F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"n{h}").alias("next")) for h in horizons))).alias("z")).select(*PAIR, "x", "y", "z.h", "z.next").filter("next IS NOT NULL")
-    keys = [*PAIR, "h"]
-    full = tall.groupBy(*keys, "next", "y", "x").agg(F.count(F.lit(1)).alias("c"))
-    part = lambda *g: F.sum("c").over(Window.partitionBy(*keys, *g)).cast("double")  # noqa: E731  few cells a key
-    cells = full.select(*keys, "c", part("y", "x").alias("cyx"), part("next", "y").alias("cny"), part("y").alias("cy"), part().alias("n"))
-    return cells.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("cy") / (F.col("cyx") * F.col("cny"))))).alias("te"))
+    """a, b, h, te: transfer entropy from x to y h rows ahead, one history row, for each horizon (more: dependence.history_entropy)."""
+    o = Window.partitionBy(*PAIR).orderBy("ts_nanos")
+    p = quantile_bins(pairs, bins).withColumns({f"n{h}": F.lead("qy", h).over(o) for h in horizons})
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"n{h}").alias("next")) for h in horizons)))
+    tall = p.select(*PAIR, F.col("qx").alias("x"), F.col("qy").alias("y"), each.alias("z")).select(*PAIR, "x", "y", "z.h", "z.next").filter("next IS NOT NULL")
+    return cell_entropy(tall, [*PAIR, "h"])
 
 
 def edge_screen(pairs: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), least: int = 30) -> DataFrame:
