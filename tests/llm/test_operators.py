@@ -347,7 +347,6 @@ def test_spans_add_up(spark, sf, texts):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[3] == k for s in base) for k in pii.KINDS]
         every = sorted(base + [(a, 4, b, k) for a, b, k, _ in more[r.doc_id]])
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in every)
-    assert any(more.values())
 
 
 def test_classifier(spark, sf):
