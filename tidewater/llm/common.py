@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[pa.Array, l
         yield part.column(0), [x or "" for x in part.column(1).to_pylist()]
 
 
+def slices(column: pa.Array, most: int = 6 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of a string column, each about `most` bytes or one row."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield at, column.slice(at, end - at)
+        at = end
+
+
 def list_column(values, lengths, kind=pa.int32()) -> pa.ListArray:
     """A list column from flat values (numpy, or bytes of that kind) and lengths."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

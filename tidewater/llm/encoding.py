@@ -27,6 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from tidewater.llm.common import slices  # noqa: F401  for those who encode
+
 HOT = 400_000
 LEARN_BYTES = 192 << 20
 SLICE_BYTES = 6 << 20
@@ -41,17 +43,6 @@ def gather(blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return blob[np.repeat(starts - at, lengths) + np.arange(total)]
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows) of a string column, each about `most` bytes or one row."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(column):
-        before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
-        yield at, column.slice(at, end - at)
-        at = end
-
-
 def _composed(texts: pa.Array) -> pa.Array:
     """NFC of the texts that aren't in it yet."""
     plain = texts.to_pylist()

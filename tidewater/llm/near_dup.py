@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import KeyFilter, discard, fresh, id_text, lookup, materialise, table
+from tidewater.llm.common import KeyFilter, discard, fresh, id_text, lookup, materialise, slices, table
 from tidewater.llm.components import connected_components
 from tidewater.llm.signature_tree import find_links, links
 
@@ -162,19 +162,25 @@ def _key_columns(told: list[tuple[np.ndarray, list[int]] | None]) -> list[pa.Arr
     return [keys, pa.array([None if t is None else t[1] for t in told], pa.list_(pa.int32()))]
 
 
-SLICE = 512
+SLICE_BYTES = 1 << 20
 NAME_BITS = 64
 
 
+def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """shingle_sets() of a column, with the words of a slice at a time in memory."""
+    for _, part in slices(texts, SLICE_BYTES):
+        yield from shingle_sets(part.to_pylist(), n)
+
+
 def _describe(n: int, percent: int, bits: int):
     classes = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # copies within a task send their keys once
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                sets = shingle_sets(part.column(2).to_pylist(), n)
+            for at, texts in slices(batch.column(2), SLICE_BYTES):
+                part = batch.slice(at, len(texts))
+                sets = shingle_sets(texts.to_pylist(), n)
                 names = [_name(s, bits) for s in sets]
                 told = []
                 for name, s in zip(names, sets, strict=True):
@@ -196,10 +202,9 @@ def _deal_again(n: int, percent: int, fineness: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                told = [segment_keys(s, percent, classes, fineness) for s in shingle_sets(part.column(1).to_pylist(), n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *_key_columns(told)], ["id", "keys", "margins"])
+            for at, texts in slices(batch.column(1), SLICE_BYTES):
+                told = [segment_keys(s, percent, classes, fineness) for s in shingle_sets(texts.to_pylist(), n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *_key_columns(told)], ["id", "keys", "margins"])
 
     return run
 
@@ -287,16 +292,13 @@ def _verify(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, of = None, None
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                centres, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
-                found = []
-                for c, i, s in zip(centres, ids, shingle_sets([t or "" for t in part.column(2).to_pylist()], n), strict=True):
-                    if i == c:
-                        centre, of = c, s
-                    elif c == centre and links(of, s, percent):
-                        found.append((c, i))
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            found = []
+            for c, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(batch.column(2), n), strict=True):
+                if i == c:
+                    centre, of = c, s
+                elif c == centre and links(of, s, percent):
+                    found.append((c, i))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -309,8 +311,7 @@ def _join_blocks(n: int, percent: int, whole: bool):
     """
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids = [r[2] for r in rows]
-        sets = shingle_sets([r[4] or "" for r in rows], n)
+        ids, sets = [r[2] for r in rows], [r[4] for r in rows]
         labels, sides = np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
         found = [(ids[x], ids[y]) for x, y in find_links(sets, labels, percent, None if sides.max() == 0 else sides)]
         if not whole:
@@ -335,7 +336,7 @@ def _join_blocks(n: int, percent: int, whole: bool):
         task, rows = None, []
         for batch in batches:
             found = []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r in zip(*(c.to_pylist() for c in batch.columns[:4]), _sets(batch.column(4), n), strict=True):
                 if r[0] != task and rows:
                     found += solve(rows)
                     rows = []
