@@ -136,19 +136,30 @@ class KeyFilter:
         packed[words.column(0).to_numpy()] = words.column(1).to_numpy()
         self.shared = spark.sparkContext.broadcast(packed.tobytes())
 
-    def split(self, source: DataFrame, hashed: Column) -> tuple[DataFrame, DataFrame]:
-        """(rows whose hash may be in the filter, rows whose hash is not), each a pass over source."""
+    def split(self, source: DataFrame, hashed: Column, once: int = 0) -> tuple[DataFrame, DataFrame]:
+        """(rows whose hash may be in the filter, rows whose hash is not), each a pass over source.
+
+        once: of the former, a task tells one of the rows that repeat so many first columns (0: all), as far as it remembers.
+        """
         shared, kind, name = self.shared, source.schema, fresh(source, "hashed")
         last = np.uint64(FILTER_BITS - 1)
 
         def keep(inside: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                bits = np.frombuffer(shared.value, np.uint8)
+                bits, seen = np.frombuffer(shared.value, np.uint8), set()
                 for batch in batches:
                     h = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
                     a, b = (h & last).astype(np.int64), ((h >> np.uint64(39)) & last).astype(np.int64)
                     held = ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1) == 1
                     part = batch.filter(pa.array(held if inside else ~held))
+                    if inside and once:
+                        new = np.zeros(part.num_rows, bool)
+                        for k, key in enumerate(zip(*(c.to_pylist() for c in part.columns[:once]), strict=True)):
+                            new[k] = key not in seen
+                            seen.add(key)
+                        part = part.filter(pa.array(new))
+                        if len(seen) > 250_000:
+                            seen.clear()
                     yield pa.RecordBatch.from_arrays(part.columns[:-1], kind.names)
 
             return run

@@ -436,26 +436,11 @@ def _block_links(texts: DataFrame, rest: DataFrame, n: int, percent: int) -> Dat
     return dealt.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent, False), PAIR)
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One of the rows of a task that repeat the first two columns (id and text hash)."""
-    seen: set[tuple] = set()
-    for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        new = []
-        for k in keys:
-            new.append(k not in seen)
-            seen.add(k)
-        if len(seen) > 250_000:
-            seen.clear()
-        yield batch.filter(pa.array(new, pa.bool_()))
-
-
 def _texts_of(source: DataFrame, heads: DataFrame) -> DataFrame:
     """id, size, text of the classes in heads (id, size, head)."""
     heads = heads.select("id", "size", F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th"))
-    likely, _ = KeyFilter(heads.select(F.xxhash64("doc_id", "th").alias("h")), "h").split(source.select("doc_id", "th", "text"), F.xxhash64("doc_id", "th"))
-    likely = likely.mapInArrow(_once, likely.schema).alias("s")
-    return likely.join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
+    likely, _ = KeyFilter(heads.select(F.xxhash64("doc_id", "th").alias("h")), "h").split(source.select("doc_id", "th", "text"), F.xxhash64("doc_id", "th"), once=2)
+    return likely.alias("s").join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
