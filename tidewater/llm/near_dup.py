@@ -52,7 +52,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import KeyFilter, discard, fresh, id_text, lookup, materialise, slices, table
@@ -378,14 +378,15 @@ def _candidates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = materialise(exploded.mapInArrow(_meet(HOT), "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
     likely, rows = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
     discard(met)
-    # a star: each set and the smallest set that it shares a common key with
+    # each set beside the smallest set of each of its common keys, and the smallest of all these
     first = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")), "near-first")
-    stars = materialise(lookup(rows, first, "key", "n", rows.count()).groupBy("id").agg(F.min("centre").alias("centre")), "near-stars")
-    # a key ties the centres of its sets, few as most sets of a group have the same, to the smallest of them
-    centres = materialise(rows.join(stars, "id").select("key", "centre").distinct(), "near-centres")
-    least = materialise(centres.groupBy("key").agg(F.min("centre").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-least")
-    ties = materialise(lookup(centres, least, "key", "n", centres.count(), "inner").filter("centre <> least").select(F.col("centre").alias("a"), F.col("least").alias("b")).distinct(), "near-ties")
-    discard(rows, first, centres, least)
+    beside = lookup(rows, first, "key", "n", rows.count()).select("id", "centre")
+    tied = materialise(beside.withColumn("least", F.min("centre").over(Window.partitionBy("id"))).distinct(), "near-tied")
+    # a star of each set and its smallest one, which stands for it in ties to the others; few, as a group's sets mostly share it
+    stars = tied.select("id", F.col("least").alias("centre")).distinct()
+    ties = materialise(tied.filter("least <> centre").select(F.col("least").alias("a"), F.col("centre").alias("b")).distinct(), "near-ties")
+    stars = materialise(stars, "near-stars")
+    discard(rows, first, tied)
     pairs = likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(stars.filter("id <> centre")).distinct()
     return pairs, likely.unionByName(stars.select(F.col("id").alias("a"), F.col("centre").alias("b"))).unionByName(ties)
 
