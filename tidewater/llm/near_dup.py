@@ -391,14 +391,23 @@ def _candidates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, likely.unionByName(stars.select(F.col("id").alias("a"), F.col("centre").alias("b"))).unionByName(ties)
 
 
+FEW_ROWS = 250_000
+
+
+def _small(rows: DataFrame, count: int) -> DataFrame:
+    """rows of ids and numbers, broadcast where they are few, so that texts needn't move to meet them."""
+    return F.broadcast(rows) if count <= FEW_ROWS else rows
+
+
 def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (id, centre) that are links; pairs is a table."""
     centres = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
     salts = materialise(centres.select("centre", "members", (F.col("members") / CENTRE_MEMBERS).cast("int").alias("salts")), "near-salts")
-    dealt = lookup(pairs, salts, "centre", "members", pairs.count())
+    total = pairs.count()
+    dealt = lookup(pairs, salts, "centre", "members", total)
     members = dealt.select("centre", "id", F.pmod(F.hash("id"), F.col("salts") + 1).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = salts.select("centre", F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.lit(0).alias("role"))
-    rows = members.unionByName(own).join(texts, "id")
+    rows = texts.join(_small(members.unionByName(own), 2 * total), "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", "role", "id")
     return rows.select("centre", "id", "text").mapInArrow(_verify(n, percent), PAIR)
@@ -406,7 +415,8 @@ def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
 
 def _family_links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
     """(a: smallest set of the component, b: set) of the linked sets in families of up to BLOCK sets, one signature tree a family."""
-    rows = families.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "id", F.col("id").alias("component")).join(texts, "id")
+    rows = families.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "id", F.col("id").alias("component"))
+    rows = texts.join(_small(rows, families.count()), "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "task").sortWithinPartitions("task", "id")
     return rows.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent, True), PAIR)
@@ -441,7 +451,7 @@ def _texts_of(source: DataFrame, heads: DataFrame) -> DataFrame:
     """id, size, text of the classes in heads (id, size, head)."""
     heads = heads.select("id", "size", F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th"))
     likely, _ = KeyFilter(heads.select(F.xxhash64("doc_id", "th").alias("h")), "h").split(source.select("doc_id", "th", "text"), F.xxhash64("doc_id", "th"), once=2)
-    return likely.alias("s").join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
+    return likely.alias("s").join(_small(heads, heads.count()).alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
