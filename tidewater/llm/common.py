@@ -20,14 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL_ROOTS: dict[str, str] = {}  # by application, for local sessions that name no folder
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the session names; where it names none, one of its own in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="checkpoints-")
+        _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
@@ -115,42 +118,58 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: str | list[str], weight: st
     return by_broadcast.unionByName(by_shuffle)
 
 
-FILTER_BITS = 1 << 25
+LEAST_BITS, MOST_BITS = 1 << 17, 1 << 27
 
 
 class KeyFilter:
-    """A Bloom filter of fixed size (4 MB) over 64-bit hashes, to spare most rows a shuffle.
+    """A Bloom filter over 64-bit hashes, to spare most rows a shuffle.
 
-    Built by an aggregation of (word, bits), so tasks combine theirs before one
-    row a 64-bit word, 2^19 at most, reaches the driver.
+    Its size follows the number of rows given (12 to 24 bits for each), from 16 KB
+    to 16 MB; above 11 million rows it stays there and lets more of the others
+    pass, which costs their shuffle and nothing else.  Built by an aggregation of
+    (word, bits), so tasks combine theirs before one row a 64-bit word, 2^21 at
+    most, reaches the driver.
     """
 
     def __init__(self, hashes: DataFrame, column: str):
         spark, h = hashes.sparkSession, F.col(column)
-        last = F.lit(FILTER_BITS - 1).cast("long")
-        places = F.array(h.bitwiseAND(last), F.shiftrightunsigned(h, 39).bitwiseAND(last))
-        at = hashes.filter(h.isNotNull()).select(F.explode(places).alias("at"))
+        hashes = hashes.filter(h.isNotNull())
+        self.bits = LEAST_BITS
+        wanted = 12 * hashes.count()
+        while self.bits < min(wanted, MOST_BITS):
+            self.bits *= 2
+        last = F.lit(self.bits - 1).cast("long")
+        places = F.array(h.bitwiseAND(last), F.shiftrightunsigned(h, 37).bitwiseAND(last))
+        at = hashes.select(F.explode(places).alias("at"))
         bit = F.expr("shiftleft(1L, int(at & 63L))")
         words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        packed = np.zeros(FILTER_BITS // 64, np.int64)
+        packed = np.zeros(self.bits // 64, np.int64)
         packed[words.column(0).to_numpy()] = words.column(1).to_numpy()
         self.shared = spark.sparkContext.broadcast(packed.tobytes())
 
+    def test(self):
+        """A function for tasks: which hashes of an array may be in the filter."""
+        shared, last = self.shared, np.uint64(self.bits - 1)
+
+        def may(h: np.ndarray) -> np.ndarray:
+            bits, h = np.frombuffer(shared.value, np.uint8), h.view(np.uint64)
+            a, b = (h & last).astype(np.int64), ((h >> np.uint64(37)) & last).astype(np.int64)
+            return ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1) == 1
+
+        return may
+
     def split(self, source: DataFrame, hashed: Column, once: int = 0) -> tuple[DataFrame, DataFrame]:
         """(rows whose hash may be in the filter, rows whose hash is not), each a pass over source.
 
         once: of the former, a task tells one of the rows that repeat so many first columns (0: all), as far as it remembers.
         """
-        shared, kind, name = self.shared, source.schema, fresh(source, "hashed")
-        last = np.uint64(FILTER_BITS - 1)
+        may, kind, name = self.test(), source.schema, fresh(source, "hashed")
 
         def keep(inside: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                bits, seen = np.frombuffer(shared.value, np.uint8), set()
+                seen = set()
                 for batch in batches:
-                    h = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
-                    a, b = (h & last).astype(np.int64), ((h >> np.uint64(39)) & last).astype(np.int64)
-                    held = ((bits[a >> 3] >> (a & 7).astype(np.uint8)) & (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1) == 1
+                    held = may(batch.column(batch.num_columns - 1).to_numpy())
                     part = batch.filter(pa.array(held if inside else ~held))
                     if inside and once:
                         new = np.zeros(part.num_rows, bool)
