@@ -148,7 +148,7 @@ def test_bar_files(spark, tmp_path):
     assert sorted(r.close for r in readers.read_bars(spark, str(tmp_path / "bars")).collect()) == [1.0, 2.0]
     (tmp_path / "x.csv").write_text("ts_nanos,series,value\n1,a,2.5\nbad,a,3\n2,a,nan\n")
     assert readers.header_kind(spark, str(tmp_path / "x.csv")) == "series"
-    assert [tuple(r) for r in readers.read_series(spark, str(tmp_path / "x.csv")).collect()] == [(1, "a", 2.5)]
+    assert [tuple(r) for r in readers.read_series(spark, str(tmp_path / "x.csv")).collect()] == [(1, "a", 2.5, 0)]  # the last: its place in the file
     (tmp_path / "bad.csv").write_text("ts_nanos,symbol,open,high,low,close,volume,span_secs\n1,A,x,1,1,1,1,60\n")
     with pytest.raises(Exception):
         readers.read_bars(spark, str(tmp_path / "bad.csv")).collect()

@@ -1,9 +1,10 @@
-"""Recurrences as folds over a sorted array of each key, in the JVM.
+"""Recurrences in the JVM: associative scans where steps compose, folds over a sorted array of each key where not.
 
-A fold needs the rows of one key in order, so memory is one key's rows; keys
-with very many rows belong in the streaming operators, which keep only state.
-An accumulator is copied at every step, so states gather in chunks of CHUNK rows
-and a scan stays linear in a key's rows.
+Means and variances by exponential decay, forecasts, variance filters and hedge
+ratios are scans over blocks of time (operators.scans): a key may have any number
+of rows.  The others need the rows of one key in order, so memory is one key's
+rows; keys with very many rows belong in the streaming operators there, which
+keep only state.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.scans import Blocks, Maps, once, states_of
+
 
 def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """keys and `state`: the last state of each key."""
@@ -20,27 +23,11 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], s
     return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, F.aggregate("__rows", start, step).alias("state"))
 
 
-CHUNK = 256
-
-
 def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """keys, order, columns and `state` after each row."""
     rows = F.array_sort(F.collect_list(F.struct(*order, *columns)))
-    none = F.slice(F.array(start), 1, 0)
-
-    def each(acc: Column, x: Column) -> Column:
-        # the new state is named once, as an array of one, for it is used twice
-        return F.get(F.transform(F.array(step(acc["state"], x)), lambda new: F.struct(new.alias("state"), F.concat(acc["out"], F.array(new)).alias("out"))), F.lit(0))
-
-    def chunk(acc: Column, part: Column) -> Column:
-        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), each)
-        return F.get(F.transform(F.array(done), lambda x: F.struct(x["state"].alias("state"), F.concat(acc["parts"], F.array(x["out"])).alias("parts"))), F.lit(0))
-
     g = df.groupBy(*keys).agg(rows.alias("__rows"))
-    numbers = F.sequence(F.lit(0), F.ceil(F.size("__rows") / CHUNK).cast("int") - 1)
-    parts = F.transform(numbers, lambda k: F.slice("__rows", k * CHUNK + 1, F.lit(CHUNK)))
-    nothing = F.struct(start.alias("state"), F.slice(F.array(none), 1, 0).alias("parts"))
-    g = g.withColumn("__states", F.flatten(F.aggregate(parts, nothing, chunk, lambda a: a["parts"])))
+    g = g.withColumn("__states", states_of(F.col("__rows"), start, step))
     return g.select(*keys, F.explode(F.arrays_zip("__rows", "__states")).alias("z")).select(*keys, "z.__rows.*", F.col("z.__states").alias("state"))
 
 
@@ -48,17 +35,46 @@ def d(x: float) -> Column:
     return F.lit(float(x))
 
 
-def ema(df: DataFrame, keys: list[str], time: str, value: str, half_life: float) -> DataFrame:
-    """mean and var by exponential decay; the first value seeds the mean, the variance starts at 0."""
+def ema(df: DataFrame, keys: list[str], time: str, value: str, half_life: float, rows: int | None = None) -> DataFrame:
+    """mean and var by exponential decay; the first value seeds the mean, the variance starts at 0.
+
+    The mean is affine in the mean before; the variance is affine in the one before
+    and quadratic in that mean, so a block is six coefficients.  rows: of a block.
+    """
     alpha = 1 - 2 ** (-1 / half_life)
+    keep = 1 - alpha
 
     def step(s: Column, x: Column) -> Column:
         diff = x[value] - s["mean"]
-        go = F.struct((s["mean"] + alpha * diff).alias("mean"), ((1 - alpha) * (s["var"] + alpha * diff * diff)).alias("var"))
+        go = F.struct((s["mean"] + alpha * diff).alias("mean"), (keep * (s["var"] + alpha * diff * diff)).alias("var"))
         return F.when(s["mean"].isNull(), F.struct(x[value].cast("double").alias("mean"), d(0).alias("var"))).otherwise(go)
 
+    def of_row(x: Column) -> Column:
+        v = x[value].cast("double")
+        # mean -> p mean + q, var -> c var + e mean^2 + f mean + g; (mean, var) from no state
+        parts = {"p": d(keep), "q": alpha * v, "c": d(keep), "e": d(alpha * keep), "f": -2 * alpha * keep * v, "g": alpha * keep * v * v, "mean": v, "var": d(0)}
+        return F.struct(*(c.alias(k) for k, c in parts.items()))
+
+    def after(m: Column, mean: Column, var: Column) -> dict[str, Column]:
+        return {"mean": m["p"] * mean + m["q"], "var": m["c"] * var + (m["e"] * mean + m["f"]) * mean + m["g"]}
+
+    def compose(a: Column, b: Column) -> Column:
+        parts = {
+            "p": b["p"] * a["p"], "q": b["p"] * a["q"] + b["q"], "c": b["c"] * a["c"],
+            "e": b["c"] * a["e"] + b["e"] * a["p"] * a["p"],
+            "f": b["c"] * a["f"] + (2 * b["e"] * a["q"] + b["f"]) * a["p"],
+            "g": b["c"] * a["g"] + (b["e"] * a["q"] + b["f"]) * a["q"] + b["g"],
+        } | after(b, a["mean"], a["var"])
+        return F.struct(*(c.alias(k) for k, c in parts.items()))
+
+    def apply(m: Column, s: Column) -> Column:
+        go = F.struct(*(c.alias(k) for k, c in after(m, s["mean"], s["var"]).items()))
+        return F.when(s["mean"].isNull(), F.struct(m["mean"].alias("mean"), m["var"].alias("var"))).otherwise(go)
+
     start = F.struct(F.lit(None).cast("double").alias("mean"), d(0).alias("var"))
-    return scan(df, keys, [time], [value], start, step).select(*keys, time, value, "state.*")
+    blocks = Blocks.of(df, keys, [time], [value], rows)
+    first = blocks.starts(Maps.from_row(of_row, compose, apply, start), "__start")
+    return blocks.plus(first).replay(F.col("__start"), step).select(*keys, time, value, "state.*")
 
 
 def cusum(df: DataFrame, keys: list[str], time: str, value: str, mean: float, slack: float, limit: float) -> DataFrame:
@@ -73,33 +89,94 @@ def cusum(df: DataFrame, keys: list[str], time: str, value: str, mean: float, sl
     return scan(df, keys, [time], [value], F.struct(d(0).alias("up"), d(0).alias("down"), F.lit(0).alias("broke")), step).select(*keys, time, value, "state.*")
 
 
-def kalman_beta(df: DataFrame, keys: list[str], time: str, x: str, y: str, q: float = 1e-5, r: float = 1e-3) -> DataFrame:
-    """beta, spread and z of y against beta x; the first row sets beta = y / x and has spread 0."""
+def kalman_beta(df: DataFrame, keys: list[str], time: str, x: str, y: str, q: float = 1e-5, r: float = 1e-3, rows: int | None = None) -> DataFrame:
+    """beta, spread and z of y against beta x; the first row sets beta = y / x and has spread 0.
+
+    The variance p is a Moebius map of the one before, p -> (r p + r q) / (x^2 p + x^2 q + r),
+    so 2 x 2 matrices compose; with p known before each block, beta is affine in
+    the beta before.  rows: of a block.
+    """
+
+    def gain(p: Column, xv: Column) -> tuple[Column, Column, Column]:
+        ahead = p + q
+        big = xv * xv * ahead + r
+        return xv * ahead / big, ahead, big
 
     def step(s: Column, row: Column) -> Column:
         xv, yv = row[x], row[y]
-        p = s["p"] + q
+        k, p, big = gain(s["p"], xv)
         e = yv - s["beta"] * xv
-        big = xv * xv * p + r
-        k = p * xv / big
         go = F.struct((s["beta"] + k * e).alias("beta"), ((1 - k * xv) * p).alias("p"), e.alias("spread"), (e / F.sqrt(big)).alias("z"))
         first = F.struct(F.coalesce(F.try_divide(yv, xv), d(0)).alias("beta"), d(1).alias("p"), d(0).alias("spread"), d(0).alias("z"))
         return F.when(s["beta"].isNull(), first).otherwise(go)
 
-    start = F.struct(F.lit(None).cast("double").alias("beta"), d(1).alias("p"), d(0).alias("spread"), d(0).alias("z"))
-    return scan(df, keys, [time], [x, y], start, step).select(*keys, time, "state.beta", "state.spread", "state.z")
+    def matrix(row: Column) -> Column:
+        square = row[x] * row[x]
+        return F.struct(d(r).alias("a"), d(r * q).alias("b"), square.alias("c"), (square * q + r).alias("e"), d(1).alias("p"))
+
+    def product(m: Column, n: Column) -> Column:
+        def scaled(v: Column) -> Column:
+            a, b, c, e = (F.get(v, F.lit(k)) for k in range(4))
+            size = a + b + c + e  # all are positive
+            return F.struct((a / size).alias("a"), (b / size).alias("b"), (c / size).alias("c"), (e / size).alias("e"), moved(n, m["p"]).alias("p"))
 
+        entries = (n["a"] * m["a"] + n["b"] * m["c"], n["a"] * m["b"] + n["b"] * m["e"], n["c"] * m["a"] + n["e"] * m["c"], n["c"] * m["b"] + n["e"] * m["e"])
+        return once(F.array(*entries), scaled)
 
-def garch_filter(df: DataFrame, keys: list[str], time: str, value: str, omega: float, alpha: float, beta: float) -> DataFrame:
-    """var: omega + alpha r(previous)^2 + beta var, from the stationary variance; the first row uses its own return."""
+    def moved(m: Column, p: Column) -> Column:
+        return (m["a"] * p + m["b"]) / (m["c"] * p + m["e"])
+
+    blocks = Blocks.of(df, keys, [time], [x, y], rows)
+    known = blocks.plus(blocks.starts(Maps.from_row(matrix, product, lambda m, p: F.when(p.isNull(), m["p"]).otherwise(moved(m, p)), F.lit(None).cast("double")), "__p"))
+
+    def of_rows(rows_: Column) -> Column:
+        def more(s: Column, row: Column) -> Column:
+            k, p, _ = gain(s["p"], row[x])
+            rest = 1 - k * row[x]
+            go = F.struct((rest * p).alias("p"), (rest * s["u"]).alias("u"), (rest * s["v"] + k * row[y]).alias("v"), (rest * s["beta"] + k * row[y]).alias("beta"))
+            first = F.struct(d(1).alias("p"), d(0).alias("u"), d(0).alias("v"), F.coalesce(F.try_divide(row[y], row[x]), d(0)).alias("beta"))
+            return F.when(s["p"].isNull(), first).otherwise(go)
+
+        none = F.struct(F.col("__p").alias("p"), d(1).alias("u"), d(0).alias("v"), d(0).alias("beta"))
+        return F.aggregate(rows_, none, more)
+
+    def joined(m: Column, n: Column) -> Column:
+        return F.struct(n["p"].alias("p"), (n["u"] * m["u"]).alias("u"), (n["u"] * m["v"] + n["v"]).alias("v"), (n["u"] * m["beta"] + n["v"]).alias("beta"))
+
+    # beta -> u beta + v; from no state, beta
+    betas = Maps(of_rows, joined, lambda m, b: F.when(b.isNull(), m["beta"]).otherwise(m["u"] * b + m["v"]), F.lit(None).cast("double"))
+    start = F.struct(F.col("__beta").alias("beta"), F.coalesce("__p", d(1)).alias("p"), d(0).alias("spread"), d(0).alias("z"))
+    return known.plus(known.starts(betas, "__beta")).replay(start, step).select(*keys, time, "state.beta", "state.spread", "state.z")
+
+
+def garch_filter(df: DataFrame, keys: list[str], time: str, value: str, omega: float, alpha: float, beta: float, rows: int | None = None) -> DataFrame:
+    """var: omega + alpha r(previous)^2 + beta var, from the stationary variance; the first row uses its own return.
+
+    A block maps (var, r) to (a var + c r^2 + b, its last r).  rows: of a block.
+    """
     base = omega / (1 - alpha - beta)
 
     def step(s: Column, row: Column) -> Column:
         before = F.coalesce(s["r"], row[value])
         return F.struct((omega + alpha * before * before + beta * s["var"]).alias("var"), row[value].cast("double").alias("r"))
 
+    def of_row(row: Column) -> Column:
+        v = row[value].cast("double")
+        return F.struct(d(beta).alias("a"), d(alpha).alias("c"), d(omega).alias("b"), (omega + alpha * v * v + beta * base).alias("var"), v.alias("r"))
+
+    def after(m: Column, var: Column, before: Column) -> Column:
+        return m["a"] * var + m["c"] * before * before + m["b"]
+
+    def compose(m: Column, n: Column) -> Column:
+        ends = n["a"] * m["b"] + n["c"] * m["r"] * m["r"] + n["b"]
+        return F.struct((n["a"] * m["a"]).alias("a"), (n["a"] * m["c"]).alias("c"), ends.alias("b"), after(n, m["var"], m["r"]).alias("var"), n["r"].alias("r"))
+
+    def apply(m: Column, s: Column) -> Column:
+        return F.struct(F.when(s["r"].isNull(), m["var"]).otherwise(after(m, s["var"], s["r"])).alias("var"), m["r"].alias("r"))
+
     start = F.struct(d(base).alias("var"), F.lit(None).cast("double").alias("r"))
-    return scan(df, keys, [time], [value], start, step).select(*keys, time, value, "state.var")
+    blocks = Blocks.of(df, keys, [time], [value], rows)
+    return blocks.plus(blocks.starts(Maps.from_row(of_row, compose, apply, start), "__start")).replay(F.col("__start"), step).select(*keys, time, value, "state.var")
 
 
 def markov_filter(df: DataFrame, keys: list[str], time: str, value: str, start: list[float], moves: list[list[float]], means: list[float], variances: list[float]) -> DataFrame:
@@ -133,16 +210,25 @@ def hawkes_loglik(df: DataFrame, keys: list[str], time: str, mu: float, alpha: f
     return fold(df, keys, [time], [], start, step).select(*keys, F.col("state.ll").alias("loglik"))
 
 
-def ewma_forecast(df: DataFrame, keys: list[str], time: str, value: str, half_life: float) -> DataFrame:
-    """forecast of each row from the rows before it; null on the first."""
+def ewma_forecast(df: DataFrame, keys: list[str], time: str, value: str, half_life: float, rows: int | None = None) -> DataFrame:
+    """forecast of each row from the rows before it; null on the first.  rows: of a block."""
     alpha = 1 - 0.5 ** (1 / half_life)
 
     def step(s: Column, row: Column) -> Column:
         m = F.when(s["m"].isNull(), row[value].cast("double")).otherwise(s["m"] + alpha * (row[value] - s["m"]))
         return F.struct(m.alias("m"), s["m"].alias("forecast"))
 
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("forecast"))
-    return scan(df, keys, [time], [value], start, step).select(*keys, time, value, "state.forecast")
+    def of_row(row: Column) -> Column:
+        v = row[value].cast("double")
+        return F.struct(d(1 - alpha).alias("p"), (alpha * v).alias("q"), v.alias("m"))
+
+    def compose(m: Column, n: Column) -> Column:
+        return F.struct((n["p"] * m["p"]).alias("p"), (n["p"] * m["q"] + n["q"]).alias("q"), (n["p"] * m["m"] + n["q"]).alias("m"))
+
+    maps = Maps.from_row(of_row, compose, lambda m, s: F.when(s.isNull(), m["m"]).otherwise(m["p"] * s + m["q"]), F.lit(None).cast("double"))
+    blocks = Blocks.of(df, keys, [time], [value], rows)
+    start = F.struct(F.col("__m").alias("m"), F.lit(None).cast("double").alias("forecast"))
+    return blocks.plus(blocks.starts(maps, "__m")).replay(start, step).select(*keys, time, value, "state.forecast")
 
 
 def _apply_fill(qty: Column, avg: Column, pnl: Column, signed: Column, price: Column) -> Column:
