@@ -204,8 +204,9 @@ def mutated(seed=5):
     return rows + [(len(rows) + k, x) for k, x in enumerate((None, "", " \n", "A b", "a B"))]
 
 
-@pytest.mark.parametrize(("n", "percent", "block", "hot", "members"), [(2, 85, 512, 32, 1024), (5, 80, 8, 3, 4), (1, 60, 16, 4, 1024)])
-def test_near_duplicates(spark, monkeypatch, n, percent, block, hot, members):
+@pytest.mark.parametrize(("n", "percent", "block", "hot", "members", "sample"), [(2, 85, 512, 32, 1024, 64), (5, 80, 8, 3, 4, 64), (1, 60, 16, 4, 1024, 2), (2, 85, 8, 3, 4, 1)])
+def test_near_duplicates(spark, monkeypatch, n, percent, block, hot, members, sample):
+    monkeypatch.setattr(near_dup, "SAMPLE", sample)  # 1: every key of `hot` sets is dealt out as a hot one
     monkeypatch.setattr(near_dup, "BLOCK", block)
     monkeypatch.setattr(near_dup, "FEW", 1)
     monkeypatch.setattr(near_dup, "HOT", hot)

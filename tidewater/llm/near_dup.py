@@ -3,7 +3,8 @@
 1. One pass turns each text into its set of word shingles (64-bit hashes); sets
    that are equal are one class from here on, named by 64 bits of their digest
    and checked by 64 more (classes that share a name are renamed), so copies
-   never meet each other.
+   never meet each other.  Names and sizes are written, sets aren't: what needs them
+   makes them again from the text.
 2. Sets are dealt to partitions without loss: sizes fall into classes of ratio
    RATIO; within the class of the larger set, two linked sets differ in at most d
    shingles, so if the hash space is cut into more than d segments, one segment is
@@ -15,6 +16,9 @@
    set with fewer common keys (HOT sets or more have them) than that does without
    those.  A passage that many texts share so ties none of them, while copies of
    one text, nearly all of whose keys are common, stay together.
+   A key that very many sets have is told beforehand by a sample of 1/SAMPLE of the
+   texts: its rows are common without being counted, so they are dealt out by set
+   and never meet in one task.  Any choice of such keys gives the same links.
 3. A key that fewer than HOT sets have ties them in pairs, counted over all keys
    and kept if the count reaches both margins less the sets' common keys; in a
    common key, the sets whose common keys reach their margin are tied to the
@@ -63,6 +67,8 @@ RATIO = 1.5
 FINENESS = (1.5, 3.0, 6.0)  # segments for each difference, in rounds
 SEEDS = 5
 HOT = 32
+SAMPLE = 64
+MOST_HOT = 100_000  # keys told beforehand; by their threshold there are no more
 BLOCK = 512
 FEW = 8
 CENTRE_MEMBERS = 256
@@ -112,12 +118,12 @@ def size_classes(percent: int, most: int = 1 << 40) -> list[tuple[int, int]]:
     return out
 
 
-def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]], fineness: float = FINENESS[0]) -> tuple[np.ndarray, list[int]]:
+def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]], fineness: float = FINENESS[0], keyed: bool = True) -> tuple[np.ndarray, list[int]]:
     """Keys such that two different sets that link have one in common, and how many they must share at least.
 
     The last bit of a key is that of its class; a set is in two classes at most,
     next to each other, so it has a margin (full segments less differences) for
-    each bit.  A margin of 0 says nothing.
+    each bit.  A margin of 0 says nothing.  keyed: False gives the margins alone.
     """
     n, out, margins = len(s), [], [0, 0]
     own = int(np.searchsorted([low for low, _ in classes], n, "right")) - 1
@@ -132,8 +138,9 @@ def segment_keys(s: np.ndarray, percent: int, classes: list[tuple[int, int]], fi
             h = s if not seed else np.sort(_mix(s + np.uint64(seed * int(_M1) & (1 << 64) - 1)))
             at = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
             starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            tag = at[starts] + np.uint64(c << 40) + np.uint64(seed << 56)
-            out.append(_with_bit(_mix(np.add.reduceat(_mix(h), starts) ^ _mix(tag * _M1)), c))
+            if keyed:
+                tag = at[starts] + np.uint64(c << 40) + np.uint64(seed << 56)
+                out.append(_with_bit(_mix(np.add.reduceat(_mix(h), starts) ^ _mix(tag * _M1)), c))
             if len(starts) > most:
                 margins[c & 1] = 0 if seed else len(starts) - most
                 break
@@ -173,25 +180,39 @@ def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def _describe(n: int, percent: int, bits: int):
+    """(doc_id, th, text) to what is written of a set, without its keys."""
     classes = size_classes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # copies within a task send their keys once
         for batch in batches:
             for at, texts in slices(batch.column(2), SLICE_BYTES):
                 part = batch.slice(at, len(texts))
                 sets = shingle_sets(texts.to_pylist(), n)
                 names = [_name(s, bits) for s in sets]
-                told = []
-                for name, s in zip(names, sets, strict=True):
-                    new = len(s) > 0 and name not in seen
-                    if new:
+                margins = [segment_keys(s, percent, classes, keyed=False)[1] for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns, pa.array(margins, pa.list_(pa.int32()))], ["doc_id", "th", "n_shingles", "id", "check", "margins"])
+
+    return run
+
+
+def _first_keys(n: int, percent: int, bits: int):
+    """text to id, check, keys of its set; copies within a task send theirs once, empty sets send none."""
+    classes = size_classes(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for _, texts in slices(batch.column(0), SLICE_BYTES):
+                new = {}
+                for s in shingle_sets(texts.to_pylist(), n):
+                    name = _name(s, bits)
+                    if len(s) and name not in seen:
                         seen.add(name)
-                    told.append(segment_keys(s, percent, classes) if new else None)
-                if len(seen) > 250_000:
+                        new[name] = segment_keys(s, percent, classes)
+                if len(seen) > 100_000:
                     seen.clear()
-                columns = [*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *_key_columns(told)], ["doc_id", "th", "n_shingles", "id", "check", "keys", "margins"])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in new], pa.int64()), pa.array([b for _, b in new], pa.int64()), _key_columns(list(new.values()))[0]], ["id", "check", "keys"])
 
     return run
 
@@ -209,26 +230,36 @@ def _deal_again(n: int, percent: int, fineness: float):
     return run
 
 
-def _apart(described: DataFrame) -> DataFrame:
-    """The same rows, where classes that share a name but not the check get new names from both."""
+def _rename(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (id, check, ...) where the ids in shared are told apart by the check."""
+    new = F.when(F.col("twice"), F.xxhash64("id", "check")).otherwise(F.col("id"))
+    return rows.join(F.broadcast(shared), "id", "left").withColumn("id", new).select(*rows.columns)
+
+
+def _apart(described: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The same rows, where classes that share a name but not the check have new names, and how to rename others so."""
+    renamed = []
     while True:
         shared = described.groupBy("id").agg(F.min("check").alias("low"), F.max("check").alias("high")).filter("low <> high").select("id", F.lit(True).alias("twice"))
-        if shared.isEmpty():  # but for one pair of classes in 2^64
-            return described
-        new = F.when(F.col("twice"), F.xxhash64("id", "check")).otherwise(F.col("id"))
-        renamed = materialise(described.join(shared, "id", "left").withColumn("id", new).select(*described.columns), "near-renamed")
+        shared = materialise(shared, "near-shared")
+        if shared.isEmpty():  # but for one pair of classes in 2^64, so these tables are tiny
+            discard(shared)
+            return described, renamed
+        renamed.append(shared)
+        told = materialise(_rename(described, shared), "near-renamed")
         discard(described)
-        described = renamed
+        described = told
 
 
 def _meet(most: int):
-    """Rows sorted by key and id to (key, id, other > id) of keys with 2 to most - 1 sets, (key, id, null) of larger ones.
+    """Rows (key, id, salt) sorted by key and id to (key, id, other > id) of keys with 2 to most - 1 sets, (key, id, null) of larger ones.
 
     A key's rows may come in several batches; of one with `most` rows or more, none is held back.
+    A salt of 0 or more says that the key is common.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, hot, before = None, np.zeros(0, np.int64), False, None
+        key, held, hot, before = None, np.zeros(0, np.int64), False, (None, None)
 
         def close() -> list[tuple[np.ndarray, ...]]:
             return [] if hot or len(held) < 2 else pairs(np.full(1, key), held[None, :])
@@ -248,14 +279,16 @@ def _meet(most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fresh = np.append(key is None or k[0] != key or i[0] != before, (k[1:] != k[:-1]) | (i[1:] != i[:-1]))
-            k, i, before = k[fresh], i[fresh], i[-1]  # a class that several tasks met
+            k, i, salted = (c.to_numpy() for c in batch.columns)
+            new = np.append((k[0], i[0]) != before, (k[1:] != k[:-1]) | (i[1:] != i[:-1]))
+            k, i, salted, before = k[new], i[new], salted[new] >= 0, (k[-1], i[-1])  # a class that several tasks met
+            told, lone = [], [(k[salted], i[salted])]
+            k, i = k[~salted], i[~salted]
             if not len(k):
+                yield batch_of([], lone)
                 continue
             starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             sizes = np.diff(np.append(starts, len(k)))
-            told, lone = [], []
             if k[0] == key:  # goes on from the last batch
                 rows = i[: sizes[0]]
                 if hot:
@@ -371,12 +404,23 @@ def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
     return likely, rows
 
 
-def _candidates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sets with their keys and margins: (pairs (id, centre) to verify, edges (a, b) that make families)."""
+def _hot_keys(sample: DataFrame) -> DataFrame:
+    """key: keys of at least HOT sets in a sample of (id, keys) that have at least 1 / MOST_HOT of all its keys, so MOST_HOT at most."""
+    keys = sample.select(F.explode("keys").alias("key"), "id").distinct()
+    counts = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "near-sampled")
+    least = max(HOT, int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // MOST_HOT + 1)
+    return counts.filter(F.col("n") >= least).select("key")
+
+
+def _candidates(told: DataFrame, margins: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of sets (id, keys; id, margins): (pairs (id, centre) to verify, edges (a, b) that make families)."""
     shuffles = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exploded = told.select(F.explode("keys").alias("key"), "id").repartition(shuffles, "key").sortWithinPartitions("key", "id")
+    hot = F.broadcast(_hot_keys(sample).withColumn("hot", F.lit(True)))
+    exploded = told.select(F.explode("keys").alias("key"), "id").join(hot, "key", "left")
+    exploded = exploded.select("key", "id", F.when(F.col("hot"), F.pmod(F.hash("id"), F.lit(4096))).otherwise(F.lit(-1)).cast("int").alias("salt"))
+    exploded = exploded.repartition(shuffles, "key", "salt").sortWithinPartitions("key", "id")
     met = materialise(exploded.mapInArrow(_meet(HOT), "key long, id long, other long").filter("id IS NOT NULL"), "near-met")
-    likely, rows = _likely(met, told.select("id", "margins").dropDuplicates(["id"]))
+    likely, rows = _likely(met, margins)
     discard(met)
     # each set beside the smallest set of each of its common keys, and the smallest of all these
     first = materialise(rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")), "near-first")
@@ -391,14 +435,6 @@ def _candidates(told: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, likely.unionByName(stars.select(F.col("id").alias("a"), F.col("centre").alias("b"))).unionByName(ties)
 
 
-FEW_ROWS = 250_000
-
-
-def _small(rows: DataFrame, count: int) -> DataFrame:
-    """rows of ids and numbers, broadcast where they are few, so that texts needn't move to meet them."""
-    return F.broadcast(rows) if count <= FEW_ROWS else rows
-
-
 def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (id, centre) that are links; pairs is a table."""
     centres = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
@@ -407,7 +443,7 @@ def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
     dealt = lookup(pairs, salts, "centre", "members", total)
     members = dealt.select("centre", "id", F.pmod(F.hash("id"), F.col("salts") + 1).cast("int").alias("salt"), F.lit(1).alias("role"))
     own = salts.select("centre", F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.lit(0).alias("role"))
-    rows = texts.join(_small(members.unionByName(own), 2 * total), "id")
+    rows = texts.join(members.unionByName(own), "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", "role", "id")
     return rows.select("centre", "id", "text").mapInArrow(_verify(n, percent), PAIR)
@@ -416,7 +452,7 @@ def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
 def _family_links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
     """(a: smallest set of the component, b: set) of the linked sets in families of up to BLOCK sets, one signature tree a family."""
     rows = families.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "id", F.col("id").alias("component"))
-    rows = texts.join(_small(rows, families.count()), "id")
+    rows = texts.join(rows, "id")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "task").sortWithinPartitions("task", "id")
     return rows.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent, True), PAIR)
@@ -451,18 +487,18 @@ def _texts_of(source: DataFrame, heads: DataFrame) -> DataFrame:
     """id, size, text of the classes in heads (id, size, head)."""
     heads = heads.select("id", "size", F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th"))
     likely, _ = KeyFilter(heads.select(F.xxhash64("doc_id", "th").alias("h")), "h").split(source.select("doc_id", "th", "text"), F.xxhash64("doc_id", "th"), once=2)
-    return likely.alias("s").join(_small(heads, heads.count()).alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
+    return likely.alias("s").join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, tables)
 
 
-def _links(source: DataFrame, told: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, component of the linked classes; told: id, keys, margins of every class."""
+def _links(source: DataFrame, told: DataFrame, margins: DataFrame, sample: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, component of the linked classes; told: id, keys of every class, margins: id, margins, sample: rows like told of a part of the classes."""
     solved, found, texts, labels = [], [], None, None
     for fineness in (*FINENESS[1:], None):
-        pairs, edges = _candidates(told)
+        pairs, edges = _candidates(told, margins, sample)
         edges = materialise(edges, "near-edges")
         families = connected_components(edges).withColumnRenamed("component", "family")
         members = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
@@ -496,6 +532,7 @@ def _links(source: DataFrame, told: DataFrame, classes: DataFrame, n: int, perce
         if not counts.get(False):
             break
         told = materialise(texts.join(rest.filter("NOT few").select("id"), "id").select("id", "text").mapInArrow(_deal_again(n, percent, fineness), "id long, keys array<long>, margins array<int>"), "near-keys")
+        margins, sample = told.select("id", "margins"), told.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
     if found and labels is None:
         labels = connected_components(_all(found))
     done = solved[0].select(F.col("b").alias("id"), F.col("a").alias("component"))
@@ -506,13 +543,17 @@ def _links(source: DataFrame, told: DataFrame, classes: DataFrame, n: int, perce
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, head (doc_id and th of the row that stands for the component, null for an empty set); one row per input row."""
     source = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    kind = "doc_id long, th long, n_shingles long, id long, check long, keys array<long>, margins array<int>"
-    described = _apart(materialise(source.mapInArrow(_describe(n, percent, NAME_BITS), kind), "near-keys"))
-    sets = materialise(described.select("doc_id", "th", "n_shingles", "id"), "near-sets")
+    described, renamed = _apart(materialise(source.mapInArrow(_describe(n, percent, NAME_BITS), "doc_id long, th long, n_shingles long, id long, check long, margins array<int>"), "near-described"))
+    sets = described.select("doc_id", "th", "n_shingles", "id")
     head = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "th")
-    classes = materialise(sets.filter("n_shingles > 0").groupBy("id").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")), "near-classes")
-    labels = _links(source, described.filter("keys IS NOT NULL").select("id", "keys", "margins"), classes, n, percent)
-    discard(described)
+    classes = described.filter("n_shingles > 0").groupBy("id").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size"), F.first("margins").alias("margins"))
+    classes = materialise(classes, "near-classes")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return functools.reduce(_rename, renamed, rows.select("text").mapInArrow(_first_keys(n, percent, NAME_BITS), "id long, check long, keys array<long>")).select("id", "keys")
+
+    sample = source.filter(F.pmod("th", F.lit(SAMPLE)) == 0)
+    labels = _links(source, keys(source), classes.select("id", "margins"), keys(sample), classes, n, percent)
     linked = materialise(labels.join(classes, "id").select("id", "component", "head"), "near-linked")
     smallest = materialise(linked.groupBy("component").agg(F.min("head").alias("first"), F.count(F.lit(1)).alias("members")), "near-first")
     linked = lookup(linked.select("id", "component"), smallest, "component", "members", linked.count()).select("id", "first")
