@@ -61,21 +61,6 @@ def criticality(branching: Column) -> Column:
     return F.when(branching >= 0.95, 0.25).when(branching >= 0.9, 0.5).when(branching >= 0.85, 0.75).otherwise(1.0)
 
 
-def market_mode(corr: np.ndarray, names: list[str]) -> list[dict]:
-    """Loadings of the top eigenvector of the correlations, its largest one positive."""
-    _, e, share = est.eigen(corr)
-    top = e[:, 0] * np.sign(e[np.abs(e[:, 0]).argmax(), 0])
-    return [{"name": n, "loading": float(w), "share": float(share[0])} for n, w in zip(names, top, strict=True)]
-
-
-def filtered_graph(names: list[str], corr: np.ndarray) -> list[dict]:
-    """The 3 N - 6 shortest edges, with the degree of both ends."""
-    n = len(names)
-    edges = sorted((math.sqrt(max(0.0, 2 * (1 - corr[i, j]))), i, j) for i in range(n) for j in range(i + 1, n))[: max(3 * n - 6, 1)]
-    degree = np.bincount([k for _, i, j in edges for k in (i, j)], minlength=n)
-    return [{"a": names[i], "b": names[j], "weight": w, "degree_a": int(degree[i]), "degree_b": int(degree[j])} for w, i, j in edges]
-
-
 def horizon_entropy(pairs: DataFrame, horizons: tuple[int, ...] = (1, 5, 21), bins: int = 3) -> DataFrame:
     """a, b, h, te: transfer entropy from x to y h rows ahead, one history row, for each horizon (more: dependence.history_entropy)."""
     o = Window.partitionBy(*PAIR).orderBy("ts_nanos")

@@ -78,16 +78,6 @@ def panic_pairs(spark, d):
     return tr.panic_pairs(tails, 0.1).select("a", "b", "upper", "lower")
 
 
-@query()
-def market_mode(spark, d):
-    return matrix_estimate(spark, d, lambda c, t, names: tr.market_mode(est.correlation_of(c), names), "name STRING, loading DOUBLE, share DOUBLE")
-
-
-@query()
-def filtered_graph(spark, d):
-    return matrix_estimate(spark, d, lambda c, t, names: tr.filtered_graph(names, est.correlation_of(c)), "a STRING, b STRING, weight DOUBLE, degree_a INT, degree_b INT")
-
-
 @query()
 def symbolic_signal(spark, d):
     """The best expression of the other symbols' returns for the next return of one."""

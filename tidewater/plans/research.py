@@ -167,20 +167,6 @@ def rolling_random_matrix(spark, d):
     return est.grouped(w, ["panel", "window_end"], "ts_nanos", names, lambda *c: est.rmt(np.column_stack(c)), "n_above INT, top DOUBLE, edge DOUBLE, top_share DOUBLE, p DOUBLE")
 
 
-@query()
-def principal_components(spark, d):
-    def f(c, t, names):
-        v, e, share = est.eigen(c)
-        return [{"k": k, "eigenvalue": float(v[k]), "share": float(share[k]), "loadings": (e[:, k] * np.sign(e[np.abs(e[:, k]).argmax(), k])).tolist()} for k in range(len(v))]
-
-    return matrix_estimate(spark, d, f, "k INT, eigenvalue DOUBLE, share DOUBLE, loadings ARRAY<DOUBLE>")
-
-
-@query()
-def minimum_spanning_tree(spark, d):
-    return matrix_estimate(spark, d, lambda c, t, names: est.spanning_tree(names, est.correlation_of(c)), "a STRING, b STRING, weight DOUBLE")
-
-
 @query()
 def causal_graph(spark, d):
     def f(c, t, names):
