@@ -118,6 +118,7 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: str | list[str], weight: st
     return by_broadcast.unionByName(by_shuffle)
 
 
+HELD = 24 << 20
 LEAST_BITS, MOST_BITS = 1 << 17, 1 << 27
 
 
@@ -161,13 +162,13 @@ class KeyFilter:
     def split(self, source: DataFrame, hashed: Column, once: int = 0) -> tuple[DataFrame, DataFrame]:
         """(rows whose hash may be in the filter, rows whose hash is not), each a pass over source.
 
-        once: of the former, a task tells one of the rows that repeat so many first columns (0: all), as far as it remembers.
+        once: of the former, a task tells one of the rows that repeat so many first columns (0: all), as far as it remembers (HELD bytes of text).
         """
         may, kind, name = self.test(), source.schema, fresh(source, "hashed")
 
         def keep(inside: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                seen = set()
+                seen, size = set(), 0
                 for batch in batches:
                     held = may(batch.column(batch.num_columns - 1).to_numpy())
                     part = batch.filter(pa.array(held if inside else ~held))
@@ -175,10 +176,12 @@ class KeyFilter:
                         new = np.zeros(part.num_rows, bool)
                         for k, key in enumerate(zip(*(c.to_pylist() for c in part.columns[:once]), strict=True)):
                             new[k] = key not in seen
-                            seen.add(key)
+                            if new[k]:
+                                seen.add(key)
+                                size += 100 + sum(len(x) for x in key if isinstance(x, (str, bytes)))
                         part = part.filter(pa.array(new))
-                        if len(seen) > 250_000:
-                            seen.clear()
+                        if size > HELD:
+                            seen, size = set(), 0
                     yield pa.RecordBatch.from_arrays(part.columns[:-1], kind.names)
 
             return run

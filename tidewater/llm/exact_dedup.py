@@ -172,23 +172,6 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keepers, pa.int64()), pa.array(counts, pa.int64())], ["digest", "keep_id", "group_size"])
 
 
-def _sight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different texts of each digest that a task meets, once while HELD bytes of them are remembered."""
-    seen: set[tuple[bytes, str]] = set()
-    held = 0
-    for batch in batches:
-        new = []
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new.append(row not in seen)
-            if new[-1]:
-                seen.add(row)
-                held += len(row[1])
-        yield batch.filter(pa.array(new, pa.bool_()))
-        if held > HELD:
-            seen.clear()
-            held = 0
-
-
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests with more than one text, of rows sorted by digest and text."""
     digest = text = told = None
@@ -203,7 +186,6 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SHARD_ROWS = 2_000_000
-HELD = 32 << 20
 
 
 DIGEST_BYTES = 32
@@ -224,8 +206,8 @@ def duplicate_groups(marked: DataFrame, texts: DataFrame, total: int) -> tuple[D
     found = marked.select("doc_id", "digest").mapInArrow(_combine, kind).repartition(shards, "digest").mapInArrow(_index, kind)
     groups = materialise(found.withColumn("hashed", F.xxhash64("digest")), "dedup-groups")
     digest = digest_of(F.col("text"))
-    hits, _ = KeyFilter(groups, "hashed").split(texts, F.xxhash64(digest))
-    sighted = hits.select(digest.alias("digest"), "text").mapInArrow(_sight, "digest binary, text string")
+    # one Python pass: the filter, and a text once for each task that meets it
+    sighted, _ = KeyFilter(groups, "hashed").split(texts.select(digest.alias("digest"), "text"), F.xxhash64("digest"), once=2)
     several = sighted.repartition(shards, "digest").sortWithinPartitions("digest", "text").mapInArrow(_bucket, "digest binary").distinct()
     several = materialise(several, "dedup-several")
     if several.isEmpty():  # but for two texts of one digest
