@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import panels, portfolio, quality, report, research, stats, streams, windows
+from tidewater.plans import panels, portfolio, quality, report, research, stats, streams, tables, windows
 
-_MODULES = (windows, stats, portfolio, quality, research, report, panels, streams)
+_MODULES = (windows, stats, portfolio, quality, research, report, panels, tables, streams)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
