@@ -1,8 +1,9 @@
-"""The engine's operators on streams: bars, late data, keyed folds, order state, journal.
+"""The engine's operators on streams: bars, late data, keyed folds, order life, journal.
 
 Batch and stream share their fold functions.  A micro-batch's rows reach a
-stateful operator in no order, so each call sorts its own; what comes after the
-watermark is dropped by Spark and counted in the query's progress.
+stateful operator in no order, so each call sorts its own.  Windows drop what comes
+behind the watermark; arrivals() tells these rows apart instead, so an account of
+them can be kept beside.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -129,21 +131,148 @@ def streaming_ladder(df: DataFrame, key: str = "run") -> DataFrame:
     return keyed_fold(df, key, ["ts_nanos"], (math.nan, 0), ladder_step, ["ts_nanos", "nav", "opens"], f"{key} STRING, ts_nanos LONG, nav DOUBLE, level INT", "first DOUBLE, level INT")
 
 
-def order_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-    """Order life: submitted, accepted, partial, filled; average fill price; a filled order stays."""
-    asked, filled, paid = state
-    ts, kind, qty, price = row
-    if kind == "submit":
-        asked += qty
-    else:
-        filled, paid = filled + qty, paid + qty * price
-    status = "Accepted" if filled == 0 else "Filled" if filled >= asked > 0 else "PartiallyFilled"
-    return (asked, filled, paid), (ts, status, filled, paid / filled if filled else 0.0)
+def arrivals(df: DataFrame, time: str, late: str = "10 minutes", shards: int = 64) -> DataFrame:
+    """df with `watermark_ms` and `late`: whether a row came behind the watermark of the batches before its own.
 
+    The watermark is the largest time so far less `late`.  Nothing is dropped: a
+    stateful operator without a timeout sees every row.  Rows are dealt by the hash of
+    their values, so a key that a third of them share is spread like any other.
+    """
+    names, kind = df.columns, df.schema
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", watermark_ms LONG, late BOOLEAN"
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        mark = held.getCurrentWatermarkMs()
+        for frame in frames:
+            rows = frame[names].copy()
+            rows["watermark_ms"] = mark
+            rows["late"] = (frame["__ms"] < mark).fillna(False).astype(bool)
+            yield rows
+
+    shard = F.pmod(F.hash(*names), F.lit(shards)).alias("__shard")
+    timed = df.withWatermark(time, late).select("*", F.unix_millis(time).alias("__ms"), shard)
+    return timed.groupBy("__shard").applyInPandasWithState(run, out, "seen LONG", "append", GroupStateTimeout.NoTimeout)
+
+
+def late_account(told: DataFrame, time: str, span: str = "1 hour", *keys: str) -> DataFrame:
+    """window, keys, on_time, late, worst_ms (how far the latest came behind the watermark): the rows of arrivals(), landed, by window."""
+    behind = F.when(F.col("late"), F.col("watermark_ms") - F.unix_millis(time))
+    return told.groupBy(F.window(time, span).alias("window"), *keys).agg(F.count_if(~F.col("late")).alias("on_time"), F.count_if(F.col("late")).alias("late"), F.max(behind).alias("worst_ms"))
+
+
+# What a message does to an order in a state; a move that isn't listed is illegal and changes nothing
+MOVES = {
+    ("New", "accept"): "Accepted",
+    ("New", "reject"): "Rejected",
+    ("New", "cancel"): "Cancelled",
+    ("Accepted", "fill"): "PartiallyFilled",  # Filled where it is complete
+    ("Accepted", "cancel"): "Cancelled",
+    ("Accepted", "expire"): "Expired",
+    ("New", "expire"): "Expired",
+    ("PartiallyFilled", "fill"): "PartiallyFilled",
+    ("PartiallyFilled", "cancel"): "Cancelled",
+    ("PartiallyFilled", "expire"): "Expired",
+}
+DONE = ("Filled", "Rejected", "Cancelled", "Expired")
+ORDER_ROW = "ts_ms LONG, seq LONG, kind STRING, status STRING, legal BOOLEAN, filled DOUBLE, vwap DOUBLE, over DOUBLE"
+ORDER_STATE = "status STRING, asked DOUBLE, filled DOUBLE, paid DOUBLE, expires_ms LONG"
+
+
+def order_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
+    """(state after, (status, legal, filled, vwap, over)) of one message (ts_ms, kind, qty, price, ttl_ms).
+
+    submit opens an order of qty that expires ttl_ms later (never, without one); a
+    fill beyond what is open fills the order, and `over` is the rest.  Messages to an
+    order that isn't there or is done, and a second submit, are illegal.
+    """
+    ts, kind, qty, price, ttl = row
+    if state is None:
+        if kind != "submit" or not qty or qty <= 0:
+            return None, (None, False, 0.0, 0.0, 0.0)
+        return ("New", qty, 0.0, 0.0, ts + int(ttl) if ttl else None), ("New", True, 0.0, 0.0, 0.0)
+    status, asked, filled, paid, expires = state
+    after, over = MOVES.get((status, kind)), 0.0
+    if kind == "fill" and (not qty or qty <= 0):
+        after = None
+    if after is None:
+        return state, (status, False, filled, paid / filled if filled else 0.0, 0.0)
+    if kind == "fill":
+        taken = min(qty, asked - filled)
+        over, filled, paid = qty - taken, filled + taken, paid + taken * price
+        after = "Filled" if filled >= asked else after
+    return (after, asked, filled, paid, expires), (after, True, filled, paid / filled if filled else 0.0, over)
+
+
+class OrderMachine(StatefulProcessor):
+    """One order a key: its state in a value state, its expiry as an event-time timer.
+
+    Messages of a batch are taken in order of (time, seq).  An order whose expiry lies
+    at or before a message's time expires before that message; one without further
+    messages expires when the watermark passes it, and tells a row of its own (seq null).
+    """
 
-def streaming_orders(df: DataFrame, key: str = "order_id") -> DataFrame:
-    """kind (submit or fill), qty, price -> status, filled, vwap by order."""
-    return keyed_fold(df, key, ["ts_nanos", "kind"], (0.0, 0.0, 0.0), order_step, ["ts_nanos", "kind", "qty", "price"], f"{key} STRING, ts_nanos LONG, status STRING, filled DOUBLE, vwap DOUBLE", "asked DOUBLE, filled DOUBLE, paid DOUBLE")
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.order = handle.getValueState("order", ORDER_STATE)
+
+    def _due(self, state: tuple | None, now: int) -> bool:
+        return state is not None and state[0] not in DONE and state[4] is not None and state[4] <= now
+
+    def _expired(self, state: tuple) -> tuple[tuple, tuple]:
+        after, (status, legal, filled, vwap, over) = order_step(state, (state[4], "expire", None, None, None))
+        return after, (state[4], None, "expire", status, legal, filled, vwap, over)
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame([(key[0], *r) for r in rows], columns=[self.key, *(c.split()[0] for c in ORDER_ROW.split(", "))])
+        return frame.astype({"seq": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable")
+        state = tuple(self.order.get()) if self.order.exists() else None
+        before, out = state, []
+        for ts, seq, kind, qty, price, ttl in frame[["ts_ms", "seq", "kind", "qty", "price", "ttl_ms"]].astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
+            ts, seq = int(ts), None if seq is None else int(seq)
+            if self._due(state, ts):
+                state, told = self._expired(state)
+                out.append(told)
+            state, made = order_step(state, (ts, kind, qty, price, ttl))
+            out.append((ts, seq, kind, *made))
+        timed = lambda s: s is not None and s[0] not in DONE and s[4] is not None
+        if timed(before) and not timed(state):
+            self.handle.deleteTimer(before[4])
+        if timed(state) and not timed(before):
+            self.handle.registerTimer(state[4])
+        if state is not None:
+            self.order.update(state)
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = tuple(self.order.get()) if self.order.exists() else None
+        if self._due(state, expiredTimerInfo.getExpiryTimeInMs()):
+            state, told = self._expired(state)
+            self.order.update(state)
+            yield self._frame(key, [told])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def order_life(df: DataFrame, key: str = "order_id", time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """A row for each message and each expiry: key, ts_ms, seq, kind, status after it, legal, filled, vwap, over.
+
+    df: key, time, seq (breaks ties of the time), kind (submit, accept, reject, fill,
+    cancel), qty, price, ttl_ms.  State lives in the RocksDB store, which the query that
+    runs this has to name (run_once does); messages behind the watermark are dropped by Spark.
+    """
+    kind = f"{key} {df.schema[key].dataType.simpleString()}, {ORDER_ROW}"
+    rows = df.withWatermark(time, late).select(key, time, F.unix_millis(time).alias("ts_ms"), "seq", "kind", "qty", "price", "ttl_ms")
+    return rows.groupBy(key).transformWithStateInPandas(OrderMachine(key), kind, "Append", "EventTime")
 
 
 def stale(df: DataFrame, limit: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -157,6 +286,12 @@ def journal(df: DataFrame, path: str, checkpoint: str):
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Everything there is now, to Parquet, exactly once over restarts."""
-    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    """Everything there is now, to Parquet, exactly once over restarts; state in the RocksDB store."""
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKS)  # read when the query starts
+    try:
+        q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.set(name, before)
