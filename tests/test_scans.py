@@ -105,3 +105,66 @@ def test_empty_and_timeless(spark):
     odd = spark.createDataFrame([("a", None, 1.0, 2.0), ("a", 5, 2.0, 4.0), ("a", 9, 4.0, 8.0)], SCHEMA)
     for run, _ in RUNS.values():
         assert run(none, 7).count() == 0 and run(odd, 1).count() == 3
+
+
+def plain_position(fills):
+    qty = avg = pnl = 0.0
+    out = []
+    for side, q, price, _ in fills:
+        s = side * q
+        new, same = qty + s, qty == 0 or (qty > 0) == (s > 0)
+        if same:
+            avg = (qty * avg + s * price) / new
+        else:
+            pnl += (price - avg) * min(abs(qty), abs(s)) * (1 if qty > 0 else -1)
+            avg = 0.0 if abs(new) < 1e-12 else avg if (new > 0) == (qty > 0) else price
+        qty = 0.0 if abs(new) < 1e-12 else new
+        out.append((qty, avg, pnl))
+    return out
+
+
+FILLS = "symbol string, ts_nanos long, seq long, side int, qty double, price double, fees double"
+
+
+def some_fills(n=300, seed=4):
+    rng = random.Random(seed)
+    return [(rng.choice("ab"), k // 2, k, rng.choice([-1, 1]), float(rng.choice([1, 2, 5, 10])), 50 + rng.random(), 0.25) for k in range(n)]
+
+
+@pytest.mark.parametrize("rows", [5, 10_000])
+def test_positions_over_blocks(spark, rows):
+    data = some_fills()
+    got = folds.position_path(spark.createDataFrame(data, FILLS).repartition(3), ["symbol"], ["ts_nanos", "seq"], rows).collect()
+    for k in "ab":
+        mine = sorted((r.seq, tuple(r.state)) for r in got if r.symbol == k)
+        want = plain_position([x[3:] for x in data if x[0] == k])
+        assert len(mine) == len(want)
+        for (_, g), w in zip(mine, want, strict=True):
+            assert g == pytest.approx(w, abs=1e-8)
+
+
+def test_portfolio_against_brute_force(spark):
+    data, rng = some_fills(120, 5), random.Random(6)
+    marks = [(k, t, 50 + rng.random()) for k in "ab" for t in range(7, 60, 6)]
+    got = folds.portfolio(spark.createDataFrame(data, FILLS), spark.createDataFrame(marks, "symbol string, ts_nanos long, price double"), ["ts_nanos", "seq"], 1000.0, rows=7)
+    told = {(r.ts_nanos, r.symbol, r.kind, r.place.seq if r.place else None): (r.cash, r.gross, r.nav, r.buying_power) for r in got.collect()}
+    events = sorted([(t, 0, k, -1, p) for k, t, p in marks] + [(x[1], 1, x[0], x[2], x) for x in data])
+    cash, held, mark, fills = 1000.0, {}, {}, {"a": [], "b": []}
+    for t, kind, k, seq, x in events:
+        if kind:
+            cash -= x[3] * x[4] * x[5] + x[6]
+            fills[k].append(x[3:])
+            held[k] = plain_position(fills[k])[-1]
+        else:
+            mark[k] = x
+        worth = {s: q * mark.get(s, avg) for s, (q, avg, _) in held.items()}
+        want = (cash, sum(map(abs, worth.values())), cash + sum(worth.values()), max(0.0, cash))
+        assert told.pop((t, k, kind, seq if kind else None)) == pytest.approx(want, abs=1e-6)
+    assert not told
+
+
+def test_running_sums_of_nothing_and_one_time(spark):
+    none = spark.createDataFrame([], "t long, k long, v double")
+    assert folds.running_sums(none, ["t"], ["v"]).count() == 0
+    one = spark.createDataFrame([(5, k, 1.0) for k in range(9)], "t long, k long, v double")
+    assert sorted(r.v for r in folds.running_sums(one, ["t", "k"], ["v"]).collect()) == [float(k) for k in range(1, 10)]

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.scans import Blocks, Maps, once, states_of
@@ -246,17 +246,104 @@ def _apply_fill(qty: Column, avg: Column, pnl: Column, signed: Column, price: Co
     return F.struct(F.when(F.abs(new) < 1e-12, d(0)).otherwise(new).alias("qty"), average.alias("avg"), (pnl + realised).alias("pnl"))
 
 
-def positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keys, qty, avg_px, realized_pnl, cash, fees, fills: the fold of fills (side, qty, price, fees) in order."""
+def position_path(fills: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """fills (order, side, qty, price, fees) with `state` (qty, avg, pnl) after each.
 
-    def step(s: Column, f: Column) -> Column:
-        signed = f["side"] * f["qty"]
-        p = _apply_fill(s["qty"], s["avg"], s["pnl"], signed, f["price"])
-        return F.struct(p["qty"].alias("qty"), p["avg"].alias("avg"), p["pnl"].alias("pnl"), (s["cash"] - signed * f["price"] - f["fees"]).alias("cash"), (s["fees"] + f["fees"]).alias("fees"), (s["n"] + 1).alias("n"))
+    Quantities add up.  With the quantity before a row known, the cost of a position is
+    affine in the cost before (a fill adds to it, a partial close takes its share, a
+    flip starts anew) and the realised profit is linear in it, so both are scans over
+    blocks of time.  rows: of a block.
+    """
+    fills = fills.select(*keys, *order, F.col("side").cast("double"), F.col("qty").cast("double"), F.col("price").cast("double"), F.col("fees").cast("double"))
+
+    def signed(x: Column) -> Column:
+        return x["side"] * x["qty"]
+
+    def step(s: Column, x: Column) -> Column:
+        return _apply_fill(s["qty"], s["avg"], s["pnl"], signed(x), x["price"])
+
+    blocks = Blocks.of(fills, keys, order, ["side", "qty", "price", "fees"], rows)
+    held = Maps(lambda r: F.aggregate(r, d(0), lambda acc, x: acc + signed(x)), lambda m, n: m + n, lambda m, q: q + m, d(0))
+    known = blocks.plus(blocks.starts(held, "__qty"))
+
+    def of_rows(r: Column) -> Column:
+        # cost -> a cost + b; pnl -> pnl + c cost + e, for the rows so far
+        def more(s: Column, x: Column) -> Column:
+            q = signed(x)
+            new = s["qty"] + q
+            same = (s["qty"] == 0) | (F.signum(s["qty"]) == F.signum(q))
+            empty = F.abs(new) < 1e-12
+            stays = F.signum(new) == F.signum(s["qty"])
+            closed = F.least(F.abs(s["qty"]), F.abs(q))
+            share = F.coalesce(F.try_divide(closed, F.abs(s["qty"])), d(0))
+            keep = F.when(same, d(1)).when(empty, d(0)).when(stays, 1 - share).otherwise(d(0))
+            adds = F.when(same, F.abs(q) * x["price"]).when(empty | stays, d(0)).otherwise(F.abs(new) * x["price"])
+            gain = F.when(same, d(0)).otherwise(x["price"] * closed * F.signum(s["qty"]))
+            lost = F.when(same, d(0)).otherwise(share * F.signum(s["qty"]))
+            return F.struct(F.when(empty, d(0)).otherwise(new).alias("qty"), (keep * s["a"]).alias("a"), (keep * s["b"] + adds).alias("b"), (s["c"] - lost * s["a"]).alias("c"), (s["e"] + gain - lost * s["b"]).alias("e"))
+
+        return F.aggregate(r, F.struct(F.col("__qty").alias("qty"), d(1).alias("a"), d(0).alias("b"), d(0).alias("c"), d(0).alias("e")), more)
+
+    def compose(m: Column, n: Column) -> Column:
+        return F.struct(n["qty"].alias("qty"), (n["a"] * m["a"]).alias("a"), (n["a"] * m["b"] + n["b"]).alias("b"), (m["c"] + n["c"] * m["a"]).alias("c"), (m["e"] + n["c"] * m["b"] + n["e"]).alias("e"))
+
+    costs = Maps(of_rows, compose, lambda m, s: F.struct((m["a"] * s["cost"] + m["b"]).alias("cost"), (s["pnl"] + m["c"] * s["cost"] + m["e"]).alias("pnl")), F.struct(d(0).alias("cost"), d(0).alias("pnl")))
+    told = known.plus(known.starts(costs, "__cost"))
+    qty = F.when(F.abs("__qty") < 1e-12, d(0)).otherwise(F.col("__qty"))
+    start = F.struct(qty.alias("qty"), F.coalesce(F.try_divide(F.col("__cost.cost"), F.abs(qty)), d(0)).alias("avg"), F.col("__cost.pnl").alias("pnl"))
+    return told.replay(start, step)
 
-    start = F.struct(d(0).alias("qty"), d(0).alias("avg"), d(0).alias("pnl"), d(0).alias("cash"), d(0).alias("fees"), F.lit(0).cast("long").alias("n"))
-    out = fold(fills, keys, order, ["side", "qty", "price", "fees"], start, step)
-    return out.select(*keys, F.col("state.qty").alias("qty"), F.col("state.avg").alias("avg_px"), F.col("state.pnl").alias("realized_pnl"), F.col("state.cash").alias("cash"), F.col("state.fees").alias("fees"), F.col("state.n").alias("n_fills"))
+
+def positions(fills: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """keys, qty, avg_px, realized_pnl, cash, fees, n_fills after the last of the fills (side, qty, price, fees) in order."""
+    path = position_path(fills, keys, order, rows)
+    flow = F.sum(-F.col("side") * F.col("qty") * F.col("price") - F.col("fees"))
+    last = path.groupBy(*keys).agg(F.max_by("state", F.struct(*order)).alias("s"), flow.alias("cash"), F.sum("fees").alias("fees"), F.count(F.lit(1)).alias("n_fills"))
+    return last.select(*keys, F.col("s.qty").alias("qty"), F.col("s.avg").alias("avg_px"), F.col("s.pnl").alias("realized_pnl"), "cash", "fees", "n_fills")
+
+
+def running_sums(df: DataFrame, order: list[str], columns: list[str], most: int = 20_000) -> DataFrame:
+    """df with the columns replaced by their sums over all rows so far, in order, over the whole table.
+
+    Rows are numbered within blocks of the first order column, a number; a window over
+    the blocks' sums, `most` rows at most, says what came before each.  So no task has
+    more than its blocks.
+    """
+    time = order[0]
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(time), F.max(time)).first()  # one row
+    width = max(1, -(-(high - low + 1) // max(1, min(most, n // 1000)))) if n else 1
+    rows = df.withColumn("__block", F.floor((F.col(time) - F.lit(low or 0)) / F.lit(width)))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__block").agg(*(F.sum(c).alias(c) for c in columns))
+    sums = sums.select("__block", *(F.coalesce(F.sum(c).over(before), d(0)).alias(f"__{c}") for c in columns))
+    inside = Window.partitionBy("__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.sum(c).over(inside) for c in columns}).join(F.broadcast(sums), "__block")
+    return rows.withColumns({c: F.col(c) + F.col(f"__{c}") for c in columns}).select(*df.columns)
+
+
+def portfolio(fills: DataFrame, marks: DataFrame, order: list[str], cash: float = 0.0, rows: int | None = None) -> DataFrame:
+    """ts_nanos, symbol, cash, gross, nav, buying_power after each fill and each mark, over all symbols.
+
+    fills: symbol, order (ts_nanos first), side, qty, price, fees; marks: symbol,
+    ts_nanos, price.  A symbol is worth its quantity at its last mark, or at its average
+    price before its first; a mark comes before fills of its time.  Each event changes
+    the worth of its symbol alone, so the book is one running sum of changes.
+    buying_power is the cash, if positive.
+    """
+    path = position_path(fills, ["symbol"], order, rows)
+    told = F.struct(*order)
+    f = path.select("symbol", "ts_nanos", F.lit(1).alias("__side"), told.alias("__order"), F.col("state.qty").alias("qty"), F.col("state.avg").alias("avg"), F.lit(None).cast("double").alias("mark"), (-F.col("side") * F.col("qty") * F.col("price") - F.col("fees")).alias("cash"))
+    none = F.lit(None)
+    m = marks.select("symbol", "ts_nanos", F.lit(0).alias("__side"), none.cast(f.schema["__order"].dataType).alias("__order"), none.cast("double").alias("qty"), none.cast("double").alias("avg"), F.col("price").cast("double").alias("mark"), d(0).alias("cash"))
+    w = Window.partitionBy("symbol").orderBy("ts_nanos", "__side", "__order")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    events = f.unionByName(m).withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("qty", "avg", "mark")})
+    events = events.withColumn("nav", F.coalesce("qty", d(0)) * F.coalesce("mark", "avg", d(0)))
+    before = F.coalesce(F.lag("nav").over(w), d(0))
+    changes = events.withColumns({"gross": F.abs("nav") - F.abs(before), "nav": F.col("nav") - before + F.col("cash")})
+    book = running_sums(changes.select("ts_nanos", "__side", "symbol", "__order", "cash", "gross", "nav"), ["ts_nanos", "__side", "symbol", "__order"], ["cash", "gross", "nav"])
+    held = F.col("cash") + cash
+    return book.select("ts_nanos", "symbol", F.col("__side").alias("kind"), F.col("__order").alias("place"), held.alias("cash"), "gross", (F.col("nav") + cash).alias("nav"), F.greatest(held, d(0)).alias("buying_power"))
 
 
 # Loss limits by level, as shares of the capital each is measured from

@@ -182,6 +182,25 @@ def position_fold(spark, d):
     return p.select("symbol", "n_fills", r("qty", 4).alias("qty"), r("avg_px", 4).alias("avg_px"), r("realized_pnl", 2).alias("realized_pnl"), r("cash", 2).alias("cash"), r("fees", 2).alias("fees"))
 
 
+@query(
+    """WITH RECURSIVE t AS (SELECT l_suppkey AS k, epoch_us(l_shipdate) * 1000 AS ts, l_orderkey AS o, l_linenumber AS l, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * l_quantity AS q, round(l_extendedprice / l_quantity, 9) AS p, round(l_extendedprice * l_tax, 4) AS f, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i FROM lineitem),
+s AS (SELECT k, i, ts, o, l, q AS qty, p AS avg, -q * p - f AS flow FROM t WHERE i = 1
+UNION ALL SELECT c.k, c.i, c.ts, c.o, c.l, s.qty + c.q, CASE WHEN s.qty = 0 OR sign(s.qty) = sign(c.q) THEN (s.qty * s.avg + c.q * c.p) / (s.qty + c.q) WHEN s.qty + c.q = 0 THEN 0 WHEN sign(s.qty + c.q) = sign(s.qty) THEN s.avg ELSE c.p END, -c.q * c.p - c.f FROM s JOIN t c ON c.k = s.k AND c.i = s.i + 1),
+e AS (SELECT k, ts, 1 AS side, o, l, qty, avg, NULL::DOUBLE AS mark, flow FROM s UNION ALL SELECT k, ts, 0, NULL, NULL, NULL, NULL, round(avg(p), 6), 0 FROM t WHERE l = 1 AND o % 3 = 0 GROUP BY 1, 2),
+h AS (SELECT k, ts, side, o, l, flow, coalesce(last_value(qty IGNORE NULLS) OVER w, 0) * coalesce(last_value(mark IGNORE NULLS) OVER w, last_value(avg IGNORE NULLS) OVER w, 0) AS worth FROM e WINDOW w AS (PARTITION BY k ORDER BY ts, side, o, l ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT ts, flow, worth - coalesce(lag(worth) OVER w, 0) AS dw, abs(worth) - abs(coalesce(lag(worth) OVER w, 0)) AS dg FROM h WINDOW w AS (PARTITION BY k ORDER BY ts, side, o, l)),
+y AS (SELECT ts, sum(flow) AS flow, sum(dw) AS dw, sum(dg) AS dg FROM g GROUP BY 1)
+SELECT ts AS ts_nanos, round((1e9 + sum(flow) OVER o) / 1e6, 3) + 0.0 AS cash, round(sum(dg) OVER o / 1e6, 3) + 0.0 AS gross, round((1e9 + sum(flow + dw) OVER o) / 1e6, 3) + 0.0 AS nav, round(greatest(0, 1e9 + sum(flow) OVER o) / 1e6, 3) + 0.0 AS buying_power FROM y WINDOW o AS (ORDER BY ts ROWS UNBOUNDED PRECEDING)"""
+)
+def portfolio_fold(spark, d):
+    """The book at the end of each day, in millions, from a thousand of them: fills of all suppliers, marked now and then."""
+    f = fills(spark, d)
+    marks = f.filter("l_linenumber = 1 AND l_orderkey % 3 = 0").groupBy("symbol", "ts_nanos").agg(F.round(F.avg("price"), 6).alias("price"))
+    p = folds.portfolio(f, marks, ["ts_nanos", "l_orderkey", "l_linenumber"], 1e9)
+    p = p.groupBy("ts_nanos").agg(F.max_by(F.struct("cash", "gross", "nav", "buying_power"), F.struct("kind", "symbol", "place")).alias("x"))
+    return p.select("ts_nanos", *(r(F.col(f"x.{c}") / 1e6, 3).alias(c) for c in ("cash", "gross", "nav", "buying_power")))
+
+
 @query(
     """, p AS (SELECT *, price + side * (0.01 + 0.1 * sqrt(qty / 1e6) * price) AS signed FROM fills)
 SELECT symbol, count(*) AS n, round(sum(greatest(signed, 0) * qty), 1) AS traded, round(sum(CASE WHEN side < 0 THEN signed * qty * 0.0000278 + qty * 0.000166 ELSE 0 END), 4) AS cost FROM p GROUP BY 1""",
