@@ -260,10 +260,21 @@ def test_base_spans(spark):
         assert [(s.start, s.rank, s.end, s.kind) for s in r.s] == brute_spans(dict(rows)[r.doc_id])
 
 
+def brute_entities(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    out = {f"kind {kind}", f"value {value}"}
+    if kind == "email":
+        box, domain = value.split("@")
+        return out | {f"domain {domain.lower()}", *(f"mailbox {w}" for w in re.split("[^a-z]+", box.lower()) if len(w) >= 3)}
+    if kind == "ip":
+        return out | {"network " + ".".join(value.split(".")[:3])}
+    return out | {f"issuer {digits[:6]}" if kind == "card" else f"area {digits[:5]}"}
+
+
 def brute_disclosing(rows):
     """{doc_id: {(start, end, kind, term)}} of the method, pair by pair."""
     terms = {i: {x.lower() for x in re.findall(r"[^\W\d_]+", t)} for i, t in rows}
-    entities = {i: {t[a:b] for a, _, b, _ in brute_spans(t)} for i, t in rows}
+    entities = {i: {e for a, _, b, kind in brute_spans(t) for e in brute_entities(kind, t[a:b])} for i, t in rows}
     n, n_term, n_entity = len(rows), collections.Counter(x for ts in terms.values() for x in ts), collections.Counter(e for es in entities.values() for e in es)
     both = collections.Counter((e, x) for i in terms for e in entities[i] for x in terms[i])
     kinds = {}
@@ -350,6 +361,24 @@ def test_spans_add_up(spark, sf, texts):
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in every)
 
 
+def test_terms_take_effect(spark):
+    """On given documents some terms disclose what spans have in common, and all places are those of brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_disclosing([(r.doc_id, r.text or "") for r in docs.collect()])
+    found = {r.doc_id: {(s.start, s.end, s.kind, s.value) for s in r.terms} for r in pii.find_personal(docs).collect()}
+    assert found == want and sum(map(bool, want.values())) > 5
+
+
+def test_counts_broadcast_or_merged(spark, sf, monkeypatch):
+    """Both sides of the size check on the counts give the same packing."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = []
+    for few in (packing.FEW_COUNTS, -1):
+        monkeypatch.setattr(packing, "FEW_COUNTS", few)
+        rows.append(sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in packing.pack_documents(docs, WORD).collect()))
+    assert rows[0] == rows[1]
+
+
 def test_classifier(spark, sf):
     rows = quality_fm.op7_quality_classifier(spark, sf).collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

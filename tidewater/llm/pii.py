@@ -7,8 +7,12 @@ once: an attempt starts at the beginning of a run or where the last match
 ended, and quantifiers give nothing back.
 
 The method adds terms (runs of letters, in lower case) that disclose a protected
-entity (a value of a base span): a term that stands in at least SUPPORT of the
-documents with the entity, with
+entity: what a base span names, from the value itself to what it has in common with
+others, since a value seldom comes back and its provider, network or owner does.
+Entities are each span's value, the domain of a mail address and the words of its
+mailbox, the first three numbers of an ip address, the issuer digits of a card, the
+country and area digits of a phone number, and the kind of data.  A term counts that
+stands in at least SUPPORT of the documents with the entity, with
 strength = PMI(term, entity) / IC(entity)
          = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)),
 which is 1 when the term occurs only with the entity.  n counts documents of
@@ -33,7 +37,8 @@ mark of its first span; terms inside base spans are left to them; rows repeated
 with one id are each handled, by id and text, and count as documents of their
 own, as do rows without an id; an empty table gives an empty result; extra
 columns are not read (sanitise returns them as they are); of a very long text
-one task holds the spans and runs.
+one task holds the spans and runs, and a document with e entities that others share
+and t terms makes e t rows on the way.
 """
 
 from __future__ import annotations
@@ -54,7 +59,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-FEW_TERMS = 1_000_000  # candidate terms that are broadcast to spare other words the count
+ISSUER, AREA, MAILBOX = 6, 5, 3  # digits of a card and a phone number, letters of a word of a mailbox at least
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "remove": "", "generalise": "[TERM]"}
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 NONE = f"array<{SPAN}>"
@@ -133,14 +138,24 @@ def _terms(text: Column) -> Column:
 def term_frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: documents of all texts with each of the terms (a table)."""
     words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
-    if terms.count() <= FEW_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-        return words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     # words are counted before the join, so it never has more rows than there are words; an inner join
     # (terms are distinct) because the optimizer would move a semi join below the count
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term")
 
 
+def entities(span: Column) -> Column:
+    """What a base span names: its value, and what values of its kind have in common (array<string>)."""
+    value, kind, digits = span["value"], span["kind"], _digits(span["value"])
+    words = F.filter(F.split(F.lower(F.substring_index(value, "@", 1)), "[^a-z]+"), lambda w: F.length(w) >= MAILBOX)
+    wider = (
+        F.when(kind == "email", F.concat(F.array(F.concat(F.lit("domain "), F.lower(F.substring_index(value, "@", -1)))), F.transform(words, lambda w: F.concat(F.lit("mailbox "), w))))
+        .when(kind == "ip", F.array(F.concat(F.lit("network "), F.substring_index(value, ".", 3))))
+        .when(kind == "card", F.array(F.concat(F.lit("issuer "), F.substring(digits, 1, ISSUER))))
+        .otherwise(F.array(F.concat(F.lit("area "), F.substring(digits, 1, AREA))))
+    )
+    return F.concat(F.array(F.concat(F.lit("kind "), kind), F.concat(F.lit("value "), value)), wider)
+
+
 def disclosures(texts: DataFrame, here: DataFrame, total: int) -> DataFrame:
     """entity, term, weight (rows of here), kind (remove or generalise) for the pairs above the thresholds.
 
@@ -168,7 +183,7 @@ def disclosing_terms(some: DataFrame, texts: DataFrame, total: int) -> DataFrame
     documents, total of them.
     """
     some = materialise(some.groupBy("row").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count(F.lit(1)).alias("copies")), "pii-some")
-    held = materialise(some.select("row", "copies", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")), "pii-held")
+    held = materialise(some.select("row", "copies", F.explode(F.array_distinct(F.flatten(F.transform("spans", entities)))).alias("entity")), "pii-held")
     often = held.groupBy("entity").agg(F.sum("copies").alias("of_entity"), F.count(F.lit(1)).alias("rows")).filter(F.col("of_entity") >= SUPPORT)
     known = materialise(often, "pii-entities")
     often = lookup(held, known, "entity", "rows", held.count(), "inner").select("row", "entity", "of_entity")
