@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,24 +76,6 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return 1.0 if f <= 0 else incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
-def erfc(x: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(math.erfc, na_action="ignore")
-
-    return F.pandas_udf(run, "double")(x)
-
-
-def normal_two_sided(z: Column) -> Column:
-    return erfc(F.abs(z) / math.sqrt(2))
-
-
-def f_upper(f: Column, d1: Column, d2: Column) -> Column:
-    def run(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-        return pd.Series([f_tail(*x) for x in zip(f, d1, d2, strict=True)], dtype=float)
-
-    return F.pandas_udf(run, "double")(f, d1, d2)
-
-
 def marchenko_pastur(q: float, variance: float = 1.0) -> tuple[float, float]:
     """Edges of the bulk for q = N / T."""
     return variance * (1 - math.sqrt(q)) ** 2, variance * (1 + math.sqrt(q)) ** 2

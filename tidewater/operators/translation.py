@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.scalar import normal_two_sided, safe, safe_divide, safe_log, safe_tanh
+from tidewater.functions.scalar import safe, safe_divide, safe_log, safe_tanh
+from tidewater.functions.special import normal_two_sided
 from tidewater.operators import estimators as est
 from tidewater.operators.dependence import PAIR, cell_entropy, quantile_bins
 

@@ -44,7 +44,18 @@ def horizon_transfer_entropy(spark, d):
     return tr.horizon_entropy(return_pairs(spark, d)).withColumn("te", r("te"))
 
 
-@query()
+@query(
+    RETURNS
+    + """, ld AS (SELECT a, b, x, lead(y, 1) OVER o AS y1, lead(y, 5) OVER o AS y5, lead(y, 21) OVER o AS y21 FROM pr WINDOW o AS (PARTITION BY a, b ORDER BY ts_nanos)),
+tl AS (SELECT a, b, h, x, CASE h WHEN 1 THEN y1 WHEN 5 THEN y5 ELSE y21 END AS y FROM ld, unnest([1, 5, 21]) AS u(h)),
+g AS (SELECT a, b, h, count(*) AS n, count(*) FILTER (sign(x) = sign(y)) AS s FROM tl WHERE x <> 0 AND y <> 0 GROUP BY 1, 2, 3),
+z AS (SELECT a, b, h, CASE WHEN n >= 30 THEN s / n ELSE 0.5::DOUBLE END AS hit, CASE WHEN n >= 30 THEN abs((s / n - 0.5) / sqrt(0.25 / n)) / sqrt(2) ELSE 0 END AS v FROM g),
+p AS (SELECT *, CASE WHEN v < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-v * v) * list_sum(list_transform(range(61), lambda k: v * pow(2 * v * v, k) / coalesce(list_product(list_transform(range(1, k + 1), lambda j: 2.0::DOUBLE * j + 1)), 1)))
+  ELSE exp(-v * v) / sqrt(pi()) / list_reduce(list_prepend(v, list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda s, k: v + k / 2 / s) END AS p FROM z),
+f AS (SELECT *, hit - 0.05 * log10(greatest(p, 1e-300)) AS score, coalesce(hit <= lag(hit) OVER (PARTITION BY a, b ORDER BY h), true) AS falls FROM p)
+SELECT a, b, arg_max(h, (score, -h)) AS best_h, round(max(score), 6) + 0.0 AS score, bool_and(falls) AS decays FROM f GROUP BY 1, 2""",
+    "filled",
+)
 def horizon_edge_screen(spark, d):
     return tr.edge_screen(return_pairs(spark, d)).withColumn("score", r("score"))
 

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewater.operators import backtests, joins, portfolio, rolling
+from tidewater.functions.scalar import adf_p
+from tidewater.operators import backtests, joins, portfolio, regressions, rolling, scaling
 from tidewater.operators import estimators as est
 from tidewater.plans.portfolio import log_returns
 from tidewater.plans.stats import RETURNS, return_pairs
@@ -43,12 +44,30 @@ SELECT a, b, round(sqrt(greatest(0, avg(x * y)) / sqrt(avg(x * x) * avg(y * y)))
 
 @query(RETURNS + DCOR.replace(" WHERE p.i <= 120 AND q.i <= 120", ""), "filled")
 def distance_correlations(spark, d):
-    return pair_estimate(spark, d, est.distance_correlation, "dcor DOUBLE")
+    return scaling.distance_correlation(return_pairs(spark, d)).withColumn("dcor", F.round("dcor", 6) + F.lit(0.0))
 
 
-@query()
+def _without(names: list[str], rows: str, keys: str, steps: int) -> str:
+    """CTEs e0, e1, ...: the variables centred, then each step takes out of the others what the first of them explains."""
+    p = f"OVER (PARTITION BY {keys})"
+    out = f", e0 AS (SELECT {keys}, " + ", ".join(f"{v} - avg({v}) {p} AS {v}" for v in names) + f" FROM {rows})"
+    for k in range(steps):
+        head, rest = names[k], names[k + 1 :]
+        out += f", e{k + 1} AS (SELECT {keys}, " + ", ".join(f"{v} - sum({v} * {head}) {p} / sum({head} * {head}) {p} * {head} AS {v}" for v in rest) + f" FROM e{k})"
+    return out
+
+
+@query(
+    RETURNS
+    + ", lg AS (SELECT * FROM (SELECT a, b, y, lag(y, 1) OVER o AS y1, lag(y, 2) OVER o AS y2, lag(x, 1) OVER o AS x1, lag(x, 2) OVER o AS x2 FROM pr WINDOW o AS (PARTITION BY a, b ORDER BY ts_nanos)) WHERE x2 IS NOT NULL)"
+    + _without(["y1", "y2", "x1", "x2", "y"], "lg", "a, b", 4)
+    + """, s AS (SELECT a, b, n, s0, s1, greatest(0, (s0 - s1) / 2 / (s1 / (n - 5))) AS f FROM (SELECT a, b, count(*) AS n, sum(y * y) AS s0 FROM e2 GROUP BY 1, 2) JOIN (SELECT a, b, sum(y * y) AS s1 FROM e4 GROUP BY 1, 2) USING (a, b))
+SELECT a, b, round(f, 6) + 0.0 AS f, round(pow((n - 5) / (n - 5 + 2 * f), (n - 5) / 2), 6) + 0.0 AS p FROM s""",  # with two degrees of freedom the tail is a power
+    "filled",
+)
 def granger_tests(spark, d):
-    return pair_estimate(spark, d, est.granger, "f DOUBLE, p DOUBLE")
+    g = regressions.granger(return_pairs(spark, d), ["a", "b"], "ts_nanos", "x", "y")
+    return g.select("a", "b", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("f", "p")))
 
 
 @query()
@@ -66,14 +85,34 @@ def echo_state_fit(spark, d):
     return pair_estimate(spark, d, est.echo_state, "corr DOUBLE, mse DOUBLE")
 
 
-@query()
+# the returns that log_returns() gives
+OWN_RETURNS = """, rt AS (SELECT * FROM (SELECT symbol, ts_nanos, round(ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts_nanos)), 9) AS r FROM filled) WHERE r IS NOT NULL)"""
+ROWS = OWN_RETURNS + ", nb AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts_nanos) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rt)"
+
+
+@query(
+    ROWS
+    + f""", sg AS (SELECT symbol, size, i // size AS g, i, r FROM nb, unnest({scaling.sizes(10**7)}) AS u(size) WHERE n >= 32 AND size <= n // 2 AND i // size < n // size),
+wk AS (SELECT symbol, size, g, r, sum(r) OVER (PARTITION BY symbol, size, g ORDER BY i) - (i % size + 1) * avg(r) OVER (PARTITION BY symbol, size, g) AS w FROM sg),
+rs AS (SELECT symbol, size, avg(span / sd) AS rs FROM (SELECT symbol, size, g, max(w) - min(w) AS span, stddev_pop(r) AS sd FROM wk GROUP BY 1, 2, 3) WHERE sd > 0 GROUP BY 1, 2)
+SELECT symbol, CASE WHEN count(*) >= 4 THEN round(greatest(0, least(1, regr_slope(ln(rs), ln(size)))), 6) END AS hurst FROM rs WHERE rs > 0 GROUP BY 1""",
+    "filled",
+)
 def hurst_exponents(spark, d):
-    return series_estimate(spark, d, est.hurst, "hurst DOUBLE")
+    return scaling.rescaled_range(log_returns(spark, d), ["symbol"], "ts_nanos", "r").withColumn("hurst", F.round("hurst", 6))
 
 
-@query()
+@query(
+    OWN_RETURNS
+    + ", lv AS (SELECT symbol, ts_nanos, lag(r) OVER o AS lv, r - lag(r) OVER o AS d FROM rt WINDOW o AS (PARTITION BY symbol ORDER BY ts_nanos)), lg AS (SELECT * FROM (SELECT symbol, lag(d) OVER (PARTITION BY symbol ORDER BY ts_nanos) AS d1, lv, d FROM lv) WHERE d1 IS NOT NULL)"
+    + _without(["d1", "lv", "d"], "lg", "symbol", 1)
+    + ", s AS (SELECT symbol, count(*) AS n, sum(lv * d) / sum(lv * lv) AS b, sum(d * d) - sum(lv * d) * sum(lv * d) / sum(lv * lv) AS rest, sum(lv * lv) AS w FROM e1 GROUP BY 1) SELECT symbol, n, round(b / sqrt(rest / (n - 3) / w), 6) AS t, 0.005::DOUBLE AS p FROM s",
+    "filled",
+)
 def adf_tests(spark, d):
-    return series_estimate(spark, d, est.adf, "t DOUBLE")
+    """t of the level and its p, of returns (which are far from a unit root)."""
+    g = regressions.dickey_fuller(log_returns(spark, d), ["symbol"], "ts_nanos", "r")
+    return g.select("symbol", "n", F.round("t", 6).alias("t"), F.round(adf_p(F.col("t"), F.col("n")), 6).alias("p"))
 
 
 @query()
@@ -86,9 +125,24 @@ def markov_fits(spark, d):
     return series_estimate(spark, d, lambda r: est.regime_names(est.hmm_fit(r, 3)), "state INT, mean DOUBLE, variance DOUBLE, stay DOUBLE, share DOUBLE, regime STRING")
 
 
-@query()
+QS_SQL = ", ".join(map(str, scaling.QS))
+
+
+@query(
+    ROWS
+    + f""", pf AS (SELECT symbol, i, n, sum(r - m) OVER (PARTITION BY symbol ORDER BY i) AS w, greatest(11, n // 4) AS top FROM (SELECT *, avg(r) OVER (PARTITION BY symbol) AS m FROM nb)),
+sc AS (SELECT DISTINCT symbol, n, CASE k WHEN 0 THEN 10 WHEN 9 THEN top ELSE floor(10 * pow(top / 10, k / 9))::BIGINT END AS s FROM (SELECT DISTINCT symbol, n, top FROM pf), unnest(range(10)) AS u(k)),
+sg AS (SELECT symbol, s, 0 AS e, i // s AS g, i, w FROM pf JOIN sc USING (symbol, n) WHERE i // s < n // s UNION ALL SELECT symbol, s, 1, (i - (n - n // s * s)) // s, i, w FROM pf JOIN sc USING (symbol, n) WHERE i >= n - n // s * s),
+fl AS (SELECT symbol, s, greatest(var_pop(w) - covar_pop(i, w) * covar_pop(i, w) / var_pop(i), 1e-300) AS v FROM sg GROUP BY symbol, s, e, g),
+fq AS (SELECT symbol, s, q, CASE WHEN q = 0 THEN 0.5 * avg(ln(v)) ELSE ln(avg(pow(v, q / 2))) / q END AS f FROM fl, unnest([{QS_SQL}]) AS u(q) GROUP BY 1, 2, 3),
+hq AS (SELECT symbol, q, regr_slope(f, ln(s)) AS h, q * regr_slope(f, ln(s)) - 1 AS t FROM fq GROUP BY 1, 2),
+nx AS (SELECT *, q - lag(q) OVER o AS a, lead(q) OVER o - q AS b, lag(t) OVER o AS t0, lead(t) OVER o AS t1 FROM hq WINDOW o AS (PARTITION BY symbol ORDER BY q)),
+al AS (SELECT symbol, q, h, CASE WHEN a IS NULL THEN (t1 - t) / b WHEN b IS NULL THEN (t - t0) / a ELSE (a * a * t1 + (b * b - a * a) * t - b * b * t0) / (a * b * (a + b)) END AS al FROM nx)
+SELECT symbol, round(max(h) FILTER (q = 2), 6) AS h2, round(max(al) - min(al), 6) AS width FROM al GROUP BY 1""",
+    "filled",
+)
 def multifractal_spectra(spark, d):
-    return series_estimate(spark, d, est.mfdfa, "h2 DOUBLE, width DOUBLE")
+    return scaling.spectrum(log_returns(spark, d), ["symbol"], "ts_nanos", "r").select("symbol", F.round("h2", 6).alias("h2"), F.round("width", 6).alias("width"))
 
 
 @query()
