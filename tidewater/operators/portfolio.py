@@ -151,3 +151,31 @@ def format_report(by_regime: DataFrame) -> DataFrame:
     number = lambda c: F.format_number(F.coalesce(c, F.lit(0.0)), 3)
     runner = F.when(F.col("runner_up").isNull(), F.lit("")).otherwise(F.concat(F.lit(", then "), "runner_up", F.lit(" ("), number(F.col("runner_sharpe")), F.lit(")")))
     return by_regime.select("regime", F.concat("regime", F.lit(": "), "best", F.lit(" ("), number(F.col("sharpe")), F.lit(")"), runner).alias("line"))
+
+
+def regime_occupancy(equity: DataFrame, keys: list[str], time: str = "ts_nanos", nav: str = "nav") -> DataFrame:
+    """keys, regime, occupancy (share of the key's returns), win_rate, profit_factor of the returns in each regime."""
+    d = returns_of(equity, keys, time, nav).filter("r IS NOT NULL")
+    r = F.col("r")
+    g = d.groupBy(*keys, "regime").agg(F.count(F.lit(1)).alias("__n"), F.avg((r > 0).cast("double")).alias("win_rate"), F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)).alias("__gain"), F.coalesce(F.sum(F.when(r < 0, -r)), F.lit(0.0)).alias("__pain"))
+    factor = F.when(F.col("__pain") > 0, F.col("__gain") / F.when(F.col("__pain") > 0, F.col("__pain"))).when(F.col("__gain") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    whole = F.sum("__n").over(Window.partitionBy(*keys))
+    return g.select(*keys, "regime", (F.col("__n") / whole).alias("occupancy"), "win_rate", factor.alias("profit_factor"))
+
+
+def strategy_report(overall: DataFrame, by_regime: DataFrame, occupancy: DataFrame, strategy: str) -> DataFrame:
+    """strategy, place, line: for each strategy a line of its overall measures (place 0), then one for each regime, in order.
+
+    overall: metrics(); by_regime: regime_metrics(); occupancy: regime_occupancy(), all by the strategy.
+    """
+    number = lambda c, places: F.format_string(f"%.{places}f", F.coalesce(F.col(c), F.lit(0.0)))
+    percent = lambda c, places: F.format_string(f"%.{places}f%%", 100 * F.coalesce(F.col(c), F.lit(0.0)))
+
+    def line(*parts) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+    head = overall.select(strategy, F.lit("").alias("regime"), line("overall: return ", percent("total_return", 2), ", sharpe ", number("sharpe", 3), ", sortino ", number("sortino", 3), ", drawdown ", percent("max_drawdown", 2), ", wins ", percent("hit_rate", 2)).alias("line"))
+    both = by_regime.join(occupancy, [strategy, "regime"])
+    rows = both.select(strategy, "regime", line(F.col("regime"), ": ", percent("occupancy", 1), " of the time, n ", F.col("n").cast("string"), ", return ", percent("total_return", 2), ", sharpe ", number("sharpe", 3), ", drawdown ", percent("max_drawdown", 2), ", wins ", percent("win_rate", 2), ", profit factor ", number("profit_factor", 2)).alias("line"))
+    place = F.row_number().over(Window.partitionBy(strategy).orderBy("regime")) - 1
+    return head.unionByName(rows).select(strategy, place.cast("int").alias("place"), "line")

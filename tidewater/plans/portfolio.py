@@ -321,6 +321,20 @@ def recommendation_report(spark, d):
     return portfolio.format_report(recommendation(spark, d))
 
 
+@query(
+    REGIME
+    + f""", oa AS (SELECT symbol, last(nav ORDER BY ts_nanos) / first(nav ORDER BY ts_nanos) - 1 AS tr, avg(r) / stddev_samp(r) * sqrt({K}) AS sharpe, avg(r) / sqrt(avg(r * r) FILTER (r < 0)) * sqrt({K}) AS sortino, max(dd) AS mdd, avg((r > 0)::INT) AS win FROM rt GROUP BY 1),
+oc AS (SELECT symbol, regime, count(*) / sum(count(*)) OVER (PARTITION BY symbol) AS occ, avg((r > 0)::INT) AS win, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS pf FROM lb GROUP BY 1, 2),
+ln AS (SELECT symbol, '' AS regime, printf('overall: return %.2f%%, sharpe %.3f, sortino %.3f, drawdown %.2f%%, wins %.2f%%', 100 * tr, sharpe, sortino, 100 * mdd, 100 * win) AS line FROM oa
+UNION ALL SELECT symbol, regime, printf('%s: %.1f%% of the time, n %d, return %.2f%%, sharpe %.3f, drawdown %.2f%%, wins %.2f%%, profit factor %.2f', regime, 100 * occ, n, 100 * tr, m / sd * sqrt({K}), 100 * mdd, 100 * win, pf) FROM rm JOIN oc USING (symbol, regime))
+SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY regime)::INT - 1 AS place, line FROM ln""",
+    "filled",
+)
+def strategy_report(spark, d):
+    e = labelled(spark, d)
+    return portfolio.strategy_report(portfolio.metrics(e, ["symbol"], 3600), portfolio.regime_metrics(e, ["symbol"], 3600), portfolio.regime_occupancy(e, ["symbol"]), "symbol")
+
+
 @query(
     """WITH RECURSIVE """
     + sql("", "filled").removeprefix("WITH ")

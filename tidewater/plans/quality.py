@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewater import scratch
 from tidewater.functions import scalar
 from tidewater.operators import validation
 from tidewater.sources import generators, readers
@@ -170,14 +171,36 @@ def inventory(spark, d):
     return readers.scan_statistics(bars(spark, d), ["symbol"])
 
 
-@query("SELECT s AS source, a AS asset_class, count(*) AS datasets, sum(n)::BIGINT AS n_rows FROM (SELECT CASE WHEN l_suppkey % 4 = 0 THEN 'yahoo' WHEN l_suppkey % 4 = 1 THEN 'binance' WHEN l_suppkey % 4 = 2 THEN 'fred' ELSE 'unknown' END AS s, CASE WHEN l_suppkey % 4 = 0 THEN 'equity' WHEN l_suppkey % 4 = 1 THEN 'crypto' WHEN l_suppkey % 4 = 2 THEN 'macro' ELSE 'unknown' END AS a, count(*) AS n FROM lineitem GROUP BY l_suppkey, 1, 2) GROUP BY 1, 2")
+@query(
+    """SELECT k[1] AS source, k[2] AS asset_class, k[3] AS frequency, count(*) AS datasets, sum(n)::BIGINT AS n_rows FROM
+(SELECT CASE l_suppkey % 6 WHEN 0 THEN ['yahoo', 'equity_etf', 'daily'] WHEN 1 THEN ['coingecko', 'crypto', 'daily'] WHEN 2 THEN ['fred', 'macro', 'varies'] WHEN 3 THEN ['eia', 'commodity', 'varies'] WHEN 4 THEN ['sec_edgar', 'fundamental', 'irregular'] ELSE ['unknown', 'unknown', 'unknown'] END AS k, count(*) AS n FROM lineitem GROUP BY l_suppkey) GROUP BY 1, 2, 3"""
+)
 def catalog_summary(spark, d):
     x = read(spark, d, "lineitem")
-    folder = F.when(F.col("l_suppkey") % 4 == 0, "yahoo").when(F.col("l_suppkey") % 4 == 1, "binance").when(F.col("l_suppkey") % 4 == 2, "fred").otherwise("elsewhere")
+    folder = F.try_element_at(F.array(*(F.lit(f) for f in ("real", "crypto", "macro", "energy", "filings", "elsewhere"))), (F.col("l_suppkey") % 6 + 1).cast("int"))
     scans = x.groupBy(F.concat(F.lit("/lake/data/"), folder, F.lit("/s"), F.col("l_suppkey"), F.lit(".csv")).alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
     scans = scans.withColumns({"dataset_id": F.col("path"), "fetched_at": F.lit("2024-01-01")})
     c = readers.catalog_table(scans).withColumn("k", readers.describe_path(F.col("path")))
-    return c.groupBy("k.source", "k.asset_class").agg(F.count(F.lit(1)).alias("datasets"), F.sum("n_rows").alias("n_rows"))
+    return c.groupBy("k.source", "k.asset_class", "k.frequency").agg(F.count(F.lit(1)).alias("datasets"), F.sum("n_rows").alias("n_rows"))
+
+
+@query(
+    """, t AS (SELECT symbol, CASE WHEN symbol = 'ERROR' THEN 'schema' END AS type, symbol <> 'ERROR' AND (ts_nanos // 3600000000000 % 50 IN (0, 1)) AS bad FROM bars)
+SELECT symbol AS name, 'schema' AS type, 1 AS n FROM t WHERE type IS NOT NULL GROUP BY 1 UNION ALL SELECT symbol, 'rows', count(*) FILTER (bad) FROM t WHERE type IS NULL GROUP BY 1 HAVING count(*) FILTER (bad) > 0 UNION ALL SELECT 'EMPTY', 'empty', 1 UNION ALL SELECT 'NOTHING', 'schema', 1""",
+    "bars",
+)
+def schema_check(spark, d):
+    """A bar file a symbol, of which one has another header, one no row, one nothing at all; some rows lack a field or a number."""
+    path, columns = scratch.folder(spark, "files"), readers.schemas.BAR.replace(" ", ",").split(",")[::3]
+    b = bars(spark, d).select(*(F.col(c).cast("string") for c in columns))
+    hour = F.expr("ts_nanos div 3600000000000") % 50
+    line = F.when((F.col("symbol") != "ERROR") & (hour == 0), F.concat_ws(",", *columns[:-1])).when((F.col("symbol") != "ERROR") & (hour == 1), F.concat_ws(",", "ts_nanos", "symbol", F.lit("n/a"), *columns[3:])).otherwise(F.concat_ws(",", *columns))
+    header = F.when(F.col("symbol") == "ERROR", "time," + ",".join(columns[1:])).otherwise(",".join(columns))
+    rows = b.select("symbol", F.lit(1).alias("o"), line.alias("line")).union(b.select("symbol", F.lit(0).alias("o"), header.alias("line")).distinct())
+    rows = rows.union(spark.createDataFrame([("EMPTY", 0, ",".join(columns)), ("NOTHING", 0, "")], "symbol string, o int, line string"))
+    rows.repartition("symbol").sortWithinPartitions("symbol", "o").select("symbol", "line").write.partitionBy("symbol").text(path)
+    found = readers.schema_issues(spark, path)
+    return found.select(F.regexp_extract("file", "symbol=([^/]+)/", 1).alias("name"), "type", "n")
 
 
 @query("SELECT symbol, ts_nanos, close + CASE WHEN ts_nanos // 3600000000000 % 5 = 0 THEN 1 ELSE 0 END AS close FROM bars", "bars")
@@ -258,9 +281,7 @@ def option_features(spark, d):
 
 def landed(spark, df, header: bool = True) -> str:
     """df as CSV in a folder of its own, for the loaders."""
-    from tidewater.plans.streams import _folder
-
-    path = _folder(spark)
+    path = scratch.folder(spark, "landed")
     df.write.option("header", header).csv(path)
     return path
 
