@@ -29,6 +29,12 @@ def _products(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
     return np.array([x or 0.0 for x in sums], float).reshape(len(left), len(right))
 
 
+def _residual(df: DataFrame, block: list[str], images: list[str], vectors: np.ndarray, values: np.ndarray) -> float:
+    """The largest norm of image - value * vector over the Ritz pairs."""
+    apart = [sum((float(vectors[i, k]) * (F.col(w) - float(values[k]) * F.col(v)) for i, (v, w) in enumerate(zip(block, images, strict=True))), F.lit(0.0)) for k in range(len(values))]
+    return float(np.sqrt(max(x or 0.0 for x in df.agg(*(F.sum(c * c) for c in apart)).first())))  # one row
+
+
 def _basis(gram: np.ndarray) -> np.ndarray:
     """What makes vectors with these inner products orthonormal; directions that vanish are left out."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -61,7 +67,9 @@ def top_eigenpairs(cells: DataFrame, count: int, tolerance: float = 1e-10, most:
         order = np.argsort(-values)[:count]
         values, vectors = values[order], vectors[:, order]
         wide = np.einsum("ik,ij,jk->k", vectors, g, vectors) - 2 * values * np.einsum("ik,ij,jk->k", vectors, (h + h.T) / 2, vectors) + values**2
-        if np.sqrt(np.maximum(wide, 0)).max() <= tolerance * max(abs(values[0]), 1e-300) + 1e-15:
+        size = max(abs(values[0]), 1e-300)
+        # the products tell residuals down to the root of the rounding; from there on they are summed themselves
+        if np.sqrt(np.maximum(wide, 0)).max() <= 1e-6 * size and _residual(both, block, images, vectors, values) <= tolerance * size + 1e-15:
             break
         held = written(both.select("name", *_combined(images, _basis(g))), "eigen-block")
     found = both.select("name", *_combined(block, vectors))

@@ -208,11 +208,6 @@ def covariance_matrix(spark, d):
     return l.join(r, "ts_nanos").filter("a <= b").groupBy("a", "b").agg((F.round(F.covar_samp("x", "y"), 9) + F.lit(0.0)).alias("cov"))
 
 
-@query()
-def random_matrix_summary(spark, d):
-    return matrix_estimate(spark, d, lambda c, t, names: est.rmt_of(est.correlation_of(c), t), "n_above INT, top DOUBLE, edge DOUBLE, top_share DOUBLE, p DOUBLE")
-
-
 @query()
 def rolling_random_matrix(spark, d):
     """The random-matrix summary of the panel in rolling windows."""
