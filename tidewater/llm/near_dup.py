@@ -449,13 +449,15 @@ def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
     return rows.select("centre", "id", "text").mapInArrow(_verify(n, percent), PAIR)
 
 
-def _family_links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a: smallest set of the component, b: set) of the linked sets in families of up to BLOCK sets, one signature tree a family."""
-    rows = families.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "id", F.col("id").alias("component"))
-    rows = texts.join(rows, "id")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _family_links(placed: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a: smallest set of the component, b: set) of the linked sets in families of up to BLOCK sets, one signature tree a family.
+
+    placed: id, family, members, text.
+    """
+    rows = placed.filter(F.col("members") <= BLOCK).select(F.col("family").alias("task"), F.lit(0).alias("side"), "id", F.col("id").alias("component"), "text")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "task").sortWithinPartitions("task", "id")
-    return rows.select("task", "side", "id", "component", "text").mapInArrow(_join_blocks(n, percent, True), PAIR)
+    return rows.mapInArrow(_join_blocks(n, percent, True), PAIR)
 
 
 def _block_links(texts: DataFrame, rest: DataFrame, n: int, percent: int) -> DataFrame:
@@ -484,10 +486,13 @@ def _block_links(texts: DataFrame, rest: DataFrame, n: int, percent: int) -> Dat
 
 
 def _texts_of(source: DataFrame, heads: DataFrame) -> DataFrame:
-    """id, size, text of the classes in heads (id, size, head)."""
-    heads = heads.select("id", "size", F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th"))
+    """id, size, family, members, text of the classes in heads (id, size, family, members, head); texts are shuffled once."""
+    names = ["id", "size", "family", "members"]
+    heads = heads.select(*names, F.col("head.doc_id").alias("doc_id"), F.col("head.th").alias("th"))
     likely, _ = KeyFilter(heads.select(F.xxhash64("doc_id", "th").alias("h")), "h").split(source.select("doc_id", "th", "text"), F.xxhash64("doc_id", "th"), once=2)
-    return likely.alias("s").join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("h.id", "h.size", "s.text").dropDuplicates(["id"])
+    found = likely.alias("s").join(heads.alias("h"), F.expr("s.th = h.th AND s.doc_id <=> h.doc_id")).select("s.th", *(f"h.{c}" for c in names), "s.text")
+    # a row that several tasks met is dropped where the join has put it
+    return found.dropDuplicates(["th", "id"]).select(*names, "text")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -505,10 +510,14 @@ def _links(source: DataFrame, told: DataFrame, margins: DataFrame, sample: DataF
         families = materialise(lookup(families, members, "family", "members", families.count()), "near-families")
         discard(edges)
         if texts is None:
-            heads = materialise(classes.join(families.select("id"), "id").select("id", "size", "head"), "near-heads")
-            texts = materialise(_texts_of(source, heads), "near-texts")
+            heads = materialise(classes.join(families, "id").select("id", "size", "family", "members", "head"), "near-heads")
+            every = placed = materialise(_texts_of(source, heads), "near-texts")
             discard(heads)
-        small = materialise(_family_links(texts, families, n, percent), "near-small")
+            # later steps and rounds concern the sets of large families alone
+            texts = placed.filter(F.col("members") > BLOCK).select("id", "size", "text")
+        else:
+            placed = texts.join(families, "id")
+        small = materialise(_family_links(placed, n, percent), "near-small")
         # of the first round they are final; later ones may belong to a family that is in pieces
         (found if solved else solved).append(small)
         large = families.filter(F.col("members") > BLOCK)
@@ -536,7 +545,7 @@ def _links(source: DataFrame, told: DataFrame, margins: DataFrame, sample: DataF
     if found and labels is None:
         labels = connected_components(_all(found))
     done = solved[0].select(F.col("b").alias("id"), F.col("a").alias("component"))
-    discard(texts)
+    discard(every)
     return done if labels is None else done.unionByName(labels)
 
 
