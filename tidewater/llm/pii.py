@@ -23,12 +23,12 @@ they are.
 
 Plan: one pass finds base spans (row-local) and writes them; rows with spans,
 few, are reduced to one a (id, text) with its number of copies.  Entities in
-SUPPORT documents or more give (row, entity, term) with each term of their
-documents, counted with partial sums before the shuffle.  Terms that reach SUPPORT
-are counted over all texts, combined before the shuffle.  Decisions return to
-rows by joins that broadcast the pairs of more than 1/1000 of the rows joined (at
-most 1000 by arithmetic) and shuffle the others.  Places of terms are running sums
-over a document's runs of letters and others, for documents with a decision only.
+SUPPORT documents or more meet each term of their documents, counted with partial
+sums before the shuffle and written nowhere.  Terms that reach SUPPORT are counted
+over all texts, combined before the shuffle.  Decisions return to rows by term,
+then by entity; terms of more than 1/1000 of the rows joined are broadcast, all
+others shuffled.  Places of terms are running sums over a document's runs of
+letters and others, for documents with a decision only.
 DataFrame expressions only.
 
 Defined results: null text counts as empty and has no spans; spans that overlap
@@ -189,9 +189,13 @@ def disclosing_terms(some: DataFrame, texts: DataFrame, total: int) -> DataFrame
     often = lookup(held, known, "entity", "rows", held.count(), "inner").select("row", "entity", "of_entity")
     often = materialise(often, "pii-often")
     words = some.join(often.select("row").distinct(), "row").select("row", "copies", F.explode(_terms(F.col("text"))).alias("term"))
-    here = materialise(words.join(often, "row"), "pii-here")
-    told = disclosures(texts, here, total)
-    decided = lookup(here.select("row", "entity", "term"), told, ["entity", "term"], "weight", here.count(), "inner")
+    words = materialise(words, "pii-words")
+    # the pairs of a document exist on the way to their sums only
+    told = disclosures(texts, words.join(often, "row"), total)
+    by_term = told.groupBy("term").agg(F.collect_list(F.struct("entity", "kind")).alias("told"), F.max("weight").alias("weight"))  # entities that the term discloses
+    by_term = materialise(by_term, "pii-by-term")
+    hits = lookup(words.select("row", "term"), by_term, "term", "weight", words.count(), "inner").select("row", "term", F.explode("told").alias("t"))
+    decided = hits.select("row", "term", "t.entity", "t.kind").join(often.select("row", "entity"), ["row", "entity"])
     decided = materialise(decided.groupBy("row", "term").agg(F.max("kind").alias("kind")), "pii-decided")  # removal wins
     rows = some.join(decided.select("row").distinct(), "row")
     cut = r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})"
@@ -202,7 +206,7 @@ def disclosing_terms(some: DataFrame, texts: DataFrame, total: int) -> DataFrame
     found = runs.join(decided, ["row", "term"]).filter(outside)
     span = F.struct("start", F.lit(4).alias("rank"), "end", "kind", F.col("term").alias("value"))
     terms = materialise(found.groupBy("row").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(span)).alias("terms")), "pii-spans")
-    discard(held, often, here, told, decided, some)
+    discard(held, often, words, told, by_term, decided, some)
     return terms
 
 
