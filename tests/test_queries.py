@@ -22,10 +22,10 @@ HOLDS = {
     "echo_state_fit": (10, "corr BETWEEN -1 AND 1 AND mse > 0"),
     "event_walk_forward": (1, "events > 0 AND nav > 0 AND fills >= 0"),
     "garch_fits": (5, "omega > 0 AND alpha >= 0 AND beta >= 0 AND alpha + beta < 1"),
-    "hawkes_fits": (5, "mu > 0 AND branching BETWEEN 0 AND 0.999999 AND abs(branching - alpha / beta) < 1e-9 AND abs(half_life - ln(2) / beta) < 1e-9"),
+    "hawkes_fits": (5, "mu > 0 AND branching >= 0 AND branching < 1 AND abs(branching - alpha / beta) < 1e-9 AND abs(half_life - ln(2) / beta) < 1e-9"),
     "markov_fits": (15, "state IN (0, 1, 2) AND variance >= 0 AND stay BETWEEN 0 AND 1 AND share BETWEEN 0 AND 1 AND regime IN ('Bear', 'Bull', 'Sideways')"),
     "monte_carlo_regimes": (1, "paths = 20000 AND p05 < mean AND mean < p95 AND below_one BETWEEN 0 AND 1"),
-    "rolling_criticality": (5, "branching BETWEEN 0 AND 0.999999 AND coalesce(width, 0) >= 0 AND tail > 0 AND tail <= 2"),
+    "rolling_criticality": (5, "branching >= 0 AND branching < 1 AND coalesce(width, 0) >= 0 AND tail > 0 AND tail <= 2"),
     "rolling_random_matrix": (1, "n_above BETWEEN 0 AND 5 AND top >= 1 AND edge > 1 AND top_share BETWEEN 0.2 AND 1 AND p BETWEEN 0 AND 1"),
     "stable_fits": (5, "alpha > 0 AND alpha <= 2 AND beta BETWEEN -1 AND 1 AND gamma > 0"),
     "strategy_backtests": (9, "n_periods > 0 AND nav > 0 AND max_drawdown BETWEEN 0 AND 1 AND (run <> 'noop' OR (nav = 100000 AND fills = 0))"),
