@@ -57,6 +57,29 @@ def test_order_life_over_batches(spark, tmp_path):
     assert [x[0] for x in got["g"]] == ["submit"]
 
 
+def test_orders_share_a_bounded_number_of_states(spark, tmp_path):
+    """Calls on the state are round trips, so they go by shard and not by order; expiries of one shard differ."""
+    parts = [
+        [(f"o{k}", at(0), k, "submit", 1.0, None, (10 + k % 30) * 60_000) for k in range(600)],
+        [("z", at(30), 600, "submit", 1.0, None, None)],  # the watermark is 20 minutes after the start
+    ]
+    s = st.order_life(batches(spark, tmp_path / "in", ORDERS, parts))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, st.ROCKS)
+    try:
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert max(p.stateOperators[0].numRowsUpdated for p in q.recentProgress) <= 256
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.order_id for r in rows if r.kind == "submit") == sorted([f"o{k}" for k in range(600)] + ["z"])
+    gone = {r.order_id: r.ts_ms for r in rows if r.kind == "expire"}
+    start = min(r.ts_ms for r in rows if r.kind == "submit")
+    assert gone == {f"o{k}": start + (10 + k % 30) * 60_000 for k in range(600) if k % 30 <= 10} and len(rows) == 601 + len(gone)
+
+
 @pytest.mark.parametrize("status", sorted({s for s, _ in st.MOVES}) + list(st.DONE))
 def test_moves(status):
     state = (status, 4.0, 1.0, 2.0, None)

@@ -203,20 +203,49 @@ def order_step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
     return (after, asked, filled, paid, expires), (after, True, filled, paid / filled if filled else 0.0, over)
 
 
+def _listed(column: pd.Series) -> list:
+    """A column's values, None for missing ones."""
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
 class OrderMachine(StatefulProcessor):
-    """One order a key: its state in a value state, its expiry as an event-time timer.
+    """Orders by shard: the states of a shard's orders in one value state, the earliest expiry as its event-time timer.
 
-    Messages of a batch are taken in order of (time, seq).  An order whose expiry lies
-    at or before a message's time expires before that message; one without further
-    messages expires when the watermark passes it, and tells a row of its own (seq null).
+    Every call on the state is a round trip to the JVM, so a batch costs a few of them a
+    shard, whatever the number of its orders.  Messages of a batch are taken in order of
+    (time, seq).  An order whose expiry lies at or before a message's time expires before
+    that message; one without further messages expires when the watermark reaches it, and
+    tells a row of its own (seq null).
     """
 
-    def __init__(self, key: str):
-        self.key = key
+    def __init__(self, key: str, kind: str):
+        self.key, self.kind = key, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.order = handle.getValueState("order", ORDER_STATE)
+        fields = [f"ids ARRAY<{self.kind}>", *(f"{name} ARRAY<{kind}>" for name, kind in (c.split() for c in ORDER_STATE.split(", "))), "timer_ms LONG"]
+        self.shard = handle.getValueState("shard", ", ".join(fields))
+
+    def _held(self) -> tuple[dict, int | None]:
+        """The shard's orders by id, and its timer."""
+        held = self.shard.get()
+        if held is None:
+            return {}, None
+        ids, *parts, timer = held
+        return dict(zip(ids, zip(*parts, strict=True), strict=True)), timer
+
+    def _hold(self, orders: dict, timer: int | None, fired: int | None = None) -> None:
+        """Keeps the orders; the timer is set to the earliest expiry of those that are open."""
+        due = min((s[4] for s in orders.values() if s[4] is not None and s[0] not in DONE), default=None)
+        # a timer runs when the watermark is beyond its time, and the one that ran is gone
+        wanted = None if due is None else due - 1 if fired is None else max(due - 1, fired + 1)
+        if wanted != timer:
+            if timer is not None and timer != fired:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if orders:
+            self.shard.update((list(orders), *(list(c) for c in zip(*orders.values(), strict=True)), wanted))
 
     def _due(self, state: tuple | None, now: int) -> bool:
         return state is not None and state[0] not in DONE and state[4] is not None and state[4] <= now
@@ -225,36 +254,37 @@ class OrderMachine(StatefulProcessor):
         after, (status, legal, filled, vwap, over) = order_step(state, (state[4], "expire", None, None, None))
         return after, (state[4], None, "expire", status, legal, filled, vwap, over)
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame([(key[0], *r) for r in rows], columns=[self.key, *(c.split()[0] for c in ORDER_ROW.split(", "))])
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[self.key, *(c.split()[0] for c in ORDER_ROW.split(", "))])
         return frame.astype({"seq": "Int64"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable")
-        state = tuple(self.order.get()) if self.order.exists() else None
-        before, out = state, []
-        for ts, seq, kind, qty, price, ttl in frame[["ts_ms", "seq", "kind", "qty", "price", "ttl_ms"]].astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
-            ts, seq = int(ts), None if seq is None else int(seq)
+        orders, timer = self._held()
+        out = []
+        for name, ts, seq, kind, qty, price, ttl in zip(*(_listed(frame[c]) for c in (self.key, "ts_ms", "seq", "kind", "qty", "price", "ttl_ms")), strict=True):
+            ts, seq, state = int(ts), None if seq is None else int(seq), orders.get(name)
             if self._due(state, ts):
                 state, told = self._expired(state)
-                out.append(told)
+                out.append((name, *told))
             state, made = order_step(state, (ts, kind, qty, price, ttl))
-            out.append((ts, seq, kind, *made))
-        timed = lambda s: s is not None and s[0] not in DONE and s[4] is not None
-        if timed(before) and not timed(state):
-            self.handle.deleteTimer(before[4])
-        if timed(state) and not timed(before):
-            self.handle.registerTimer(state[4])
-        if state is not None:
-            self.order.update(state)
-        yield self._frame(key, out)
+            out.append((name, ts, seq, kind, *made))
+            if state is not None:
+                orders[name] = state
+        self._hold(orders, timer)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = tuple(self.order.get()) if self.order.exists() else None
-        if self._due(state, expiredTimerInfo.getExpiryTimeInMs()):
-            state, told = self._expired(state)
-            self.order.update(state)
-            yield self._frame(key, [told])
+        now, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        orders, timer = self._held()
+        out = []
+        for name, state in orders.items():
+            if self._due(state, now):
+                orders[name], told = self._expired(state)
+                out.append((name, *told))
+        self._hold(orders, timer, fired)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -263,16 +293,17 @@ class OrderMachine(StatefulProcessor):
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def order_life(df: DataFrame, key: str = "order_id", time: str = "ts", late: str = "10 minutes") -> DataFrame:
+def order_life(df: DataFrame, key: str = "order_id", time: str = "ts", late: str = "10 minutes", shards: int = 256) -> DataFrame:
     """A row for each message and each expiry: key, ts_ms, seq, kind, status after it, legal, filled, vwap, over.
 
     df: key, time, seq (breaks ties of the time), kind (submit, accept, reject, fill,
     cancel), qty, price, ttl_ms.  State lives in the RocksDB store, which the query that
     runs this has to name (run_once does); messages behind the watermark are dropped by Spark.
+    Orders are dealt by hash to `shards` keys of the state, a number that a checkpoint fixes.
     """
-    kind = f"{key} {df.schema[key].dataType.simpleString()}, {ORDER_ROW}"
-    rows = df.withWatermark(time, late).select(key, time, F.unix_millis(time).alias("ts_ms"), "seq", "kind", "qty", "price", "ttl_ms")
-    return rows.groupBy(key).transformWithStateInPandas(OrderMachine(key), kind, "Append", "EventTime")
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.withWatermark(time, late).select(F.pmod(F.hash(key), F.lit(shards)).alias("__shard"), key, time, F.unix_millis(time).alias("ts_ms"), "seq", "kind", "qty", "price", "ttl_ms")
+    return rows.groupBy("__shard").transformWithStateInPandas(OrderMachine(key, kind), f"{key} {kind}, {ORDER_ROW}", "Append", "EventTime")
 
 
 def stale(df: DataFrame, limit: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
