@@ -1,7 +1,10 @@
 """Late rows and order life over several micro-batches against the same rules row by row."""
 
 import datetime
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidewater.streaming import events as st
@@ -57,6 +60,35 @@ def test_order_life_over_batches(spark, tmp_path):
     assert [x[0] for x in got["g"]] == ["submit"]
 
 
+def test_keyed_fold_holds_arrays_and_tells_chunks():
+    class Frame:
+        groupBy = lambda self, key: self
+        applyInPandasWithState = lambda self, run, *rest: run
+
+    class Held:
+        hasTimedOut, exists, kept = False, False, None
+
+        def update(self, state):
+            self.kept = state
+
+    n = 100_000
+    ts = np.random.default_rng(5).permutation(n)
+    frames = (pd.DataFrame({"symbol": ["A"] * 10_000, "ts_nanos": ts[i : i + 10_000], "value": ts[i : i + 10_000] * 0.5}) for i in range(0, n, 10_000))
+    held, at, state = Held(), 0, (False, 0.0, 0.0)
+    run = st.streaming_ema(Frame(), 5)
+    tracemalloc.start()
+    for told in run(("A",), frames, held):
+        assert len(told) <= st.CHUNK
+        for row in told.itertuples(index=False, name=None):
+            state, made = st.ema_step(5)(state, (at, at * 0.5))
+            assert row == ("A", *made)
+            at += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == n and held.kept == state
+    assert peak < 100 * n  # bytes; a list of all rows takes several times that
+
+
 def test_orders_share_a_bounded_number_of_states(spark, tmp_path):
     """Calls on the state are round trips, so they go by shard and not by order; expiries of one shard differ."""
     parts = [

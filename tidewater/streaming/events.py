@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,30 +40,42 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select("symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "mean")
 
 
+CHUNK = 10_000  # rows told at once
+
+
 def keyed_fold(df: DataFrame, key: str, order: list[str], start: tuple, step: Callable[[tuple, tuple], tuple[tuple, tuple]], columns: list[str], output: str, state: str, idle_ms: int | None = None) -> DataFrame:
     """One output row an input row: step(state, row) -> (state, row out); the state is a tuple, kept by key.
 
     step sees the columns in the given order; rows of a micro-batch are sorted by
-    `order`.  With idle_ms, a key without rows for so long (of processing time) is
+    `order`, as one array a column, and told CHUNK at a time.  With idle_ms, a key without rows for so long (of processing time) is
     forgotten and starts anew.
     """
-    names = [c.split()[0] for c in output.split(", ")]
+    names, used = [c.split()[0] for c in output.split(", ")], list(dict.fromkeys([*order, *columns]))
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        frame = pd.concat(list(frames)).sort_values(order, kind="stable")
+        kept: dict[str, list[np.ndarray]] = {c: [] for c in used}
+        for frame in frames:  # a batch's rows as arrays; their frames go
+            for c in used:
+                kept[c].append(frame[c].to_numpy(copy=True))
+        arrays = {c: np.concatenate(kept.pop(c)) for c in used}
+        if any(arrays[c].dtype == object for c in order):
+            places = pd.DataFrame({c: arrays[c] for c in order}).sort_values(order, kind="stable").index.to_numpy()
+        else:
+            places = np.lexsort([arrays[c] for c in reversed(order)])
         now = held.get if held.exists else start
-        out = []
-        for row in frame[columns].itertuples(index=False, name=None):
-            now, made = step(tuple(now), row)
-            out.append((k[0], *made))
+        for low in range(0, len(places), CHUNK):
+            at, out = places[low : low + CHUNK], []
+            for row in zip(*(pd.Series(arrays[c][at]).tolist() for c in columns), strict=True):
+                now, made = step(tuple(now), row)
+                out.append((k[0], *made))
+            yield pd.DataFrame(out, columns=names)
         held.update(tuple(now))
         if idle_ms is not None:
             held.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=names)
 
     return df.groupBy(key).applyInPandasWithState(run, output, state, "append", timeout)
 
