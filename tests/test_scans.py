@@ -163,6 +163,29 @@ def test_portfolio_against_brute_force(spark):
     assert not told
 
 
+def test_book_by_time_is_the_last_of_each_time_from_one_pass(spark):
+    data, rng = some_fills(120, 5), random.Random(7)
+    fills = spark.createDataFrame(data, FILLS)
+    marks = spark.createDataFrame([(k, t, 50 + rng.random()) for k in "ab" for t in range(7, 60, 6)], "symbol string, ts_nanos long, price double")
+    last = {}
+    for r in folds.portfolio(fills, marks, ["ts_nanos", "seq"], 1000.0, rows=7).collect():
+        place = (r.kind, r.symbol, r.place.seq if r.place else -1)
+        last[r.ts_nanos] = max(last.get(r.ts_nanos, ((-1,), None)), (place, (r.cash, r.gross, r.nav, r.buying_power)))
+    for rows in (7, None):
+        got = folds.portfolio_by_time(fills, marks, ["ts_nanos", "seq"], 1000.0, rows)
+        # the events are behind a table of sums by time, not computed anew by each use
+        assert "repartition" not in got._jdf.queryExecution().toString() and "__rows" not in got._jdf.queryExecution().toString()
+        told = {r.ts_nanos: (r.cash, r.gross, r.nav, r.buying_power) for r in got.collect()}
+        assert told.keys() == last.keys()
+        for t, x in told.items():
+            assert x == pytest.approx(last[t][1], abs=1e-6)
+
+
+def test_keys_of_one_block_need_no_join(spark):
+    path = folds.position_path(spark.createDataFrame(some_fills(), FILLS), ["symbol"], ["ts_nanos", "seq"])
+    assert "Join" not in path._jdf.queryExecution().toString()
+
+
 def test_running_sums_of_nothing_and_one_time(spark):
     none = spark.createDataFrame([], "t long, k long, v double")
     assert folds.running_sums(none, ["t"], ["v"]).count() == 0

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater import scratch
 from tidewater.operators.scans import Blocks, Maps, once, states_of
 
 
@@ -73,8 +74,7 @@ def ema(df: DataFrame, keys: list[str], time: str, value: str, half_life: float,
 
     start = F.struct(F.lit(None).cast("double").alias("mean"), d(0).alias("var"))
     blocks = Blocks.of(df, keys, [time], [value], rows)
-    first = blocks.starts(Maps.from_row(of_row, compose, apply, start), "__start")
-    return blocks.plus(first).replay(F.col("__start"), step).select(*keys, time, value, "state.*")
+    return blocks.told(Maps.from_row(of_row, compose, apply, start), "__start").replay(F.col("__start"), step).select(*keys, time, value, "state.*")
 
 
 def cusum(df: DataFrame, keys: list[str], time: str, value: str, mean: float, slack: float, limit: float) -> DataFrame:
@@ -127,7 +127,7 @@ def kalman_beta(df: DataFrame, keys: list[str], time: str, x: str, y: str, q: fl
         return (m["a"] * p + m["b"]) / (m["c"] * p + m["e"])
 
     blocks = Blocks.of(df, keys, [time], [x, y], rows)
-    known = blocks.plus(blocks.starts(Maps.from_row(matrix, product, lambda m, p: F.when(p.isNull(), m["p"]).otherwise(moved(m, p)), F.lit(None).cast("double")), "__p"))
+    known = blocks.told(Maps.from_row(matrix, product, lambda m, p: F.when(p.isNull(), m["p"]).otherwise(moved(m, p)), F.lit(None).cast("double")), "__p")
 
     def of_rows(rows_: Column) -> Column:
         def more(s: Column, row: Column) -> Column:
@@ -146,7 +146,7 @@ def kalman_beta(df: DataFrame, keys: list[str], time: str, x: str, y: str, q: fl
     # beta -> u beta + v; from no state, beta
     betas = Maps(of_rows, joined, lambda m, b: F.when(b.isNull(), m["beta"]).otherwise(m["u"] * b + m["v"]), F.lit(None).cast("double"))
     start = F.struct(F.col("__beta").alias("beta"), F.coalesce("__p", d(1)).alias("p"), d(0).alias("spread"), d(0).alias("z"))
-    return known.plus(known.starts(betas, "__beta")).replay(start, step).select(*keys, time, "state.beta", "state.spread", "state.z")
+    return known.told(betas, "__beta").replay(start, step).select(*keys, time, "state.beta", "state.spread", "state.z")
 
 
 def garch_filter(df: DataFrame, keys: list[str], time: str, value: str, omega: float, alpha: float, beta: float, rows: int | None = None) -> DataFrame:
@@ -176,7 +176,7 @@ def garch_filter(df: DataFrame, keys: list[str], time: str, value: str, omega: f
 
     start = F.struct(d(base).alias("var"), F.lit(None).cast("double").alias("r"))
     blocks = Blocks.of(df, keys, [time], [value], rows)
-    return blocks.plus(blocks.starts(Maps.from_row(of_row, compose, apply, start), "__start")).replay(F.col("__start"), step).select(*keys, time, value, "state.var")
+    return blocks.told(Maps.from_row(of_row, compose, apply, start), "__start").replay(F.col("__start"), step).select(*keys, time, value, "state.var")
 
 
 def markov_filter(df: DataFrame, keys: list[str], time: str, value: str, start: list[float], moves: list[list[float]], means: list[float], variances: list[float]) -> DataFrame:
@@ -228,7 +228,7 @@ def ewma_forecast(df: DataFrame, keys: list[str], time: str, value: str, half_li
     maps = Maps.from_row(of_row, compose, lambda m, s: F.when(s.isNull(), m["m"]).otherwise(m["p"] * s + m["q"]), F.lit(None).cast("double"))
     blocks = Blocks.of(df, keys, [time], [value], rows)
     start = F.struct(F.col("__m").alias("m"), F.lit(None).cast("double").alias("forecast"))
-    return blocks.plus(blocks.starts(maps, "__m")).replay(start, step).select(*keys, time, value, "state.forecast")
+    return blocks.told(maps, "__m").replay(start, step).select(*keys, time, value, "state.forecast")
 
 
 def _apply_fill(qty: Column, avg: Column, pnl: Column, signed: Column, price: Column) -> Column:
@@ -264,7 +264,7 @@ def position_path(fills: DataFrame, keys: list[str], order: list[str], rows: int
 
     blocks = Blocks.of(fills, keys, order, ["side", "qty", "price", "fees"], rows)
     held = Maps(lambda r: F.aggregate(r, d(0), lambda acc, x: acc + signed(x)), lambda m, n: m + n, lambda m, q: q + m, d(0))
-    known = blocks.plus(blocks.starts(held, "__qty"))
+    known = blocks.told(held, "__qty")
 
     def of_rows(r: Column) -> Column:
         # cost -> a cost + b; pnl -> pnl + c cost + e, for the rows so far
@@ -288,7 +288,7 @@ def position_path(fills: DataFrame, keys: list[str], order: list[str], rows: int
         return F.struct(n["qty"].alias("qty"), (n["a"] * m["a"]).alias("a"), (n["a"] * m["b"] + n["b"]).alias("b"), (m["c"] + n["c"] * m["a"]).alias("c"), (m["e"] + n["c"] * m["b"] + n["e"]).alias("e"))
 
     costs = Maps(of_rows, compose, lambda m, s: F.struct((m["a"] * s["cost"] + m["b"]).alias("cost"), (s["pnl"] + m["c"] * s["cost"] + m["e"]).alias("pnl")), F.struct(d(0).alias("cost"), d(0).alias("pnl")))
-    told = known.plus(known.starts(costs, "__cost"))
+    told = known.told(costs, "__cost")
     qty = F.when(F.abs("__qty") < 1e-12, d(0)).otherwise(F.col("__qty"))
     start = F.struct(qty.alias("qty"), F.coalesce(F.try_divide(F.col("__cost.cost"), F.abs(qty)), d(0)).alias("avg"), F.col("__cost.pnl").alias("pnl"))
     return told.replay(start, step)
@@ -321,15 +321,8 @@ def running_sums(df: DataFrame, order: list[str], columns: list[str], most: int
     return rows.withColumns({c: F.col(c) + F.col(f"__{c}") for c in columns}).select(*df.columns)
 
 
-def portfolio(fills: DataFrame, marks: DataFrame, order: list[str], cash: float = 0.0, rows: int | None = None) -> DataFrame:
-    """ts_nanos, symbol, cash, gross, nav, buying_power after each fill and each mark, over all symbols.
-
-    fills: symbol, order (ts_nanos first), side, qty, price, fees; marks: symbol,
-    ts_nanos, price.  A symbol is worth its quantity at its last mark, or at its average
-    price before its first; a mark comes before fills of its time.  Each event changes
-    the worth of its symbol alone, so the book is one running sum of changes.
-    buying_power is the cash, if positive.
-    """
+def _changes(fills: DataFrame, marks: DataFrame, order: list[str], rows: int | None) -> DataFrame:
+    """ts_nanos, __side, symbol, __order and what each fill and mark adds to cash, gross and nav of the book."""
     path = position_path(fills, ["symbol"], order, rows)
     told = F.struct(*order)
     f = path.select("symbol", "ts_nanos", F.lit(1).alias("__side"), told.alias("__order"), F.col("state.qty").alias("qty"), F.col("state.avg").alias("avg"), F.lit(None).cast("double").alias("mark"), (-F.col("side") * F.col("qty") * F.col("price") - F.col("fees")).alias("cash"))
@@ -341,9 +334,33 @@ def portfolio(fills: DataFrame, marks: DataFrame, order: list[str], cash: float
     events = events.withColumn("nav", F.coalesce("qty", d(0)) * F.coalesce("mark", "avg", d(0)))
     before = F.coalesce(F.lag("nav").over(w), d(0))
     changes = events.withColumns({"gross": F.abs("nav") - F.abs(before), "nav": F.col("nav") - before + F.col("cash")})
-    book = running_sums(changes.select("ts_nanos", "__side", "symbol", "__order", "cash", "gross", "nav"), ["ts_nanos", "__side", "symbol", "__order"], ["cash", "gross", "nav"])
+    return changes.select("ts_nanos", "__side", "symbol", "__order", "cash", "gross", "nav")
+
+
+def _held(cash: float) -> list[Column]:
     held = F.col("cash") + cash
-    return book.select("ts_nanos", "symbol", F.col("__side").alias("kind"), F.col("__order").alias("place"), held.alias("cash"), "gross", (F.col("nav") + cash).alias("nav"), F.greatest(held, d(0)).alias("buying_power"))
+    return [held.alias("cash"), F.col("gross"), (F.col("nav") + cash).alias("nav"), F.greatest(held, d(0)).alias("buying_power")]
+
+
+def portfolio(fills: DataFrame, marks: DataFrame, order: list[str], cash: float = 0.0, rows: int | None = None) -> DataFrame:
+    """ts_nanos, symbol, cash, gross, nav, buying_power after each fill and each mark, over all symbols.
+
+    fills: symbol, order (ts_nanos first), side, qty, price, fees; marks: symbol,
+    ts_nanos, price.  A symbol is worth its quantity at its last mark, or at its average
+    price before its first; a mark comes before fills of its time.  Each event changes
+    the worth of its symbol alone, so the book is one running sum of changes.
+    buying_power is the cash, if positive.
+    """
+    changes = scratch.written(_changes(fills, marks, order, rows), "changes")  # read three times
+    book = running_sums(changes, ["ts_nanos", "__side", "symbol", "__order"], ["cash", "gross", "nav"])
+    return book.select("ts_nanos", "symbol", F.col("__side").alias("kind"), F.col("__order").alias("place"), *_held(cash))
+
+
+def portfolio_by_time(fills: DataFrame, marks: DataFrame, order: list[str], cash: float = 0.0, rows: int | None = None) -> DataFrame:
+    """ts_nanos, cash, gross, nav, buying_power: the book of portfolio() after the last event of each time, from sums by time."""
+    columns = ["cash", "gross", "nav"]
+    sums = _changes(fills, marks, order, rows).groupBy("ts_nanos").agg(*(F.sum(c).alias(c) for c in columns))
+    return running_sums(scratch.written(sums, "changes"), ["ts_nanos"], columns).select("ts_nanos", *_held(cash))
 
 
 # Loss limits by level, as shares of the capital each is measured from

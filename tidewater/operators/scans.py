@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 LEAST = 8  # maps composed at once, however small the blocks of rows
 CHUNK = 256
+ONE = 3  # `most` of blocks where no key has more rows than one takes
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -108,6 +109,12 @@ class Blocks:
         """With the columns that more has by keys and block."""
         return Blocks(same_keys(self.df, more, [*self.keys, "__block"]), self.keys, self.most, self.rows)
 
+    def told(self, maps: Maps, name: str) -> Blocks:
+        """With the state before each block as `name`; where every key is one block, that is the first state and nothing is composed or joined."""
+        if self.most == ONE:
+            return Blocks(self.df.withColumn(name, maps.start), self.keys, self.most, self.rows)
+        return self.plus(self.starts(maps, name))
+
     def starts(self, maps: Maps, name: str) -> DataFrame:
         """keys, __block and, as `name`, the state before each block."""
         told = self.df.select(*self.keys, "__block", maps.of_rows(F.col("__rows")).alias("__map"))

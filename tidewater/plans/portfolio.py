@@ -196,9 +196,8 @@ def portfolio_fold(spark, d):
     """The book at the end of each day, in millions, from a thousand of them: fills of all suppliers, marked now and then."""
     f = fills(spark, d)
     marks = f.filter("l_linenumber = 1 AND l_orderkey % 3 = 0").groupBy("symbol", "ts_nanos").agg(F.round(F.avg("price"), 6).alias("price"))
-    p = folds.portfolio(f, marks, ["ts_nanos", "l_orderkey", "l_linenumber"], 1e9)
-    p = p.groupBy("ts_nanos").agg(F.max_by(F.struct("cash", "gross", "nav", "buying_power"), F.struct("kind", "symbol", "place")).alias("x"))
-    return p.select("ts_nanos", *(r(F.col(f"x.{c}") / 1e6, 3).alias(c) for c in ("cash", "gross", "nav", "buying_power")))
+    p = folds.portfolio_by_time(f, marks, ["ts_nanos", "l_orderkey", "l_linenumber"], 1e9)
+    return p.select("ts_nanos", *(r(F.col(c) / 1e6, 3).alias(c) for c in ("cash", "gross", "nav", "buying_power")))
 
 
 @query(
