@@ -201,6 +201,29 @@ def test_estimators_recover_what_was_planted():
     assert len(estimators.spanning_tree(list("abc"), np.corrcoef(chain, rowvar=False))) == 2
 
 
+def test_hawkes_loglik_is_the_recursion_and_not_row_by_row():
+    t = np.sort(np.random.default_rng(8).uniform(0, 700, 400_000))
+    r, last, want, n = 0.0, 0.0, 0.0, 0.0
+    for x in t.tolist():
+        decay = math.exp(-3.0 * (x - last))
+        want += -0.4 * (x - last) - 0.5 / 3.0 * (1 - decay) * (n + r)
+        r = decay * (n + r)
+        want, last, n = want + math.log(0.4 + 0.5 * r), x, 1.0
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += 1
+        return count if lines < 100_000 else None
+
+    sys.settrace(count)
+    try:
+        got = estimators.hawkes_loglik(t, 0.4, 0.5, 3.0)
+    finally:
+        sys.settrace(None)
+    assert got == pytest.approx(want, rel=1e-10) and lines < 10_000
+
+
 def test_hawkes_fold_is_the_estimator(spark):
     t = np.cumsum(np.random.default_rng(3).exponential(1.0, 80))
     d = spark.createDataFrame([("a", float(v)) for v in t], "k string, t double")

@@ -225,16 +225,35 @@ def nelder_mead(f: Callable[[np.ndarray], float], x0: np.ndarray, rounds: int =
     return pts[int(np.argmin(vals))]
 
 
+def affine_scan(a: np.ndarray, b: np.ndarray, wide: int = 64) -> np.ndarray:
+    """x[i] = a[i] x[i - 1] + b[i] from 0, in runs of `wide` side by side, whose ends are a scan again."""
+    n = len(a)
+    if n <= wide:
+        x, out = 0.0, []
+        for p, q in zip(a.tolist(), b.tolist(), strict=True):
+            x = p * x + q
+            out.append(x)
+        return np.array(out, float)
+    runs = -(-n // wide)
+    p, q = (np.pad(v, (0, runs * wide - n)).reshape(runs, wide).T.copy() for v in (a, b))
+    for i in range(1, wide):
+        q[i] += p[i] * q[i - 1]
+        p[i] *= p[i - 1]
+    before = np.concatenate([[0.0], affine_scan(p[-1], q[-1], wide)[:-1]])
+    p *= before
+    q += p
+    return q.T.ravel()[:n]
+
+
 def hawkes_loglik(t: np.ndarray, mu: float, alpha: float, beta: float) -> float:
-    r, last, ll, n = 0.0, 0.0, 0.0, 0.0
-    for x in t.tolist():
-        gap = x - last
-        decay = math.exp(-beta * gap)
-        ll -= mu * gap + alpha / beta * (1 - decay) * (n + r)
-        r = decay * (n + r)
-        ll += math.log(max(mu + alpha * r, 1e-300))
-        last, n = x, 1.0
-    return ll
+    if not len(t):
+        return 0.0
+    decay = np.exp(-beta * np.diff(t, prepend=0.0))
+    came = decay.copy()
+    came[0] = 0.0  # nothing before the first
+    r = affine_scan(decay, came)
+    area = mu * t[-1] + alpha / beta * float(((1 - decay[1:]) * (1 + r[:-1])).sum())
+    return float(np.log(np.maximum(mu + alpha * r, 1e-300)).sum()) - area
 
 
 def hawkes_fit(t: np.ndarray) -> dict:
