@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalar
-from tidewater.operators import backtests, estimators, folds, joins, packs, portfolio, rolling, validation
+from tidewater.operators import backtests, estimators, excitation, folds, joins, packs, portfolio, rolling, validation
 from tidewater.operators.strategies import STRATEGIES, Bar, Simulator, Strategy
 from tidewater.sources import generators, readers
 from tidewater.streaming import events as streaming
@@ -224,6 +224,16 @@ def test_hawkes_loglik_is_the_recursion_and_not_row_by_row():
     assert got == pytest.approx(want, rel=1e-10) and lines < 10_000
 
 
+def test_cross_excitation_over_blocks_is_the_estimator(spark):
+    rng = np.random.default_rng(9)
+    streams = [np.sort(rng.uniform(0.1, 90, n)).round(1) for n in (300, 150, 40)]
+    rows = [(float(t), k) for k, s in enumerate(streams) for t in s]
+    want = estimators.multivariate_hawkes(streams, 1.0, 5)
+    got = excitation.multivariate_hawkes(spark.createDataFrame(rows, "t double, kind int").repartition(3), "t", "kind", 1.0, 5, rows=40)
+    for name in ("mu", "branching", "radius", "counts"):
+        assert got[name] == pytest.approx(want[name], rel=1e-8, abs=1e-12)
+
+
 def test_hawkes_fold_is_the_estimator(spark):
     t = np.cumsum(np.random.default_rng(3).exponential(1.0, 80))
     d = spark.createDataFrame([("a", float(v)) for v in t], "k string, t double")

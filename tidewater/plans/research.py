@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalar import adf_p
-from tidewater.operators import backtests, joins, portfolio, regressions, rolling, scaling
+from tidewater.operators import backtests, excitation, joins, portfolio, regressions, rolling, scaling
 from tidewater.operators import estimators as est
 from tidewater.plans.portfolio import log_returns
 from tidewater.plans.stats import RETURNS, return_pairs
@@ -245,13 +245,11 @@ def topology_windows(spark, d):
 
 @query()
 def cross_excitation(spark, d):
-    e = read(spark, d, "events").select(F.lit("all").alias("book"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 3.6e9D - 473352").cast("double").alias("t"), F.hash("event_type").cast("double").alias("kind"))
-
-    def f(t, kind):
-        fit = est.multivariate_hawkes([t[kind == k] for k in np.unique(kind)])
-        return [{"i": int(i), "j": int(j), "branching": float(fit["branching"][i, j]), "radius": fit["radius"]} for i in range(len(fit["mu"])) for j in range(len(fit["mu"]))]
-
-    return est.grouped(e, ["book"], "t", ["t", "kind"], f, "i INT, j INT, branching DOUBLE, radius DOUBLE")
+    e = read(spark, d, "events").select(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 3.6e9D - 473352").cast("double").alias("t"), F.hash("event_type").cast("double").alias("kind"))
+    fit = excitation.multivariate_hawkes(e, "t", "kind")
+    k = range(len(fit["mu"]))
+    rows = [("all", i, j, float(fit["branching"][i, j]), fit["radius"]) for i in k for j in k]
+    return spark.createDataFrame(rows, "book STRING, i INT, j INT, branching DOUBLE, radius DOUBLE")
 
 
 @query()
