@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.oracle import same
-from tidewater.llm import bin_completion, bpe, encoding, exact_dedup, licenses, near_dup, packing, pii, quality_fm, quality_rules, queries, signature_tree, token_files, url_filters
+from tidewater.llm import bin_completion, bpe, common, components, encoding, exact_dedup, licenses, near_dup, packing, pii, quality_fm, quality_rules, queries, signature_tree, token_files, url_filters
 from tidewater.llm.components import connected_components
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -221,6 +221,18 @@ def test_near_duplicates_of_documents(spark, documents, texts):
     assert found == brute_components(texts.items(), 4, 85)
 
 
+def test_ties_follow_the_sets_and_not_their_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    bases = [[f"w{rng.randrange(10_000)}" for _ in range(200)] for _ in range(4)]
+    copies = [" ".join([*b[: 6 * k], f"x{k}", *b[6 * k :]]) for b in bases for k in range(near_dup.HOT - 2)]
+    tied = []
+    monkeypatch.setattr(near_dup, "connected_components", lambda edges: tied.append(edges.count()) or connected_components(edges))
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()}
+    assert found == brute_components(list(enumerate(copies)), 5, 80) and len({c for _, c in found.values()}) == len(bases)
+    assert len(copies) - len(bases) <= tied[0] < 3 * len(copies)  # one for every two of a group: about 15 times its sets
+
+
 def test_signature_tree_loses_no_link():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 1 << 63, 60, dtype=np.uint64) for _ in range(6)]
@@ -237,6 +249,13 @@ def test_components(spark):
     assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_a_star_is_met_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(components, "lookup", lambda *a, **b: calls.append(a[0].count()) or common.lookup(*a, **b))
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame([(3, k) for k in range(4, 60)], "a long, b long")).collect()}
+    assert found == dict.fromkeys(range(3, 60), 3) and calls == [2 * 56]
+
+
 def brute_spans(t):
     def luhn(d):
         return sum(v if k % 2 == 0 else v * 2 - 9 * (v > 4) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0

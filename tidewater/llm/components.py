@@ -21,8 +21,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL")
     both = materialise(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))), "cc-edges")
     ends = both.count()
-    degree = both.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    labels = materialise(degree.select("id", "degree", F.col("id").alias("component")), "cc-labels")
+    # at first a node's label is its id, so the smallest of its neighbours needs no join
+    first = both.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.min("other").alias("least"))
+    labels = materialise(first.select("id", "degree", F.least("id", "least").alias("component")), "cc-labels")
     nodes = labels.count()
     while True:
         told = lookup(both, labels, "id", "degree", ends)

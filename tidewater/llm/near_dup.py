@@ -20,10 +20,11 @@
    texts: its rows are common without being counted, so they are dealt out by set
    and never meet in one task.  Any choice of such keys gives the same links.
 3. A key that fewer than HOT sets have ties them in pairs, counted over all keys
-   and kept if the count reaches both margins less the sets' common keys; in a
-   common key, the sets whose common keys reach their margin are tied to the
-   smallest only (a star, linear in the group).  Ties make families, which no link
-   leaves.
+   and kept if the count reaches both margins less the sets' common keys; a set
+   and its smaller partners are then tied to the smallest of these only, so that
+   many like sets don't make as many ties as pairs.  In a common key, the sets whose
+   common keys reach their margin are tied to the smallest only (a star, linear in
+   the group).  Ties make families, which no link leaves.
 4. A family of up to BLOCK sets is one task: a signature tree over it, traversed
    against itself, finds its links.  In a larger one, ties are verified first, in
    salted groups around their centres; where that connects it (copies of one text
@@ -385,8 +386,19 @@ def _join_blocks(n: int, percent: int, whole: bool):
 PAIR = "a long, b long"
 
 
+def _starred(pairs: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what the pairs (a < b) join: each set and its other smaller partners are tied to the smallest of these.
+
+    Of sets that are all paired with each other, one edge a set remains and not
+    one for every two.  A window holds the smaller partners of one set, less than
+    HOT for each of its keys.
+    """
+    told = pairs.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("least"))
+    return told.select(F.col("least").alias("a"), F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+
+
 def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b that may link, by their common keys; common keys (key, id) of the sets that only these tell)."""
+    """(edges a < b that join the pairs that may link, by their common keys; common keys (key, id) of the sets that only these tell)."""
     bit = F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("bit")
     pairs = met.filter("other IS NOT NULL").groupBy(F.col("id").alias("a"), F.col("other").alias("b"), bit).agg(F.count(F.lit(1)).alias("shared"))
     common = met.filter("other IS NULL").select("key", "id", bit)
@@ -399,7 +411,7 @@ def _likely(met: DataFrame, margins: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = need.select(F.col("id").alias(side), "bit", "need")
         pairs = pairs.join(own, [side, "bit"], "left").filter(F.col("shared") >= F.coalesce("need", F.lit(1))).drop("need")
     rows = materialise(common.join(need.filter("some AND need <= 0").select("id", "bit"), ["id", "bit"]).select("key", "id"), "near-common")
-    likely = materialise(pairs.select("a", "b").distinct(), "near-likely")
+    likely = materialise(_starred(_starred(pairs)), "near-likely")  # once more, for a set of many partners has several smallest ones of theirs
     discard(need)
     return likely, rows
 
@@ -412,8 +424,8 @@ def _hot_keys(sample: DataFrame) -> DataFrame:
     return counts.filter(F.col("n") >= least).select("key")
 
 
-def _candidates(told: DataFrame, margins: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of sets (id, keys; id, margins): (pairs (id, centre) to verify, edges (a, b) that make families)."""
+def _candidates(told: DataFrame, margins: DataFrame, sample: DataFrame) -> DataFrame:
+    """Of sets (id, keys; id, margins): ties (a < b) that make families; their number follows that of the sets and their keys, not that of pairs."""
     shuffles = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(_hot_keys(sample).withColumn("hot", F.lit(True)))
     exploded = told.select(F.explode("keys").alias("key"), "id").join(hot, "key", "left")
@@ -427,12 +439,10 @@ def _candidates(told: DataFrame, margins: DataFrame, sample: DataFrame) -> tuple
     beside = lookup(rows, first, "key", "n", rows.count()).select("id", "centre")
     tied = materialise(beside.withColumn("least", F.min("centre").over(Window.partitionBy("id"))).distinct(), "near-tied")
     # a star of each set and its smallest one, which stands for it in ties to the others; few, as a group's sets mostly share it
-    stars = tied.select("id", F.col("least").alias("centre")).distinct()
-    ties = materialise(tied.filter("least <> centre").select(F.col("least").alias("a"), F.col("centre").alias("b")).distinct(), "near-ties")
-    stars = materialise(stars, "near-stars")
-    discard(rows, first, tied)
-    pairs = likely.select(F.col("b").alias("id"), F.col("a").alias("centre")).unionByName(stars.filter("id <> centre")).distinct()
-    return pairs, likely.unionByName(stars.select(F.col("id").alias("a"), F.col("centre").alias("b"))).unionByName(ties)
+    stars = tied.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    ties = materialise(stars.unionByName(tied.filter("least <> centre").select(F.col("least").alias("a"), F.col("centre").alias("b"))).unionByName(likely).distinct(), "near-ties")
+    discard(rows, first, tied, likely)
+    return ties
 
 
 def _pair_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -503,12 +513,10 @@ def _links(source: DataFrame, told: DataFrame, margins: DataFrame, sample: DataF
     """id, component of the linked classes; told: id, keys of every class, margins: id, margins, sample: rows like told of a part of the classes."""
     solved, found, texts, labels = [], [], None, None
     for fineness in (*FINENESS[1:], None):
-        pairs, edges = _candidates(told, margins, sample)
-        edges = materialise(edges, "near-edges")
+        edges = _candidates(told, margins, sample)
         families = connected_components(edges).withColumnRenamed("component", "family")
         members = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
         families = materialise(lookup(families, members, "family", "members", families.count()), "near-families")
-        discard(edges)
         if texts is None:
             heads = materialise(classes.join(families, "id").select("id", "size", "family", "members", "head"), "near-heads")
             every = placed = materialise(_texts_of(source, heads), "near-texts")
@@ -522,9 +530,11 @@ def _links(source: DataFrame, told: DataFrame, margins: DataFrame, sample: DataF
         (found if solved else solved).append(small)
         large = families.filter(F.col("members") > BLOCK)
         if large.isEmpty():
+            discard(edges)
             labels = None
             break
-        pairs = materialise(pairs.join(large.select("id"), "id"), "near-pairs")
+        pairs = materialise(edges.select(F.col("b").alias("id"), F.col("a").alias("centre")).join(large.select("id"), "id"), "near-pairs")
+        discard(edges)
         found.append(materialise(_pair_links(texts, pairs, n, percent), "near-stars"))
         labels = connected_components(_all(found))
         large = materialise(large.select("id", "family").join(labels, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "near-large")
