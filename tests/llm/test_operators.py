@@ -671,3 +671,20 @@ def test_license_notices_across_lines(spark):
     d = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
     found = [[(x.label, x.containment) for x in r.notices] for r in licenses.scan_licenses(d).orderBy("doc_id").collect()]
     assert found == [[(label, 1.0)] for label in WRAPPED] + [[]] * len(others)
+
+
+def test_packing_needs_one_worker_a_task(spark, sf, monkeypatch):
+    """A task of the places runs one Python pass, and that lets go of the encoders; the crc is of 32-bit ids, whatever their width."""
+    packed = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), WORD)
+    told = packing.with_crc(packed)
+    assert told._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {(r.doc_id, r.piece): zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for r in packed.collect()}
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in told.collect()} == want
+    for width in ("<u2", "<u4"):
+        row = (1, 0, 0, 3, bytearray(np.array([0, 10, 49_000], width).tobytes()), 5, 0, 0)
+        one = spark.createDataFrame([row], packing.PIECES + ", sequence_id long, offset long, gap long")
+        assert [r.ids_crc32 for r in packing.with_crc(one).collect()] == [zlib.crc32(np.array([0, 10, 49_000], "<u4").tobytes())]
+    monkeypatch.setattr(encoding, "_encoders", {})
+    encoding.encoder(WORD)
+    none = {k: np.zeros(0, np.int64) for k in ("length", "first", "copies", "sequence", "offset")}
+    assert list(packing._place(none, 0)(iter(()))) == [] and not encoding._encoders

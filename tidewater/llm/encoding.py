@@ -185,3 +185,15 @@ def encoder(path: str) -> UnitEncoder:
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]
+
+
+def release_unused() -> None:
+    """Give back what Arrow keeps of freed memory, as workers live on beside the JVM."""
+    pa.default_memory_pool().release_unused()
+
+
+def forget_encoders() -> None:
+    """Drop this worker's encoders, in passes after the last that encodes: else it holds them for as long as it lives."""
+    if _encoders:
+        _encoders.clear()
+        release_unused()
