@@ -45,7 +45,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 2048 tokens."""
-    return packing.with_crc(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), slice_bytes=2 << 20))  # workers still hold what earlier stages loaded
+    return packing.with_crc(packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), slice_bytes=2 << 20, wide=True))  # workers still hold what earlier stages loaded
 
 
 STAGES = [

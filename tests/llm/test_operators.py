@@ -688,3 +688,45 @@ def test_packing_needs_one_worker_a_task(spark, sf, monkeypatch):
     encoding.encoder(WORD)
     none = {k: np.zeros(0, np.int64) for k in ("length", "first", "copies", "sequence", "offset")}
     assert list(packing._place(none, 0)(iter(()))) == [] and not encoding._encoders
+
+
+def test_words_recur_and_go_to_the_library_once(monkeypatch):
+    """A text's words, not what stands between its spaces, are kept and looked up: few reach the library, and ids are its own."""
+    t, own, asked = Tokenizer.from_file(WORD), encoding.UnitEncoder(WORD), []
+    bulk, library = own._bulk, own._library
+    monkeypatch.setattr(own, "_bulk", lambda units: asked.extend(units.to_pylist()) or bulk(units))
+    monkeypatch.setattr(own, "_library", lambda texts: asked.extend(texts) or library(texts))
+    marks = ["", ",", ".", "!", "(", ")", "7", "42.", "é", "'s", "'S,"]
+    many = [f"{word}{mark} ({word}{other}" for word in ("Thing", "thing", "über", "слово") for mark in marks for other in marks]
+    ids, counts = own.encode(pa.array(many))
+    assert len(asked) < len(many) / 6
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    for k, x in enumerate(many):
+        assert ids[edges[k] : edges[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_words_of_every_kind_are_the_library():
+    t, own, rng = Tokenizer.from_file(WORD), encoding.UnitEncoder(WORD), random.Random(5)
+    pools = ["'sStTrRevEmdD.1a ", "aJjE.=<>'1 é\u030c\u0338\u0345\u0301", "aÉ×÷ßİıΣς\u00a0\u0085\u3000\u1680\x0b\x0c\x1c\x7f\x00 .7'", "日本語カ\u3099 a.1Ѐя", ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "|>", " ", "'", "a", "\u0338", "1"]]
+    many = ["".join(rng.choice(pool) for _ in range(rng.choice([1, 2, 3, 5, 20]))) for pool in pools for _ in range(800)]
+    many += ["\n".join(f"a{chr(c)}b {chr(c)}.{chr(c)}" for c in range(at, at + 512)) for at in range(0, 0xD800, 512)]
+    for some in (many, many[::-1], many[:50], []):  # the later with learnt words
+        ids, counts = own.encode(pa.array(some, pa.string()))
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        for k, e in enumerate(t.encode_batch_fast(some, add_special_tokens=False)):
+            assert ids[edges[k] : edges[k + 1]].tolist() == e.ids, repr(some[k])[:80]
+
+
+def test_packing_widens_where_it_places(spark, sf):
+    """The query's ids come with 32 bits, so that its crc takes no text of digits; narrow and wide ones are the same numbers."""
+    told = packing.op2_best_fit_packing(spark, sf)
+    narrow = packing.with_crc(packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), WORD))
+    wide = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), WORD, wide=True)
+    assert sorted(told.collect()) == sorted(narrow.collect()) == sorted(packing.with_crc(wide).collect())
+    assert all(len(r.ids) == 4 * r.length for r in wide.collect())
+    numbers = [[1, 2, 3], [49_000], [5, 6]]
+    for kind in ("<u2", "<u4"):
+        column = pa.array([np.array(x, kind).tobytes() for x in numbers], pa.binary())
+        for at in range(3):  # also from a slice
+            some = packing._widen(column.slice(at), np.array([len(x) for x in numbers[at:]]))
+            assert [np.frombuffer(x, "<u4").tolist() for x in some.to_pylist()] == numbers[at:]

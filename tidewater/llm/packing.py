@@ -38,6 +38,7 @@ from tidewater.llm.token_files import with_end
 
 CAPACITY = 2048
 FEW_COUNTS = 500_000  # of 24 bytes
+PLACED = 1024  # pieces placed and returned at once, of 8 KB at most
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 NAMES = ["doc_id", "piece", "start", "length", "ids"]
 
@@ -88,25 +89,37 @@ def places(plan: Plan) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "copies", "sequence", "offset"), columns, strict=True))
 
 
-def _place(slots: dict[str, np.ndarray], gap: int):
+def _widen(ids: pa.Array, lengths: np.ndarray) -> pa.Array:
+    """The ids with 32 bits each."""
+    ids = ids.cast(pa.binary())
+    edges = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    if edges[-1] - edges[0] != 2 * lengths.sum():
+        return ids
+    wide = np.frombuffer(ids.buffers()[2], np.uint8)[edges[0] : edges[-1]].view("<u2").astype("<u4")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(2 * (edges - edges[0])), pa.py_buffer(wide)])
+
+
+def _place(slots: dict[str, np.ndarray], gap: int, wide: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         keys = slots["length"] * (1 << 48) + slots["first"]  # sorted; ranks stay below 2^48
-        for batch in batches:
+        for batch in (whole.slice(at, PLACED) for whole in batches for at in range(0, whole.num_rows, PLACED)):
             length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             slot = np.searchsorted(keys, length * (1 << 48) + rank, "right") - 1
             nth = rank - slots["first"][slot]
             sequence = slots["sequence"][slot] + nth // slots["copies"][slot]
             offset = slots["offset"][slot] + nth % slots["copies"][slot] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset), pa.array(np.full(len(rank), gap, np.int64))], [*NAMES, "sequence_id", "offset", "gap"])
+            ids = _widen(batch.column(4), length) if wide else batch.column(4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids, pa.array(sequence), pa.array(offset), pa.array(np.full(len(rank), gap, np.int64))], [*NAMES, "sequence_id", "offset", "gap"])
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = CAPACITY, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = CAPACITY, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian, 16 bits where the vocabulary allows, else 32), sequence_id, offset, gap.
 
     slice_bytes: text encoded at once; less takes less memory and more time.
+    wide: ids of 32 bits in any case; they are stored as narrow as before and widened once they are placed.
     """
     cut = id_text(docs, id_col, text_col).mapInArrow(_cut(tokenizer, end_id, capacity, slice_bytes), PIECES + ", part int, rank long")
     pieces = materialise(cut, "pieces")
@@ -118,7 +131,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capa
     discard(counts)
     bases = F.broadcast(bases) if bases.count() <= FEW_COUNTS else bases.hint("merge")
     ranked = pieces.join(bases, ["part", "length"]).select(*NAMES, (F.col("rank") + F.col("base")).alias("rank"))
-    return ranked.mapInArrow(_place(places(packing.plan), packing.gap), PIECES + ", sequence_id long, offset long, gap long")
+    return ranked.mapInArrow(_place(places(packing.plan), packing.gap, wide), PIECES + ", sequence_id long, offset long, gap long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -131,6 +144,7 @@ def with_crc(packed: DataFrame) -> DataFrame:
     """The pieces with the crc32 of their ids, as little-endian numbers of 32 bits, in place of the ids.
 
     An expression and no Python pass, which would run beside that of the places and so need two workers a task.
+    Narrow ids are widened through their hexadecimal text, which costs far more than `wide` where they are packed.
     """
     narrow = F.length("ids") == 2 * F.col("length")
     wide = F.unhex(F.regexp_replace(F.hex("ids"), "(?<id>.{4})", "${id}0000"))
@@ -138,4 +152,4 @@ def with_crc(packed: DataFrame) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_crc(pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return with_crc(pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), wide=True))
